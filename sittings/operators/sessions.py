@@ -84,8 +84,8 @@ def sessionize(
 
     The previous play is found among *distinct* instants, which map-side combining
     keeps small for repeated ones, and is joined back by (user, instant). Both join
-    inputs are plain shuffles, so adaptive execution can split an instant that holds
-    a large share of the log.
+    inputs are shuffles that Spark adds itself, the only kind adaptive execution
+    splits when one instant holds a large share of the log.
     """
     if tie_break is None:
         rest = [c for c in plays.columns if c not in ("user_id", "timestamp")]
@@ -112,12 +112,11 @@ def sessionize(
             F.coalesce("lag_ts", "prev_cell_ts").alias("before_ts"),
             F.when(F.col("lag_ts").isNull(), F.col("opens")).otherwise(0).alias("opens"),
         )
-        .repartition("user_id", "timestamp")
     )
     joined = rows.join(marks, ["user_id", "timestamp"])
     is_first = order.eqNullSafe(F.col("first_row"))
     if tie_break is None:
-        joined = _expand_copies(joined)
+        joined = _expand_copies(joined, plays.columns)
         is_first = is_first & (F.col("copy") == 0)
     prev_ts = F.when(is_first, F.col("before_ts")).otherwise(F.col("timestamp"))
     return joined.select(
@@ -130,11 +129,14 @@ def sessionize(
     )
 
 
-def _expand_copies(rows: DataFrame) -> DataFrame:
+def _expand_copies(rows: DataFrame, columns: list[str]) -> DataFrame:
     """Undo `copies`, spreading a very large group over tasks in chunks."""
     last = F.col("copies") - 1
     start = F.col("chunk") * COPIES_PER_CHUNK
-    chunked = rows.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.floor(last / COPIES_PER_CHUNK))))
-    return chunked.repartition("user_id", "timestamp", "chunk").withColumn(
-        "copy", F.explode(F.sequence(start, F.least(last, start + (COPIES_PER_CHUNK - 1))))
+    end = F.least(last, start + (COPIES_PER_CHUNK - 1))
+    chunks = F.sequence(F.lit(0), F.floor(last / COPIES_PER_CHUNK))
+    return (
+        rows.withColumn("chunk", F.explode(chunks))
+        .repartition(*columns, "chunk")
+        .withColumn("copy", F.explode(F.sequence(start, end)))
     )
