@@ -89,7 +89,7 @@ def seasonal_trend(
     """
     t, v = F.col("t"), F.col("v")
     sums = {
-        "n": F.count("*").cast("double"),
+        "n": F.sum(F.lit(1.0)),
         "st": F.sum(t),
         "stt": F.sum(t * t),
         "sy": F.sum(v),
@@ -169,11 +169,11 @@ def seasonal_ar1(daily: DataFrame, origins: Origins, horizon: int) -> DataFrame:
     v, u = F.col("v"), F.col("before")
     paired = F.when(u.isNotNull(), v)
     sums = {
-        "n": F.count("*").cast("double"),
+        "n": F.sum(F.lit(1.0)),
         "sy": F.sum(v),
         "seen": F.max("ds"),
         "tail": F.max_by("v", "ds"),
-        "pairs": F.count(u).cast("double"),
+        "pairs": F.sum(F.when(u.isNotNull(), 1.0)),
         "py": F.sum(paired),
         "pu": F.sum(u),
         "pyu": F.sum(v * u),
@@ -191,7 +191,7 @@ def seasonal_ar1(daily: DataFrame, origins: Origins, horizon: int) -> DataFrame:
             "profile",
             F.array(*[F.max(F.when(c("dow") == i, m)).over(by_fold) for i in range(7)]),
         )
-        .fillna(0.0, ["py", "pu", "pyu", "pyy", "puu"])
+        .fillna(0.0, ["pairs", "py", "pu", "pyu", "pyy", "puu"])
     )
     # Per weekday: sums of the residual r and the one before it, s, over paired days.
     moments = cells.groupBy(*FOLD, "profile").agg(

@@ -114,7 +114,7 @@ years AS (
 ),
 seasonal_trend AS (
   SELECT x.series_key, 'seasonal_trend' AS model, x.cutoff, x.ds,
-         (a + b * (x.ds - x.lo)) * coalesce(w, 1) * coalesce(s, 1) AS yhat, sd
+         (a + b * (x.ds - x.lo)) * coalesce(w, 1) * coalesce(s, 1) + 0 AS yhat, sd
   FROM ahead x JOIN lines USING (series_key, cutoff)
   LEFT JOIN weeks USING (series_key, cutoff, dow)
   LEFT JOIN years USING (series_key, cutoff, mon)
@@ -164,8 +164,8 @@ def _fitted(series: str, folds: str, horizon: int, names: list[str], history=Fal
 
 def _forecast(series: str, horizon: int, name: str, history: bool = False) -> str:
     return f"""{_fitted(series, AT_END, horizon, [name], history)}
-SELECT series_key, model, cutoff, ds, round(yhat, 6) AS yhat,
-       round(yhat - 1.2816 * sd, 6) AS yhat_lower, round(yhat + 1.2816 * sd, 6) AS yhat_upper
+SELECT series_key, model, cutoff, ds, round(yhat, 6) + 0 AS yhat,
+       round(yhat - 1.2816 * sd, 6) + 0 AS yhat_lower, round(yhat + 1.2816 * sd, 6) + 0 AS yhat_upper
 FROM runs"""
 
 
@@ -177,7 +177,7 @@ def _tested(series: str, folds: str, days: int, names: list[str]) -> str:
 
 
 SCORED_ROWS = """
-SELECT series_key, model, cutoff, ds, round(yhat, 6) AS yhat, y FROM scored"""
+SELECT series_key, model, cutoff, ds, round(yhat, 6) + 0 AS yhat, y FROM scored"""
 
 BY_HORIZON = """
 by_day AS (
@@ -221,8 +221,8 @@ metrics AS (
   SELECT *, 'holdout' AS protocol FROM held
   UNION ALL SELECT *, 'cross_validation' AS protocol FROM crossed
 )
-SELECT series_key, model, round(mae, 6) AS mae, round(rmse, 6) AS rmse, protocol,
-       round(CASE WHEN base > 0 THEN (base - mae) / base * 100 END, 6) AS improvement_pct
+SELECT series_key, model, round(mae, 6) + 0 AS mae, round(rmse, 6) + 0 AS rmse, protocol,
+       round(CASE WHEN base > 0 THEN (base - mae) / base * 100 END, 6) + 0 AS improvement_pct
 FROM metrics JOIN (SELECT series_key, protocol, mae AS base FROM metrics
                    WHERE model = 'weekday_mean') USING (series_key, protocol)"""
 
@@ -231,21 +231,21 @@ def _report(series: str, horizon: int) -> str:
     return f"""{_fitted(series, AT_END, horizon, ["seasonal_trend"])},
 report AS (
   SELECT series_key, model, strftime(ds, '%Y-%m-%d') AS date,
-         round_even(greatest(yhat, 0.0), 1) AS predicted_sessions,
-         round_even(greatest(yhat - 1.2816 * sd, 0.0), 1) AS lower_bound,
-         round_even(yhat + 1.2816 * sd, 1) AS upper_bound
+         round_even(greatest(yhat, 0.0), 1) + 0 AS predicted_sessions,
+         round_even(greatest(yhat - 1.2816 * sd, 0.0), 1) + 0 AS lower_bound,
+         round_even(yhat + 1.2816 * sd, 1) + 0 AS upper_bound
   FROM runs
 )"""
 
 
 _BOUNDS = """
 SELECT series_key, min(ds) AS first_ds, max(ds) AS last_ds, count(*) AS days,
-       CAST(sum(y) AS BIGINT) AS total, round(avg(y), 6) AS mean_y
+       CAST(sum(y) AS BIGINT) AS total, round(avg(y), 6) + 0 AS mean_y
 FROM daily GROUP BY 1"""
 
 _PROFILE = """
 SELECT series_key, CAST(isodow(ds) - 1 AS INTEGER) AS dow, count(*) AS days,
-       round(avg(y), 6) AS mean_y
+       round(avg(y), 6) + 0 AS mean_y
 FROM daily GROUP BY 1, 2"""
 
 _NAIVE = ["weekday_mean"]
@@ -275,11 +275,11 @@ ORACLE = {
     "naive_cv": _tested(SEGMENT_SERIES, SEGMENT_FOLDS, 30, _NAIVE) + SCORED_ROWS,
     "naive_cv_users": _tested(USER_SERIES, USER_FOLDS, 7, _NAIVE) + SCORED_ROWS,
     "naive_cv_by_horizon": f"""{_tested(SEGMENT_SERIES, SEGMENT_FOLDS, 30, _NAIVE)}, {BY_HORIZON}
-        SELECT series_key, model, horizon, n, round(mae, 6) AS mae, round(sqrt(mse), 6) AS rmse
+        SELECT series_key, model, horizon, n, round(mae, 6) + 0 AS mae, round(sqrt(mse), 6) + 0 AS rmse
         FROM by_day""",
     "naive_cv_by_horizon_smoothed": f"""{_tested(SEGMENT_SERIES, SEGMENT_FOLDS, 30, _NAIVE)},
         {BY_HORIZON}, {THREE_DAYS}
-        SELECT series_key, model, horizon, n, round(mae, 6) AS mae, round(rmse, 6) AS rmse
+        SELECT series_key, model, horizon, n, round(mae, 6) + 0 AS mae, round(rmse, 6) + 0 AS rmse
         FROM smoothed""",
     "seasonal_trend_forecast": _forecast(SEGMENT_SERIES, 90, "seasonal_trend"),
     "seasonal_trend_forecast_users": _forecast(USER_SERIES, 7, "seasonal_trend"),
@@ -292,21 +292,21 @@ ORACLE = {
     "holdout_all_models": _tested(SEGMENT_SERIES, held_out(30), 30, _ALL) + SCORED_ROWS,
     "cv_all_models": f"""{_tested(SEGMENT_SERIES, SEGMENT_FOLDS, 30, _ALL)},
         {BY_HORIZON}, {THREE_DAYS}, {_nested(HEADLINE, "headline")}
-        SELECT series_key, model, round(mae, 6) AS mae, round(rmse, 6) AS rmse FROM headline""",
+        SELECT series_key, model, round(mae, 6) + 0 AS mae, round(rmse, 6) + 0 AS rmse FROM headline""",
     "model_comparison": _comparison(SEGMENT_SERIES, 30, SEGMENT_FOLDS, THREE_DAYS),
     "model_comparison_users": _comparison(USER_SERIES, 7, USER_FOLDS, EACH_DAY),
     "validation_results": f"""WITH crossed AS (
           {_tested(SEGMENT_SERIES, SEGMENT_FOLDS, 30, ["seasonal_trend"])},
           {BY_HORIZON}, {THREE_DAYS} {HEADLINE}),
         held AS ({_tested(SEGMENT_SERIES, held_out(30), 30, _NAIVE)} {ACCURACY})
-        SELECT series_key, model AS "Model", round_even(mae, 2) AS "MAE",
-               round_even(rmse, 2) AS "RMSE" FROM crossed
+        SELECT series_key, model AS "Model", round_even(mae, 2) + 0 AS "MAE",
+               round_even(rmse, 2) + 0 AS "RMSE" FROM crossed
         UNION ALL SELECT series_key, model, round_even(mae, 2), NULL FROM held""",
     "forecast_report": f"{_report(SEGMENT_SERIES, 90)} SELECT * FROM report",
     "top_user_forecast_report": f"{_report(TOP_USER_SERIES, 7)} SELECT * FROM report",
     "holdout_report": f"""{_tested(SEGMENT_SERIES, held_out(30), 30, ["seasonal_ar1"])}
         SELECT series_key, model, strftime(ds, '%Y-%m-%d') AS date, y AS actual,
-               round_even(yhat, 1) AS predicted
+               round_even(yhat, 1) + 0 AS predicted
         FROM scored""",
     "forecast_preview": f"""{_report(SEGMENT_SERIES, 90)} SELECT * FROM report
         QUALIFY row_number() OVER (PARTITION BY series_key ORDER BY date) <= 10""",
@@ -319,8 +319,8 @@ ORACLE = {
                          round(yhat - 1.2816 * sd, 6), round(yhat + 1.2816 * sd, 6)
         FROM runs""",
     "cv_feed": f"""{_tested(SEGMENT_SERIES, SEGMENT_FOLDS, 30, ["seasonal_trend"])}
-        SELECT series_key, model, cutoff, ds, y AS actual, round(yhat, 6) AS yhat,
-               round(overall_mean, 6) AS overall_mean
+        SELECT series_key, model, cutoff, ds, y AS actual, round(yhat, 6) + 0 AS yhat,
+               round(overall_mean, 6) + 0 AS overall_mean
         FROM scored JOIN (SELECT series_key, avg(y) AS overall_mean FROM daily GROUP BY 1)
         USING (series_key)""",
 }
