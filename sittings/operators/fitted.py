@@ -1,0 +1,161 @@
+"""Forecasters that need a numeric solver, fitted per series and origin on the cluster.
+
+A series travels as one row holding its values (at most one per calendar day), so
+folds and candidate orders spread over the cluster as small independent rows and
+each task sees one training series at a time.
+"""
+
+from __future__ import annotations
+
+from itertools import product
+
+import numpy as np
+import pandas as pd
+from pyspark import cloudpickle
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from sittings.operators import solvers
+from sittings.operators.origins import Origins
+
+# Send the solvers with the job, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(solvers)
+
+# Candidate orders, split into the weekly part (spread over tasks) and the daily one.
+WEEKLY_ORDERS = list(product(range(2), range(2)))
+DAILY_ORDERS = list(product(range(3), range(3)))
+
+
+def training_rows(daily: DataFrame, origins: Origins) -> DataFrame:
+    """One row per (series, cutoff) with the dense values up to the cutoff."""
+    n = origins.count(F.col("first_ds"), F.col("last_ds"))
+    days = F.sort_array(F.collect_list(F.struct("ds", "y")))
+    return (
+        daily.groupBy("series_key")
+        .agg(F.min("ds").alias("first_ds"), F.max("ds").alias("last_ds"), days.alias("days"))
+        .filter(n > 0)
+        .withColumn("k", F.explode(F.sequence(F.lit(0), n - 1)))
+        .withColumn("cutoff", origins.cutoff(F.col("last_ds"), F.col("k")))
+        .select(
+            "series_key",
+            "first_ds",
+            "cutoff",
+            F.unix_date("first_ds").alias("start_day"),
+            F.transform(
+                F.slice("days", F.lit(1), F.datediff("cutoff", "first_ds") + 1),
+                lambda d: d["y"].cast("double"),
+            ).alias("values"),
+        )
+    )
+
+
+def _spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """Hash rows over all shuffle partitions: they are few bytes but much work each."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(n, *keys)
+
+
+def _key_type(rows: DataFrame) -> str:
+    return rows.schema["series_key"].dataType.simpleString()
+
+
+def fourier_trend(
+    daily: DataFrame, origins: Origins, horizon: int, history: bool = False
+) -> DataFrame:
+    """Piecewise-linear trend times weekly and yearly Fourier seasons, by ridge fit."""
+
+    def fit(group: pd.DataFrame) -> pd.DataFrame:
+        row = group.iloc[0]
+        values = np.asarray(row["values"], dtype=float)
+        yhat, sd = solvers.fourier_trend(values, int(row["start_day"]), horizon)
+        skip = 0 if history else len(values)
+        return pd.DataFrame(
+            {
+                "series_key": [row["series_key"]],
+                "start": [row["first_ds"] if history else None],
+                "cutoff": [row["cutoff"]],
+                "yhat": [yhat[skip:]],
+                "sd": [sd[skip:]],
+            }
+        )
+
+    rows = training_rows(daily, origins)
+    schema = (
+        f"series_key {_key_type(rows)}, start date, cutoff date, "
+        "yhat array<double>, sd array<double>"
+    )
+    fits = _spread(rows, "series_key", "cutoff").groupBy("series_key", "cutoff")
+    return _days(
+        fits.applyInPandas(fit, schema).withColumn(
+            "start", F.coalesce("start", F.date_add("cutoff", 1))
+        ),
+        "fourier_trend",
+    )
+
+
+def arima_fits(daily: DataFrame, origins: Origins, horizon: int) -> DataFrame:
+    """The best seasonal ARIMA order by AIC per (series, cutoff), with its forecast.
+
+    Columns: series_key, cutoff, p, d, q, seasonal_p, seasonal_d, seasonal_q, aic,
+    yhat and sd arrays.
+    """
+    orders = DAILY_ORDERS
+
+    def fit(group: pd.DataFrame) -> pd.DataFrame:
+        row = group.iloc[0]
+        values = np.asarray(row["values"], dtype=float)
+        d, seasonal_d = solvers.differencing(values)
+        sp, sq = int(row["seasonal_p"]), int(row["seasonal_q"])
+        found = []
+        for p, q in orders:
+            done = solvers.seasonal_arima(values, (p, q, sp, sq), (d, seasonal_d), horizon)
+            if done is not None:
+                found.append(
+                    (row["series_key"], row["cutoff"], p, d, q, sp, seasonal_d, sq, *done)
+                )
+        return pd.DataFrame(found, columns=names)
+
+    parts = F.array(
+        *[
+            F.struct(F.lit(p).alias("seasonal_p"), F.lit(q).alias("seasonal_q"))
+            for p, q in WEEKLY_ORDERS
+        ]
+    )
+    rows = training_rows(daily, origins).select(
+        "series_key", "cutoff", "values", F.inline(parts)
+    )
+    schema = (
+        f"series_key {_key_type(rows)}, cutoff date, p int, d int, q int, seasonal_p int, "
+        "seasonal_d int, seasonal_q int, aic double, yhat array<double>, sd array<double>"
+    )
+    names = [field.split()[0] for field in schema.split(", ")]
+    keys = ["series_key", "cutoff", "seasonal_p", "seasonal_q"]
+    fits = _spread(rows, *keys).groupBy(*keys).applyInPandas(fit, schema)
+    chosen = [c for c in names if c not in ("series_key", "cutoff")]
+    preference = F.struct("aic", "p", "q", "seasonal_p", "seasonal_q")
+    return (
+        fits.groupBy("series_key", "cutoff")
+        .agg(F.min_by(F.struct(*chosen), preference).alias("best"))
+        .select("series_key", "cutoff", "best.*")
+    )
+
+
+def seasonal_arima(daily: DataFrame, origins: Origins, horizon: int) -> DataFrame:
+    fits = arima_fits(daily, origins, horizon)
+    return _days(fits.withColumn("start", F.date_add("cutoff", 1)), "seasonal_arima")
+
+
+def _days(fits: DataFrame, model: str) -> DataFrame:
+    return fits.select(
+        "series_key",
+        "cutoff",
+        "start",
+        F.posexplode(F.arrays_zip("yhat", "sd")).alias("step", "day"),
+    ).select(
+        "series_key",
+        F.lit(model).alias("model"),
+        "cutoff",
+        F.date_add("start", F.col("step")).alias("ds"),
+        F.col("day.yhat").alias("yhat"),
+        F.col("day.sd").alias("sd"),
+    )

@@ -1,0 +1,196 @@
+"""Numpy solvers for one training series. Spark decides which, where and how many."""
+
+from __future__ import annotations
+
+import numpy as np
+
+# Basis of the decomposable model (Taylor & Letham, Forecasting at Scale, 2018).
+CHANGEPOINTS = 25
+CHANGEPOINT_RANGE = 0.8
+WEEKLY_ORDER = 3
+YEARLY_ORDER = 10
+YEARLY_MIN_DAYS = 730
+CHANGEPOINT_SCALE = 0.05
+SEASON_SCALE = 10.0
+
+WEEK = 7
+LONGEST_AR = 2 + WEEK  # of any order in the grid
+KPSS_5_PERCENT = 0.463
+STRONG_SEASON = 0.64
+LM_STEPS = 8
+
+
+def _fourier(day: np.ndarray, period: float, order: int) -> np.ndarray:
+    angle = 2 * np.pi * np.outer(day, np.arange(1, order + 1)) / period
+    return np.hstack([np.sin(angle), np.cos(angle)])
+
+
+def _ridge(x: np.ndarray, y: np.ndarray, scale: np.ndarray, noise: float) -> np.ndarray:
+    """Least squares with a normal prior of the given scale on every coefficient."""
+    return np.linalg.lstsq(
+        np.vstack([x, np.diag(noise / scale)]),
+        np.concatenate([y, np.zeros(x.shape[1])]),
+        rcond=None,
+    )[0]
+
+
+def fourier_trend(
+    values: np.ndarray, start_day: int, horizon: int
+) -> tuple[np.ndarray, np.ndarray]:
+    """Fit piecewise-linear trend x (1 + seasons); return yhat and sd on all days.
+
+    The product is made linear in two steps: the trend alone, then trend and the
+    seasons scaled by that first trend together.
+    """
+    n = len(values)
+    unit = max(np.abs(values).max(), 1e-9)
+    y = values / unit
+    t = np.arange(n + horizon) / max(n - 1, 1)
+    reach = int(n * CHANGEPOINT_RANGE)
+    knots = max(0, min(CHANGEPOINTS, reach - 1))
+    at = np.linspace(0, max(reach - 1, 0), knots + 1)[1:] / max(n - 1, 1)
+    trend = np.column_stack([np.ones_like(t), t, np.maximum(0.0, t[:, None] - at[None, :])])
+    trend_scale = np.concatenate([[10.0, 10.0], np.full(len(at), CHANGEPOINT_SCALE)])
+    noise = max(y.std(), 1e-6)
+    first = trend @ _ridge(trend[:n], y, trend_scale, noise)
+
+    day = start_day + np.arange(n + horizon)
+    seasons = [_fourier(day, 7, WEEKLY_ORDER)]
+    if n >= YEARLY_MIN_DAYS:
+        seasons.append(_fourier(day, 365.25, YEARLY_ORDER))
+    seasons = np.hstack(seasons)
+    basis = np.hstack([trend, first[:, None] * seasons])
+    scale = np.concatenate([trend_scale, np.full(seasons.shape[1], SEASON_SCALE)])
+    for _ in range(2):  # the noise level sets how strongly the priors pull
+        yhat = basis @ _ridge(basis[:n], y, scale, noise)
+        noise = max((y - yhat[:n]).std(), 1e-6)
+    yhat = yhat * unit
+    sd = (values - yhat[:n]).std(ddof=1) if n > 1 else np.nan
+    return yhat, np.full(n + horizon, sd)
+
+
+def _is_trending(w: np.ndarray) -> bool:
+    """KPSS test of level stationarity (Kwiatkowski et al., 1992) at 5 %."""
+    n, e = len(w), w - w.mean()
+    if n < 10 or not e.any():
+        return False
+    lags = int(4 * (n / 100) ** 0.25)
+    long_run = e @ e + 2 * sum((1 - j / (lags + 1)) * (e[j:] @ e[:-j]) for j in range(1, lags + 1))
+    return long_run > 0 and (np.cumsum(e) ** 2).sum() / (n * long_run) > KPSS_5_PERCENT
+
+
+def _is_seasonal(y: np.ndarray) -> bool:
+    """Share of the detrended variance the weekday explains (Wang et al., 2006)."""
+    if len(y) < 3 * WEEK:
+        return False
+    level = np.convolve(y, np.ones(WEEK) / WEEK, "valid")
+    detrended = y[WEEK // 2 : WEEK // 2 + len(level)] - level
+    phase = np.arange(len(detrended)) % WEEK
+    season = np.array([detrended[phase == i].mean() for i in range(WEEK)])[phase]
+    whole = detrended.var()
+    return whole > 0 and 1 - (detrended - season).var() / whole > STRONG_SEASON
+
+
+def _lag_polynomial(partials: np.ndarray, step: int) -> np.ndarray:
+    """1 - c1 B - ... with roots outside the unit circle, from partials in (-1, 1)."""
+    c = np.zeros(0)
+    for r in partials:
+        c = np.concatenate([c - r * c[::-1], [r]])
+    poly = np.zeros(len(c) * step + 1)
+    poly[0], poly[step::step] = 1.0, -c
+    return poly
+
+
+def _split(x: np.ndarray, order: tuple[int, int, int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """AR and MA polynomials of an unconstrained parameter vector."""
+    p, q, sp, sq = np.split(np.tanh(x), np.cumsum(order)[:-1])
+    ar = np.convolve(_lag_polynomial(p, 1), _lag_polynomial(sp, WEEK))
+    ma = np.convolve(_lag_polynomial(q, 1), _lag_polynomial(sq, WEEK))
+    return ar, ma
+
+
+def _residuals(w: np.ndarray, ar: np.ndarray, ma: np.ndarray) -> np.ndarray:
+    """e with ma(B) e = ar(B) w and nothing before the start.
+
+    The division by ma(B) is done on a padded Fourier grid, since its response dies out.
+    """
+    e = np.convolve(w, ar)[: len(w)]
+    if len(ma) == 1:
+        return e
+    size = 1 << (len(w) + 512).bit_length()
+    return np.fft.irfft(np.fft.rfft(e, size) / np.fft.rfft(ma, size), size)[: len(w)]
+
+
+def _least_squares(cost, k: int) -> np.ndarray:
+    """Levenberg-Marquardt from zero."""
+    x, damp = np.full(k, 0.1), 1e-2
+    e = cost(x)
+    for _ in range(LM_STEPS):
+        jac = np.column_stack([(cost(x + 1e-5 * row) - e) / 1e-5 for row in np.eye(k)])
+        hess, grad = jac.T @ jac, jac.T @ e
+        lift = damp * np.diag(np.diag(hess) + 1e-12)
+        step = np.clip(np.linalg.lstsq(hess + lift, -grad, rcond=None)[0], -1, 1)
+        trial = np.clip(x + step, -4, 4)
+        moved = cost(trial)
+        if moved @ moved < e @ e:
+            gain = 1 - (moved @ moved) / (e @ e)
+            x, e, damp = trial, moved, damp / 5
+            if gain < 1e-7:
+                break
+        else:
+            damp *= 10
+    return x
+
+
+def differencing(values: np.ndarray) -> tuple[int, int]:
+    """How often to difference by a day and by a week."""
+    seasonal = int(_is_seasonal(values))
+    w = values[WEEK:] - values[:-WEEK] if seasonal else values
+    return int(_is_trending(w)), seasonal
+
+
+def seasonal_arima(
+    values: np.ndarray, order: tuple[int, int, int, int], diffs: tuple[int, int], horizon: int
+) -> tuple[float, np.ndarray, np.ndarray] | None:
+    """Fit (p, q, P, Q) to the differenced series by conditional least squares.
+
+    Returns AIC, forecasts and their standard deviations, or None where the series
+    is too short for the order. Every order is scored on the same days.
+    """
+    lags = np.array([1.0])
+    for _ in range(diffs[0]):
+        lags = np.convolve(lags, [1.0, -1.0])
+    for _ in range(diffs[1]):
+        lags = np.convolve(lags, np.r_[1.0, np.zeros(WEEK - 1), -1.0])
+    w = np.convolve(values, lags, "valid")
+    mean = w.mean() if sum(diffs) < 2 else 0.0
+    w = w - mean
+    burn = min(LONGEST_AR, len(w) // 2)
+    n, k = len(w) - burn, sum(order)
+    if k and n < 3 * (k + 2):
+        return None
+
+    x = np.zeros(0)
+    if k and w.any():
+        x = _least_squares(lambda z: _residuals(w, *_split(z, order))[burn:], k)
+    ar, ma = _split(x if len(x) else np.zeros(k), order)
+    e = _residuals(w, ar, ma)
+    var = max((e[burn:] @ e[burn:]) / max(n, 1), 1e-12 * (1 + values.var()))
+    aic = n * np.log(var) + 2 * (k + 2 - (sum(diffs) > 1))
+
+    # Recursions on the undifferenced scale; ma and full both start with 1.
+    full = np.convolve(ar, lags)
+    drift = mean * ar.sum()
+    y, shocks = list(values), list(e)
+    psi = np.zeros(horizon)
+    for h in range(horizon):
+        past = min(len(full) - 1, len(y))
+        ahead = drift - sum(full[j] * y[-j] for j in range(1, past + 1))
+        ahead += sum(ma[j] * shocks[-j] for j in range(1, min(len(ma) - 1, len(shocks)) + 1))
+        y.append(ahead)
+        shocks.append(0.0)
+        reach = min(h, len(full) - 1)
+        psi[h] = (ma[h] if h < len(ma) else 0.0) - sum(
+            full[j] * psi[h - j] for j in range(1, reach + 1)
+        )
+    return aic, np.array(y[len(values) :]), np.sqrt(var * np.cumsum(psi**2))

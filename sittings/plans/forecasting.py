@@ -9,12 +9,13 @@ from typing import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sittings.operators import evaluate, models, origins, report, series
+from sittings.operators import evaluate, fitted, models, origins, report, series
 from sittings.operators.sessions import session_table
 from sittings.sources import fixtures
 
 SMOOTHING = 0.1
 CLOSED_FORM = (models.weekday_mean, models.seasonal_trend, models.seasonal_ar1)
+SOLVED = (fitted.fourier_trend, fitted.seasonal_arima)
 
 
 def user_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -138,6 +139,12 @@ def comparison(chosen, setting, spark, sf_dir):
     return rounded(evaluate.compare(metrics))
 
 
+def arima_orders(setting, spark, sf_dir):
+    """Which order won for each series, on its whole history."""
+    fits = fitted.arima_fits(setting.daily(spark, sf_dir), origins.END, setting.horizon)
+    return rounded(fits.drop("yhat", "sd"))
+
+
 def validation_results(setting, spark, sf_dir):
     """The published table: cross-validated trend model, held-out weekday mean."""
     return report.validation_table(
@@ -216,4 +223,16 @@ QUERIES = {
     "forecast_preview": partial(forecast_preview, models.seasonal_trend, SEGMENTS),
     "forecast_feed": partial(forecast_feed, models.seasonal_trend, SEGMENTS),
     "cv_feed": partial(cv_feed, models.seasonal_trend, SEGMENTS),
+    "fourier_trend_forecast": partial(forecast, fitted.fourier_trend, SEGMENTS),
+    "fourier_trend_fitted": partial(forecast, fitted.fourier_trend, SEGMENTS, history=True),
+    "sarima_grid_forecast": partial(forecast, fitted.seasonal_arima, SEGMENTS),
+    "sarima_grid_forecast_users": partial(forecast, fitted.seasonal_arima, USERS),
+    "sarima_orders": partial(arima_orders, SEGMENTS),
+    "solver_holdout": lambda spark, sf_dir: rounded(
+        all_tested(SOLVED, SEGMENTS, SEGMENTS.test, spark, sf_dir)
+    ),
+    "solver_comparison": partial(comparison, (models.weekday_mean, *SOLVED), SEGMENTS),
+    "solver_forecast_report": partial(forecast_report, fitted.fourier_trend, SEGMENTS),
+    "sarima_holdout_report": partial(holdout_report, fitted.seasonal_arima, SEGMENTS),
+    "top_user_sarima_report": partial(forecast_report, fitted.seasonal_arima, TOP_USER),
 }
