@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from sittings.operators import evaluate, fitted, models, origins, report, series
 from sittings.operators.sessions import session_table
+from sittings.runtime import settle
 from sittings.sources import fixtures
 
 SMOOTHING = 0.1
@@ -64,8 +65,14 @@ def rounded(df: DataFrame) -> DataFrame:
     return df.withColumns(doubles)
 
 
-def stack(frames: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)
+def stack(frames: list[DataFrame], *keys: str) -> DataFrame:
+    """Union, shuffled by what the next step groups or joins on.
+
+    The explicit shuffle is for correctness: Spark 4.1 can take a union of inputs
+    partitioned alike as partitioned itself (spark.sql.unionOutputPartitioning) while
+    running it as a plain concatenation, and a window over it then misses rows.
+    """
+    return reduce(DataFrame.unionByName, frames).repartition(*keys)
 
 
 def bounds(setting, spark, sf_dir):
@@ -108,33 +115,45 @@ def by_horizon(model, setting, smoothing, spark, sf_dir):
     return rounded(evaluate.accuracy_by_horizon(scored, setting.test_days, smoothing))
 
 
-def all_tested(chosen, setting, which, spark, sf_dir):
-    daily = setting.daily(spark, sf_dir)
-    runs = stack([model(daily, which, setting.test_days) for model in chosen])
+def run_all(chosen, which, days, daily):
+    """Several models on one series table, scored together."""
+    runs = stack([model(daily, which, days) for model in chosen], "series_key", "ds")
     return evaluate.score(runs, daily).drop("sd")
 
 
-def holdout_accuracy(chosen, setting, spark, sf_dir):
-    return evaluate.accuracy(all_tested(chosen, setting, setting.test, spark, sf_dir))
+def holdout_accuracy(chosen, setting, daily):
+    return evaluate.accuracy(run_all(chosen, setting.test, setting.test_days, daily))
 
 
-def cv_accuracy(chosen, setting, spark, sf_dir):
-    scored = all_tested(chosen, setting, setting.folds, spark, sf_dir)
+def cv_accuracy(chosen, setting, daily):
+    scored = run_all(chosen, setting.folds, setting.test_days, daily)
     return evaluate.headline(
         evaluate.accuracy_by_horizon(scored, setting.test_days, SMOOTHING)
     )
 
 
+def holdout_all(chosen, setting, spark, sf_dir):
+    daily = settle(setting.daily(spark, sf_dir), "daily")
+    return rounded(run_all(chosen, setting.test, setting.test_days, daily))
+
+
+def cv_all(chosen, setting, spark, sf_dir):
+    daily = settle(setting.daily(spark, sf_dir), "daily")
+    return rounded(cv_accuracy(chosen, setting, daily))
+
+
 def comparison(chosen, setting, spark, sf_dir):
     """Every model under both protocols, against the weekday mean under the same."""
+    daily = settle(setting.daily(spark, sf_dir), "daily")
+    held = holdout_accuracy(chosen, setting, daily)
+    crossed = cv_accuracy(chosen, setting, daily)
     metrics = stack(
         [
-            accuracy(chosen, setting, spark, sf_dir).withColumn("protocol", F.lit(protocol))
-            for protocol, accuracy in (
-                ("holdout", holdout_accuracy),
-                ("cross_validation", cv_accuracy),
-            )
-        ]
+            held.withColumn("protocol", F.lit("holdout")),
+            crossed.withColumn("protocol", F.lit("cross_validation")),
+        ],
+        "protocol",
+        "series_key",
     )
     return rounded(evaluate.compare(metrics))
 
@@ -147,9 +166,10 @@ def arima_orders(setting, spark, sf_dir):
 
 def validation_results(setting, spark, sf_dir):
     """The published table: cross-validated trend model, held-out weekday mean."""
+    daily = settle(setting.daily(spark, sf_dir), "daily")
     return report.validation_table(
-        cv_accuracy([models.seasonal_trend], setting, spark, sf_dir),
-        holdout_accuracy([models.weekday_mean], setting, spark, sf_dir),
+        cv_accuracy([models.seasonal_trend], setting, daily),
+        holdout_accuracy([models.weekday_mean], setting, daily),
     )
 
 
@@ -208,12 +228,8 @@ QUERIES = {
     "seasonal_ar1_forecast": partial(forecast, models.seasonal_ar1, SEGMENTS),
     "seasonal_ar1_forecast_users": partial(forecast, models.seasonal_ar1, USERS),
     "seasonal_ar1_cv": partial(cross_validation, models.seasonal_ar1, SEGMENTS),
-    "holdout_all_models": lambda spark, sf_dir: rounded(
-        all_tested(CLOSED_FORM, SEGMENTS, SEGMENTS.test, spark, sf_dir)
-    ),
-    "cv_all_models": lambda spark, sf_dir: rounded(
-        cv_accuracy(CLOSED_FORM, SEGMENTS, spark, sf_dir)
-    ),
+    "holdout_all_models": partial(holdout_all, CLOSED_FORM, SEGMENTS),
+    "cv_all_models": partial(cv_all, CLOSED_FORM, SEGMENTS),
     "model_comparison": partial(comparison, CLOSED_FORM, SEGMENTS),
     "model_comparison_users": partial(comparison, CLOSED_FORM, USERS),
     "validation_results": partial(validation_results, SEGMENTS),
@@ -228,9 +244,7 @@ QUERIES = {
     "sarima_grid_forecast": partial(forecast, fitted.seasonal_arima, SEGMENTS),
     "sarima_grid_forecast_users": partial(forecast, fitted.seasonal_arima, USERS),
     "sarima_orders": partial(arima_orders, SEGMENTS),
-    "solver_holdout": lambda spark, sf_dir: rounded(
-        all_tested(SOLVED, SEGMENTS, SEGMENTS.test, spark, sf_dir)
-    ),
+    "solver_holdout": partial(holdout_all, SOLVED, SEGMENTS),
     "solver_comparison": partial(comparison, (models.weekday_mean, *SOLVED), SEGMENTS),
     "solver_forecast_report": partial(forecast_report, fitted.fourier_trend, SEGMENTS),
     "sarima_holdout_report": partial(holdout_report, fitted.seasonal_arima, SEGMENTS),
