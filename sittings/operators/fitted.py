@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sittings.operators import solvers
-from sittings.operators.origins import Origins
+from sittings.operators.origins import Origins, with_cutoffs
 
 # Send the solvers with the job, so executors need no copy of this package.
 cloudpickle.register_pickle_by_value(solvers)
@@ -28,24 +28,17 @@ DAILY_ORDERS = list(product(range(3), range(3)))
 
 def training_rows(daily: DataFrame, origins: Origins) -> DataFrame:
     """One row per (series, cutoff) with the dense values up to the cutoff."""
-    n = origins.count(F.col("first_ds"), F.col("last_ds"))
-    days = F.sort_array(F.collect_list(F.struct("ds", "y")))
-    return (
-        daily.groupBy("series_key")
-        .agg(F.min("ds").alias("first_ds"), F.max("ds").alias("last_ds"), days.alias("days"))
-        .filter(n > 0)
-        .withColumn("k", F.explode(F.sequence(F.lit(0), n - 1)))
-        .withColumn("cutoff", origins.cutoff(F.col("last_ds"), F.col("k")))
-        .select(
-            "series_key",
-            "first_ds",
-            "cutoff",
-            F.unix_date("first_ds").alias("start_day"),
-            F.transform(
-                F.slice("days", F.lit(1), F.datediff("cutoff", "first_ds") + 1),
-                lambda d: d["y"].cast("double"),
-            ).alias("values"),
-        )
+    packed = daily.groupBy("series_key").agg(
+        F.min("ds").alias("first_ds"),
+        F.max("ds").alias("last_ds"),
+        F.sort_array(F.collect_list(F.struct("ds", "y"))).alias("days"),
+    )
+    return with_cutoffs(packed, origins).selectExpr(
+        "series_key",
+        "first_ds",
+        "cutoff",
+        "unix_date(first_ds) AS start_day",
+        "transform(slice(days, 1, datediff(cutoff, first_ds) + 1), d -> double(d.y)) AS values",
     )
 
 

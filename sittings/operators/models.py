@@ -8,47 +8,49 @@ training residuals (of the h-step error for the autoregressive model).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sittings.functions.clock import weekday
 from sittings.operators.origins import Origins, learn, with_calendar
 
 TWO_YEARS = 730
 FOLD = ["series_key", "first_ds", "cutoff"]
+BY_FOLD = "PARTITION BY series_key, first_ds, cutoff"
 
 # Two-sided 80 % point of the normal distribution.
 Z80 = 1.2816
 
 
-def _by_position(position: str, value: str | Column, n: int, first: int = 0) -> Column:
+def _by_position(position: str, value: str, n: int, first: int = 0) -> str:
     """Aggregate (position, value) rows into an array of n, NULL where there is none."""
-    value = F.col(value) if isinstance(value, str) else value
-    return F.array(*[F.max(F.when(F.col(position) == i, value)) for i in range(first, first + n)])
+    slots = [f"max(CASE WHEN {position} = {i} THEN {value} END)" for i in range(first, first + n)]
+    return f"array({', '.join(slots)})"
 
 
-def _sample_sd(n: Column, total: Column, squares: Column) -> Column:
+def _sample_sd(n: str, total: str, squares: str) -> str:
     """Standard deviation from a count, a sum and a sum of squares."""
-    spread = F.greatest(F.lit(0.0), squares - total * total / n)
-    return F.when(n > 1, F.sqrt(spread / (n - 1)))
+    spread = f"greatest(0, ({squares}) - ({total}) * ({total}) / {n})"
+    return f"CASE WHEN {n} > 1 THEN sqrt({spread} / ({n} - 1)) END"
+
+
+def _fold(cells: DataFrame, **aggregates: str) -> DataFrame:
+    """Bring the cells of a fold together in one row."""
+    return cells.groupBy(*FOLD).agg(
+        *[F.expr(f"{agg} AS {name}") for name, agg in aggregates.items()]
+    )
 
 
 def _over_days(
-    params: DataFrame, model: str, horizon: int, history: bool, yhat: Column, sd: Column
+    params: DataFrame, model: str, horizon: int, history: bool, yhat: str, sd: str
 ) -> DataFrame:
-    """Evaluate a fitted model (one row per fold) on its days."""
-    start = F.col("first_ds") if history else F.date_add("cutoff", 1)
-    days = F.sequence(start, F.date_add("cutoff", horizon))
+    """Evaluate a fitted model (one row per fold) on its days, `h` days ahead."""
+    start = "first_ds" if history else "date_add(cutoff, 1)"
+    days = f"explode(sequence({start}, date_add(cutoff, {horizon})))"
     return (
-        params.withColumn("ds", F.explode(days))
-        .withColumn("h", F.datediff("ds", "cutoff"))
-        .select(
-            "series_key",
-            F.lit(model).alias("model"),
-            "cutoff",
-            "ds",
-            yhat.alias("yhat"),
-            sd.alias("sd"),
+        params.withColumn("ds", F.expr(days))
+        .withColumn("h", F.expr("datediff(ds, cutoff)"))
+        .selectExpr(
+            "series_key", f"'{model}' AS model", "cutoff", "ds", f"{yhat} AS yhat", f"{sd} AS sd"
         )
     )
 
@@ -57,24 +59,21 @@ def weekday_mean(
     daily: DataFrame, origins: Origins, horizon: int, history: bool = False
 ) -> DataFrame:
     """Each day is the training mean of its weekday; NULL for a weekday never seen."""
-    sums = {"n": F.count("*"), "sy": F.sum("v"), "syy": F.sum(F.col("v") * F.col("v"))}
-    params = (
-        learn(with_calendar(daily), origins, ["dow"], sums)
-        .withColumn("level", F.col("sy") / F.col("n"))
-        .groupBy(*FOLD)
-        .agg(
-            _by_position("dow", "level", 7).alias("profile"),
-            F.sum("n").alias("n"),
-            F.sum(F.col("syy") - F.col("level") * F.col("sy")).alias("sse"),
-        )
+    sums = {"n": "count(*)", "sy": "sum(v)", "syy": "sum(v * v)"}
+    cells = learn(with_calendar(daily), origins, ["dow"], sums)
+    params = _fold(
+        cells,
+        profile=_by_position("dow", "sy / n", 7),
+        n="sum(n)",
+        sse="sum(syy - sy / n * sy)",
     )
     return _over_days(
         params,
         "weekday_mean",
         horizon,
         history,
-        F.get("profile", weekday(F.col("ds"))),
-        _sample_sd(F.col("n"), F.lit(0.0), F.col("sse")),
+        yhat="get(profile, weekday(ds))",
+        sd=_sample_sd("n", "0", "sse"),
     )
 
 
@@ -87,72 +86,60 @@ def seasonal_trend(
     on its days to what the factors before it explain there, so it follows from sums
     per (month, weekday) alone. The month index needs two years of history.
     """
-    t, v = F.col("t"), F.col("v")
     sums = {
-        "n": F.sum(F.lit(1.0)),
-        "st": F.sum(t),
-        "stt": F.sum(t * t),
-        "sy": F.sum(v),
-        "sty": F.sum(t * v),
-        "syy": F.sum(v * v),
+        "n": "sum(1D)",
+        "st": "sum(t)",
+        "stt": "sum(t * t)",
+        "sy": "sum(v)",
+        "sty": "sum(t * v)",
+        "syy": "sum(v * v)",
     }
-    by_fold = Window.partitionBy(*FOLD)
-
-    def total(name: str) -> Column:
-        return F.sum(name).over(by_fold)
-
-    def index(observed: str, explained: str, over: str) -> Column:
-        level = F.sum(explained).over(Window.partitionBy(*FOLD, over))
-        return F.when(
-            level > 0, F.sum(observed).over(Window.partitionBy(*FOLD, over)) / level
-        ).otherwise(1.0)
-
-    n, st, sy = F.col("all_n"), F.col("all_st"), F.col("all_sy")
-    spread = n * F.col("all_stt") - st * st
-    a, b = F.col("intercept"), F.col("slope")
-    long_enough = F.datediff("cutoff", "first_ds") + 1 >= TWO_YEARS
-    factor = F.col("week") * F.col("year")
-    # Sums of the residual y - trend * factor and of its square over a cell.
-    residual = F.col("sy") - factor * F.col("line")
-    squares = (
-        F.col("syy")
-        - 2 * factor * (a * F.col("sy") + b * F.col("sty"))
-        + factor * factor * (a * a * F.col("n") + 2 * a * b * F.col("st") + b * b * F.col("stt"))
-    )
-    params = (
+
+    def index(explained: str, over: str) -> str:
+        part = f"OVER ({BY_FOLD}, {over})"
+        level = f"sum({explained}) {part}"
+        return f"CASE WHEN {level} > 0 THEN sum(sy) {part} / {level} ELSE 1D END"
+
+    spread = "all_n * all_stt - all_st * all_st"
+    slope = f"CASE WHEN {spread} > 0 THEN (all_n * all_sty - all_st * all_sy) / ({spread}) ELSE 0D END"
+    long_enough = f"datediff(cutoff, first_ds) + 1 >= {TWO_YEARS}"
+    factor = "week * year"
+    cells = (
         learn(with_calendar(daily), origins, ["month", "dow"], sums)
-        .withColumns({f"all_{c}": total(c) for c in ("n", "st", "stt", "sy", "sty")})
-        .withColumn(
-            "slope",
-            F.when(spread > 0, (n * F.col("all_sty") - st * sy) / spread).otherwise(0.0),
+        .selectExpr(
+            "*", *[f"sum({c}) OVER ({BY_FOLD}) AS all_{c}" for c in ("n", "st", "stt", "sy", "sty")]
         )
-        .withColumn("intercept", (sy - b * st) / n)
-        .withColumn("line", a * F.col("n") + b * F.col("st"))
-        .withColumn("week", index("sy", "line", "dow"))
-        .withColumn("weekly", F.col("week") * F.col("line"))
-        .withColumn("year", F.when(long_enough, index("sy", "weekly", "month")).otherwise(1.0))
-        .withColumns({"residual": residual, "squares": squares})
-        .groupBy(*FOLD)
-        .agg(
-            F.max("intercept").alias("intercept"),
-            F.max("slope").alias("slope"),
-            _by_position("dow", "week", 7).alias("weeks"),
-            _by_position("month", "year", 12, first=1).alias("years"),
-            F.sum("n").alias("n"),
-            F.sum("residual").alias("residual"),
-            F.sum("squares").alias("squares"),
+        .selectExpr("*", f"{slope} AS slope")
+        .selectExpr("*", "(all_sy - slope * all_st) / all_n AS intercept")
+        .selectExpr("*", "intercept * n + slope * st AS line")
+        .selectExpr("*", f"{index('line', 'dow')} AS week")
+        .selectExpr("*", "week * line AS weekly")
+        .selectExpr(
+            "*", f"CASE WHEN {long_enough} THEN {index('weekly', 'month')} ELSE 1D END AS year"
         )
     )
-    trend = a + b * F.datediff("ds", "first_ds")
-    week = F.coalesce(F.get("weeks", weekday(F.col("ds"))), F.lit(1.0))
-    year = F.coalesce(F.get("years", F.month("ds") - 1), F.lit(1.0))
+    params = _fold(
+        cells,
+        intercept="max(intercept)",
+        slope="max(slope)",
+        weeks=_by_position("dow", "week", 7),
+        years=_by_position("month", "year", 12, first=1),
+        n="sum(n)",
+        # Sums of the residual y - trend * factor and of its square.
+        residual=f"sum(sy - {factor} * line)",
+        squares=f"""sum(
+            syy - 2 * {factor} * (intercept * sy + slope * sty)
+            + {factor} * {factor} * (
+                intercept * intercept * n + 2 * intercept * slope * st + slope * slope * stt))""",
+    )
     return _over_days(
         params,
         "seasonal_trend",
         horizon,
         history,
-        trend * week * year,
-        _sample_sd(F.col("n"), F.col("residual"), F.col("squares")),
+        yhat="""(intercept + slope * datediff(ds, first_ds))
+            * coalesce(get(weeks, weekday(ds)), 1) * coalesce(get(years, month(ds) - 1), 1)""",
+        sd=_sample_sd("n", "residual", "squares"),
     )
 
 
@@ -164,79 +151,73 @@ def seasonal_ar1(daily: DataFrame, origins: Origins, horizon: int) -> DataFrame:
     and of their products per weekday. It is held to [-1, 1], and 0 where the
     residuals do not vary.
     """
-    along = Window.partitionBy("series_key").orderBy("ds")
-    days = with_calendar(daily).withColumn("before", F.lag("v").over(along))
-    v, u = F.col("v"), F.col("before")
-    paired = F.when(u.isNotNull(), v)
+    days = with_calendar(daily).selectExpr(
+        "*", "lag(v) OVER (PARTITION BY series_key ORDER BY ds) AS u"
+    )
+    # Sums over a day's value v and the one before it, u, skip the very first day.
+    paired = {
+        "pairs": "count(u)",
+        "pv": "sum(CASE WHEN u IS NOT NULL THEN v END)",
+        "pu": "sum(u)",
+        "pvu": "sum(v * u)",
+        "pvv": "sum(CASE WHEN u IS NOT NULL THEN v * v END)",
+        "puu": "sum(u * u)",
+    }
     sums = {
-        "n": F.sum(F.lit(1.0)),
-        "sy": F.sum(v),
-        "seen": F.max("ds"),
-        "tail": F.max_by("v", "ds"),
-        "pairs": F.sum(F.when(u.isNotNull(), 1.0)),
-        "py": F.sum(paired),
-        "pu": F.sum(u),
-        "pyu": F.sum(v * u),
-        "pyy": F.sum(paired * paired),
-        "puu": F.sum(u * u),
+        "n": "count(*)",
+        "sy": "sum(v)",
+        "seen": "max(ds)",
+        "tail": "max_by(v, ds)",
+        **paired,
     }
-    by_fold = Window.partitionBy(*FOLD)
-    m = F.col("level")
-    p = F.coalesce(F.get("profile", F.pmod(F.col("dow") + 6, F.lit(7))), F.lit(0.0))
-    c = F.col
-    cells = (
-        learn(days, origins, ["dow"], sums)
-        .withColumn("level", c("sy") / c("n"))
-        .withColumn(
-            "profile",
-            F.array(*[F.max(F.when(c("dow") == i, m)).over(by_fold) for i in range(7)]),
-        )
-        .fillna(0.0, ["pairs", "py", "pu", "pyu", "pyy", "puu"])
+    # m: this weekday's mean; p: that of the weekday before, 0 where there are no pairs.
+    profile = [f"max(CASE WHEN dow = {i} THEN sy / n END) OVER ({BY_FOLD})" for i in range(7)]
+    cells = learn(days, origins, ["dow"], sums).selectExpr(
+        "*", f"array({', '.join(profile)}) AS profile"
     )
-    # Per weekday: sums of the residual r and the one before it, s, over paired days.
-    moments = cells.groupBy(*FOLD, "profile").agg(
-        F.sum("pairs").alias("n"),
-        F.sum(c("py") - m * c("pairs")).alias("r"),
-        F.sum(c("pu") - p * c("pairs")).alias("s"),
-        F.sum(c("pyu") - p * c("py") - m * c("pu") + m * p * c("pairs")).alias("rs"),
-        F.sum(c("puu") - 2 * p * c("pu") + p * p * c("pairs")).alias("ss"),
-        F.sum(c("pyy") - 2 * m * c("py") + m * m * c("pairs")).alias("rr"),
-        F.sum("puu").alias("scale"),
-        F.max(F.when(c("seen") == c("cutoff"), c("tail") - m)).alias("last_residual"),
+    cells = cells.selectExpr(
+        *FOLD,
+        "dow",
+        "seen",
+        "tail",
+        "profile",
+        "sy / n AS m",
+        "coalesce(get(profile, (dow + 6) % 7), 0) AS p",
+        *[f"coalesce({c}, 0) AS {c}" for c in paired],
     )
-    cov = c("rs") - c("r") * c("s") / c("n")
-    var = c("ss") - c("s") * c("s") / c("n")
-    varies = (c("n") > 1) & (var > 1e-9 * (c("scale") + 1))
-    phi = c("phi")
-    params = (
-        moments.withColumn(
-            "phi",
-            F.when(varies, F.least(F.lit(1.0), F.greatest(F.lit(-1.0), cov / var))).otherwise(0.0),
-        )
-        .withColumn(
-            "step_sd",
-            _sample_sd(
-                c("n"),
-                c("r") - phi * c("s"),
-                c("rr") - 2 * phi * c("rs") + phi * phi * c("ss"),
-            ),
-        )
+    # Moments of the residual r and the one before it, s, over paired days.
+    moments = _fold(
+        cells,
+        profile="any_value(profile)",
+        n="sum(pairs)",
+        r="sum(pv - m * pairs)",
+        s="sum(pu - p * pairs)",
+        rs="sum(pvu - p * pv - m * pu + m * p * pairs)",
+        ss="sum(puu - 2 * p * pu + p * p * pairs)",
+        rr="sum(pvv - 2 * m * pv + m * m * pairs)",
+        scale="sum(puu) + 1",
+        last_residual="max(CASE WHEN seen = cutoff THEN tail - m END)",
     )
-    square = phi * phi
-    growth = F.when(square < 1, (1 - F.pow(square, c("h"))) / (1 - square)).otherwise(c("h"))
+    var = "(ss - s * s / n)"
+    slope = f"least(1D, greatest(-1D, (rs - r * s / n) / {var}))"
+    params = moments.selectExpr(
+        "*", f"CASE WHEN n > 1 AND {var} > 1e-9 * scale THEN {slope} ELSE 0D END AS phi"
+    )
+    step_sd = _sample_sd("n", "r - phi * s", "rr - 2 * phi * rs + phi * phi * ss")
+    growth = "CASE WHEN phi * phi < 1 THEN (1 - pow(phi * phi, h)) / (1 - phi * phi) ELSE h END"
     return _over_days(
         params,
         "seasonal_ar1",
         horizon,
         False,
-        F.get("profile", weekday(c("ds"))) + F.pow(phi, c("h")) * c("last_residual"),
-        c("step_sd") * F.sqrt(growth),
+        yhat="get(profile, weekday(ds)) + pow(phi, h) * last_residual",
+        sd=f"({step_sd}) * sqrt({growth})",
     )
 
 
 def with_interval(forecast: DataFrame) -> DataFrame:
     """Replace `sd` by the bounds of an 80 % normal interval."""
-    reach = Z80 * F.col("sd")
-    return forecast.withColumns(
-        {"yhat_lower": F.col("yhat") - reach, "yhat_upper": F.col("yhat") + reach}
-    ).drop("sd")
+    kept = [c for c in forecast.columns if c != "sd"]
+    return forecast.selectExpr(
+        *kept, f"yhat - {Z80}D * sd AS yhat_lower", f"yhat + {Z80}D * sd AS yhat_upper"
+    )

@@ -10,11 +10,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sittings.functions.clock import weekday
-
 
 @dataclass(frozen=True)
 class Origins:
@@ -22,20 +20,22 @@ class Origins:
 
     Without `step` there is one. With it they go back as long as `initial` days of
     history remain before the cutoff. A series too short for any has none.
+
+    The methods give SQL over a series' `first_ds` and `last_ds`.
     """
 
     holdback: int = 0
     step: int | None = None
     initial: int = 0
 
-    def count(self, first_ds: Column, last_ds: Column) -> Column:
-        spare = F.datediff(last_ds, first_ds) - self.holdback - self.initial
+    def count(self) -> str:
+        spare = f"(datediff(last_ds, first_ds) - {self.holdback + self.initial})"
         if self.step is None:
-            return F.when(spare >= 0, 1).otherwise(0)
-        return F.greatest(F.lit(0), F.floor(spare / self.step) + 1).cast("int")
+            return f"CASE WHEN {spare} >= 0 THEN 1 ELSE 0 END"
+        return f"greatest(0, int(floor({spare} / {self.step})) + 1)"
 
-    def cutoff(self, last_ds: Column, k: Column) -> Column:
-        return F.date_sub(last_ds, (k * (self.step or 1) + self.holdback).cast("int"))
+    def cutoff(self, k: str = "0") -> str:
+        return f"date_sub(last_ds, {self.holdback} + {self.step or 1} * {k})"
 
 
 END = Origins()
@@ -49,79 +49,75 @@ def rolling(initial: int, period: int, horizon: int) -> Origins:
     return Origins(holdback=horizon, step=period, initial=initial)
 
 
+def with_cutoffs(bounded: DataFrame, origins: Origins) -> DataFrame:
+    """One row per origin of each input row; rows without any are dropped."""
+    n = origins.count()
+    return (
+        bounded.where(f"{n} > 0")
+        .withColumn("k", F.expr(f"explode(sequence(0, {n} - 1))"))
+        .withColumn("cutoff", F.expr(origins.cutoff("k")))
+        .drop("k")
+    )
+
+
 def cutoffs(daily: DataFrame, origins: Origins) -> DataFrame:
     """(series_key, cutoff) for every origin."""
     bounds = daily.groupBy("series_key").agg(
         F.min("ds").alias("first_ds"), F.max("ds").alias("last_ds")
     )
-    n = origins.count(F.col("first_ds"), F.col("last_ds"))
-    return (
-        bounds.filter(n > 0)
-        .withColumn("k", F.explode(F.sequence(F.lit(0), n - 1)))
-        .select("series_key", origins.cutoff(F.col("last_ds"), F.col("k")).alias("cutoff"))
-    )
+    return with_cutoffs(bounds, origins).select("series_key", "cutoff")
 
 
 def with_calendar(daily: DataFrame) -> DataFrame:
-    """Dense series with its bounds and the calendar fields models use."""
-    by_key = Window.partitionBy("series_key")
-    return (
-        daily.withColumns(
-            {"first_ds": F.min("ds").over(by_key), "last_ds": F.max("ds").over(by_key)}
-        )
-        .withColumns(
-            {
-                "t": F.datediff("ds", "first_ds").cast("double"),
-                "dow": weekday(F.col("ds")),
-                "month": F.month("ds"),
-                "v": F.col("y").cast("double"),
-            }
-        )
-    )
-
-
-def learn(
-    days: DataFrame, origins: Origins, cell: list[str], sums: dict[str, Column]
-) -> DataFrame:
+    """Dense series with its bounds and the fields models use: day number t, value v."""
+    return daily.selectExpr(
+        "series_key",
+        "ds",
+        "min(ds) OVER (PARTITION BY series_key) AS first_ds",
+        "max(ds) OVER (PARTITION BY series_key) AS last_ds",
+        "weekday(ds) AS dow",
+        "month(ds) AS month",
+        "double(y) AS v",
+    ).withColumn("t", F.expr("double(datediff(ds, first_ds))"))
+
+
+def learn(days: DataFrame, origins: Origins, cell: list[str], sums: dict[str, str]) -> DataFrame:
     """For each (series, cutoff, cell), `sums` over that cell's days up to the cutoff.
 
-    `sums` are aggregates over days as `with_calendar` gives them. For rolling
+    `sums` are SQL aggregates over days as `with_calendar` gives them. For rolling
     origins they are taken once as running totals along each cell; a day's totals
     then hold for exactly the cutoffs before the cell's next day. The work is linear
     in days plus output: no history is repeated per fold, and everything runs in
     the partitioning by series.
     """
     key = ["series_key", "first_ds", "last_ds"]
-    n = origins.count(F.col("first_ds"), F.col("last_ds"))
+    n, latest = origins.count(), origins.cutoff()
     if origins.step is None:
-        cutoff = origins.cutoff(F.col("last_ds"), F.lit(0))
         return (
-            days.filter((n > 0) & (F.col("ds") <= cutoff))
-            .groupBy(*key, cutoff.alias("cutoff"), *cell)
-            .agg(*[agg.alias(name) for name, agg in sums.items()])
+            days.where(f"{n} > 0 AND ds <= {latest}")
+            .groupBy(*key, F.expr(f"{latest} AS cutoff"), *cell)
+            .agg(*[F.expr(f"{agg} AS {name}") for name, agg in sums.items()])
         )
-    along = Window.partitionBy("series_key", *cell).orderBy("ds")
-    running = along.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    latest = origins.cutoff(F.col("last_ds"), F.lit(0))
-    newest = F.floor(F.datediff(latest, F.col("ds")) / origins.step)
-    oldest = F.floor(F.datediff(latest, F.col("next_ds")) / origins.step) + 1
+    along = f"(PARTITION BY {', '.join(['series_key', *cell])} ORDER BY ds"
+    running = f"{along} ROWS UNBOUNDED PRECEDING)"
+
+    def reached(ds: str) -> str:
+        return f"int(floor(datediff({latest}, {ds}) / {origins.step}))"
+
     return (
-        days.select(
+        days.selectExpr(
             *key,
-            "ds",
             *cell,
-            F.lead("ds").over(along).alias("next_ds"),
-            *[agg.over(running).alias(name) for name, agg in sums.items()],
-        )
-        .withColumns(
-            {
-                "from_k": F.greatest(F.lit(0), F.coalesce(oldest, F.lit(0))),
-                "to_k": F.least(n - 1, newest),
-            }
+            "ds",
+            f"lead(ds) OVER {along}) AS next_ds",
+            *[f"{agg} OVER {running} AS {name}" for name, agg in sums.items()],
         )
-        .filter(F.col("from_k") <= F.col("to_k"))
-        .withColumn("k", F.explode(F.sequence("from_k", "to_k")))
-        .select(
-            *key, origins.cutoff(F.col("last_ds"), F.col("k")).alias("cutoff"), *cell, *sums
+        .selectExpr(
+            "*",
+            f"greatest(0, coalesce({reached('next_ds')} + 1, 0)) AS from_k",
+            f"least({n} - 1, {reached('ds')}) AS to_k",
         )
+        .where("from_k <= to_k")
+        .withColumn("k", F.expr("explode(sequence(from_k, to_k))"))
+        .selectExpr(*key, f"{origins.cutoff('k')} AS cutoff", *cell, *sums)
     )
