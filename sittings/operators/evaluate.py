@@ -7,7 +7,10 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sittings.operators.origins import Origins, bounds
+
 RUN = ["series_key", "model"]
+HOLDOUT, CROSS_VALIDATION = "holdout", "cross_validation"
 
 
 def score(forecast: DataFrame, daily: DataFrame) -> DataFrame:
@@ -15,6 +18,19 @@ def score(forecast: DataFrame, daily: DataFrame) -> DataFrame:
     return forecast.join(daily, ["series_key", "ds"])
 
 
+def protocols(daily: DataFrame, test: Origins, folds: Origins) -> DataFrame:
+    """(series_key, cutoff, protocol): which test each origin takes part in.
+
+    The holdout's origin is usually the latest fold too, so models are fitted once
+    per origin and their scores counted under each protocol.
+    """
+    roles = [
+        f"transform({origins.cutoffs()}, c -> named_struct('cutoff', c, 'protocol', '{protocol}'))"
+        for origins, protocol in ((test, HOLDOUT), (folds, CROSS_VALIDATION))
+    ]
+    return bounds(daily).selectExpr("series_key", f"inline(concat({', '.join(roles)}))")
+
+
 def _errors() -> tuple[Column, Column]:
     error = F.col("y") - F.col("yhat")
     return F.abs(error), error * error
@@ -28,39 +44,46 @@ def accuracy(scored: DataFrame) -> DataFrame:
     )
 
 
-def accuracy_by_horizon(
-    scored: DataFrame, horizon: int, rolling_window: float = 0.0
-) -> DataFrame:
-    """MAE and RMSE per days ahead, smoothed over a trailing share of the rows.
+def horizon_errors(scored: DataFrame, *by: str) -> DataFrame:
+    """Rows, mean absolute and mean squared error per run and days ahead."""
+    absolute, squared = _errors()
+    return scored.groupBy(*by, *RUN, F.datediff("ds", "cutoff").alias("horizon")).agg(
+        F.count("yhat").alias("n"), F.avg(absolute).alias("abs"), F.avg(squared).alias("sq")
+    )
+
+
+def smooth(errors: DataFrame, horizon: int, rolling_window: float, *by: str) -> DataFrame:
+    """Add MAE and RMSE per horizon, smoothed over a trailing share of the rows.
 
     With `rolling_window` w, a horizon's metrics cover the last w of all its run's
     rows up to that horizon, a horizon that fits only in part counting by that part;
-    horizons with fewer rows behind them are left out. Every horizon has one row per
-    fold, which makes the number of whole horizons a constant.
+    they are NULL for horizons with fewer rows behind them. Every horizon has one row
+    per fold, which makes the number of whole horizons a constant.
     """
-    absolute, squared = _errors()
-    by_day = scored.groupBy(*RUN, F.datediff("ds", "cutoff").alias("horizon")).agg(
-        F.count("yhat").alias("n"), F.avg(absolute).alias("abs"), F.avg(squared).alias("sq")
-    )
     whole = math.floor(rolling_window * horizon + 1e-9)
     if whole < 1:
-        return by_day.select(
-            *RUN, "horizon", "n", F.col("abs").alias("mae"), F.sqrt("sq").alias("rmse")
-        )
-    along = Window.partitionBy(*RUN).orderBy("horizon")
+        return errors.withColumns({"mae": F.col("abs"), "rmse": F.sqrt("sq")})
+    along = Window.partitionBy(*by, *RUN).orderBy("horizon")
     frame = along.rowsBetween(1 - whole, 0)
     rows = F.floor(F.col("n") * horizon * rolling_window + 1e-9)
     part = rows / F.col("n") - whole
+    reached = F.row_number().over(along) * F.col("n") >= rows
 
-    def smooth(name: str) -> Column:
+    def trailing(name: str) -> Column:
         older = F.coalesce(F.lag(name, whole).over(along), F.lit(0.0))
-        return (F.sum(name).over(frame) + part * older) / (whole + part)
+        return F.when(reached, (F.sum(name).over(frame) + part * older) / (whole + part))
+
+    return errors.withColumns({"mae": trailing("abs"), "rmse": F.sqrt(trailing("sq"))})
 
-    reached = F.row_number().over(along)
+
+def accuracy_by_horizon(
+    scored: DataFrame, horizon: int, rolling_window: float = 0.0
+) -> DataFrame:
+    """MAE and RMSE per days ahead, without the horizons that smoothing leaves out."""
     return (
-        by_day.withColumns({"mae": smooth("abs"), "mse": smooth("sq"), "reached": reached})
-        .filter(F.col("reached") * F.col("n") >= rows)
-        .select(*RUN, "horizon", "n", "mae", F.sqrt("mse").alias("rmse"))
+        smooth(horizon_errors(scored), horizon, rolling_window)
+        .filter(F.col("mae").isNotNull())
+        .select(*RUN, "horizon", "n", "mae", "rmse")
     )
 
 
@@ -69,8 +92,31 @@ def headline(by_horizon: DataFrame) -> DataFrame:
     return by_horizon.groupBy(*RUN).agg(F.avg("mae").alias("mae"), F.avg("rmse").alias("rmse"))
 
 
-def compare(metrics: DataFrame, baseline: str = "weekday_mean") -> DataFrame:
-    """Add the MAE gain over the baseline in percent; negative means worse."""
+def compare(
+    scored: DataFrame,
+    horizon: int,
+    rolling_window: float = 0.0,
+    baseline: str = "weekday_mean",
+) -> DataFrame:
+    """MAE and RMSE of every run, and its MAE gain over the baseline in percent.
+
+    `scored` carries a `protocol`: a holdout averages over its days, a
+    cross-validation over its horizons. A negative gain means worse.
+    """
+    held = F.col("protocol") == HOLDOUT
+    days = F.sum("n")
+    metrics = (
+        smooth(horizon_errors(scored, "protocol"), horizon, rolling_window, "protocol")
+        .groupBy("protocol", *RUN)
+        .agg(
+            F.when(held, F.sum(F.col("n") * F.col("abs")) / days)
+            .otherwise(F.avg("mae"))
+            .alias("mae"),
+            F.when(held, F.sqrt(F.sum(F.col("n") * F.col("sq")) / days))
+            .otherwise(F.avg("rmse"))
+            .alias("rmse"),
+        )
+    )
     run = Window.partitionBy("protocol", "series_key")
     base = F.max(F.when(F.col("model") == baseline, F.col("mae"))).over(run)
     gain = F.when(base > 0, (base - F.col("mae")) / base * 100)

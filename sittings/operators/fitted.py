@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sittings.operators import solvers
-from sittings.operators.origins import Origins, with_cutoffs
+from sittings.operators.origins import Origins
 
 # Send the solvers with the job, so executors need no copy of this package.
 cloudpickle.register_pickle_by_value(solvers)
@@ -33,7 +33,8 @@ def training_rows(daily: DataFrame, origins: Origins) -> DataFrame:
         F.max("ds").alias("last_ds"),
         F.sort_array(F.collect_list(F.struct("ds", "y"))).alias("days"),
     )
-    return with_cutoffs(packed, origins).selectExpr(
+    cutoffs = F.expr(f"explode({origins.cutoffs()})")
+    return packed.withColumn("cutoff", cutoffs).selectExpr(
         "series_key",
         "first_ds",
         "cutoff",

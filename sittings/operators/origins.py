@@ -19,24 +19,34 @@ class Origins:
     """Cutoffs at `holdback` days before the last one, then every `step` days back.
 
     Without `step` there is one. With it they go back as long as `initial` days of
-    history remain before the cutoff. A series too short for any has none.
+    history remain before the cutoff; `with_latest` keeps the latest even if fewer do.
+    A series too short for any has none.
 
     The methods give SQL over a series' `first_ds` and `last_ds`.
     """
 
     holdback: int = 0
     step: int | None = None
-    initial: int = 0
+    initial: int = 0  # only with `step`
+    with_latest: bool = False
 
     def count(self) -> str:
         spare = f"(datediff(last_ds, first_ds) - {self.holdback + self.initial})"
+        one = f"CASE WHEN datediff(last_ds, first_ds) >= {self.holdback} THEN 1 ELSE 0 END"
         if self.step is None:
-            return f"CASE WHEN {spare} >= 0 THEN 1 ELSE 0 END"
-        return f"greatest(0, int(floor({spare} / {self.step})) + 1)"
+            return one
+        least = one if self.with_latest else "0"
+        return f"greatest({least}, int(floor({spare} / {self.step})) + 1)"
 
     def cutoff(self, k: str = "0") -> str:
         return f"date_sub(last_ds, {self.holdback} + {self.step or 1} * {k})"
 
+    def cutoffs(self) -> str:
+        """Array of all cutoffs, newest first."""
+        n = self.count()
+        steps = f"CASE WHEN {n} > 0 THEN sequence(0, {n} - 1) ELSE CAST(array() AS ARRAY<INT>) END"
+        return f"transform({steps}, k -> {self.cutoff('k')})"
+
 
 END = Origins()
 
@@ -49,23 +59,15 @@ def rolling(initial: int, period: int, horizon: int) -> Origins:
     return Origins(holdback=horizon, step=period, initial=initial)
 
 
-def with_cutoffs(bounded: DataFrame, origins: Origins) -> DataFrame:
-    """One row per origin of each input row; rows without any are dropped."""
-    n = origins.count()
-    return (
-        bounded.where(f"{n} > 0")
-        .withColumn("k", F.expr(f"explode(sequence(0, {n} - 1))"))
-        .withColumn("cutoff", F.expr(origins.cutoff("k")))
-        .drop("k")
+def bounds(daily: DataFrame) -> DataFrame:
+    return daily.groupBy("series_key").agg(
+        F.min("ds").alias("first_ds"), F.max("ds").alias("last_ds")
     )
 
 
 def cutoffs(daily: DataFrame, origins: Origins) -> DataFrame:
     """(series_key, cutoff) for every origin."""
-    bounds = daily.groupBy("series_key").agg(
-        F.min("ds").alias("first_ds"), F.max("ds").alias("last_ds")
-    )
-    return with_cutoffs(bounds, origins).select("series_key", "cutoff")
+    return bounds(daily).selectExpr("series_key", f"explode({origins.cutoffs()}) AS cutoff")
 
 
 def with_calendar(daily: DataFrame) -> DataFrame:

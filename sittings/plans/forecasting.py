@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import partial, reduce
 from typing import Callable
 
@@ -145,17 +145,11 @@ def cv_all(chosen, setting, spark, sf_dir):
 def comparison(chosen, setting, spark, sf_dir):
     """Every model under both protocols, against the weekday mean under the same."""
     daily = settle(setting.daily(spark, sf_dir), "daily")
-    held = holdout_accuracy(chosen, setting, daily)
-    crossed = cv_accuracy(chosen, setting, daily)
-    metrics = stack(
-        [
-            held.withColumn("protocol", F.lit("holdout")),
-            crossed.withColumn("protocol", F.lit("cross_validation")),
-        ],
-        "protocol",
-        "series_key",
-    )
-    return rounded(evaluate.compare(metrics))
+    either = replace(setting.folds, with_latest=True)
+    scored = run_all(chosen, either, setting.test_days, daily)
+    roles = evaluate.protocols(daily, setting.test, setting.folds)
+    tagged = scored.join(roles, ["series_key", "cutoff"])
+    return rounded(evaluate.compare(tagged, setting.test_days, SMOOTHING))
 
 
 def arima_orders(setting, spark, sf_dir):
