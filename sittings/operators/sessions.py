@@ -22,6 +22,9 @@ from sittings.functions.clock import cell_start, gap_seconds as seconds_between
 
 GAP_SECONDS = 20 * 60
 MAX_CELL_SECONDS = 3600
+
+# A cell with more plays than this is hot: its plays are not brought together.
+HOT_CELL_PLAYS = 1_000_000
 COPIES_PER_CHUNK = 100_000
 
 
@@ -77,55 +80,105 @@ def session_table(plays: DataFrame, gap: int = GAP_SECONDS) -> DataFrame:
 def sessionize(
     plays: DataFrame, gap: int = GAP_SECONDS, tie_break: str | None = None
 ) -> DataFrame:
-    """Every play with prev_ts, gap, new_session, session_num and session_id.
+    """Every (clean) play with prev_ts, gap, new_session, session_num and session_id.
 
     Plays at the same instant are ordered by `tie_break`, a column unique among
     them, or else by their other columns; exact copies are interchangeable.
 
-    The previous play is found among *distinct* instants, which map-side combining
-    keeps small for repeated ones, and is joined back by (user, instant). Both join
-    inputs are shuffles that Spark adds itself, the only kind adaptive execution
-    splits when one instant holds a large share of the log.
+    A play's predecessor is sought within its cell, and the cell's first play takes
+    it from the chain of cells. Ordinary cells are small enough to sort. Plays of hot
+    cells go another way; without any, adaptive execution drops that branch.
+    """
+    columns = plays.columns
+    placed = plays.withColumn("cell", _cell(gap))
+    cells = numbered_cells(plays, gap)
+    # Each hot cell stands for over HOT_CELL_PLAYS rows, which bounds this broadcast.
+    hot = F.broadcast(cells.filter(F.col("plays") > HOT_CELL_PLAYS).select("user_id", "cell"))
+    chain = cells.select("user_id", "cell", "prev_cell_ts", "opens", "session_num")
+    order = [tie_break] if tie_break else _rest(columns)
+
+    by_cell = _mark_by_window(placed.join(hot, ["user_id", "cell"], "left_anti"), chain, order)
+    by_instant = _mark_by_instant(
+        placed.join(hot, ["user_id", "cell"], "left_semi"), chain, tie_break
+    )
+    return by_cell.unionByName(by_instant).select(
+        *columns,
+        "prev_ts",
+        seconds_between(F.col("timestamp"), F.col("prev_ts")).alias("gap"),
+        "new_session",
+        "session_num",
+        session_id().alias("session_id"),
+    )
+
+
+def _rest(columns: list[str]) -> list[str]:
+    return [c for c in columns if c not in ("user_id", "timestamp", "cell")]
+
+
+def _mark_by_window(placed: DataFrame, chain: DataFrame, order: list[str]) -> DataFrame:
+    in_cell = Window.partitionBy("user_id", "cell").orderBy("timestamp", *order)
+    starts_cell = F.col("lag_ts").isNull()
+    return (
+        placed.withColumn("lag_ts", F.lag("timestamp").over(in_cell))
+        .join(chain, ["user_id", "cell"])
+        .withColumn("prev_ts", F.coalesce("lag_ts", "prev_cell_ts"))
+        .withColumn("new_session", F.when(starts_cell, F.col("opens")).otherwise(0))
+        .drop("cell", "lag_ts", "prev_cell_ts", "opens")
+    )
+
+
+def _mark_by_instant(placed: DataFrame, chain: DataFrame, tie_break: str | None) -> DataFrame:
+    """The same through distinct instants, of which map-side combining leaves few.
+
+    An instant's predecessor is sought within its second, else among the seconds of
+    its cell, else in the chain of cells, so no window spans more than the million
+    instants of a second. It belongs to the instant's first play; the others follow at
+    gap 0. It is joined back by (user, instant), between shuffles that Spark adds
+    itself, the only kind adaptive execution splits where one instant is hot.
     """
     if tie_break is None:
-        rest = [c for c in plays.columns if c not in ("user_id", "timestamp")]
-        order = F.struct(*rest)
-        rows = plays.groupBy(*plays.columns).agg(F.count("*").alias("copies"))
+        # Copies travel as one row and are told apart again after the join.
+        rows = placed.groupBy(*placed.columns).agg(F.count("*").alias("copies"))
+        order = F.struct(*_rest(placed.columns))
     else:
-        order = F.col(tie_break)
-        rows = plays
-
-    chain = numbered_cells(plays, gap).select(
-        "user_id", "cell", "prev_cell_ts", "opens", "session_num"
+        rows, order = placed, F.col(tie_break)
+    second = F.unix_timestamp("timestamp").alias("second")
+    instants = placed.groupBy("user_id", "cell", second, "timestamp").agg(
+        F.min(order).alias("first_row")
     )
-    in_cell = Window.partitionBy("user_id", "cell").orderBy("timestamp")
-    marks = (
-        plays.groupBy("user_id", _cell(gap).alias("cell"), "timestamp")
-        .agg(F.min(order).alias("first_row"))
-        .withColumn("lag_ts", F.lag("timestamp").over(in_cell))
+    in_second = Window.partitionBy("user_id", "second").orderBy("timestamp")
+    in_cell = Window.partitionBy("user_id", "cell").orderBy("second")
+    seconds = (
+        placed.groupBy("user_id", "cell", second)
+        .agg(F.max("timestamp").alias("last_ts"))
+        .withColumn("prev_second_ts", F.lag("last_ts").over(in_cell))
         .join(chain, ["user_id", "cell"])
+        .drop("cell", "last_ts")
+    )
+    starts_cell = F.col("lag_ts").isNull() & F.col("prev_second_ts").isNull()
+    marks = (
+        instants.withColumn("lag_ts", F.lag("timestamp").over(in_second))
+        .join(seconds, ["user_id", "second"])
         .select(
             "user_id",
             "timestamp",
             "first_row",
             "session_num",
-            F.coalesce("lag_ts", "prev_cell_ts").alias("before_ts"),
-            F.when(F.col("lag_ts").isNull(), F.col("opens")).otherwise(0).alias("opens"),
+            F.coalesce("lag_ts", "prev_second_ts", "prev_cell_ts").alias("before_ts"),
+            F.when(starts_cell, F.col("opens")).otherwise(0).alias("opens"),
         )
     )
     joined = rows.join(marks, ["user_id", "timestamp"])
     is_first = order.eqNullSafe(F.col("first_row"))
     if tie_break is None:
-        joined = _expand_copies(joined, plays.columns)
+        joined = _expand_copies(joined, placed.columns)
         is_first = is_first & (F.col("copy") == 0)
-    prev_ts = F.when(is_first, F.col("before_ts")).otherwise(F.col("timestamp"))
-    return joined.select(
-        *plays.columns,
-        prev_ts.alias("prev_ts"),
-        seconds_between(F.col("timestamp"), prev_ts).alias("gap"),
-        F.when(is_first, F.col("opens")).otherwise(0).alias("new_session"),
-        "session_num",
-        session_id().alias("session_id"),
+    return (
+        joined.withColumn(
+            "prev_ts", F.when(is_first, F.col("before_ts")).otherwise(F.col("timestamp"))
+        )
+        .withColumn("new_session", F.when(is_first, F.col("opens")).otherwise(0))
+        .select(*[c for c in placed.columns if c != "cell"], "prev_ts", "new_session", "session_num")
     )
 
 

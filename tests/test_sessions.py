@@ -8,7 +8,7 @@ from datetime import datetime, timedelta
 
 import pytest
 
-from sittings.operators import ranking
+from sittings.operators import ranking, sessions
 from sittings.operators.sessions import COPIES_PER_CHUNK, session_table, sessionize
 from sittings.sources.plays import clean_plays
 
@@ -85,6 +85,22 @@ def random_log(spark, seed, n=600):
     return log(spark, plays)
 
 
+@pytest.mark.parametrize("hot", [0, 5, 100])
+@pytest.mark.parametrize("gap", [1, 1200, 21600])
+def test_hot_cells_match_walk(spark, monkeypatch, gap, hot):
+    monkeypatch.setattr(sessions, "HOT_CELL_PLAYS", hot)
+    plays = random_log(spark, gap + hot, 300)
+    want = by_hand(plays.collect(), gap)
+    assert marks(sessionize(plays, gap, "event_id")) == want
+    without_id = sessionize(plays.drop("event_id"), gap).collect()
+    got = Counter((r.user_id, r.timestamp, r.prev_ts, r.gap, r.new_session) for r in without_id)
+    rows = {r.event_id: r for r in plays.collect()}
+    assert got == Counter(
+        (rows[i].user_id, rows[i].timestamp, prev, gap_, flag)
+        for i, (prev, gap_, flag, _) in want.items()
+    )
+
+
 @pytest.mark.parametrize("gap", [0, 1, 600, 1200, 21600])
 def test_random_log_matches_walk(spark, gap):
     plays = random_log(spark, gap)
@@ -129,7 +145,9 @@ def test_larger_gap_never_splits_more(spark):
     assert counts == sorted(counts, reverse=True)
 
 
-def test_without_row_id_copies_are_kept(spark):
+@pytest.mark.parametrize("hot", [0, 1_000_000])
+def test_without_row_id_copies_are_kept(spark, monkeypatch, hot):
+    monkeypatch.setattr(sessions, "HOT_CELL_PLAYS", hot)
     rows = [("u", 0, "a")] * 3 + [("u", 0, "b")] * 2 + [("u", 1201, "a")] * 2
     plays = log(spark, rows).drop("event_id")
     got = sessionize(plays)
@@ -140,7 +158,8 @@ def test_without_row_id_copies_are_kept(spark):
     assert Counter(r.session_num for r in got.collect()) == {1: 5, 2: 2}
 
 
-def test_more_copies_than_a_chunk(spark):
+def test_more_copies_than_a_chunk(spark, monkeypatch):
+    monkeypatch.setattr(sessions, "HOT_CELL_PLAYS", 1000)
     n = 2 * COPIES_PER_CHUNK + 7
     plays = spark.range(n).selectExpr(
         "'u' AS user_id", "timestamp'2024-01-01' AS timestamp", "'a' AS artist_name",
@@ -163,8 +182,9 @@ def test_dropped_plays_are_spanned(spark):
     assert got == {0: (None, None, 1, 1), 2: (T0, 1500, 1, 2)}
 
 
-def test_hot_instant_is_split_by_adaptive_execution(spark):
+def test_hot_instant_is_split_by_adaptive_execution(spark, monkeypatch):
     """A user's instant with a third of the rows does not end in one join task."""
+    monkeypatch.setattr(sessions, "HOT_CELL_PLAYS", 10)
     plays = spark.range(300_000).selectExpr(
         "id AS event_id",
         "CASE WHEN id % 3 = 0 THEN 'hot' ELSE string(id % 500) END AS user_id",
@@ -192,6 +212,21 @@ def test_hot_instant_is_split_by_adaptive_execution(spark):
             spark.conf.set(k, v)
 
 
+def test_no_hot_cells_cost_no_extra_scan(spark, tmp_path):
+    random_log(spark, 3).write.parquet(str(tmp_path / "log"))
+    df = sessionize(spark.read.parquet(str(tmp_path / "log")), tie_break="event_id")
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("FileScan") == 2
+
+
+def test_user_filter_reaches_the_scan(spark, tmp_path):
+    random_log(spark, 3).write.parquet(str(tmp_path / "log"))
+    df = session_table(spark.read.parquet(str(tmp_path / "log"))).filter("user_id = 'u1'")
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(user_id,u1)" in plan and "artist_name" not in plan
+
+
 def test_windows_see_cells_not_plays(spark):
     plan = session_table(random_log(spark, 3))._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan[plan.rindex("HashAggregate") :]
