@@ -227,8 +227,8 @@ FROM metrics JOIN (SELECT series_key, protocol, mae AS base FROM metrics
                    WHERE model = 'weekday_mean') USING (series_key, protocol)"""
 
 
-def _report(series: str, horizon: int) -> str:
-    return f"""{_fitted(series, AT_END, horizon, ["seasonal_trend"])},
+def _report(series: str, horizon: int, names: tuple[str, ...] = ("seasonal_trend",)) -> str:
+    return f"""{_fitted(series, AT_END, horizon, list(names))},
 report AS (
   SELECT series_key, model, strftime(ds, '%Y-%m-%d') AS date,
          round_even(greatest(yhat, 0.0), 1) + 0 AS predicted_sessions,
@@ -324,3 +324,10 @@ ORACLE = {
         FROM scored JOIN (SELECT series_key, avg(y) AS overall_mean FROM daily GROUP BY 1)
         USING (series_key)""",
 }
+
+ORACLE |= {
+    "forecast_files": f"""{_report(SEGMENT_SERIES, 90, ("seasonal_trend", "seasonal_ar1"))}
+        SELECT * FROM report""",
+    "holdout_files": ORACLE["holdout_report"],
+    "validation_file": ORACLE["validation_results"],
+}

@@ -128,6 +128,7 @@ ORACLE = {
     ),
     "top_songs": _top_songs(PLAYS, 1200),
     "top_songs_6h": _top_songs(PLAYS, 21600),
+    "top_songs_file": _top_songs(PLAYS, 1200),
     "user_session_counts": _with_sessions(1200, USER_COUNTS),
     "top_user": _with_sessions(
         1200, f"{USER_COUNTS} ORDER BY session_count DESC, user_id LIMIT 1"

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 
 def write_tsv(
     df: DataFrame, path: str, header: bool = True, partition_by: list[str] | None = None
 ) -> None:
-    """Tab-separated directory, written in parallel; NULL becomes an empty field."""
+    """Tab-separated directory, written in parallel and without quoting.
+
+    Values are taken literally, as `read_raw_tsv` reads them; NULL is an empty field.
+    """
     writer = df.write.mode("overwrite").option("sep", "\t").option("header", header)
     writer = writer.option("quote", "").option("nullValue", "").option("emptyValue", "")
     if partition_by:
@@ -19,16 +23,20 @@ def write_tsv(
 def write_report(df: DataFrame, path: str, order_by: list[str | Column], sep: str = "\t") -> None:
     """One ordered file with a header, for results of at most a few hundred rows.
 
-    Fails on an empty result. The shuffle to one partition keeps the work before it
-    parallel, which a plain coalesce would not.
+    Values that hold a separator or quote are quoted; NULL is an empty field. Fails on
+    an empty result. The shuffle to one partition keeps the work before it parallel,
+    which a plain coalesce would not.
     """
     report = df.repartition(1).sortWithinPartitions(*order_by)
-    (
-        report.write.mode("overwrite")
-        .option("sep", sep)
-        .option("header", True)
-        .option("nullValue", "")
-        .csv(path)
-    )
-    if df.sparkSession.read.option("sep", sep).option("header", True).csv(path).isEmpty():
+    writer = report.write.mode("overwrite").option("sep", sep).option("header", True)
+    writer.option("nullValue", "").csv(path)
+    if read_back(df.sparkSession, path, df.schema, sep).isEmpty():
         raise RuntimeError(f"no rows were written to {path}")
+
+
+def read_back(
+    spark: SparkSession, path: str, schema: StructType, sep: str = "\t", quote: str = '"'
+) -> DataFrame:
+    """A sink's output as a table again, partition columns included."""
+    reader = spark.read.schema(schema).option("sep", sep).option("header", True)
+    return reader.option("quote", quote).csv(path)
