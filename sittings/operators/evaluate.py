@@ -31,6 +31,17 @@ def protocols(daily: DataFrame, test: Origins, folds: Origins) -> DataFrame:
     return bounds(daily).selectExpr("series_key", f"inline(concat({', '.join(roles)}))")
 
 
+def for_every_series(metrics: DataFrame, daily: DataFrame, models: list[str]) -> DataFrame:
+    """Add a row of NULLs where a series is too short for a model's test."""
+    protocol = F.explode(F.array(F.lit(HOLDOUT), F.lit(CROSS_VALIDATION)))
+    expected = (
+        bounds(daily)
+        .select("series_key", F.explode(F.array(*[F.lit(m) for m in models])).alias("model"))
+        .withColumn("protocol", protocol)
+    )
+    return expected.join(metrics, ["series_key", "model", "protocol"], "left")
+
+
 def _errors() -> tuple[Column, Column]:
     error = F.col("y") - F.col("yhat")
     return F.abs(error), error * error

@@ -223,8 +223,12 @@ metrics AS (
 )
 SELECT series_key, model, round(mae, 6) + 0 AS mae, round(rmse, 6) + 0 AS rmse, protocol,
        round(CASE WHEN base > 0 THEN (base - mae) / base * 100 END, 6) + 0 AS improvement_pct
-FROM metrics JOIN (SELECT series_key, protocol, mae AS base FROM metrics
-                   WHERE model = 'weekday_mean') USING (series_key, protocol)"""
+FROM (WITH {series} SELECT series_key FROM bounds)
+CROSS JOIN (VALUES ('weekday_mean'), ('seasonal_trend'), ('seasonal_ar1')) m(model)
+CROSS JOIN (VALUES ('holdout'), ('cross_validation')) p(protocol)
+LEFT JOIN metrics USING (series_key, model, protocol)
+LEFT JOIN (SELECT series_key, protocol, mae AS base FROM metrics
+           WHERE model = 'weekday_mean') USING (series_key, protocol)"""
 
 
 def _report(series: str, horizon: int, names: tuple[str, ...] = ("seasonal_trend",)) -> str:

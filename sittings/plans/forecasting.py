@@ -149,7 +149,8 @@ def comparison(chosen, setting, spark, sf_dir):
     scored = run_all(chosen, either, setting.test_days, daily)
     roles = evaluate.protocols(daily, setting.test, setting.folds)
     tagged = scored.join(roles, ["series_key", "cutoff"])
-    return rounded(evaluate.compare(tagged, setting.test_days, SMOOTHING))
+    metrics = evaluate.compare(tagged, setting.test_days, SMOOTHING)
+    return rounded(evaluate.for_every_series(metrics, daily, [m.__name__ for m in chosen]))
 
 
 def arima_orders(setting, spark, sf_dir):

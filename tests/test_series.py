@@ -247,3 +247,25 @@ def test_improvement_sign(spark):
     )
     got = {r.model: r.improvement_pct for r in evaluate.compare(scored, 1).collect()}
     assert got == {"weekday_mean": 0, "better": 75, "worse": -100}
+
+
+def test_too_short_series_has_null_metrics(spark):
+    df = daily(spark, short=[1] * 5, long=[1, 2] * 30)
+    test, folds = origins.holdout(10), origins.rolling(20, 10, 10)
+    scored = evaluate.score(models.weekday_mean(df, folds, 10), df).join(
+        evaluate.protocols(df, test, folds), ["series_key", "cutoff"]
+    )
+    got = evaluate.for_every_series(evaluate.compare(scored, 10), df, ["weekday_mean"]).collect()
+    assert len(got) == 4
+    assert {r.series_key for r in got if r.mae is None} == {"short"}
+
+
+def test_protocols(spark):
+    df = daily(spark, mid=[1] * 35, long=[1] * 45, short=[1] * 5)
+    got = evaluate.protocols(df, origins.holdout(10), origins.rolling(30, 10, 10)).collect()
+    latest = D0 + timedelta(days=34)
+    assert sorted((r.series_key, r.cutoff, r.protocol) for r in got) == [
+        ("long", latest, "cross_validation"),
+        ("long", latest, "holdout"),
+        ("mid", D0 + timedelta(days=24), "holdout"),
+    ]
