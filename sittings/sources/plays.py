@@ -49,5 +49,8 @@ def with_parsed_timestamp(raw: DataFrame) -> DataFrame:
 
 
 def clean_plays(plays: DataFrame) -> DataFrame:
-    """Drop plays that lack a required column. Done before any session is cut."""
-    return plays.dropna(subset=REQUIRED)
+    """Drop plays that lack a required column. Done before any session is cut.
+
+    Spelt as one condition per column, which reaches the scan; `dropna` would not.
+    """
+    return plays.filter(" AND ".join(f"{name} IS NOT NULL" for name in REQUIRED))

@@ -55,7 +55,11 @@ def test_bad_time_is_null_not_an_error(spark, tmp_path):
 def test_only_needed_columns_and_filters_reach_the_scan(spark, tmp_path):
     df = ranking.top_songs(plays.read_plays_tsv(spark, write_log(tmp_path, LINES)))
     plan = df._jdf.queryExecution().executedPlan().toString()
-    assert "artist_id" not in plan and "PushedFilters: [IsNotNull(user_id)" in plan
+    scans = [line for line in plan.splitlines() if "FileScan" in line]
+    assert len(scans) == 2
+    for scan in scans:
+        assert "IsNotNull(user_id)" in scan and "IsNotNull(track_name)" in scan
+        assert scan.endswith("struct<user_id:string,timestamp:string,artist_name:string,track_name:string>")
 
 
 def test_report_sink(spark, tmp_path):
