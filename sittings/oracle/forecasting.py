@@ -242,6 +242,17 @@ report AS (
 )"""
 
 
+def _feed(name: str, line: str, history: bool) -> str:
+    return f"""{_fitted(SEGMENT_SERIES, AT_END, 90, [name], history)}
+        SELECT series_key, 'history' AS segment, ds, CAST(y AS DOUBLE) AS value,
+               CAST(NULL AS DOUBLE) AS lower, CAST(NULL AS DOUBLE) AS upper
+        FROM daily
+        UNION ALL SELECT series_key, 'forecast_start', hi, NULL, NULL, NULL FROM bounds
+        UNION ALL SELECT series_key, 'forecast', ds, round({line}, 6),
+                         round(yhat - 1.2816 * sd, 6), round(yhat + 1.2816 * sd, 6)
+        FROM runs"""
+
+
 _BOUNDS = """
 SELECT series_key, min(ds) AS first_ds, max(ds) AS last_ds, count(*) AS days,
        CAST(sum(y) AS BIGINT) AS total, round(avg(y), 6) + 0 AS mean_y
@@ -314,14 +325,8 @@ ORACLE = {
         FROM scored""",
     "forecast_preview": f"""{_report(SEGMENT_SERIES, 90)} SELECT * FROM report
         QUALIFY row_number() OVER (PARTITION BY series_key ORDER BY date) <= 10""",
-    "forecast_feed": f"""{_fitted(SEGMENT_SERIES, AT_END, 90, ["seasonal_trend"], True)}
-        SELECT series_key, 'history' AS segment, ds, CAST(y AS DOUBLE) AS value,
-               CAST(NULL AS DOUBLE) AS lower, CAST(NULL AS DOUBLE) AS upper
-        FROM daily
-        UNION ALL SELECT series_key, 'forecast_start', hi, NULL, NULL, NULL FROM bounds
-        UNION ALL SELECT series_key, 'forecast', ds, round(yhat, 6),
-                         round(yhat - 1.2816 * sd, 6), round(yhat + 1.2816 * sd, 6)
-        FROM runs""",
+    "forecast_feed": _feed("seasonal_trend", "yhat", history=True),
+    "seasonal_ar1_feed": _feed("seasonal_ar1", "greatest(yhat, 0.0)", history=False),
     "cv_feed": f"""{_tested(SEGMENT_SERIES, SEGMENT_FOLDS, 30, ["seasonal_trend"])}
         SELECT series_key, model, cutoff, ds, y AS actual, round(yhat, 6) + 0 AS yhat,
                round(overall_mean, 6) + 0 AS overall_mean

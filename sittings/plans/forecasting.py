@@ -9,6 +9,7 @@ from typing import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sittings.functions.publish import not_negative
 from sittings.operators import evaluate, fitted, models, origins, report, series
 from sittings.operators.sessions import session_table
 from sittings.runtime import settle
@@ -184,9 +185,18 @@ def forecast_preview(model, setting, spark, sf_dir):
 
 
 def forecast_feed(model, setting, spark, sf_dir):
+    """History, fitted line over all days and band."""
     daily = setting.daily(spark, sf_dir)
-    fitted = models.with_interval(model(daily, origins.END, setting.horizon, history=True))
-    return rounded(report.forecast_feed(daily, fitted))
+    line = models.with_interval(model(daily, origins.END, setting.horizon, history=True))
+    return rounded(report.forecast_feed(daily, line))
+
+
+def future_feed(model, setting, spark, sf_dir):
+    """History and the clipped forecast only, for models without a fitted line."""
+    daily = setting.daily(spark, sf_dir)
+    line = models.with_interval(model(daily, origins.END, setting.horizon))
+    clipped = line.withColumn("yhat", not_negative(F.col("yhat")))
+    return rounded(report.forecast_feed(daily, clipped))
 
 
 def cv_feed(model, setting, spark, sf_dir):
@@ -233,6 +243,7 @@ QUERIES = {
     "holdout_report": partial(holdout_report, models.seasonal_ar1, SEGMENTS),
     "forecast_preview": partial(forecast_preview, models.seasonal_trend, SEGMENTS),
     "forecast_feed": partial(forecast_feed, models.seasonal_trend, SEGMENTS),
+    "seasonal_ar1_feed": partial(future_feed, models.seasonal_ar1, SEGMENTS),
     "cv_feed": partial(cv_feed, models.seasonal_trend, SEGMENTS),
     "fourier_trend_forecast": partial(forecast, fitted.fourier_trend, SEGMENTS),
     "fourier_trend_fitted": partial(forecast, fitted.fourier_trend, SEGMENTS, history=True),
@@ -242,6 +253,8 @@ QUERIES = {
     "solver_holdout": partial(holdout_all, SOLVED, SEGMENTS),
     "solver_comparison": partial(comparison, (models.weekday_mean, *SOLVED), SEGMENTS),
     "solver_forecast_report": partial(forecast_report, fitted.fourier_trend, SEGMENTS),
+    "sarima_feed": partial(future_feed, fitted.seasonal_arima, SEGMENTS),
+    "fourier_trend_feed": partial(forecast_feed, fitted.fourier_trend, SEGMENTS),
     "sarima_holdout_report": partial(holdout_report, fitted.seasonal_arima, SEGMENTS),
     "top_user_sarima_report": partial(forecast_report, fitted.seasonal_arima, TOP_USER),
 }
