@@ -1,13 +1,14 @@
 """Forecasters that need a numeric solver, fitted per series and origin on the cluster.
 
 A series travels as one row holding its values (at most one per calendar day), so
-folds and candidate orders spread over the cluster as small independent rows and
-each task sees one training series at a time.
+folds and candidate orders spread over the cluster as small independent rows.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from itertools import product
+from typing import Any
 
 import numpy as np
 import pandas as pd
@@ -39,18 +40,29 @@ def training_rows(daily: DataFrame, origins: Origins) -> DataFrame:
         "first_ds",
         "cutoff",
         "unix_date(first_ds) AS start_day",
-        "transform(slice(days, 1, datediff(cutoff, first_ds) + 1), d -> double(d.y)) AS values",
+        "transform(slice(days, 1, datediff(cutoff, first_ds) + 1), d -> double(d.y)) AS training",
     )
 
 
-def _spread(rows: DataFrame, *keys: str) -> DataFrame:
-    """Hash rows over all shuffle partitions: they are few bytes but much work each."""
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(n, *keys)
+def _fit_rows(
+    rows: DataFrame, keys: list[str], fit: Callable[[Any], tuple | None], columns: str
+) -> DataFrame:
+    """Apply `fit` to each row, spread by `keys` over all shuffle partitions.
+
+    The partition count is explicit because the rows are few bytes but much work each,
+    so sizing partitions by bytes would put them all in one task.
+    """
+    key = rows.schema["series_key"].dataType.simpleString()
+    schema = f"series_key {key}, cutoff date, {columns}"
+    names = [field.split()[0] for field in schema.split(", ")]
 
+    def fit_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            fits = [fit(row) for row in batch.itertuples(index=False)]
+            yield pd.DataFrame([f for f in fits if f is not None], columns=names)
 
-def _key_type(rows: DataFrame) -> str:
-    return rows.schema["series_key"].dataType.simpleString()
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(n, *keys).mapInPandas(fit_batches, schema)
 
 
 def fourier_trend(
@@ -58,78 +70,66 @@ def fourier_trend(
 ) -> DataFrame:
     """Piecewise-linear trend times weekly and yearly Fourier seasons, by ridge fit."""
 
-    def fit(group: pd.DataFrame) -> pd.DataFrame:
-        row = group.iloc[0]
-        values = np.asarray(row["values"], dtype=float)
-        yhat, sd = solvers.fourier_trend(values, int(row["start_day"]), horizon)
+    def fit(row: Any) -> tuple:
+        values = np.asarray(row.training, dtype=float)
+        yhat, sd = solvers.fourier_trend(values, row.start_day, horizon)
         skip = 0 if history else len(values)
-        return pd.DataFrame(
-            {
-                "series_key": [row["series_key"]],
-                "start": [row["first_ds"] if history else None],
-                "cutoff": [row["cutoff"]],
-                "yhat": [yhat[skip:]],
-                "sd": [sd[skip:]],
-            }
-        )
-
-    rows = training_rows(daily, origins)
-    schema = (
-        f"series_key {_key_type(rows)}, start date, cutoff date, "
-        "yhat array<double>, sd array<double>"
-    )
-    fits = _spread(rows, "series_key", "cutoff").groupBy("series_key", "cutoff")
-    return _days(
-        fits.applyInPandas(fit, schema).withColumn(
-            "start", F.coalesce("start", F.date_add("cutoff", 1))
-        ),
-        "fourier_trend",
+        return row.series_key, row.cutoff, row.first_ds, yhat[skip:], sd[skip:]
+
+    fits = _fit_rows(
+        training_rows(daily, origins),
+        ["series_key", "cutoff"],
+        fit,
+        "first_ds date, yhat array<double>, sd array<double>",
     )
+    start = "first_ds" if history else "date_add(cutoff, 1)"
+    return _days(fits.withColumn("start", F.expr(start)), "fourier_trend")
 
 
 def arima_fits(daily: DataFrame, origins: Origins, horizon: int) -> DataFrame:
     """The best seasonal ARIMA order by AIC per (series, cutoff), with its forecast.
 
     Columns: series_key, cutoff, p, d, q, seasonal_p, seasonal_d, seasonal_q, aic,
-    yhat and sd arrays.
+    yhat and sd arrays. Each row fitted holds one weekly part of the grid; the best of
+    its daily parts meets those of the other rows in the final aggregate.
     """
-    orders = DAILY_ORDERS
+    daily_orders = DAILY_ORDERS
 
-    def fit(group: pd.DataFrame) -> pd.DataFrame:
-        row = group.iloc[0]
-        values = np.asarray(row["values"], dtype=float)
+    def fit(row: Any) -> tuple | None:
+        values = np.asarray(row.training, dtype=float)
         d, seasonal_d = solvers.differencing(values)
-        sp, sq = int(row["seasonal_p"]), int(row["seasonal_q"])
+        differenced = solvers.ArimaSeries(values, (d, seasonal_d))
         found = []
-        for p, q in orders:
-            done = solvers.seasonal_arima(values, (p, q, sp, sq), (d, seasonal_d), horizon)
+        for p, q in daily_orders:
+            order = (p, q, row.seasonal_p, row.seasonal_q)
+            done = differenced.fit(order)
             if done is not None:
-                found.append(
-                    (row["series_key"], row["cutoff"], p, d, q, sp, seasonal_d, sq, *done)
-                )
-        return pd.DataFrame(found, columns=names)
-
-    parts = F.array(
+                found.append((done[0], order, done[1]))
+        if not found:
+            return None
+        aic, order, x = min(found, key=lambda f: f[:2])
+        p, q, sp, sq = order
+        ahead = differenced.forecast(order, x, horizon)
+        return row.series_key, row.cutoff, p, d, q, sp, seasonal_d, sq, aic, *ahead
+
+    weekly = F.array(
         *[
             F.struct(F.lit(p).alias("seasonal_p"), F.lit(q).alias("seasonal_q"))
             for p, q in WEEKLY_ORDERS
         ]
     )
-    rows = training_rows(daily, origins).select(
-        "series_key", "cutoff", "values", F.inline(parts)
+    fits = _fit_rows(
+        training_rows(daily, origins).select("*", F.inline(weekly)),
+        ["series_key", "cutoff", "seasonal_p", "seasonal_q"],
+        fit,
+        "p int, d int, q int, seasonal_p int, seasonal_d int, seasonal_q int, aic double, "
+        "yhat array<double>, sd array<double>",
     )
-    schema = (
-        f"series_key {_key_type(rows)}, cutoff date, p int, d int, q int, seasonal_p int, "
-        "seasonal_d int, seasonal_q int, aic double, yhat array<double>, sd array<double>"
-    )
-    names = [field.split()[0] for field in schema.split(", ")]
-    keys = ["series_key", "cutoff", "seasonal_p", "seasonal_q"]
-    fits = _spread(rows, *keys).groupBy(*keys).applyInPandas(fit, schema)
-    chosen = [c for c in names if c not in ("series_key", "cutoff")]
+    result = F.struct(*[c for c in fits.columns if c not in ("series_key", "cutoff")])
     preference = F.struct("aic", "p", "q", "seasonal_p", "seasonal_q")
     return (
         fits.groupBy("series_key", "cutoff")
-        .agg(F.min_by(F.struct(*chosen), preference).alias("best"))
+        .agg(F.min_by(result, preference).alias("best"))
         .select("series_key", "cutoff", "best.*")
     )
 

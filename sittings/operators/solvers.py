@@ -18,6 +18,7 @@ LONGEST_AR = 2 + WEEK  # of any order in the grid
 KPSS_5_PERCENT = 0.463
 STRONG_SEASON = 0.64
 LM_STEPS = 8
+LARGEST = 2.5  # parameters stay where responses die out within the padding
 
 
 def _fourier(day: np.ndarray, period: float, order: int) -> np.ndarray:
@@ -91,55 +92,21 @@ def _is_seasonal(y: np.ndarray) -> bool:
     return whole > 0 and 1 - (detrended - season).var() / whole > STRONG_SEASON
 
 
-def _lag_polynomial(partials: np.ndarray, step: int) -> np.ndarray:
-    """1 - c1 B - ... with roots outside the unit circle, from partials in (-1, 1)."""
-    c = np.zeros(0)
-    for r in partials:
-        c = np.concatenate([c - r * c[::-1], [r]])
-    poly = np.zeros(len(c) * step + 1)
-    poly[0], poly[step::step] = 1.0, -c
-    return poly
+def _coefficients(partials: np.ndarray) -> np.ndarray:
+    """Rows of partial autocorrelations in (-1, 1) to stationary lag coefficients."""
+    c = partials[:, :0]
+    for i in range(partials.shape[1]):
+        r = partials[:, i : i + 1]
+        c = np.hstack([c - r * c[:, ::-1], r])
+    return c
 
 
-def _split(x: np.ndarray, order: tuple[int, int, int, int]) -> tuple[np.ndarray, np.ndarray]:
-    """AR and MA polynomials of an unconstrained parameter vector."""
-    p, q, sp, sq = np.split(np.tanh(x), np.cumsum(order)[:-1])
-    ar = np.convolve(_lag_polynomial(p, 1), _lag_polynomial(sp, WEEK))
-    ma = np.convolve(_lag_polynomial(q, 1), _lag_polynomial(sq, WEEK))
-    return ar, ma
-
-
-def _residuals(w: np.ndarray, ar: np.ndarray, ma: np.ndarray) -> np.ndarray:
-    """e with ma(B) e = ar(B) w and nothing before the start.
-
-    The division by ma(B) is done on a padded Fourier grid, since its response dies out.
-    """
-    e = np.convolve(w, ar)[: len(w)]
-    if len(ma) == 1:
-        return e
-    size = 1 << (len(w) + 512).bit_length()
-    return np.fft.irfft(np.fft.rfft(e, size) / np.fft.rfft(ma, size), size)[: len(w)]
-
-
-def _least_squares(cost, k: int) -> np.ndarray:
-    """Levenberg-Marquardt from zero."""
-    x, damp = np.full(k, 0.1), 1e-2
-    e = cost(x)
-    for _ in range(LM_STEPS):
-        jac = np.column_stack([(cost(x + 1e-5 * row) - e) / 1e-5 for row in np.eye(k)])
-        hess, grad = jac.T @ jac, jac.T @ e
-        lift = damp * np.diag(np.diag(hess) + 1e-12)
-        step = np.clip(np.linalg.lstsq(hess + lift, -grad, rcond=None)[0], -1, 1)
-        trial = np.clip(x + step, -4, 4)
-        moved = cost(trial)
-        if moved @ moved < e @ e:
-            gain = 1 - (moved @ moved) / (e @ e)
-            x, e, damp = trial, moved, damp / 5
-            if gain < 1e-7:
-                break
-        else:
-            damp *= 10
-    return x
+def _polynomial(daily: np.ndarray, weekly: np.ndarray) -> np.ndarray:
+    """(1 - c1 B - ...)(1 - C1 B^7 - ...) as an array of lags."""
+    inner = np.r_[1.0, -daily]
+    outer = np.zeros(len(weekly) * WEEK + 1)
+    outer[0], outer[WEEK::WEEK] = 1.0, -weekly
+    return np.convolve(inner, outer)
 
 
 def differencing(values: np.ndarray) -> tuple[int, int]:
@@ -149,48 +116,111 @@ def differencing(values: np.ndarray) -> tuple[int, int]:
     return int(_is_trending(w)), seasonal
 
 
-def seasonal_arima(
-    values: np.ndarray, order: tuple[int, int, int, int], diffs: tuple[int, int], horizon: int
-) -> tuple[float, np.ndarray, np.ndarray] | None:
-    """Fit (p, q, P, Q) to the differenced series by conditional least squares.
+class ArimaSeries:
+    """A series differenced once, on which orders (p, q, P, Q) are fitted.
 
-    Returns AIC, forecasts and their standard deviations, or None where the series
-    is too short for the order. Every order is scored on the same days.
+    Residuals e solve ma(B) e = ar(B) w with nothing before the start. The division is
+    done on a padded Fourier grid, where the response of an invertible ma(B) dies out,
+    so many parameter vectors are evaluated in one go.
     """
-    lags = np.array([1.0])
-    for _ in range(diffs[0]):
-        lags = np.convolve(lags, [1.0, -1.0])
-    for _ in range(diffs[1]):
-        lags = np.convolve(lags, np.r_[1.0, np.zeros(WEEK - 1), -1.0])
-    w = np.convolve(values, lags, "valid")
-    mean = w.mean() if sum(diffs) < 2 else 0.0
-    w = w - mean
-    burn = min(LONGEST_AR, len(w) // 2)
-    n, k = len(w) - burn, sum(order)
-    if k and n < 3 * (k + 2):
-        return None
-
-    x = np.zeros(0)
-    if k and w.any():
-        x = _least_squares(lambda z: _residuals(w, *_split(z, order))[burn:], k)
-    ar, ma = _split(x if len(x) else np.zeros(k), order)
-    e = _residuals(w, ar, ma)
-    var = max((e[burn:] @ e[burn:]) / max(n, 1), 1e-12 * (1 + values.var()))
-    aic = n * np.log(var) + 2 * (k + 2 - (sum(diffs) > 1))
-
-    # Recursions on the undifferenced scale; ma and full both start with 1.
-    full = np.convolve(ar, lags)
-    drift = mean * ar.sum()
-    y, shocks = list(values), list(e)
-    psi = np.zeros(horizon)
-    for h in range(horizon):
-        past = min(len(full) - 1, len(y))
-        ahead = drift - sum(full[j] * y[-j] for j in range(1, past + 1))
-        ahead += sum(ma[j] * shocks[-j] for j in range(1, min(len(ma) - 1, len(shocks)) + 1))
-        y.append(ahead)
-        shocks.append(0.0)
-        reach = min(h, len(full) - 1)
-        psi[h] = (ma[h] if h < len(ma) else 0.0) - sum(
-            full[j] * psi[h - j] for j in range(1, reach + 1)
-        )
-    return aic, np.array(y[len(values) :]), np.sqrt(var * np.cumsum(psi**2))
+
+    def __init__(self, values: np.ndarray, diffs: tuple[int, int]):
+        self.values = values
+        self.lags = np.array([1.0])
+        for _ in range(diffs[0]):
+            self.lags = np.convolve(self.lags, [1.0, -1.0])
+        for _ in range(diffs[1]):
+            self.lags = np.convolve(self.lags, np.r_[1.0, np.zeros(WEEK - 1), -1.0])
+        w = np.convolve(values, self.lags, "valid")
+        self.has_mean = sum(diffs) < 2
+        self.mean = w.mean() if self.has_mean else 0.0
+        self.w = w - self.mean
+        self.burn = min(LONGEST_AR, len(w) // 2)
+        self.n = len(w) - self.burn
+        self.size = 1 << (len(w) + 512).bit_length()
+        self.spectrum = np.fft.rfft(self.w, self.size)
+        z = np.exp(-2j * np.pi * np.arange(len(self.spectrum)) / self.size)
+        self.daily = np.array([z, z**2])
+        self.weekly = np.array([z**WEEK])
+
+    @staticmethod
+    def _parts(x: np.ndarray, order: tuple[int, int, int, int]) -> list[np.ndarray]:
+        """Coefficients of p, q, P, Q from rows of unconstrained parameters."""
+        return [_coefficients(c) for c in np.split(np.tanh(x), np.cumsum(order)[:-1], axis=1)]
+
+    def _residuals(self, x: np.ndarray, order: tuple[int, int, int, int]) -> np.ndarray:
+        p, q, sp, sq = self._parts(x, order)
+        ratio = np.ones((len(x), len(self.spectrum)), dtype=complex)
+        for c, z in ((p, self.daily), (sp, self.weekly)):
+            if c.shape[1]:
+                ratio *= 1 - c @ z[: c.shape[1]]
+        for c, z in ((q, self.daily), (sq, self.weekly)):
+            if c.shape[1]:
+                ratio /= 1 - c @ z[: c.shape[1]]
+        return np.fft.irfft(ratio * self.spectrum, self.size)[:, self.burn : len(self.w)]
+
+    def fit(self, order: tuple[int, int, int, int]) -> tuple[float, np.ndarray] | None:
+        """AIC and parameters by Levenberg-Marquardt on the conditional squares.
+
+        None where the series is too short for the order. Every order is scored on the
+        same days.
+        """
+        k = sum(order)
+        if k and self.n < 3 * (k + 2):
+            return None
+        x = np.zeros(k)
+        if not k or not self.w.any():
+            return self._aic(self.w[self.burn :], k), x
+
+        nudge = np.vstack([np.zeros(k), 1e-5 * np.eye(k)])
+
+        def around(at):
+            e = self._residuals(at + nudge, order)
+            return e[0], (e[1:] - e[0]).T / 1e-5
+
+        x, damp = np.full(k, 0.1), 1e-2
+        e, jac = around(x)
+        for _ in range(LM_STEPS):
+            hess = jac.T @ jac
+            lift = np.diag(damp * np.diag(hess) + 1e-12)
+            step = np.clip(np.linalg.solve(hess + lift, -jac.T @ e), -1, 1)
+            trial = np.clip(x + step, -LARGEST, LARGEST)
+            moved, slope = around(trial)
+            if moved @ moved < e @ e:
+                gain = 1 - (moved @ moved) / (e @ e)
+                x, e, jac, damp = trial, moved, slope, damp / 5
+                if gain < 1e-7:
+                    break
+            else:
+                damp *= 10
+        return self._aic(e, k), x
+
+    def _variance(self, e: np.ndarray) -> float:
+        return max((e @ e) / max(self.n, 1), 1e-12 * (1 + self.values.var()))
+
+    def _aic(self, e: np.ndarray, k: int) -> float:
+        return self.n * np.log(self._variance(e)) + 2 * (k + 1 + self.has_mean)
+
+    def forecast(
+        self, order: tuple[int, int, int, int], x: np.ndarray, horizon: int
+    ) -> tuple[np.ndarray, np.ndarray]:
+        """Mean and standard deviation of the next days, on the undifferenced scale."""
+        p, q, sp, sq = (c[0] for c in self._parts(x[None, :], order))
+        ar, ma = _polynomial(p, sp), _polynomial(q, sq)
+        full = np.convolve(ar, self.lags)[1:]
+        ma = ma[1:]
+        scored = self._residuals(x[None, :], order)[0]
+        y, shocks = list(self.values), [0.0] * len(ma) + list(scored)
+        psi = [1.0]
+        for h in range(horizon):
+            past = y[: -len(full) - 1 : -1]  # newest first
+            ahead = self.mean * ar.sum() - full[: len(past)] @ past
+            if len(ma):
+                ahead += ma @ shocks[: -len(ma) - 1 : -1]
+            y.append(ahead)
+            shocks.append(0.0)
+            weight = ma[h] if h < len(ma) else 0.0
+            back = psi[: -len(full) - 1 : -1]
+            psi.append(weight - full[: len(back)] @ back)
+        spread = self._variance(scored) * np.cumsum(np.square(psi[:horizon]))
+        return np.array(y[len(self.values) :]), np.sqrt(spread)
