@@ -101,7 +101,8 @@ def seasonal_trend(
         return f"CASE WHEN {level} > 0 THEN sum(sy) {part} / {level} ELSE 1D END"
 
     spread = "all_n * all_stt - all_st * all_st"
-    slope = f"CASE WHEN {spread} > 0 THEN (all_n * all_sty - all_st * all_sy) / ({spread}) ELSE 0D END"
+    cross = "all_n * all_sty - all_st * all_sy"
+    slope = f"CASE WHEN {spread} > 0 THEN ({cross}) / ({spread}) ELSE 0D END"
     long_enough = f"datediff(cutoff, first_ds) + 1 >= {TWO_YEARS}"
     factor = "week * year"
     cells = (

@@ -27,7 +27,10 @@ def fill_calendar(daily: DataFrame) -> DataFrame:
     eve = F.date_sub(F.lead("ds").over(along), 1)
     stretched = daily.select("series_key", "ds", "y", F.coalesce(eve, F.col("ds")).alias("upto"))
     return stretched.select(
-        "series_key", F.col("ds").alias("seen"), "y", F.explode(F.sequence("ds", "upto")).alias("ds")
+        "series_key",
+        F.col("ds").alias("seen"),
+        "y",
+        F.explode(F.sequence("ds", "upto")).alias("ds"),
     ).select(
         "series_key",
         "ds",

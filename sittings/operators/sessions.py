@@ -173,12 +173,12 @@ def _mark_by_instant(placed: DataFrame, chain: DataFrame, tie_break: str | None)
     if tie_break is None:
         joined = _expand_copies(joined, placed.columns)
         is_first = is_first & (F.col("copy") == 0)
-    return (
-        joined.withColumn(
-            "prev_ts", F.when(is_first, F.col("before_ts")).otherwise(F.col("timestamp"))
-        )
-        .withColumn("new_session", F.when(is_first, F.col("opens")).otherwise(0))
-        .select(*[c for c in placed.columns if c != "cell"], "prev_ts", "new_session", "session_num")
+    prev_ts = F.when(is_first, F.col("before_ts")).otherwise(F.col("timestamp"))
+    return joined.select(
+        *[c for c in placed.columns if c != "cell"],
+        prev_ts.alias("prev_ts"),
+        F.when(is_first, F.col("opens")).otherwise(0).alias("new_session"),
+        "session_num",
     )
 
 

@@ -48,7 +48,9 @@ AT_END = "folds AS (SELECT series_key, hi AS cutoff FROM bounds)"
 
 
 def held_out(days: int) -> str:
-    return f"folds AS (SELECT series_key, hi - {days} AS cutoff FROM bounds WHERE hi - {days} >= lo)"
+    return f"""folds AS (
+  SELECT series_key, hi - {days} AS cutoff FROM bounds WHERE hi - {days} >= lo
+)"""
 
 
 def rolling(initial: int, period: int, horizon: int) -> str:
@@ -79,7 +81,8 @@ def ahead(horizon: int, history: bool = False) -> str:
 ahead AS (
   SELECT series_key, cutoff, lo, isodow(ds) - 1 AS dow, month(ds) AS mon, ds, ds - cutoff AS h
   FROM (SELECT series_key, cutoff, lo,
-               CAST(unnest(generate_series({start}, cutoff + {horizon}, INTERVAL 1 DAY)) AS DATE) AS ds
+               CAST(unnest(generate_series({start}, cutoff + {horizon}, INTERVAL 1 DAY)) AS DATE)
+                 AS ds
         FROM folds JOIN bounds USING (series_key))
 )"""
 
@@ -165,7 +168,8 @@ def _fitted(series: str, folds: str, horizon: int, names: list[str], history=Fal
 def _forecast(series: str, horizon: int, name: str, history: bool = False) -> str:
     return f"""{_fitted(series, AT_END, horizon, [name], history)}
 SELECT series_key, model, cutoff, ds, round(yhat, 6) + 0 AS yhat,
-       round(yhat - 1.2816 * sd, 6) + 0 AS yhat_lower, round(yhat + 1.2816 * sd, 6) + 0 AS yhat_upper
+       round(yhat - 1.2816 * sd, 6) + 0 AS yhat_lower,
+       round(yhat + 1.2816 * sd, 6) + 0 AS yhat_upper
 FROM runs"""
 
 
@@ -200,7 +204,8 @@ smoothed AS (
 EACH_DAY = """
 smoothed AS (SELECT series_key, model, horizon, n, mae, sqrt(mse) AS rmse FROM by_day)"""
 
-HEADLINE = "SELECT series_key, model, avg(mae) AS mae, avg(rmse) AS rmse FROM smoothed GROUP BY 1, 2"
+HEADLINE = """
+SELECT series_key, model, avg(mae) AS mae, avg(rmse) AS rmse FROM smoothed GROUP BY 1, 2"""
 
 ACCURACY = """
 SELECT series_key, model, avg(abs(y - yhat)) AS mae,
@@ -290,7 +295,8 @@ ORACLE = {
     "naive_cv": _tested(SEGMENT_SERIES, SEGMENT_FOLDS, 30, _NAIVE) + SCORED_ROWS,
     "naive_cv_users": _tested(USER_SERIES, USER_FOLDS, 7, _NAIVE) + SCORED_ROWS,
     "naive_cv_by_horizon": f"""{_tested(SEGMENT_SERIES, SEGMENT_FOLDS, 30, _NAIVE)}, {BY_HORIZON}
-        SELECT series_key, model, horizon, n, round(mae, 6) + 0 AS mae, round(sqrt(mse), 6) + 0 AS rmse
+        SELECT series_key, model, horizon, n, round(mae, 6) + 0 AS mae,
+               round(sqrt(mse), 6) + 0 AS rmse
         FROM by_day""",
     "naive_cv_by_horizon_smoothed": f"""{_tested(SEGMENT_SERIES, SEGMENT_FOLDS, 30, _NAIVE)},
         {BY_HORIZON}, {THREE_DAYS}
@@ -307,7 +313,8 @@ ORACLE = {
     "holdout_all_models": _tested(SEGMENT_SERIES, held_out(30), 30, _ALL) + SCORED_ROWS,
     "cv_all_models": f"""{_tested(SEGMENT_SERIES, SEGMENT_FOLDS, 30, _ALL)},
         {BY_HORIZON}, {THREE_DAYS}, {_nested(HEADLINE, "headline")}
-        SELECT series_key, model, round(mae, 6) + 0 AS mae, round(rmse, 6) + 0 AS rmse FROM headline""",
+        SELECT series_key, model, round(mae, 6) + 0 AS mae, round(rmse, 6) + 0 AS rmse
+        FROM headline""",
     "model_comparison": _comparison(SEGMENT_SERIES, 30, SEGMENT_FOLDS, THREE_DAYS),
     "model_comparison_users": _comparison(USER_SERIES, 7, USER_FOLDS, EACH_DAY),
     "validation_results": f"""WITH crossed AS (

@@ -85,7 +85,8 @@ def main() -> None:
         else:
             problems, what = [], f"{df.count()} rows, no SQL"
         failed += bool(problems)
-        print(f"{'BAD ' if problems else 'ok  '} {name} {time.time() - start:.2f}s {what}", *problems)
+        mark = "BAD " if problems else "ok  "
+        print(f"{mark} {name} {time.time() - start:.2f}s {what}", *problems)
     print("failed:", failed)
 
 

@@ -212,7 +212,10 @@ def trailing_means(errors, folds, horizon, share):
     return out
 
 
-@pytest.mark.parametrize(("folds", "horizon", "share"), [(3, 10, 0.1), (4, 10, 0.25), (5, 7, 0.1), (3, 7, 0.5), (2, 5, 1.0), (3, 4, 0.0)])
+@pytest.mark.parametrize(
+    ("folds", "horizon", "share"),
+    [(3, 10, 0.1), (4, 10, 0.25), (5, 7, 0.1), (3, 7, 0.5), (2, 5, 1.0), (3, 4, 0.0)],
+)
 def test_smoothing(spark, folds, horizon, share):
     rng = random.Random(7)
     rows, absolute, squared = [], {}, {}

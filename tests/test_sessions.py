@@ -13,7 +13,9 @@ from sittings.operators.sessions import COPIES_PER_CHUNK, session_table, session
 from sittings.sources.plays import clean_plays, read_plays_parquet
 
 T0 = datetime(2024, 1, 1)
-SCHEMA = "event_id bigint, user_id string, timestamp timestamp, artist_name string, track_name string"
+SCHEMA = (
+    "event_id bigint, user_id string, timestamp timestamp, artist_name string, track_name string"
+)
 
 
 def log(spark, plays):
