@@ -7,7 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sittings.llm import minhash, substring, suffix
+from sittings.llm import (
+    classifier,
+    decontaminate,
+    line_quality,
+    minhash,
+    packing,
+    sharding,
+    substring,
+    suffix,
+)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +27,15 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), percent=85)
 
 
+def op2_bin_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_table(spark, sf_dir, "documents"))
+
+
+def op3_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    verdicts = line_quality.quality(_table(spark, sf_dir, "documents"))
+    return verdicts.drop("digest", "common_lines")
+
+
 def op4_seed_extend(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = substring.remove_repeats(_table(spark, sf_dir, "documents"))
     digest = F.sha2("text", 256).alias("kept_sha256")
@@ -35,8 +53,35 @@ def op5_suffix_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    return classifier.classify(docs, labels).select("doc_id", "held_out", "score", "predicted")
+
+
+def op8_lookup_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.place(_table(spark, sf_dir, "documents"), ["doc_id"])
+    return placed.select("doc_id", "source", "slot", "shard")
+
+
+def op9_inverted_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, benchmark = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")
+    return decontaminate.contamination(docs, benchmark).select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("item_ids").cast("long").alias("n_items"),
+        F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"),
+        "contaminated",
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash": op1_minhash,
+    "op2_bin_completion": op2_bin_completion,
+    "op3_line_frequency": op3_line_frequency,
     "op4_seed_extend": op4_seed_extend,
     "op5_suffix_sort": op5_suffix_sort,
+    "op7_rule_ensemble": op7_rule_ensemble,
+    "op8_lookup_sharding": op8_lookup_sharding,
+    "op9_inverted_index": op9_inverted_index,
 }
