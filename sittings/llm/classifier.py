@@ -61,18 +61,23 @@ END = _table(b".!?\"':;")
 
 def statistics(docs: DataFrame) -> DataFrame:
     """doc_id and one double column for each of STATISTICS."""
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    return _with_statistics(rows, "doc_id long")
+
+
+def _with_statistics(rows: DataFrame, first: str) -> DataFrame:
+    """The first of two columns, described by `first`, and the statistics of the second."""
+    name = first.split(" ")[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in spans.slices(batch.column(1)):
                 values = _statistics(piece)
-                ids = batch.column(0).slice(piece.first, piece.last - piece.first)
-                columns = [ids, *[pa.array(values[n].astype(float)) for n in STATISTICS]]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", *STATISTICS])
+                kept = batch.column(0).slice(piece.first, piece.last - piece.first)
+                columns = [kept, *[pa.array(values[n].astype(float)) for n in STATISTICS]]
+                yield pa.RecordBatch.from_arrays(columns, names=[name, *STATISTICS])
 
-    schema = "doc_id long, " + ", ".join(f"{n} double" for n in STATISTICS)
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(run, first + "".join(f", {n} double" for n in STATISTICS))
 
 
 def _statistics(piece: spans.Slice) -> dict[str, np.ndarray]:
@@ -230,3 +235,14 @@ def classify(
     scored = numbers.withColumn("held_out", F.coalesce(remainder(F.col("doc_id")) == 0, F.lit(False)))
     scored = scored.withColumn("score", model.score())
     return scored.withColumn("predicted", F.when(F.col("score") >= threshold, 1).otherwise(0))
+
+
+def accepted(
+    docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **options
+) -> DataFrame:
+    """The rows of documents that score at least `threshold`, unshuffled."""
+    model = learn(settle(statistics(docs), "statistics"), labels, **options)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    rows = docs.select(row, F.col("text").cast("string").alias("text"))
+    scored = _with_statistics(rows, f"row {rows.schema['row'].dataType.simpleString()}")
+    return scored.filter(model.score() >= threshold).select("row.*")

@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 from sittings.llm import (
     classifier,
     decontaminate,
+    license,
     line_quality,
     minhash,
     packing,
+    pii,
     sharding,
     substring,
     suffix,
@@ -53,6 +55,16 @@ def op5_suffix_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_license_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license.licenses(_table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        F.size("found").cast("long").alias("n_licenses"),
+        F.array_join("found.license", ",").alias("licenses"),
+        F.array_join(F.transform("found.common", lambda n: n.cast("string")), ",").alias("shingles"),
+    )
+
+
 def op7_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
     return classifier.classify(docs, labels).select("doc_id", "held_out", "score", "predicted")
@@ -75,13 +87,20 @@ def op9_inverted_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    replaced = pii.replace(_table(spark, sf_dir, "documents"))
+    return replaced.select("doc_id", "n_entities", "text")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash": op1_minhash,
     "op2_bin_completion": op2_bin_completion,
     "op3_line_frequency": op3_line_frequency,
     "op4_seed_extend": op4_seed_extend,
     "op5_suffix_sort": op5_suffix_sort,
+    "op6_license_bands": op6_license_bands,
     "op7_rule_ensemble": op7_rule_ensemble,
     "op8_lookup_sharding": op8_lookup_sharding,
     "op9_inverted_index": op9_inverted_index,
+    "op10_surrogates": op10_surrogates,
 }
