@@ -16,28 +16,19 @@ from sittings.operators.sessions import (
 TOP_SESSIONS = 50
 TOP_SONGS = 10
 
-# Above this many chosen sessions the plays are matched by a shuffle join instead.
-BROADCAST_SESSIONS = 10_000
-
 
 def top_sessions(sessions: DataFrame, n: int = TOP_SESSIONS) -> DataFrame:
     """The n sessions with the most plays; ties go by user and session number."""
     return sessions.orderBy(F.desc("track_count"), "user_id", "session_num").limit(n)
 
 
-def plays_in(plays: DataFrame, chosen: DataFrame, n: int, gap: int = GAP_SECONDS) -> DataFrame:
-    """Plays that belong to one of the n `chosen` sessions.
+def plays_in(plays: DataFrame, chosen: DataFrame, gap: int = GAP_SECONDS) -> DataFrame:
+    """Plays that belong to one of the `chosen` sessions.
 
-    Sessions of one user never overlap, so a play belongs to the one whose time
-    span holds it. Plays therefore need no session number of their own: the few
-    spans are broadcast and the plays are filtered where they are read.
+    Plays of one cell share a session and the sessions of a user never overlap, so a play
+    belongs to the chosen session that covers its cell and needs no session number of its own.
+    Adaptive execution broadcasts the cells if they are few.
     """
-    if n <= BROADCAST_SESSIONS:
-        spans = chosen.select(F.col("user_id").alias("span_user"), "start_ts", "end_ts")
-        inside = (F.col("user_id") == F.col("span_user")) & F.col("timestamp").between(
-            F.col("start_ts"), F.col("end_ts")
-        )
-        return plays.join(F.broadcast(spans), inside, "left_semi")
     width = cell_width(gap)
     first, last = cell_start(F.col("start_ts"), width), cell_start(F.col("end_ts"), width)
     cells = chosen.select(
@@ -69,7 +60,7 @@ def top_songs(
     plays: DataFrame, gap: int = GAP_SECONDS, sessions: int = TOP_SESSIONS, songs: int = TOP_SONGS
 ) -> DataFrame:
     chosen = top_sessions(session_table(plays, gap), sessions)
-    return rank_songs(plays_in(plays, chosen, sessions, gap), songs)
+    return rank_songs(plays_in(plays, chosen, gap), songs)
 
 
 def user_session_counts(plays: DataFrame, gap: int = GAP_SECONDS) -> DataFrame:

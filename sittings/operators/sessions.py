@@ -23,10 +23,12 @@ from sittings.functions.clock import cell_start, gap_seconds as seconds_between
 GAP_SECONDS = 20 * 60
 MAX_CELL_SECONDS = 3600
 
-# A cell with more plays than this is hot: its plays are not brought together.
-HOT_CELL_PLAYS = 1_000_000
+# Rows a task makes at a time when copies of a row are written out again.
 COPIES_PER_CHUNK = 100_000
 
+# Parts in which the plays of one instant are ordered before their firsts are compared.
+PARTS = 256
+
 
 def cell_width(gap: int) -> int:
     return min(gap + 1, MAX_CELL_SECONDS)
@@ -43,6 +45,11 @@ def numbered_cells(plays: DataFrame, gap: int = GAP_SECONDS) -> DataFrame:
         F.min("timestamp").alias("first_ts"),
         F.max("timestamp").alias("last_ts"),
     )
+    return _chained(cells, gap)
+
+
+def _chained(cells: DataFrame, gap: int) -> DataFrame:
+    """Cells (with first_ts and last_ts) with the last instant before them and session numbers."""
     by_user = Window.partitionBy("user_id").orderBy("cell")
     since = seconds_between(F.col("first_ts"), F.col("prev_cell_ts"))
     return (
@@ -82,26 +89,29 @@ def sessionize(
 ) -> DataFrame:
     """Every (clean) play with prev_ts, gap, new_session, session_num and session_id.
 
-    Plays at the same instant are ordered by `tie_break`, a column unique among
-    them, or else by their other columns; exact copies are interchangeable.
+    Plays at the same instant are ordered by `tie_break`, then by their other columns, NULL
+    first; exact copies are interchangeable.
 
-    A play's predecessor is sought within its cell, and the cell's first play takes
-    it from the chain of cells. Ordinary cells are small enough to sort. Plays of hot
-    cells go another way; without any, adaptive execution drops that branch.
+    All but the first play of an instant follow it at gap 0. So the instants are marked, each
+    with its predecessor in its cell or in the chain of cells, and the plays take their
+    instant's marks by a join on (user, instant), between shuffles that Spark adds itself,
+    which adaptive execution splits where one instant is hot. Only instants of several
+    plays need an order; where there are none, adaptive execution drops that branch.
     """
     columns = plays.columns
-    placed = plays.withColumn("cell", _cell(gap))
-    cells = numbered_cells(plays, gap)
-    # Each hot cell stands for over HOT_CELL_PLAYS rows, which bounds this broadcast.
-    hot = F.broadcast(cells.filter(F.col("plays") > HOT_CELL_PLAYS).select("user_id", "cell"))
-    chain = cells.select("user_id", "cell", "prev_cell_ts", "opens", "session_num")
-    order = [tie_break] if tie_break else _rest(columns)
-
-    by_cell = _mark_by_window(placed.join(hot, ["user_id", "cell"], "left_anti"), chain, order)
-    by_instant = _mark_by_instant(
-        placed.join(hot, ["user_id", "cell"], "left_semi"), chain, tie_break
+    marks = _marked_instants(plays, gap)
+    joined = plays.join(marks, ["user_id", "timestamp"])
+    # An instant has no more plays than its cell. That both counts are used keeps the aggregate
+    # below alike for instants and cells, so that one scan and shuffle serves them.
+    at_instant = F.least("plays_at", "plays")
+    single = joined.filter(at_instant == 1).select(
+        *columns,
+        F.col("before_ts").alias("prev_ts"),
+        F.col("opens").alias("new_session"),
+        "session_num",
     )
-    return by_cell.unionByName(by_instant).select(
+    tied = _order_ties(joined.filter(at_instant > 1), columns, tie_break)
+    return single.unionByName(tied).select(
         *columns,
         "prev_ts",
         seconds_between(F.col("timestamp"), F.col("prev_ts")).alias("gap"),
@@ -111,72 +121,59 @@ def sessionize(
     )
 
 
-def _rest(columns: list[str]) -> list[str]:
-    return [c for c in columns if c not in ("user_id", "timestamp", "cell")]
-
-
-def _mark_by_window(placed: DataFrame, chain: DataFrame, order: list[str]) -> DataFrame:
-    in_cell = Window.partitionBy("user_id", "cell").orderBy("timestamp", *order)
-    starts_cell = F.col("lag_ts").isNull()
-    return (
-        placed.withColumn("lag_ts", F.lag("timestamp").over(in_cell))
-        .join(chain, ["user_id", "cell"])
-        .withColumn("prev_ts", F.coalesce("lag_ts", "prev_cell_ts"))
-        .withColumn("new_session", F.when(starts_cell, F.col("opens")).otherwise(0))
-        .drop("cell", "lag_ts", "prev_cell_ts", "opens")
+def _marked_instants(plays: DataFrame, gap: int) -> DataFrame:
+    """Every instant's plays, its predecessor, whether it opens a session, and its number."""
+    instants = (
+        plays.groupBy("user_id", _cell(gap).alias("cell"), "timestamp")
+        .agg(F.count("*").alias("plays_at"))
+        .filter("user_id IS NOT NULL AND cell IS NOT NULL")
+    )
+    in_cell = Window.partitionBy("user_id", "cell").orderBy("timestamp")
+    lagged = instants.withColumn("lag_ts", F.lag("timestamp").over(in_cell))
+    chain = _chained(
+        lagged.groupBy("user_id", "cell").agg(
+            F.sum("plays_at").alias("plays"),
+            F.min("timestamp").alias("first_ts"),
+            F.max("timestamp").alias("last_ts"),
+        ),
+        gap,
+    ).select("user_id", "cell", "plays", "prev_cell_ts", "opens", "session_num")
+    return lagged.join(chain, ["user_id", "cell"]).select(
+        "user_id",
+        "timestamp",
+        "plays_at",
+        "plays",
+        F.coalesce("lag_ts", "prev_cell_ts").alias("before_ts"),
+        F.when(F.col("lag_ts").isNull(), F.col("opens")).otherwise(0).alias("opens"),
+        "session_num",
     )
 
 
-def _mark_by_instant(placed: DataFrame, chain: DataFrame, tie_break: str | None) -> DataFrame:
-    """The same through distinct instants, of which map-side combining leaves few.
+def _order_ties(tied: DataFrame, columns: list[str], tie_break: str | None) -> DataFrame:
+    """Plays of instants that hold several: the first takes the instant's marks.
 
-    An instant's predecessor is sought within its second, else among the seconds of
-    its cell, else in the chain of cells, so no window spans more than the million
-    instants of a second. It belongs to the instant's first play; the others follow at
-    gap 0. It is joined back by (user, instant), between shuffles that Spark adds
-    itself, the only kind adaptive execution splits where one instant is hot.
+    Copies travel as one row and are told apart again at the end. Fractions are compared by
+    their text too, as 0.0 and -0.0 are equal to Spark but not the same.
     """
-    if tie_break is None:
-        # Copies travel as one row and are told apart again after the join.
-        rows = placed.groupBy(*placed.columns).agg(F.count("*").alias("copies"))
-        order = F.struct(*_rest(placed.columns))
-    else:
-        rows, order = placed, F.col(tie_break)
-    second = F.unix_timestamp("timestamp").alias("second")
-    instants = placed.groupBy("user_id", "cell", second, "timestamp").agg(
-        F.min(order).alias("first_row")
-    )
-    in_second = Window.partitionBy("user_id", "second").orderBy("timestamp")
-    in_cell = Window.partitionBy("user_id", "cell").orderBy("second")
-    seconds = (
-        placed.groupBy("user_id", "cell", second)
-        .agg(F.max("timestamp").alias("last_ts"))
-        .withColumn("prev_second_ts", F.lag("last_ts").over(in_cell))
-        .join(chain, ["user_id", "cell"])
-        .drop("cell", "last_ts")
-    )
-    starts_cell = F.col("lag_ts").isNull() & F.col("prev_second_ts").isNull()
-    marks = (
-        instants.withColumn("lag_ts", F.lag("timestamp").over(in_second))
-        .join(seconds, ["user_id", "second"])
-        .select(
-            "user_id",
-            "timestamp",
-            "first_row",
-            "session_num",
-            F.coalesce("lag_ts", "prev_second_ts", "prev_cell_ts").alias("before_ts"),
-            F.when(starts_cell, F.col("opens")).otherwise(0).alias("opens"),
-        )
-    )
-    joined = rows.join(marks, ["user_id", "timestamp"])
-    is_first = order.eqNullSafe(F.col("first_row"))
-    if tie_break is None:
-        joined = _expand_copies(joined, placed.columns)
-        is_first = is_first & (F.col("copy") == 0)
-    prev_ts = F.when(is_first, F.col("before_ts")).otherwise(F.col("timestamp"))
-    return joined.select(
-        *[c for c in placed.columns if c != "cell"],
-        prev_ts.alias("prev_ts"),
+    kinds = dict(tied.select(columns).dtypes)
+    inexact = [c for c in columns if kinds[c] in ("double", "float")]
+    keyed = tied.withColumns({c: F.col(c).cast("string") for c in inexact})
+    rows = keyed.groupBy(*tied.columns).agg(F.count("*").alias("copies"))
+    rest = [c for c in columns if c not in ("user_id", "timestamp", tie_break)]
+    order = []
+    for c in [*([tie_break] if tie_break else []), *rest]:
+        order += [F.col(c).cast(kinds[c]), F.col(c)] if c in inexact else [F.col(c)]
+    # The first of each part, then the first of those; the others are spread by their part.
+    part = F.pmod(F.xxhash64(*columns), F.lit(PARTS))
+    in_part = Window.partitionBy("user_id", "timestamp", "part").orderBy(*order, F.lit(0))
+    rows = rows.withColumn("part", part).withColumn("in_part", F.row_number().over(in_part))
+    rows = rows.withColumn("part", F.when(F.col("in_part") == 1, -1).otherwise(F.col("part")))
+    rows = rows.withColumn("place", F.row_number().over(in_part))
+    spread = _expand_copies(rows, tied.columns)
+    is_first = (F.col("part") == -1) & (F.col("place") == 1) & (F.col("copy") == 0)
+    return spread.select(
+        *[F.col(c).cast(kinds[c]).alias(c) if c in inexact else c for c in columns],
+        F.when(is_first, F.col("before_ts")).otherwise(F.col("timestamp")).alias("prev_ts"),
         F.when(is_first, F.col("opens")).otherwise(0).alias("new_session"),
         "session_num",
     )

@@ -117,6 +117,12 @@ ORACLE = {
         SELECT "timestamp", artist_name, track_name, user_id, prev_ts, gap, new_session,
                session_num, user_id || '_' || session_num AS session_id
         FROM sessionized""",
+    "sessionize_null_ties": f"""WITH untied AS (WITH {ORDER_PLAYS} SELECT * FROM plays),
+        plays AS (SELECT *, CASE WHEN event_id % 3 <> 0 THEN event_id % 2 END AS tie FROM untied),
+        {sessionized(1200, "tie NULLS FIRST, event_id")}
+        SELECT event_id, tie, "timestamp", artist_name, track_name, user_id, prev_ts, gap,
+               new_session, session_num, user_id || '_' || session_num AS session_id
+        FROM sessionized""",
     "session_table": _with_sessions(
         1200, "SELECT *, user_id || '_' || session_num AS session_id FROM sessions"
     ),

@@ -57,6 +57,13 @@ def sessionize_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sessions.sessionize(fixtures.order_plays(spark, sf_dir).drop("event_id"))
 
 
+def sessionize_null_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The column that orders ties is NULL on some plays and alike on others."""
+    tie = F.when(F.col("event_id") % 3 != 0, F.col("event_id") % 2).alias("tie")
+    plays = fixtures.order_plays(spark, sf_dir)
+    return sessions.sessionize(plays.select("*", tie), tie_break="tie")
+
+
 def session_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = sessions.session_table(fixtures.event_plays(spark, sf_dir))
     return table.withColumn("session_id", sessions.session_id())
@@ -101,6 +108,7 @@ QUERIES = {
         sessionize_6h,
         sessionize_ties,
         sessionize_copies,
+        sessionize_null_ties,
         session_table,
         sessions_of_gappy_log,
         top_sessions,

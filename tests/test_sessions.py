@@ -8,7 +8,7 @@ from datetime import datetime, timedelta
 
 import pytest
 
-from sittings.operators import ranking, sessions
+from sittings.operators import ranking
 from sittings.operators.sessions import COPIES_PER_CHUNK, session_table, sessionize
 from sittings.sources.plays import clean_plays, read_plays_parquet
 
@@ -87,11 +87,9 @@ def random_log(spark, seed, n=600):
     return log(spark, plays)
 
 
-@pytest.mark.parametrize("hot", [0, 5, 100])
 @pytest.mark.parametrize("gap", [1, 1200, 21600])
-def test_hot_cells_match_walk(spark, monkeypatch, gap, hot):
-    monkeypatch.setattr(sessions, "HOT_CELL_PLAYS", hot)
-    plays = random_log(spark, gap + hot, 300)
+def test_hot_instants_match_walk(spark, gap):
+    plays = random_log(spark, gap, 300)
     want = by_hand(plays.collect(), gap)
     assert marks(sessionize(plays, gap, "event_id")) == want
     without_id = sessionize(plays.drop("event_id"), gap).collect()
@@ -134,22 +132,13 @@ def test_random_log_matches_walk(spark, gap):
     assert [r["rank"] for r in got] == list(range(1, len(ranked) + 1))
 
 
-def test_many_chosen_sessions_use_the_cell_join(spark, monkeypatch):
-    plays = random_log(spark, 5)
-    want = ranking.top_songs(plays, sessions=30).collect()
-    monkeypatch.setattr(ranking, "BROADCAST_SESSIONS", 0)
-    assert ranking.top_songs(plays, sessions=30).collect() == want
-
-
 def test_larger_gap_never_splits_more(spark):
     plays = random_log(spark, 9)
     counts = [session_table(plays, gap).count() for gap in (60, 600, 1200, 7200)]
     assert counts == sorted(counts, reverse=True)
 
 
-@pytest.mark.parametrize("hot", [0, 1_000_000])
-def test_without_row_id_copies_are_kept(spark, monkeypatch, hot):
-    monkeypatch.setattr(sessions, "HOT_CELL_PLAYS", hot)
+def test_without_row_id_copies_are_kept(spark):
     rows = [("u", 0, "a")] * 3 + [("u", 0, "b")] * 2 + [("u", 1201, "a")] * 2
     plays = log(spark, rows).drop("event_id")
     got = sessionize(plays)
@@ -160,8 +149,34 @@ def test_without_row_id_copies_are_kept(spark, monkeypatch, hot):
     assert Counter(r.session_num for r in got.collect()) == {1: 5, 2: 2}
 
 
-def test_more_copies_than_a_chunk(spark, monkeypatch):
-    monkeypatch.setattr(sessions, "HOT_CELL_PLAYS", 1000)
+def null_first(value):
+    return (value is not None, value if value is not None else 0)
+
+
+def test_order_of_ties(spark):
+    """NULL before values, then the other columns; equal rows and both zeros are kept."""
+    rng = random.Random(11)
+    rows = [
+        ("u", T0 + timedelta(seconds=rng.choice([0, 600, 5000])), rng.choice([None, 1, 2]),
+         rng.choice([0.0, -0.0, 1.5, None]), rng.choice(["a", "b", None]))
+        for _ in range(200)
+    ]
+    schema = "user_id string, timestamp timestamp, tie int, x double, y string"
+    got = sessionize(spark.createDataFrame(rows, schema), tie_break="tie").collect()
+    want, prev, number = Counter(), None, 0
+    order = lambda r: (r[1], null_first(r[2]), null_first(r[3]), str(r[3]), null_first(r[4]) if r[4] is None else (True, r[4]))  # noqa: E731,E501
+    for r in sorted(rows, key=lambda r: tuple(map(str, order(r)))):
+        opens = int(prev is None or floored(r[1]) - floored(prev) > 1200)
+        number += opens
+        want[(*map(str, r), str(prev), opens, number)] += 1
+        prev = r[1]
+    assert want == Counter(
+        (*map(str, (r.user_id, r.timestamp, r.tie, r.x, r.y)), str(r.prev_ts), r.new_session, r.session_num)
+        for r in got
+    )
+
+
+def test_more_copies_than_a_chunk(spark):
     n = 2 * COPIES_PER_CHUNK + 7
     plays = spark.range(n).selectExpr(
         "'u' AS user_id", "timestamp'2024-01-01' AS timestamp", "'a' AS artist_name",
@@ -184,9 +199,8 @@ def test_dropped_plays_are_spanned(spark):
     assert got == {0: (None, None, 1, 1), 2: (T0, 1500, 1, 2)}
 
 
-def test_hot_instant_is_split_by_adaptive_execution(spark, monkeypatch):
+def test_hot_instant_is_split_by_adaptive_execution(spark):
     """A user's instant with a third of the rows does not end in one join task."""
-    monkeypatch.setattr(sessions, "HOT_CELL_PLAYS", 10)
     plays = spark.range(300_000).selectExpr(
         "id AS event_id",
         "CASE WHEN id % 3 = 0 THEN 'hot' ELSE string(id % 500) END AS user_id",
