@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,15 +29,17 @@ def protocols(daily: DataFrame, test: Origins, folds: Origins) -> DataFrame:
     return bounds(daily).selectExpr("series_key", f"inline(concat({', '.join(roles)}))")
 
 
-def for_every_series(metrics: DataFrame, daily: DataFrame, models: list[str]) -> DataFrame:
+def for_every_series(
+    results: DataFrame, daily: DataFrame, models: list[str], protocols: list[str] | None = None
+) -> DataFrame:
     """Add a row of NULLs where a series is too short for a model's test."""
-    protocol = F.explode(F.array(F.lit(HOLDOUT), F.lit(CROSS_VALIDATION)))
-    expected = (
-        bounds(daily)
-        .select("series_key", F.explode(F.array(*[F.lit(m) for m in models])).alias("model"))
-        .withColumn("protocol", protocol)
+    expected = bounds(daily).select(
+        "series_key", F.explode(F.array(*[F.lit(m) for m in models])).alias("model")
     )
-    return expected.join(metrics, ["series_key", "model", "protocol"], "left")
+    if protocols:
+        each = F.explode(F.array(*[F.lit(p) for p in protocols])).alias("protocol")
+        expected = expected.select("*", each)
+    return expected.join(results, expected.columns, "left").select(*results.columns)
 
 
 def _errors() -> tuple[Column, Column]:
@@ -63,36 +63,49 @@ def horizon_errors(scored: DataFrame, *by: str) -> DataFrame:
     )
 
 
-def smooth(errors: DataFrame, horizon: int, rolling_window: float, *by: str) -> DataFrame:
+def smooth(errors: DataFrame, rolling_window: float, *by: str) -> DataFrame:
     """Add MAE and RMSE per horizon, smoothed over a trailing share of the rows.
 
     With `rolling_window` w, a horizon's metrics cover the last w of all its run's
     rows up to that horizon, a horizon that fits only in part counting by that part;
-    they are NULL for horizons with fewer rows behind them. Every horizon has one row
-    per fold, which makes the number of whole horizons a constant.
+    they are NULL for horizons with fewer rows behind them. A run has one entry per day ahead.
     """
-    whole = math.floor(rolling_window * horizon + 1e-9)
-    if whole < 1:
-        return errors.withColumns({"mae": F.col("abs"), "rmse": F.sqrt("sq")})
-    along = Window.partitionBy(*by, *RUN).orderBy("horizon")
-    frame = along.rowsBetween(1 - whole, 0)
-    rows = F.floor(F.col("n") * horizon * rolling_window + 1e-9)
-    part = rows / F.col("n") - whole
-    reached = F.row_number().over(along) * F.col("n") >= rows
+    day = F.struct("horizon", "n", "abs", "sq")
+    runs = errors.groupBy(*by, *RUN).agg(
+        F.array_sort(F.collect_list(day)).alias("days"), F.sum("n").alias("rows")
+    )
+    wanted = F.greatest(F.floor(F.col("rows") * rolling_window + 1e-9), F.lit(1))
+
+    def trailing(day: Column, at: Column) -> Column:
+        """Of the rows up to a day, from the last back, as many as wanted."""
 
-    def trailing(name: str) -> Column:
-        older = F.coalesce(F.lag(name, whole).over(along), F.lit(0.0))
-        return F.when(reached, (F.sum(name).over(frame) + part * older) / (whole + part))
+        def take(seen: Column, day: Column) -> Column:
+            n = F.least(seen["left"], day["n"])
+            return F.struct(
+                (seen["left"] - n).alias("left"),
+                (seen["abs"] + n * F.coalesce(day["abs"], F.lit(0.0))).alias("abs"),
+                (seen["sq"] + n * F.coalesce(day["sq"], F.lit(0.0))).alias("sq"),
+            )
 
-    return errors.withColumns({"mae": trailing("abs"), "rmse": F.sqrt(trailing("sq"))})
+        start = F.struct(
+            wanted.cast("long").alias("left"), F.lit(0.0).alias("abs"), F.lit(0.0).alias("sq")
+        )
+        back = F.reverse(F.slice("days", F.lit(1), at + 1))
+        found = F.aggregate(back, start, take)
+        whole = found["left"] == 0
+        return F.struct(
+            *[day[c].alias(c) for c in ("horizon", "n", "abs", "sq")],
+            F.when(whole, found["abs"] / wanted).alias("mae"),
+            F.when(whole, F.sqrt(found["sq"] / wanted)).alias("rmse"),
+        )
 
+    return runs.select(*by, *RUN, F.inline(F.transform("days", trailing)))
 
-def accuracy_by_horizon(
-    scored: DataFrame, horizon: int, rolling_window: float = 0.0
-) -> DataFrame:
+
+def accuracy_by_horizon(scored: DataFrame, rolling_window: float = 0.0) -> DataFrame:
     """MAE and RMSE per days ahead, without the horizons that smoothing leaves out."""
     return (
-        smooth(horizon_errors(scored), horizon, rolling_window)
+        smooth(horizon_errors(scored), rolling_window)
         .filter(F.col("mae").isNotNull())
         .select(*RUN, "horizon", "n", "mae", "rmse")
     )
@@ -105,7 +118,6 @@ def headline(by_horizon: DataFrame) -> DataFrame:
 
 def compare(
     scored: DataFrame,
-    horizon: int,
     rolling_window: float = 0.0,
     baseline: str = "weekday_mean",
 ) -> DataFrame:
@@ -117,7 +129,7 @@ def compare(
     held = F.col("protocol") == HOLDOUT
     days = F.sum("n")
     metrics = (
-        smooth(horizon_errors(scored, "protocol"), horizon, rolling_window, "protocol")
+        smooth(horizon_errors(scored, "protocol"), rolling_window, "protocol")
         .groupBy("protocol", *RUN)
         .agg(
             F.when(held, F.sum(F.col("n") * F.col("abs")) / days)

@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 
 from sittings.operators.origins import Origins, learn, with_calendar
 
-TWO_YEARS = 730
-FOLD = ["series_key", "first_ds", "cutoff"]
-BY_FOLD = "PARTITION BY series_key, first_ds, cutoff"
+# A month's index counts in full against so many days of index 1.
+MONTH_DAYS = 30
+FOLD = ["series_key", "first_ds", "base", "cutoff"]
+BY_FOLD = "PARTITION BY series_key, first_ds, base, cutoff"
 
 # Two-sided 80 % point of the normal distribution.
 Z80 = 1.2816
@@ -72,19 +73,24 @@ def weekday_mean(
         "weekday_mean",
         horizon,
         history,
-        yhat="get(profile, weekday(ds))",
+        yhat="base + get(profile, weekday(ds))",
         sd=_sample_sd("n", "0", "sse"),
     )
 
 
 def seasonal_trend(
-    daily: DataFrame, origins: Origins, horizon: int, history: bool = False
+    daily: DataFrame,
+    origins: Origins,
+    horizon: int,
+    history: bool = False,
+    yearly: bool = True,
 ) -> DataFrame:
-    """Linear trend times a weekday index times a month index.
+    """Linear trend times a weekday index times (with `yearly`) a month index.
 
     The trend is the least-squares line. An index is the ratio of what was observed
     on its days to what the factors before it explain there, so it follows from sums
-    per (month, weekday) alone. The month index needs two years of history.
+    per (month, weekday) alone. A month's index is drawn towards 1 by MONTH_DAYS days of
+    it, so that it gains weight with the days it rests on.
     """
     sums = {
         "n": "sum(1D)",
@@ -98,26 +104,26 @@ def seasonal_trend(
     def index(explained: str, over: str) -> str:
         part = f"OVER ({BY_FOLD}, {over})"
         level = f"sum({explained}) {part}"
-        return f"CASE WHEN {level} > 0 THEN sum(sy) {part} / {level} ELSE 1D END"
+        return f"CASE WHEN {level} > 0 THEN sum(sy + base * n) {part} / {level} ELSE 1D END"
 
     spread = "all_n * all_stt - all_st * all_st"
     cross = "all_n * all_sty - all_st * all_sy"
     slope = f"CASE WHEN {spread} > 0 THEN ({cross}) / ({spread}) ELSE 0D END"
-    long_enough = f"datediff(cutoff, first_ds) + 1 >= {TWO_YEARS}"
-    factor = "week * year"
+    month_days = f"sum(n) OVER ({BY_FOLD}, month)"
+    share = f"{month_days} / ({month_days} + {MONTH_DAYS})" if yearly else "0D"
     cells = (
         learn(with_calendar(daily), origins, ["month", "dow"], sums)
         .selectExpr(
             "*", *[f"sum({c}) OVER ({BY_FOLD}) AS all_{c}" for c in ("n", "st", "stt", "sy", "sty")]
         )
         .selectExpr("*", f"{slope} AS slope")
-        .selectExpr("*", "(all_sy - slope * all_st) / all_n AS intercept")
+        .selectExpr("*", "base + (all_sy - slope * all_st) / all_n AS intercept")
         .selectExpr("*", "intercept * n + slope * st AS line")
         .selectExpr("*", f"{index('line', 'dow')} AS week")
         .selectExpr("*", "week * line AS weekly")
-        .selectExpr(
-            "*", f"CASE WHEN {long_enough} THEN {index('weekly', 'month')} ELSE 1D END AS year"
-        )
+        .selectExpr("*", f"1D + {share} * ({index('weekly', 'month')} - 1D) AS year")
+        # What the model leaves of a day's value is v + gap - drift * t.
+        .selectExpr("*", "base - week * year * intercept AS gap", "week * year * slope AS drift")
     )
     params = _fold(
         cells,
@@ -126,12 +132,10 @@ def seasonal_trend(
         weeks=_by_position("dow", "week", 7),
         years=_by_position("month", "year", 12, first=1),
         n="sum(n)",
-        # Sums of the residual y - trend * factor and of its square.
-        residual=f"sum(sy - {factor} * line)",
-        squares=f"""sum(
-            syy - 2 * {factor} * (intercept * sy + slope * sty)
-            + {factor} * {factor} * (
-                intercept * intercept * n + 2 * intercept * slope * st + slope * slope * stt))""",
+        residual="sum(sy + gap * n - drift * st)",
+        squares="""sum(
+            syy + gap * gap * n + drift * drift * stt
+            + 2 * gap * sy - 2 * drift * sty - 2 * gap * drift * st)""",
     )
     return _over_days(
         params,
@@ -196,13 +200,12 @@ def seasonal_ar1(daily: DataFrame, origins: Origins, horizon: int) -> DataFrame:
         rs="sum(pvu - p * pv - m * pu + m * p * pairs)",
         ss="sum(puu - 2 * p * pu + p * p * pairs)",
         rr="sum(pvv - 2 * m * pv + m * m * pairs)",
-        scale="sum(puu) + 1",
         last_residual="max(CASE WHEN seen = cutoff THEN tail - m END)",
     )
     var = "(ss - s * s / n)"
     slope = f"least(1D, greatest(-1D, (rs - r * s / n) / {var}))"
     params = moments.selectExpr(
-        "*", f"CASE WHEN n > 1 AND {var} > 1e-9 * scale THEN {slope} ELSE 0D END AS phi"
+        "*", f"CASE WHEN n > 1 AND {var} > 0 THEN {slope} ELSE 0D END AS phi"
     )
     step_sd = _sample_sd("n", "r - phi * s", "rr - 2 * phi * rs + phi * phi * ss")
     growth = "CASE WHEN phi * phi < 1 THEN (1 - pow(phi * phi, h)) / (1 - phi * phi) ELSE h END"
@@ -211,7 +214,7 @@ def seasonal_ar1(daily: DataFrame, origins: Origins, horizon: int) -> DataFrame:
         "seasonal_ar1",
         horizon,
         False,
-        yhat="get(profile, weekday(ds)) + pow(phi, h) * last_residual",
+        yhat="base + get(profile, weekday(ds)) + pow(phi, h) * last_residual",
         sd=f"({step_sd}) * sqrt({growth})",
     )
 

@@ -71,7 +71,11 @@ def cutoffs(daily: DataFrame, origins: Origins) -> DataFrame:
 
 
 def with_calendar(daily: DataFrame) -> DataFrame:
-    """Dense series with its bounds and the fields models use: day number t, value v."""
+    """Dense series with its bounds and the fields models use: day number t, value v.
+
+    Values are taken from the series' mean `base`, which changes no estimate but keeps sums of
+    squares from cancelling where the level is large.
+    """
     return daily.selectExpr(
         "series_key",
         "ds",
@@ -79,8 +83,9 @@ def with_calendar(daily: DataFrame) -> DataFrame:
         "max(ds) OVER (PARTITION BY series_key) AS last_ds",
         "weekday(ds) AS dow",
         "month(ds) AS month",
-        "double(y) AS v",
-    ).withColumn("t", F.expr("double(datediff(ds, first_ds))"))
+        "avg(double(y)) OVER (PARTITION BY series_key) AS base",
+        "double(y) AS y",
+    ).selectExpr("*", "y - base AS v").drop("y").withColumn("t", F.expr("double(datediff(ds, first_ds))"))
 
 
 def learn(days: DataFrame, origins: Origins, cell: list[str], sums: dict[str, str]) -> DataFrame:
@@ -92,7 +97,7 @@ def learn(days: DataFrame, origins: Origins, cell: list[str], sums: dict[str, st
     in days plus output: no history is repeated per fold, and everything runs in
     the partitioning by series.
     """
-    key = ["series_key", "first_ds", "last_ds"]
+    key = ["series_key", "first_ds", "last_ds", "base"]
     n, latest = origins.count(), origins.cutoff()
     if origins.step is None:
         return (

@@ -41,9 +41,20 @@ daily AS (
 )"""
 
 SEGMENT_SERIES = f"{SEGMENT_DAILY}, {DENSE}"
+MIXED_SERIES = f"""
+sparse AS (
+  SELECT * FROM (WITH {SEGMENT_DAILY} SELECT * FROM sparse)
+  QUALIFY series_key >= 'F' OR ds > max(ds) OVER (PARTITION BY series_key) - 20
+), {DENSE}"""
+TSV_SERIES = f"""{USER_DAILY.replace("user_id AS series_key", "CAST(user_id AS VARCHAR) AS series_key")},
+{DENSE}"""
 USER_SERIES = f"{USER_DAILY}, {DENSE}"
 TOP_USER_SERIES = f"{TOP_USER_DAILY}, {DENSE}"
 
+TSV_TOP_USER_SERIES = TOP_USER_SERIES.replace(
+    "user_id AS series_key", "CAST(user_id AS VARCHAR) AS series_key"
+).replace("DESC, user_id LIMIT", "DESC, CAST(user_id AS VARCHAR) LIMIT")
+
 AT_END = "folds AS (SELECT series_key, hi AS cutoff FROM bounds)"
 
 
@@ -56,7 +67,7 @@ def held_out(days: int) -> str:
 def rolling(initial: int, period: int, horizon: int) -> str:
     return f"""folds AS (
   SELECT series_key, CAST(hi - {horizon} - {period} * CAST(k AS INTEGER) AS DATE) AS cutoff
-  FROM bounds, range(0, 1000) r(k)
+  FROM (SELECT *, unnest(range(0, (hi - lo) // {period} + 1)) AS k FROM bounds)
   WHERE hi - {horizon} - {period} * CAST(k AS INTEGER) >= lo + {initial}
 )"""
 
@@ -99,8 +110,7 @@ weekday_mean AS (
 SEASONAL_TREND = """
 lines AS (
   SELECT series_key, cutoff, CASE WHEN count(*) > 1 THEN regr_slope(y, t) ELSE 0 END AS b,
-         CASE WHEN count(*) > 1 THEN regr_intercept(y, t) ELSE avg(y) END AS a,
-         count(*) >= 730 AS long_enough
+         CASE WHEN count(*) > 1 THEN regr_intercept(y, t) ELSE avg(y) END AS a
   FROM train GROUP BY 1, 2
 ),
 weeks AS (
@@ -110,8 +120,9 @@ weeks AS (
 ),
 years AS (
   SELECT series_key, cutoff, mon,
-         CASE WHEN any_value(long_enough) AND sum(w * (a + b * t)) > 0
-              THEN sum(y) / sum(w * (a + b * t)) ELSE 1 END AS s
+         CASE WHEN sum(w * (a + b * t)) > 0
+              THEN 1 + count(*) / (count(*) + 30.0) * (sum(y) / sum(w * (a + b * t)) - 1)
+              ELSE 1 END AS s
   FROM train JOIN lines USING (series_key, cutoff) JOIN weeks USING (series_key, cutoff, dow)
   GROUP BY 1, 2, 3
 ),
@@ -135,7 +146,7 @@ residuals AS (
 ),
 phis AS (
   SELECT series_key, cutoff, arg_max(r, ds) AS tail,
-         CASE WHEN count(s) > 1 AND count(s) * var_pop(s) > 1e-9 * (sum(before * before) + 1)
+         CASE WHEN count(s) > 1 AND var_pop(s) > 0
               THEN greatest(-1, least(1, regr_slope(r, s))) ELSE 0 END AS phi
   FROM residuals GROUP BY 1, 2
 ),
@@ -190,20 +201,26 @@ by_day AS (
   FROM scored GROUP BY 1, 2, 3
 )"""
 
-# A tenth of 30 horizons with equally many rows is three whole horizons.
-THREE_DAYS = """
-smoothed AS (
-  SELECT series_key, model, horizon, n, avg(mae) OVER w AS mae, sqrt(avg(mse) OVER w) AS rmse
+# A tenth of the rows, taken back from each horizon's last.
+SMOOTHED = """
+counted AS (
+  SELECT *, sum(n) OVER (PARTITION BY series_key, model ORDER BY horizon) AS upto,
+         greatest(1, floor(sum(n) OVER (PARTITION BY series_key, model) * 0.1 + 1e-9)) AS wanted
   FROM by_day
-  WINDOW w AS (PARTITION BY series_key, model ORDER BY horizon
-               ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)
-  QUALIFY horizon >= 3
+),
+taken AS (
+  SELECT a.series_key, a.model, a.horizon, a.n, a.wanted, b.mae, b.mse,
+         greatest(0, least(b.n, a.wanted - (a.upto - b.upto))) AS take
+  FROM counted a JOIN counted b
+    ON a.series_key = b.series_key AND a.model = b.model AND b.horizon <= a.horizon
+  WHERE a.upto >= a.wanted
+),
+smoothed AS (
+  SELECT series_key, model, horizon, any_value(n) AS n, sum(take * mae) / any_value(wanted) AS mae,
+         sqrt(sum(take * mse) / any_value(wanted)) AS rmse
+  FROM taken GROUP BY 1, 2, 3
 )"""
 
-# A tenth of seven horizons is less than one, so each stands alone.
-EACH_DAY = """
-smoothed AS (SELECT series_key, model, horizon, n, mae, sqrt(mse) AS rmse FROM by_day)"""
-
 HEADLINE = """
 SELECT series_key, model, avg(mae) AS mae, avg(rmse) AS rmse FROM smoothed GROUP BY 1, 2"""
 
@@ -240,15 +257,15 @@ def _report(series: str, horizon: int, names: tuple[str, ...] = ("seasonal_trend
     return f"""{_fitted(series, AT_END, horizon, list(names))},
 report AS (
   SELECT series_key, model, strftime(ds, '%Y-%m-%d') AS date,
-         round_even(greatest(yhat, 0.0), 1) + 0 AS predicted_sessions,
-         round_even(greatest(yhat - 1.2816 * sd, 0.0), 1) + 0 AS lower_bound,
-         round_even(yhat + 1.2816 * sd, 1) + 0 AS upper_bound
+         round_even(round(greatest(yhat, 0.0), 9), 1) + 0 AS predicted_sessions,
+         round_even(round(greatest(yhat - 1.2816 * sd, 0.0), 9), 1) + 0 AS lower_bound,
+         round_even(round(yhat + 1.2816 * sd, 9), 1) + 0 AS upper_bound
   FROM runs
 )"""
 
 
-def _feed(name: str, line: str, history: bool) -> str:
-    return f"""{_fitted(SEGMENT_SERIES, AT_END, 90, [name], history)}
+def _feed(series: str, horizon: int, name: str, line: str, history: bool) -> str:
+    return f"""{_fitted(series, AT_END, horizon, [name], history)}
         SELECT series_key, 'history' AS segment, ds, CAST(y AS DOUBLE) AS value,
                CAST(NULL AS DOUBLE) AS lower, CAST(NULL AS DOUBLE) AS upper
         FROM daily
@@ -258,6 +275,58 @@ def _feed(name: str, line: str, history: bool) -> str:
         FROM runs"""
 
 
+def _cv_feed(series: str, folds: str, days: int) -> str:
+    return f"""{_tested(series, folds, days, ["seasonal_trend"])}
+        SELECT series_key, model, cutoff, ds, y AS actual, round(yhat, 6) + 0 AS yhat,
+               round(overall_mean, 6) + 0 AS overall_mean
+        FROM scored JOIN (SELECT series_key, avg(y) AS overall_mean FROM daily GROUP BY 1)
+        USING (series_key)"""
+
+
+def _holdout_report(series: str, days: int) -> str:
+    return f"""{_tested(series, held_out(days), days, ["seasonal_ar1"])}
+        SELECT series_key, model, strftime(ds, '%Y-%m-%d') AS date, y AS actual,
+               round_even(round(yhat, 9), 1) + 0 AS predicted
+        FROM scored"""
+
+
+def _every(series: str, names: list[str], results: str) -> str:
+    """Results with a row of NULLs for series that have none."""
+    models = ", ".join(f"('{n}')" for n in names)
+    return f"""WITH results AS ({results})
+        SELECT * FROM (WITH {series} SELECT series_key FROM bounds)
+        CROSS JOIN (VALUES {models}) m(model) LEFT JOIN results USING (series_key, model)"""
+
+
+def _held_all(series: str) -> str:
+    rows = _tested(series, held_out(30), 30, list(MODELS)) + SCORED_ROWS
+    return _every(series, list(MODELS), rows)
+
+
+def _crossed_all(series: str) -> str:
+    metrics = f"""{_tested(series, SEGMENT_FOLDS, 30, list(MODELS))},
+        {BY_HORIZON}, {SMOOTHED}, {_nested(HEADLINE, "headline")}
+        SELECT series_key, model, round(mae, 6) + 0 AS mae, round(rmse, 6) + 0 AS rmse
+        FROM headline"""
+    return _every(series, list(MODELS), metrics)
+
+
+def _validation(series: str, days: int, folds: str) -> str:
+    crossed = f"""{_tested(series, folds, days, ["seasonal_trend"])},
+        {BY_HORIZON}, {SMOOTHED} {HEADLINE}"""
+    held = f"{_tested(series, held_out(days), days, ['weekday_mean'])} {ACCURACY}"
+    return f"""WITH crossed AS ({_every(series, ["seasonal_trend"], crossed)}),
+        held AS ({_every(series, ["weekday_mean"], held)}),
+        based AS (SELECT c.*, round_even(round(h.mae, 9), 2) AS base
+                  FROM crossed c LEFT JOIN held h ON c.series_key = h.series_key)
+        SELECT series_key, model AS "Model", round_even(round(mae, 9), 2) + 0 AS "MAE",
+               round_even(round(rmse, 9), 2) + 0 AS "RMSE",
+               round(CASE WHEN base > 0 THEN (base - round_even(round(mae, 9), 2)) / base * 100 END, 6) + 0
+                 AS gain_over_holdout_pct
+        FROM based
+        UNION ALL SELECT series_key, model, round_even(round(mae, 9), 2), NULL, NULL FROM held"""
+
+
 _BOUNDS = """
 SELECT series_key, min(ds) AS first_ds, max(ds) AS last_ds, count(*) AS days,
        CAST(sum(y) AS BIGINT) AS total, round(avg(y), 6) + 0 AS mean_y
@@ -299,7 +368,7 @@ ORACLE = {
                round(sqrt(mse), 6) + 0 AS rmse
         FROM by_day""",
     "naive_cv_by_horizon_smoothed": f"""{_tested(SEGMENT_SERIES, SEGMENT_FOLDS, 30, _NAIVE)},
-        {BY_HORIZON}, {THREE_DAYS}
+        {BY_HORIZON}, {SMOOTHED}
         SELECT series_key, model, horizon, n, round(mae, 6) + 0 AS mae, round(rmse, 6) + 0 AS rmse
         FROM smoothed""",
     "seasonal_trend_forecast": _forecast(SEGMENT_SERIES, 90, "seasonal_trend"),
@@ -310,40 +379,42 @@ ORACLE = {
     "seasonal_ar1_forecast": _forecast(SEGMENT_SERIES, 90, "seasonal_ar1"),
     "seasonal_ar1_forecast_users": _forecast(USER_SERIES, 7, "seasonal_ar1"),
     "seasonal_ar1_cv": _tested(SEGMENT_SERIES, SEGMENT_FOLDS, 30, ["seasonal_ar1"]) + SCORED_ROWS,
-    "holdout_all_models": _tested(SEGMENT_SERIES, held_out(30), 30, _ALL) + SCORED_ROWS,
-    "cv_all_models": f"""{_tested(SEGMENT_SERIES, SEGMENT_FOLDS, 30, _ALL)},
-        {BY_HORIZON}, {THREE_DAYS}, {_nested(HEADLINE, "headline")}
-        SELECT series_key, model, round(mae, 6) + 0 AS mae, round(rmse, 6) + 0 AS rmse
-        FROM headline""",
-    "model_comparison": _comparison(SEGMENT_SERIES, 30, SEGMENT_FOLDS, THREE_DAYS),
-    "model_comparison_users": _comparison(USER_SERIES, 7, USER_FOLDS, EACH_DAY),
-    "validation_results": f"""WITH crossed AS (
-          {_tested(SEGMENT_SERIES, SEGMENT_FOLDS, 30, ["seasonal_trend"])},
-          {BY_HORIZON}, {THREE_DAYS} {HEADLINE}),
-        held AS ({_tested(SEGMENT_SERIES, held_out(30), 30, _NAIVE)} {ACCURACY})
-        SELECT series_key, model AS "Model", round_even(mae, 2) + 0 AS "MAE",
-               round_even(rmse, 2) + 0 AS "RMSE" FROM crossed
-        UNION ALL SELECT series_key, model, round_even(mae, 2), NULL FROM held""",
+    "holdout_all_models": _held_all(SEGMENT_SERIES),
+    "holdout_mixed_lengths": _held_all(MIXED_SERIES),
+    "cv_all_models": _crossed_all(SEGMENT_SERIES),
+    "cv_mixed_lengths": _crossed_all(MIXED_SERIES),
+    "model_comparison": _comparison(SEGMENT_SERIES, 30, SEGMENT_FOLDS, SMOOTHED),
+    "model_comparison_users": _comparison(USER_SERIES, 7, USER_FOLDS, SMOOTHED),
+    "top_user_model_comparison": _comparison(TOP_USER_SERIES, 7, USER_FOLDS, SMOOTHED),
+    "validation_results": _validation(SEGMENT_SERIES, 30, SEGMENT_FOLDS),
+    "validation_mixed_lengths": _validation(MIXED_SERIES, 30, SEGMENT_FOLDS),
+    "top_user_validation_results": _validation(TOP_USER_SERIES, 7, USER_FOLDS),
     "forecast_report": f"{_report(SEGMENT_SERIES, 90)} SELECT * FROM report",
     "top_user_forecast_report": f"{_report(TOP_USER_SERIES, 7)} SELECT * FROM report",
-    "holdout_report": f"""{_tested(SEGMENT_SERIES, held_out(30), 30, ["seasonal_ar1"])}
-        SELECT series_key, model, strftime(ds, '%Y-%m-%d') AS date, y AS actual,
-               round_even(yhat, 1) + 0 AS predicted
-        FROM scored""",
+    "top_user_ar_forecast_report": f"{_report(TOP_USER_SERIES, 7, ('seasonal_ar1',))} SELECT * FROM report",
+    "tsv_daily_filled": f"WITH {TSV_SERIES} SELECT * FROM daily",
+    "tsv_top_user_forecast": f"{_report(TSV_TOP_USER_SERIES, 7)} SELECT * FROM report",
+    "holdout_report": _holdout_report(SEGMENT_SERIES, 30),
+    "top_user_holdout_report": _holdout_report(TOP_USER_SERIES, 7),
     "forecast_preview": f"""{_report(SEGMENT_SERIES, 90)} SELECT * FROM report
         QUALIFY row_number() OVER (PARTITION BY series_key ORDER BY date) <= 10""",
-    "forecast_feed": _feed("seasonal_trend", "yhat", history=True),
-    "seasonal_ar1_feed": _feed("seasonal_ar1", "greatest(yhat, 0.0)", history=False),
-    "cv_feed": f"""{_tested(SEGMENT_SERIES, SEGMENT_FOLDS, 30, ["seasonal_trend"])}
-        SELECT series_key, model, cutoff, ds, y AS actual, round(yhat, 6) + 0 AS yhat,
-               round(overall_mean, 6) + 0 AS overall_mean
-        FROM scored JOIN (SELECT series_key, avg(y) AS overall_mean FROM daily GROUP BY 1)
-        USING (series_key)""",
+    "forecast_feed": _feed(SEGMENT_SERIES, 90, "seasonal_trend", "yhat", history=True),
+    "top_user_forecast_feed": _feed(TOP_USER_SERIES, 7, "seasonal_trend", "yhat", history=True),
+    "seasonal_ar1_feed": _feed(SEGMENT_SERIES, 90, "seasonal_ar1", "greatest(yhat, 0.0)", False),
+    "cv_feed": _cv_feed(SEGMENT_SERIES, SEGMENT_FOLDS, 30),
+    "top_user_cv_feed": _cv_feed(TOP_USER_SERIES, USER_FOLDS, 7),
 }
 
 ORACLE |= {
     "forecast_files": f"""{_report(SEGMENT_SERIES, 90, ("seasonal_trend", "seasonal_ar1"))}
         SELECT * FROM report""",
     "holdout_files": ORACLE["holdout_report"],
-    "validation_file": ORACLE["validation_results"],
+    "text_edge_roundtrip": """
+        SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN ''
+                            WHEN doc_id % 11 <> 0 THEN
+                              '  "' || chr(92) || 't' || chr(9) || text || chr(13) || chr(92)
+                              || chr(13) || chr(10) || ' ' || chr(92) END AS text
+        FROM documents""",
+    "validation_file": f"""SELECT series_key, "Model", "MAE", "RMSE"
+        FROM ({ORACLE["validation_results"]})""",
 }

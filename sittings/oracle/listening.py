@@ -40,7 +40,7 @@ plays AS (
          CAST(NULL AS VARCHAR) AS artist_id, event_type AS artist_name,
          CAST(NULL AS VARCHAR) AS track_id, props AS track_name,
          event_id
-  FROM events WHERE event_type <> 'error'
+  FROM events
 )"""
 
 
@@ -108,7 +108,9 @@ ORACLE = {
                TRY_CAST(CASE WHEN event_type = 'error' THEN 'bad ' ELSE '' END
                         || CAST(ts AS VARCHAR) AS TIMESTAMP) AS "timestamp"
         FROM events""",
-    "tsv_roundtrip": f"WITH {TEXT_PLAYS} SELECT * EXCLUDE (event_id) FROM plays",
+    "tsv_roundtrip": f"""WITH {TEXT_PLAYS}
+        SELECT * EXCLUDE (event_id) FROM plays WHERE artist_name <> 'error'""",
+    "tsv_quoted_roundtrip": f"WITH {TEXT_PLAYS} SELECT * EXCLUDE (event_id) FROM plays",
     "tsv_top_songs": _top_songs(TEXT_PLAYS, 1200),
     "sessionize": _session_rows(PLAYS, 1200, "event_id"),
     "sessionize_6h": _session_rows(PLAYS, 21600, "event_id"),

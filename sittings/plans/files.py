@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from sittings.operators import models
 from sittings.plans import forecasting, listening
 from sittings.runtime import scratch_path
-from sittings.sources import sinks
+from sittings.sources import fixtures, sinks
 
 SEGMENTS = forecasting.SEGMENTS
 
@@ -21,7 +22,7 @@ def _one_file(df: DataFrame, order_by: list[str], sep: str = "\t") -> DataFrame:
 def _by_model(df: DataFrame) -> DataFrame:
     path = scratch_path(df.sparkSession, "by-model")
     sinks.write_tsv(df, path, partition_by=["model"])
-    return sinks.read_back(df.sparkSession, path, df.schema, quote="")
+    return sinks.read_tsv(df.sparkSession, path, df.schema, partition_by=["model"])
 
 
 def top_songs_file(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,11 +47,27 @@ def holdout_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def validation_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Comma-separated, the baseline's missing RMSE an empty field."""
+    """Comma-separated, the baseline's missing RMSE an empty field; written in parallel."""
     results = forecasting.validation_results(SEGMENTS, spark, sf_dir)
-    return _one_file(results, ["series_key", "Model"], sep=",")
+    results = results.select("series_key", "Model", "MAE", "RMSE")
+    path = scratch_path(spark, "validation")
+    sinks.write_csv(results, path)
+    return sinks.read_back(spark, path, results.schema, sep=",")
+
+
+def text_edge_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts with tabs, line ends, quotes, backslashes and padding, through both sinks."""
+    text = F.concat(F.lit('  "\\t\t'), F.col("text"), F.lit("\r\\\r\n \\"))
+    text = F.when(F.col("doc_id") % 7 == 0, "").when(F.col("doc_id") % 11 != 0, text)
+    docs = fixtures.table(spark, sf_dir, "documents").select("doc_id", text.alias("text"))
+    path = scratch_path(spark, "texts")
+    sinks.write_tsv(docs, f"{path}/tsv")
+    sinks.write_csv(sinks.read_tsv(spark, f"{path}/tsv", docs.schema), f"{path}/csv")
+    return sinks.read_back(spark, f"{path}/csv", docs.schema, sep=",")
 
 
 QUERIES = {
-    f.__name__: f for f in (top_songs_file, forecast_files, holdout_files, validation_file)
+    f.__name__: f for f in (
+        top_songs_file, forecast_files, holdout_files, validation_file, text_edge_roundtrip
+    )
 }

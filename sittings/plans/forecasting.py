@@ -6,18 +6,18 @@ from dataclasses import dataclass, replace
 from functools import partial, reduce
 from typing import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sittings.functions.publish import not_negative
-from sittings.operators import evaluate, fitted, models, origins, report, series
+from sittings.operators import evaluate, models, origins, report, series
 from sittings.operators.sessions import session_table
+from sittings.plans import listening
 from sittings.runtime import settle
 from sittings.sources import fixtures
 
 SMOOTHING = 0.1
 CLOSED_FORM = (models.weekday_mean, models.seasonal_trend, models.seasonal_ar1)
-SOLVED = (fitted.fourier_trend, fitted.seasonal_arima)
 
 
 def user_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,6 +32,29 @@ def segment_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return series.fill_calendar(fixtures.segment_daily(spark, sf_dir))
 
 
+def mixed_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments of which two have only their last twenty days."""
+    sparse = fixtures.segment_daily(spark, sf_dir)
+    last = F.max("ds").over(Window.partitionBy("series_key"))
+    recent = sparse.withColumn("last_ds", last).filter(
+        "series_key >= 'F' OR ds > date_sub(last_ds, 20)"
+    )
+    return series.fill_calendar(recent.drop("last_ds"))
+
+
+def tsv_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The daily series of the log once it went through text."""
+    return series.daily_sessions(session_table(listening.text_plays(spark, sf_dir)))
+
+
+def tsv_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return series.fill_calendar(tsv_daily(spark, sf_dir))
+
+
+def tsv_top_user_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return series.fill_calendar(series.busiest_series(tsv_daily(spark, sf_dir)))
+
+
 def top_user_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return series.fill_calendar(series.busiest_series(user_daily(spark, sf_dir)))
 
@@ -58,6 +81,8 @@ class Setting:
 SEGMENTS = Setting(segment_series, horizon=90, test_days=30, initial=180, period=30)
 USERS = Setting(user_series, horizon=7, test_days=7, initial=14, period=7)
 TOP_USER = Setting(top_user_series, horizon=7, test_days=7, initial=14, period=7)
+TSV_TOP_USER = replace(TOP_USER, daily=tsv_top_user_series)
+MIXED = replace(SEGMENTS, daily=mixed_series)
 
 
 def rounded(df: DataFrame) -> DataFrame:
@@ -113,7 +138,11 @@ def cross_validation(model, setting, spark, sf_dir):
 
 def by_horizon(model, setting, smoothing, spark, sf_dir):
     scored = tested(model, setting, setting.folds, spark, sf_dir)
-    return rounded(evaluate.accuracy_by_horizon(scored, setting.test_days, smoothing))
+    return rounded(evaluate.accuracy_by_horizon(scored, smoothing))
+
+
+def names(chosen):
+    return [m.__name__ for m in chosen]
 
 
 def run_all(chosen, which, days, daily):
@@ -128,19 +157,19 @@ def holdout_accuracy(chosen, setting, daily):
 
 def cv_accuracy(chosen, setting, daily):
     scored = run_all(chosen, setting.folds, setting.test_days, daily)
-    return evaluate.headline(
-        evaluate.accuracy_by_horizon(scored, setting.test_days, SMOOTHING)
-    )
+    return evaluate.headline(evaluate.accuracy_by_horizon(scored, SMOOTHING))
 
 
 def holdout_all(chosen, setting, spark, sf_dir):
     daily = settle(setting.daily(spark, sf_dir), "daily")
-    return rounded(run_all(chosen, setting.test, setting.test_days, daily))
+    scored = run_all(chosen, setting.test, setting.test_days, daily)
+    return rounded(evaluate.for_every_series(scored, daily, names(chosen)))
 
 
 def cv_all(chosen, setting, spark, sf_dir):
     daily = settle(setting.daily(spark, sf_dir), "daily")
-    return rounded(cv_accuracy(chosen, setting, daily))
+    metrics = cv_accuracy(chosen, setting, daily)
+    return rounded(evaluate.for_every_series(metrics, daily, names(chosen)))
 
 
 def comparison(chosen, setting, spark, sf_dir):
@@ -150,22 +179,18 @@ def comparison(chosen, setting, spark, sf_dir):
     scored = run_all(chosen, either, setting.test_days, daily)
     roles = evaluate.protocols(daily, setting.test, setting.folds)
     tagged = scored.join(roles, ["series_key", "cutoff"])
-    metrics = evaluate.compare(tagged, setting.test_days, SMOOTHING)
-    return rounded(evaluate.for_every_series(metrics, daily, [m.__name__ for m in chosen]))
-
-
-def arima_orders(setting, spark, sf_dir):
-    """Which order won for each series, on its whole history."""
-    fits = fitted.arima_fits(setting.daily(spark, sf_dir), origins.END, setting.horizon)
-    return rounded(fits.drop("yhat", "sd"))
+    metrics = evaluate.compare(tagged, SMOOTHING)
+    tests = [evaluate.HOLDOUT, evaluate.CROSS_VALIDATION]
+    return rounded(evaluate.for_every_series(metrics, daily, names(chosen), tests))
 
 
 def validation_results(setting, spark, sf_dir):
     """The published table: cross-validated trend model, held-out weekday mean."""
     daily = settle(setting.daily(spark, sf_dir), "daily")
+    model, base = [models.seasonal_trend], [models.weekday_mean]
     return report.validation_table(
-        cv_accuracy([models.seasonal_trend], setting, daily),
-        holdout_accuracy([models.weekday_mean], setting, daily),
+        evaluate.for_every_series(cv_accuracy(model, setting, daily), daily, names(model)),
+        evaluate.for_every_series(holdout_accuracy(base, setting, daily), daily, names(base)),
     )
 
 
@@ -245,16 +270,15 @@ QUERIES = {
     "forecast_feed": partial(forecast_feed, models.seasonal_trend, SEGMENTS),
     "seasonal_ar1_feed": partial(future_feed, models.seasonal_ar1, SEGMENTS),
     "cv_feed": partial(cv_feed, models.seasonal_trend, SEGMENTS),
-    "fourier_trend_forecast": partial(forecast, fitted.fourier_trend, SEGMENTS),
-    "fourier_trend_fitted": partial(forecast, fitted.fourier_trend, SEGMENTS, history=True),
-    "sarima_grid_forecast": partial(forecast, fitted.seasonal_arima, SEGMENTS),
-    "sarima_grid_forecast_users": partial(forecast, fitted.seasonal_arima, USERS),
-    "sarima_orders": partial(arima_orders, SEGMENTS),
-    "solver_holdout": partial(holdout_all, SOLVED, SEGMENTS),
-    "solver_comparison": partial(comparison, (models.weekday_mean, *SOLVED), SEGMENTS),
-    "solver_forecast_report": partial(forecast_report, fitted.fourier_trend, SEGMENTS),
-    "sarima_feed": partial(future_feed, fitted.seasonal_arima, SEGMENTS),
-    "fourier_trend_feed": partial(forecast_feed, fitted.fourier_trend, SEGMENTS),
-    "sarima_holdout_report": partial(holdout_report, fitted.seasonal_arima, SEGMENTS),
-    "top_user_sarima_report": partial(forecast_report, fitted.seasonal_arima, TOP_USER),
+    "top_user_validation_results": partial(validation_results, TOP_USER),
+    "top_user_model_comparison": partial(comparison, CLOSED_FORM, TOP_USER),
+    "top_user_holdout_report": partial(holdout_report, models.seasonal_ar1, TOP_USER),
+    "top_user_ar_forecast_report": partial(forecast_report, models.seasonal_ar1, TOP_USER),
+    "top_user_forecast_feed": partial(forecast_feed, models.seasonal_trend, TOP_USER),
+    "top_user_cv_feed": partial(cv_feed, models.seasonal_trend, TOP_USER),
+    "holdout_mixed_lengths": partial(holdout_all, CLOSED_FORM, MIXED),
+    "cv_mixed_lengths": partial(cv_all, CLOSED_FORM, MIXED),
+    "validation_mixed_lengths": partial(validation_results, MIXED),
+    "tsv_daily_filled": tsv_series,
+    "tsv_top_user_forecast": partial(forecast_report, models.seasonal_trend, TSV_TOP_USER),
 }

@@ -17,7 +17,7 @@ def clean_plays(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def parse_timestamps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = fixtures.event_text(spark, sf_dir)
+    raw = fixtures.event_text(spark, sf_dir, damaged=True)
     # Text without a zone is read in the session's zone; show the same wall time.
     parsed = plays.with_parsed_timestamp(raw).withColumn(
         "timestamp", F.col("timestamp").cast("timestamp_ntz")
@@ -25,19 +25,32 @@ def parse_timestamps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parsed.select("event_id", "user_id", "timestamp")
 
 
+def _through_text(events: DataFrame, quote: str = "") -> DataFrame:
+    """A raw log written as text and read back."""
+    path = scratch_path(events.sparkSession, "plays-tsv")
+    sinks.write_tsv(events.select(plays.PLAYS_SCHEMA.fieldNames()), path, header=False)
+    return plays.read_plays_tsv(events.sparkSession, path, quote)
+
+
+def text_plays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _through_text(fixtures.event_text(spark, sf_dir))
+
+
 def tsv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = scratch_path(spark, "plays-tsv")
-    columns = plays.PLAYS_SCHEMA.fieldNames()
-    sinks.write_tsv(fixtures.event_text(spark, sf_dir).select(columns), path, header=False)
-    back = plays.read_plays_tsv(spark, path)
+    back = _through_text(fixtures.event_text(spark, sf_dir, damaged=True))
+    return back.withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz"))
+
+
+def tsv_quoted_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Read with the usual quoting, which strips the quotes around an artist."""
+    quoted = F.concat(F.lit('"'), F.col("artist_name"), F.lit('"'))
+    events = fixtures.event_text(spark, sf_dir).withColumn("artist_name", quoted)
+    back = _through_text(events, quote='"')
     return back.withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz"))
 
 
 def tsv_top_songs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = scratch_path(spark, "plays-tsv")
-    columns = plays.PLAYS_SCHEMA.fieldNames()
-    sinks.write_tsv(fixtures.event_text(spark, sf_dir).select(columns), path, header=False)
-    return ranking.top_songs(plays.read_plays_tsv(spark, path))
+    return ranking.top_songs(text_plays(spark, sf_dir))
 
 
 def sessionize(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,6 +116,7 @@ QUERIES = {
         clean_plays,
         parse_timestamps,
         tsv_roundtrip,
+        tsv_quoted_roundtrip,
         tsv_top_songs,
         sessionize,
         sessionize_6h,

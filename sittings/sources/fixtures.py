@@ -55,13 +55,14 @@ def gappy_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def event_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as a raw text log; the time of every error is unreadable."""
+def event_text(spark: SparkSession, sf_dir: str, damaged: bool = False) -> DataFrame:
+    """Events as a raw text log; if damaged, the time of every error is unreadable."""
     shown = F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS")
+    unreadable = F.lit(damaged) & (F.col("event_type") == "error")
     return table(spark, sf_dir, "events").select(
         "event_id",
         F.col("user_id").cast("string").alias("user_id"),
-        F.when(F.col("event_type") == "error", F.concat(F.lit("bad "), shown))
+        F.when(unreadable, F.concat(F.lit("bad "), shown))
         .otherwise(shown)
         .alias("timestamp"),
         F.lit(None).cast("string").alias("artist_id"),

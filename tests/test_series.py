@@ -8,12 +8,12 @@ from datetime import date, datetime, timedelta
 import numpy as np
 import pytest
 
-from sittings.operators import evaluate, fitted, models, origins, report, series
+from sittings.operators import evaluate, models, origins, report, series
 from sittings.operators.sessions import session_table
 
 D0 = date(2023, 1, 2)  # a Monday
 CLOSED = [models.weekday_mean, models.seasonal_trend, models.seasonal_ar1]
-ALL = [*CLOSED, fitted.fourier_trend, fitted.seasonal_arima]
+ALL = CLOSED
 
 
 def daily(spark, **values):
@@ -138,13 +138,43 @@ def test_trend_and_season_are_recovered(spark):
     truth = (20 + 0.05 * np.arange(960)) * np.tile([0.7, 0.9, 1, 1.1, 1.3, 1, 1], 140)[:960]
     noise = np.random.default_rng(1).normal(0, 1, 900)
     df = daily(spark, a=np.round(truth[t] + noise))
-    for model in (models.seasonal_trend, fitted.fourier_trend):
-        got = model(df, origins.END, 60).orderBy("ds").collect()
+    for yearly in (False, True):
+        got = models.seasonal_trend(df, origins.END, 60, yearly=yearly).orderBy("ds").collect()
         error = np.abs(np.array([r.yhat for r in got]) - truth[900:])
-        assert error.mean() < 1.5, model
+        assert error.mean() < 1.5, yearly
         assert got[0].sd == pytest.approx(1.04, abs=0.2)
 
 
+def test_a_day_more_makes_no_other_model(spark):
+    """A yearly wave of just under and just over two years is forecast alike."""
+    wave = np.round(1000 + 400 * np.sin(2 * np.pi * np.arange(1100) / 365.25))
+    df = daily(spark, short=wave[:729], long=wave[:731])
+    got = models.seasonal_trend(df, origins.END, 90)
+    by = {r.series_key: r for r in got.groupBy("series_key").agg({"sd": "max", "yhat": "avg"}).collect()}
+    assert by["short"]["max(sd)"] == pytest.approx(by["long"]["max(sd)"], rel=0.02)
+    assert by["short"]["avg(yhat)"] == pytest.approx(by["long"]["avg(yhat)"], rel=0.02)
+
+
+@pytest.mark.parametrize("model", [models.weekday_mean, models.seasonal_ar1, models.seasonal_trend])
+def test_level_does_not_change_the_fit(spark, model):
+    rng = np.random.default_rng(3)
+    x = np.zeros(400)
+    for i in range(1, len(x)):
+        x[i] = 0.8 * x[i - 1] + rng.normal(0, 20)
+    x = np.round(x)
+    levels = {"a": 1e3, "b": 1e9, "c": 1e12}
+    df = daily(spark, **{k: x + v for k, v in levels.items()})
+    got = model(df, origins.END, 3).collect()
+    rows = {(r.series_key, r.ds): (r.yhat - levels[r.series_key], r.sd) for r in got}
+    # The trend's indices are ratios to the level, so only the others shift with it exactly.
+    close = 2.0 if model is models.seasonal_trend else 0.05
+    for (key, ds), found in rows.items():
+        if model is models.seasonal_trend and key == "a":
+            continue
+        want = rows["b" if model is models.seasonal_trend else "a", ds]
+        assert found == pytest.approx(want, abs=close), key
+
+
 def test_autoregression_is_recovered(spark):
     rng = np.random.default_rng(2)
     x = np.zeros(3000)
@@ -155,22 +185,6 @@ def test_autoregression_is_recovered(spark):
     last = round(1000 + x[-1])
     assert (ar[0].yhat - 1000) / (last - 1000) == pytest.approx(0.7, abs=0.15)
     assert ar[0].sd == pytest.approx(30, rel=0.05)
-    best = fitted.arima_fits(df, origins.END, 2).first()
-    assert (best.p + best.q >= 1) and (best.d, best.seasonal_d) == (0, 0)
-    assert best.sd[0] == pytest.approx(30, rel=0.05)
-    assert best.yhat[0] == pytest.approx(ar[0].yhat, abs=10)
-
-
-def test_walk_and_season_choose_differencing(spark):
-    rng = np.random.default_rng(5)
-    df = daily(
-        spark,
-        walk=np.round(10_000 + 40 * np.cumsum(rng.normal(0, 1, 500))),
-        week=np.round(np.tile(WEEKLY, 72)[:500] * 100 + rng.normal(0, 10, 500)),
-    )
-    best = {r.series_key: r for r in fitted.arima_fits(df, origins.END, 3).collect()}
-    assert (best["walk"].d, best["walk"].seasonal_d) == (1, 0)
-    assert (best["week"].d, best["week"].seasonal_d) == (0, 1)
 
 
 def test_interval_and_publication(spark):
@@ -229,15 +243,44 @@ def test_smoothing(spark, folds, horizon, share):
     scored = spark.createDataFrame(
         rows, "series_key string, model string, cutoff date, ds date, yhat double, y bigint"
     )
-    got = evaluate.accuracy_by_horizon(scored, horizon, share).collect()
+    got = evaluate.accuracy_by_horizon(scored, share).collect()
     mae = trailing_means(absolute, folds, horizon, share)
     mse = trailing_means(squared, folds, horizon, share)
     assert {r.horizon: r.mae for r in got} == pytest.approx(mae)
     assert {r.horizon: r.rmse**2 for r in got} == pytest.approx(mse)
-    top = evaluate.headline(evaluate.accuracy_by_horizon(scored, horizon, share)).first()
+    top = evaluate.headline(evaluate.accuracy_by_horizon(scored, share)).first()
     assert top.mae == pytest.approx(np.mean(list(mae.values())))
 
 
+def test_smoothing_goes_by_rows(spark):
+    """A horizon without predictions in some folds has fewer rows than the others."""
+    rng = random.Random(8)
+    by_horizon, rows = {}, []
+    for f in range(6):
+        cutoff = D0 + timedelta(days=20 * f)
+        for h in range(1, 11):
+            y, yhat = rng.randrange(9), None if rng.random() < 0.3 else rng.random() * 9
+            rows.append(("a", "m", cutoff, cutoff + timedelta(days=h), yhat, y))
+            if yhat is not None:
+                by_horizon.setdefault(h, []).append(abs(y - yhat))
+    scored = spark.createDataFrame(
+        rows, "series_key string, model string, cutoff date, ds date, yhat double, y bigint"
+    )
+    wanted = int(0.3 * sum(map(len, by_horizon.values())) + 1e-9)
+    want, behind = {}, []
+    for h in range(1, 11):
+        behind.append(by_horizon.get(h, []))
+        if sum(map(len, behind)) >= wanted:
+            left, total = wanted, 0.0
+            for errors in reversed(behind):
+                take = min(left, len(errors))
+                total += take * np.mean(errors) if take else 0
+                left -= take
+            want[h] = total / wanted
+    got = evaluate.accuracy_by_horizon(scored, 0.3).collect()
+    assert {r.horizon: r.mae for r in got} == pytest.approx(want)
+
+
 def test_improvement_sign(spark):
     rows = [
         ("a", model, "holdout", D0, D0 + timedelta(days=1), yhat, 10)
@@ -248,7 +291,7 @@ def test_improvement_sign(spark):
         "series_key string, model string, protocol string, cutoff date, ds date, yhat double,"
         " y bigint",
     )
-    got = {r.model: r.improvement_pct for r in evaluate.compare(scored, 1).collect()}
+    got = {r.model: r.improvement_pct for r in evaluate.compare(scored).collect()}
     assert got == {"weekday_mean": 0, "better": 75, "worse": -100}
 
 
@@ -258,7 +301,9 @@ def test_too_short_series_has_null_metrics(spark):
     scored = evaluate.score(models.weekday_mean(df, folds, 10), df).join(
         evaluate.protocols(df, test, folds), ["series_key", "cutoff"]
     )
-    got = evaluate.for_every_series(evaluate.compare(scored, 10), df, ["weekday_mean"]).collect()
+    got = evaluate.for_every_series(
+        evaluate.compare(scored), df, ["weekday_mean"], [evaluate.HOLDOUT, evaluate.CROSS_VALIDATION]
+    ).collect()
     assert len(got) == 4
     assert {r.series_key for r in got if r.mae is None} == {"short"}
 

@@ -84,6 +84,33 @@ def test_partitioned_sink(spark, tmp_path):
     assert part.read_text() == 'a\tx\nsay "hi"\t1.0\n'
 
 
+EDGES = [
+    "  pad ", "a\tb", "x\ny", "x\r\ny", "cr\rmid", "back\\slash", "end\\", 'quote"in', '"q"', "", None,
+    "a,b", "nul\0x", "\\n literal", "\\\\n", "#c", "\\e", "tail\n", " ",
+]
+
+
+@pytest.mark.parametrize("kind", ["tsv", "csv", "report"])
+def test_texts_come_back_as_they_were(spark, tmp_path, kind):
+    df = spark.createDataFrame(list(enumerate(EDGES)), "i int, v string")
+    path = str(tmp_path / kind)
+    if kind == "tsv":
+        sinks.write_tsv(df, path)
+        back = sinks.read_tsv(spark, path, df.schema)
+    elif kind == "csv":
+        sinks.write_csv(df, path)
+        back = sinks.read_back(spark, path, df.schema, ",")
+    else:
+        sinks.write_report(df, path, ["i"])
+        back = sinks.read_back(spark, path, df.schema)
+    assert [r.v for r in back.orderBy("i").collect()] == EDGES
+
+
+def test_report_of_too_many_rows_fails(spark, tmp_path):
+    with pytest.raises(ValueError):
+        sinks.write_report(spark.range(11).toDF("i"), str(tmp_path / "many"), ["i"], max_rows=10)
+
+
 def test_scratch_is_below_the_named_folder(spark):
     root = spark.conf.get("spark.checkpoint.dir")
     first, second = scratch_path(spark, "a"), scratch_path(spark, "a")
