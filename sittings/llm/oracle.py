@@ -1,3 +1,241 @@
-"""The same results as SQL, where SQL can express them."""
+"""The same results as SQL over the given tables, where SQL can express them.
 
-ORACLE: dict[str, str] = {}
+Written from the definitions: no hashing, winnowing or bands. Tokenized packing, learnt scores
+and drawn surrogates are beyond SQL; tests/llm compares them with plain code.
+"""
+
+from __future__ import annotations
+
+from sittings.llm import license, sharding
+
+WORD = r"[^\x20\x09-\x0D]+"
+BLANK_WORD = r"[^\x20\x09-\x0D]"
+PLAIN_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+MINHASH = f"""
+WITH RECURSIVE split AS (
+  SELECT doc_id, regexp_extract_all({LOWERED}, '{WORD}') AS w FROM documents
+),
+sets AS (
+  SELECT doc_id, list_distinct(CASE
+    WHEN len(w) = 0 THEN []
+    WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s
+  FROM split
+),
+entries AS (SELECT doc_id, len(s) AS n, unnest(s) AS gram FROM sets),
+links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM entries a JOIN entries b USING (gram)
+  WHERE a.doc_id < b.doc_id
+  GROUP BY 1, 2 HAVING 100 * count(*) >= 85 * (any_value(a.n) + any_value(b.n) - count(*))
+),
+either AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(a, b) AS (
+  SELECT a, b FROM either UNION SELECT r.a, e.b FROM reach r JOIN either e ON r.b = e.a
+),
+least AS (SELECT a AS doc_id, least(a, min(b)) AS component_id FROM reach GROUP BY a)
+SELECT doc_id, len(s) AS n_shingles, coalesce(component_id, doc_id) AS component_id,
+       coalesce(component_id, doc_id) = doc_id AS kept
+FROM sets LEFT JOIN least USING (doc_id)"""
+
+LINES = f"""
+WITH split AS (
+  SELECT doc_id, source, coalesce(text, '') AS text,
+         regexp_extract_all(coalesce(text, ''), '{WORD}') AS w
+  FROM documents
+),
+triples AS (
+  SELECT doc_id, i, array_to_string(w[i:i + 2], ' ') AS gram
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM split)
+),
+again AS (
+  SELECT doc_id, count(DISTINCT p) AS n_repeat_words
+  FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p
+        FROM (SELECT doc_id, i FROM triples
+              QUALIFY count(*) OVER (PARTITION BY doc_id, gram) > 1))
+  GROUP BY doc_id
+),
+lines AS (
+  SELECT doc_id, source, text, line,
+         array_to_string(regexp_extract_all({LOWERED.replace("text", "line")}, '{WORD}'), ' ') AS plain
+  FROM (SELECT doc_id, source, text, unnest(string_split(text, chr(10))) AS line FROM split)
+  WHERE regexp_matches(line, '{BLANK_WORD}')
+),
+dups AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM lines GROUP BY 1),
+common AS (
+  SELECT source, plain FROM lines GROUP BY 1, 2 HAVING count(DISTINCT text) > 20
+),
+gone AS (
+  SELECT doc_id, CAST(sum(len(string_split(plain, ' '))) AS BIGINT) AS n_removed
+  FROM lines SEMI JOIN common USING (source, plain) GROUP BY 1
+),
+counted AS (
+  SELECT doc_id, len(w) AS n_words,
+         CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+         len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols,
+         coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
+         coalesce(n_removed, 0) AS n_removed
+  FROM split LEFT JOIN dups USING (doc_id) LEFT JOIN again USING (doc_id)
+  LEFT JOIN gone USING (doc_id)
+)
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words)
+         AND 100 * n_removed <= 60 * n_words AS kept
+FROM counted"""
+
+PASSAGES = f"""
+WITH split AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{WORD}') AS w FROM documents
+),
+windows AS (
+  SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS gram
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM split)
+),
+gone AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS p
+  FROM (SELECT doc_id, i FROM windows
+        QUALIFY doc_id > min(doc_id) OVER (PARTITION BY gram))
+),
+removed AS (SELECT doc_id, count(*) AS n_removed FROM gone GROUP BY 1),
+words AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM split),
+left_over AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS kept
+  FROM words ANTI JOIN gone USING (doc_id, p) GROUP BY 1
+)
+SELECT doc_id, len(w) AS n_words, coalesce(n_removed, 0) AS n_removed,
+       sha256(coalesce(kept, '')) AS kept_sha256
+FROM split LEFT JOIN removed USING (doc_id) LEFT JOIN left_over USING (doc_id)"""
+
+BYTES = """
+WITH bytes AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n
+  FROM documents
+),
+windows AS (
+  SELECT doc_id, i, hash(substr(h, 2 * i + 1, 800)) AS gram
+  FROM (SELECT doc_id, h, unnest(range(0, n - 399)) AS i FROM bytes)
+),
+starts AS (SELECT doc_id, i FROM windows QUALIFY count(*) OVER (PARTITION BY gram) > 1),
+runs AS (
+  SELECT doc_id, min(i) AS a, max(i) + 400 AS b
+  FROM (SELECT *, sum(opens) OVER (PARTITION BY doc_id ORDER BY i) AS run
+        FROM (SELECT doc_id, i,
+                     CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 400
+                          THEN 0 ELSE 1 END AS opens
+              FROM starts))
+  GROUP BY doc_id, run
+),
+gaps AS (
+  SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS since FROM runs
+),
+joined AS (
+  SELECT doc_id, string_agg(substr(h, 2 * since + 1, 2 * (a - since)), '' ORDER BY a) AS head,
+         max(b) AS last, sum(b - a) AS removed, count(*) AS spans
+  FROM gaps JOIN bytes USING (doc_id) GROUP BY 1
+)
+SELECT doc_id, n AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed,
+       coalesce(spans, 0) AS n_spans,
+       sha256(unhex(coalesce(head, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM bytes LEFT JOIN joined USING (doc_id)"""
+
+BENCHMARK = f"""
+WITH items AS (
+  SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all({LOWERED}, '{PLAIN_WORD}') AS w
+  FROM benchmark
+),
+item_windows AS (
+  SELECT DISTINCT item, n, array_to_string(w[i:i + n - 1], ' ') AS gram
+  FROM (SELECT item, w, least(13, len(w)) AS n,
+               unnest(range(1, len(w) - least(13, len(w)) + 2)) AS i
+        FROM items WHERE len(w) > 0)
+),
+split AS (
+  SELECT doc_id, regexp_extract_all({LOWERED}, '{PLAIN_WORD}') AS w FROM documents
+),
+windows AS (
+  SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS gram
+  FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i
+        FROM split, (SELECT DISTINCT n FROM item_windows))
+),
+found AS (SELECT doc_id, item, i, n FROM windows JOIN item_windows USING (n, gram)),
+hit AS (
+  SELECT doc_id, count(DISTINCT p) AS n_hit
+  FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM found) GROUP BY 1
+),
+ids AS (
+  SELECT doc_id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS ids
+  FROM found GROUP BY 1
+)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM split LEFT JOIN hit USING (doc_id) LEFT JOIN ids USING (doc_id)"""
+
+
+def sharded() -> str:
+    table = ", ".join(map(str, sharding.fill(sharding.shard_names())))
+    return f"""
+SELECT doc_id, source, slot, ([{table}])[slot + 1]::INTEGER AS shard
+FROM (SELECT doc_id, source, CAST(CAST(
+        '0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT)
+        % {sharding.SLOTS} AS INTEGER) AS slot
+      FROM documents)"""
+
+
+def licensed() -> str:
+    """Windows are looked at where they share a shingle with a template."""
+    texts = {n: " ".join(license.template_words(t)) for n, t in license.TEMPLATES.items()}
+    templates = ", ".join(f"('{n}', '{t}')" for n, t in texts.items())
+    cuts = ", ".join(f"({n}, {w}, {step})" for n, w, step in license.windows(license.TEMPLATES))
+    return f"""
+WITH templates AS (SELECT name, string_split(t, ' ') AS w FROM (VALUES {templates}) v(name, t)),
+cuts AS (SELECT * FROM (VALUES {cuts}) v(words, win, step)),
+parts AS (
+  SELECT DISTINCT name, words, win, step, array_to_string(w[i:i + 4], ' ') AS gram
+  FROM (SELECT name, w, len(w) AS words, unnest(range(1, len(w) - 3)) AS i FROM templates)
+  JOIN cuts USING (words)
+),
+sizes AS (SELECT name, count(*) AS size FROM parts GROUP BY 1),
+split AS (SELECT doc_id, regexp_extract_all({LOWERED}, '{PLAIN_WORD}') AS w FROM documents),
+grams AS (
+  SELECT doc_id, total, i, array_to_string(w[i + 1:i + 5], ' ') AS gram
+  FROM (SELECT doc_id, w, len(w) AS total, unnest(range(0, len(w) - 4)) AS i FROM split)
+),
+shared AS (
+  SELECT doc_id, name, words, step, win, total, gram, i
+  FROM grams JOIN parts USING (gram)
+),
+placed AS (
+  SELECT *, unnest(range(greatest(0, CAST(ceil((i + 5 - win) / step::DOUBLE) AS BIGINT)),
+    least(CAST(floor(i / step::DOUBLE) AS BIGINT),
+          CAST(ceil(greatest(total - win, 0) / step::DOUBLE) AS BIGINT)) + 1)) AS k
+  FROM shared
+),
+common AS (
+  SELECT doc_id, name, words, k, count(DISTINCT gram) AS n FROM placed GROUP BY 1, 2, 3, 4
+),
+best AS (
+  SELECT doc_id, name, words, max(n) AS n FROM common JOIN sizes USING (name)
+  WHERE 100 * n >= 80 * size GROUP BY 1, 2, 3
+  QUALIFY max(n) = max(max(n)) OVER (PARTITION BY doc_id, words)
+),
+listed AS (
+  SELECT doc_id, count(*) AS n_licenses, string_agg(name, ',' ORDER BY name) AS licenses,
+         string_agg(CAST(n AS VARCHAR), ',' ORDER BY name) AS shingles
+  FROM best GROUP BY 1
+)
+SELECT doc_id, coalesce(n_licenses, 0) AS n_licenses, coalesce(licenses, '') AS licenses,
+       coalesce(shingles, '') AS shingles
+FROM documents LEFT JOIN listed USING (doc_id)"""
+
+
+ORACLE: dict[str, str] = {
+    "op1_minhash": MINHASH,
+    "op3_line_frequency": LINES,
+    "op4_seed_extend": PASSAGES,
+    "op5_suffix_sort": BYTES,
+    "op6_license_bands": licensed(),
+    "op8_lookup_sharding": sharded(),
+    "op9_inverted_index": BENCHMARK,
+}
