@@ -282,7 +282,13 @@ def _shown(kind: Column, raw: Column, before: Column, surrogate: Column) -> Colu
         ).otherwise(F.struct(F.concat(a["out"], c).alias("out"), a["next"].alias("next"))),
     )
     grouped = F.concat(filled["out"], F.substr(surrogate, filled["next"], F.length(surrogate)))
-    cased = F.when(raw == F.upper(raw), F.upper(surrogate)).otherwise(surrogate)
+    cased = F.array_join(
+        F.transform(
+            F.split(surrogate, ""),
+            lambda c, i: F.when(F.get(marks, i).rlike("[A-Z]"), F.upper(c)).otherwise(c),
+        ),
+        "",
+    )
     numbers = kind.isin("card", "ssn") | kind.startswith("phone")
     return F.concat(before, F.when(numbers, grouped).when(kind == "email", cased).otherwise(surrogate))
 
