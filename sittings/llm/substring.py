@@ -186,11 +186,12 @@ def remove_repeats(
         window_rows(docs.join(first, "key"), window, seed), "windows"
     )
     owners = windows.groupBy("hash").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
-    owners = owners.filter("lo < hi").select("hash", "lo")
+    # Written first, so that the join below can be split where one window is hot.
+    owners = settle(owners.filter("lo < hi").select("hash", "lo"), "owners")
     single = windows.join(owners, "hash").filter("doc_id > lo")
     single = single.groupBy("key").agg(F.collect_set("place").alias("windows"))
 
     marks = settle(copies.join(single, "key", "full"), "marks")
-    discard(shared, joined, classes, windows)
+    discard(shared, joined, classes, windows, owners)
     marked = docs.join(marks, "key", "left").select("doc_id", "text", "around", "windows")
     return cut(marked, window, seed)

@@ -241,16 +241,19 @@ def remove_repeated_bytes(
     first = classes.join(several, "digit").select("one.key", "one.place").groupBy("key")
     first = first.agg(F.collect_set("place").alias("marks"))
     blocks = settle(_block_rows(texts.join(first, "key"), depth, block), "blocks")
+    # Written first, so that the joins below can be split where one group is hot.
     together = blocks.groupBy("block", "digit").agg(F.count("*").alias("n")).filter("n > 1")
+    together = settle(together, "together")
     coded = (F.col("place").cast("long") * 1024 + F.col("block")).alias("coded")
     second = blocks.join(together.drop("n"), ["block", "digit"]).select("key", coded)
     second = second.groupBy("key").agg(F.collect_set("coded").alias("marks"))
     windows = settle(_window_rows(texts.join(second, "key"), depth, block), "windows")
     equal = windows.groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1").select("hash")
+    equal = settle(equal, "equal")
     single = windows.join(equal, "hash").groupBy("key")
     single = single.agg(F.collect_set("place").alias("windows"))
 
     marks = settle(copies.join(single, "key", "full"), "marks")
-    discard(groups, sorted_, classes, blocks, windows)
+    discard(groups, sorted_, classes, blocks, together, windows, equal)
     marked = docs.join(marks, "key", "left").select("doc_id", "text", "around", "windows")
     return _cut(marked, depth)
