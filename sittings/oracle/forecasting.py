@@ -170,10 +170,99 @@ MODELS = {
 }
 
 
+# Candidates of an autoregression, compared by AIC on days with two weeks behind them.
+AR_CHOICE = """
+ar_days AS (
+  SELECT l.*, a.m, y - a.m AS r, u1 - b.m AS r1, u7 - a.m AS r7
+  FROM (SELECT *, lag(y, 1) OVER w AS u1, lag(y, 7) OVER w AS u7, lag(y, 8) OVER w AS u8,
+               lag(y, 14) OVER w AS u14
+        FROM train WINDOW w AS (PARTITION BY series_key, cutoff ORDER BY ds)) l
+  JOIN means a USING (series_key, cutoff, dow)
+  LEFT JOIN means b ON b.series_key = l.series_key AND b.cutoff = l.cutoff
+    AND b.dow = (l.dow + 6) % 7
+),
+ar_pairs AS (
+  SELECT series_key, cutoff, false AS differenced, 7 AS means, r AS x, r1 AS x1, r7 AS x7
+  FROM ar_days WHERE u14 IS NOT NULL
+  UNION ALL SELECT series_key, cutoff, true, 0, y - u7, u1 - u8, u7 - u14
+  FROM ar_days WHERE u14 IS NOT NULL
+),
+ar_sums AS (
+  SELECT series_key, cutoff, differenced, any_value(means) AS means, count(*) AS n,
+         sum(x * x) AS cc, sum(x * x1) AS c1, sum(x * x7) AS c7, sum(x1 * x1) AS c11,
+         sum(x1 * x7) AS c17, sum(x7 * x7) AS c77
+  FROM ar_pairs GROUP BY 1, 2, 3
+),
+ar_fits AS (
+  SELECT *, c11 * c77 - c17 * c17 AS det,
+         CASE WHEN lag1 AND lag7 THEN (c1 * c77 - c7 * c17) / nullif(c11 * c77 - c17 * c17, 0)
+              WHEN lag1 THEN c1 / nullif(c11, 0) ELSE 0 END AS phi1,
+         CASE WHEN lag1 AND lag7 THEN (c7 * c11 - c1 * c17) / nullif(c11 * c77 - c17 * c17, 0)
+              WHEN lag7 THEN c7 / nullif(c77, 0) ELSE 0 END AS phi7,
+         means + CAST(lag1 AS INTEGER) + CAST(lag7 AS INTEGER) AS parameters
+  FROM ar_sums
+  CROSS JOIN (VALUES (false, false), (true, false), (false, true), (true, true)) f(lag1, lag7)
+  WHERE n > 10 AND (NOT lag1 OR c11 > 0) AND (NOT lag7 OR c77 > 0)
+    AND (NOT lag1 OR NOT lag7 OR c11 * c77 - c17 * c17 > 1e-9 * c11 * c77)
+),
+ar_scored AS (
+  SELECT series_key, cutoff, differenced, lag1, lag7, phi1, phi7, n, parameters,
+         cc - phi1 * c1 - phi7 * c7 AS sse,
+         n * ln(greatest((cc - phi1 * c1 - phi7 * c7) / n, 1e-300)) + 2 * parameters AS aic
+  FROM ar_fits
+),
+ar_best AS (
+  SELECT * FROM ar_scored
+  QUALIFY row_number() OVER (PARTITION BY series_key, cutoff ORDER BY round(aic, 6), differenced,
+    CAST(lag1 AS INTEGER) + CAST(lag7 AS INTEGER), lag7) = 1
+  UNION ALL
+  SELECT series_key, cutoff, false, false, false, 0, 0, n, 7, sse, NULL
+  FROM (SELECT f.series_key, f.cutoff, count(r) FILTER (u14 IS NOT NULL) AS n,
+               sum(r * r) FILTER (u14 IS NOT NULL) AS sse
+        FROM folds f LEFT JOIN ar_days d ON f.series_key = d.series_key AND f.cutoff = d.cutoff
+        GROUP BY 1, 2)
+  WHERE n <= 10
+)"""
+
+
+def ar_select(horizon: int) -> str:
+    return f"""{AR_CHOICE},
+ar_start AS (
+  SELECT series_key, cutoff, any_value(b.differenced) AS differenced, any_value(phi1) AS phi1,
+         any_value(phi7) AS phi7,
+         list(CASE WHEN b.differenced THEN y - u7 ELSE r END ORDER BY ds) AS x,
+         list(CAST(y AS DOUBLE) ORDER BY ds) AS z,
+         CASE WHEN any_value(b.n) > any_value(parameters)
+              THEN sqrt(greatest(0, any_value(sse)) / (any_value(b.n) - any_value(parameters))) END
+           AS sigma
+  FROM ar_best b JOIN ar_days d USING (series_key, cutoff)
+  WHERE ds > cutoff - 7 GROUP BY 1, 2
+),
+ar_steps AS (
+  SELECT series_key, cutoff, differenced, phi1, phi7, sigma, 0 AS h, x, z,
+         [0, 0, 0, 0, 0, 0, 1]::DOUBLE[] AS w, [0, 0, 0, 0, 0, 0, 1]::DOUBLE[] AS wz, 0::DOUBLE AS s
+  FROM ar_start
+  UNION ALL
+  SELECT series_key, cutoff, differenced, phi1, phi7, sigma, h + 1, list_append(x[2:], nx),
+         list_append(z[2:], z[1] + nx), list_append(w[2:], nw), list_append(wz[2:], wz[1] + nw),
+         s + CASE WHEN differenced THEN wz[7] * wz[7] ELSE w[7] * w[7] END
+  FROM (SELECT *, phi1 * coalesce(x[-1], 0) + phi7 * coalesce(x[1], 0) AS nx,
+               phi1 * w[7] + phi7 * w[1] AS nw
+        FROM ar_steps WHERE h < {horizon})
+),
+ar_select AS (
+  SELECT a.series_key, 'ar_select' AS model, a.cutoff, a.ds,
+         CASE WHEN differenced THEN z[-1] ELSE m + x[-1] END AS yhat, sigma * sqrt(s) AS sd
+  FROM ahead a JOIN ar_steps USING (series_key, cutoff, h)
+  LEFT JOIN means USING (series_key, cutoff, dow)
+)"""
+
+
 def _fitted(series: str, folds: str, horizon: int, names: list[str], history=False) -> str:
-    parts = [series, folds, TRAIN, ahead(horizon, history), *(MODELS[n] for n in names)]
+    models = [ar_select(horizon) if n == "ar_select" else MODELS[n] for n in names]
+    parts = [series, folds, TRAIN, ahead(horizon, history), *models]
     runs = " UNION ALL ".join(f"SELECT * FROM {n}" for n in names)
-    return f"WITH {', '.join(parts)}, runs AS ({runs})"
+    return f"WITH RECURSIVE {', '.join(parts)}, runs AS ({runs})"
 
 
 def _forecast(series: str, horizon: int, name: str, history: bool = False) -> str:
@@ -283,8 +372,15 @@ def _cv_feed(series: str, folds: str, days: int) -> str:
         USING (series_key)"""
 
 
-def _holdout_report(series: str, days: int) -> str:
-    return f"""{_tested(series, held_out(days), days, ["seasonal_ar1"])}
+def _orders(series: str, folds: str) -> str:
+    return f"""WITH {series}, {folds}, {TRAIN}, {AR_CHOICE}
+        SELECT series_key, cutoff, differenced, lag1, lag7, round(phi1, 6) + 0 AS phi1,
+               round(phi7, 6) + 0 AS phi7, round(aic, 6) + 0 AS aic
+        FROM ar_best"""
+
+
+def _holdout_report(series: str, days: int, name: str = "seasonal_ar1") -> str:
+    return f"""{_tested(series, held_out(days), days, [name])}
         SELECT series_key, model, strftime(ds, '%Y-%m-%d') AS date, y AS actual,
                round_even(round(yhat, 9), 1) + 0 AS predicted
         FROM scored"""
@@ -338,7 +434,7 @@ SELECT series_key, CAST(isodow(ds) - 1 AS INTEGER) AS dow, count(*) AS days,
 FROM daily GROUP BY 1, 2"""
 
 _NAIVE = ["weekday_mean"]
-_ALL = list(MODELS)
+_AR = ["ar_select"]
 
 ORACLE = {
     "daily_sessions": f"WITH {USER_DAILY} SELECT * FROM sparse",
@@ -379,6 +475,17 @@ ORACLE = {
     "seasonal_ar1_forecast": _forecast(SEGMENT_SERIES, 90, "seasonal_ar1"),
     "seasonal_ar1_forecast_users": _forecast(USER_SERIES, 7, "seasonal_ar1"),
     "seasonal_ar1_cv": _tested(SEGMENT_SERIES, SEGMENT_FOLDS, 30, ["seasonal_ar1"]) + SCORED_ROWS,
+    "ar_orders": _orders(SEGMENT_SERIES, AT_END),
+    "ar_orders_users": _orders(USER_SERIES, AT_END),
+    "ar_orders_cv": _orders(SEGMENT_SERIES, SEGMENT_FOLDS),
+    "ar_select_forecast": _forecast(SEGMENT_SERIES, 90, "ar_select"),
+    "ar_select_forecast_users": _forecast(USER_SERIES, 7, "ar_select"),
+    "ar_select_cv": _tested(SEGMENT_SERIES, SEGMENT_FOLDS, 30, _AR) + SCORED_ROWS,
+    "ar_select_cv_users": _tested(USER_SERIES, USER_FOLDS, 7, _AR) + SCORED_ROWS,
+    "ar_select_holdout": _tested(SEGMENT_SERIES, held_out(30), 30, _AR) + SCORED_ROWS,
+    "ar_select_holdout_users": _tested(USER_SERIES, held_out(7), 7, _AR) + SCORED_ROWS,
+    "top_user_ar_select_report": f"{_report(TOP_USER_SERIES, 7, ('ar_select',))} SELECT * FROM report",
+    "top_user_ar_select_holdout": _holdout_report(TOP_USER_SERIES, 7, "ar_select"),
     "holdout_all_models": _held_all(SEGMENT_SERIES),
     "holdout_mixed_lengths": _held_all(MIXED_SERIES),
     "cv_all_models": _crossed_all(SEGMENT_SERIES),

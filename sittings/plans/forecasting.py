@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sittings.functions.publish import not_negative
-from sittings.operators import evaluate, models, origins, report, series
+from sittings.operators import autoregression, evaluate, models, origins, report, series
 from sittings.operators.sessions import session_table
 from sittings.plans import listening
 from sittings.runtime import settle
@@ -184,6 +184,11 @@ def comparison(chosen, setting, spark, sf_dir):
     return rounded(evaluate.for_every_series(metrics, daily, names(chosen), tests))
 
 
+def ar_orders(which, setting, spark, sf_dir):
+    """Which candidate won for each series and fold."""
+    return rounded(autoregression.orders(setting.daily(spark, sf_dir), which))
+
+
 def validation_results(setting, spark, sf_dir):
     """The published table: cross-validated trend model, held-out weekday mean."""
     daily = settle(setting.daily(spark, sf_dir), "daily")
@@ -276,6 +281,17 @@ QUERIES = {
     "top_user_ar_forecast_report": partial(forecast_report, models.seasonal_ar1, TOP_USER),
     "top_user_forecast_feed": partial(forecast_feed, models.seasonal_trend, TOP_USER),
     "top_user_cv_feed": partial(cv_feed, models.seasonal_trend, TOP_USER),
+    "ar_orders": partial(ar_orders, origins.END, SEGMENTS),
+    "ar_orders_users": partial(ar_orders, origins.END, USERS),
+    "ar_orders_cv": partial(ar_orders, SEGMENTS.folds, SEGMENTS),
+    "ar_select_forecast": partial(forecast, autoregression.ar_select, SEGMENTS),
+    "ar_select_forecast_users": partial(forecast, autoregression.ar_select, USERS),
+    "ar_select_cv": partial(cross_validation, autoregression.ar_select, SEGMENTS),
+    "ar_select_cv_users": partial(cross_validation, autoregression.ar_select, USERS),
+    "ar_select_holdout": partial(holdout, autoregression.ar_select, SEGMENTS),
+    "ar_select_holdout_users": partial(holdout, autoregression.ar_select, USERS),
+    "top_user_ar_select_report": partial(forecast_report, autoregression.ar_select, TOP_USER),
+    "top_user_ar_select_holdout": partial(holdout_report, autoregression.ar_select, TOP_USER),
     "holdout_mixed_lengths": partial(holdout_all, CLOSED_FORM, MIXED),
     "cv_mixed_lengths": partial(cv_all, CLOSED_FORM, MIXED),
     "validation_mixed_lengths": partial(validation_results, MIXED),

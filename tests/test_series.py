@@ -8,12 +8,12 @@ from datetime import date, datetime, timedelta
 import numpy as np
 import pytest
 
-from sittings.operators import evaluate, models, origins, report, series
+from sittings.operators import autoregression, evaluate, models, origins, report, series
 from sittings.operators.sessions import session_table
 
 D0 = date(2023, 1, 2)  # a Monday
 CLOSED = [models.weekday_mean, models.seasonal_trend, models.seasonal_ar1]
-ALL = CLOSED
+ALL = [*CLOSED, autoregression.ar_select]
 
 
 def daily(spark, **values):
@@ -317,3 +317,34 @@ def test_protocols(spark):
         ("long", latest, "holdout"),
         ("mid", D0 + timedelta(days=24), "holdout"),
     ]
+
+
+def test_order_is_recovered(spark):
+    """Series made by each kind of candidate are told apart, and forecast by it."""
+    rng = np.random.default_rng(12)
+    n = 600
+    noise = rng.normal(0, 20, (4, n))
+    flat, one, seven, walk = np.zeros((4, n))
+    for i in range(n):
+        flat[i] = noise[0, i]
+        one[i] = 0.7 * one[i - 1] + noise[1, i] if i else 0
+        seven[i] = 0.6 * seven[i - 7] + noise[2, i] if i > 6 else 0
+        walk[i] = walk[i - 7] + noise[3, i] if i > 6 else 100 * i
+    df = daily(spark, **{k: np.round(1000 + v) for k, v in dict(a=flat, b=one, c=seven, d=walk).items()})
+    got = {r.series_key: r for r in autoregression.orders(df, origins.END).collect()}
+    assert (got["a"].differenced, got["b"].differenced, got["d"].differenced) == (False, False, True)
+    assert got["b"].lag1 and got["b"].phi1 == pytest.approx(0.7, abs=0.1)
+    assert got["c"].lag7 and got["c"].phi7 == pytest.approx(0.6, abs=0.1)
+    ahead = autoregression.ar_select(df, origins.END, 14).collect()
+    last_week = {r.series_key: [] for r in ahead}
+    for r in sorted(ahead, key=lambda r: r.ds):
+        last_week[r.series_key].append(r)
+    assert [r.yhat for r in last_week["d"][:7]] == pytest.approx(list(np.round(1000 + walk[-7:])), rel=0.02)
+    assert last_week["b"][0].sd == pytest.approx(20, rel=0.1)
+    assert last_week["d"][13].sd == pytest.approx(20 * 2**0.5, rel=0.1)
+
+
+def test_orders_need_no_python_worker(spark):
+    plan = autoregression.orders(daily(spark, a=[1, 2, 3] * 20), origins.END)
+    plan = plan._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
