@@ -16,6 +16,34 @@ def score(forecast: DataFrame, daily: DataFrame) -> DataFrame:
     return forecast.join(daily, ["series_key", "ds"])
 
 
+def by_series(daily: DataFrame) -> DataFrame:
+    """One row per (dense) series: its bounds and its values in order."""
+    days = F.array_sort(F.collect_list(F.struct("ds", "y")))
+    return daily.groupBy("series_key").agg(
+        F.min("ds").alias("first_ds"), F.max("ds").alias("last_ds"), days["y"].alias("ys")
+    )
+
+
+def score_in_series(
+    forecast: DataFrame, series: DataFrame, test: Origins | None = None, folds: Origins | None = None
+) -> DataFrame:
+    """Like `score`, from a table by `by_series`; with origins, a row per protocol of its own.
+
+    Forecasts of one model are partitioned by series, and so they stay: nothing is shuffled
+    by day or by origin.
+    """
+    joined = forecast.join(series, "series_key")
+    scored = joined.withColumn("y", F.expr("get(ys, datediff(ds, first_ds))")).filter("y IS NOT NULL")
+    if test and folds:
+        roles = [
+            f"IF(array_contains({o.cutoffs()}, cutoff), '{protocol}', NULL)"
+            for o, protocol in ((test, HOLDOUT), (folds, CROSS_VALIDATION))
+        ]
+        scored = scored.withColumn("protocol", F.expr(f"explode(array({', '.join(roles)}))"))
+        scored = scored.filter("protocol IS NOT NULL")
+    return scored.drop("first_ds", "last_ds", "ys")
+
+
 def protocols(daily: DataFrame, test: Origins, folds: Origins) -> DataFrame:
     """(series_key, cutoff, protocol): which test each origin takes part in.
 
@@ -117,19 +145,24 @@ def headline(by_horizon: DataFrame) -> DataFrame:
 
 
 def compare(
-    scored: DataFrame,
-    rolling_window: float = 0.0,
-    baseline: str = "weekday_mean",
+    scored: DataFrame, rolling_window: float = 0.0, baseline: str = "weekday_mean"
+) -> DataFrame:
+    """`compare_errors` of scored rows that carry a `protocol`."""
+    return compare_errors(horizon_errors(scored, "protocol"), rolling_window, baseline)
+
+
+def compare_errors(
+    errors: DataFrame, rolling_window: float = 0.0, baseline: str = "weekday_mean"
 ) -> DataFrame:
     """MAE and RMSE of every run, and its MAE gain over the baseline in percent.
 
-    `scored` carries a `protocol`: a holdout averages over its days, a
+    `errors` are those of `horizon_errors` by protocol: a holdout averages over its days, a
     cross-validation over its horizons. A negative gain means worse.
     """
     held = F.col("protocol") == HOLDOUT
     days = F.sum("n")
     metrics = (
-        smooth(horizon_errors(scored, "protocol"), rolling_window, "protocol")
+        smooth(errors, rolling_window, "protocol")
         .groupBy("protocol", *RUN)
         .agg(
             F.when(held, F.sum(F.col("n") * F.col("abs")) / days)

@@ -35,9 +35,7 @@ def forecast_files(spark: SparkSession, sf_dir: str) -> DataFrame:
             [
                 forecasting.forecast_report(model, SEGMENTS, spark, sf_dir)
                 for model in (models.seasonal_trend, models.seasonal_ar1)
-            ],
-            "model",
-            "series_key",
+            ]
         )
     )
 

@@ -91,14 +91,8 @@ def rounded(df: DataFrame) -> DataFrame:
     return df.withColumns(doubles)
 
 
-def stack(frames: list[DataFrame], *keys: str) -> DataFrame:
-    """Union, shuffled by what the next step groups or joins on.
-
-    The explicit shuffle is for correctness: Spark 4.1 can take a union of inputs
-    partitioned alike as partitioned itself (spark.sql.unionOutputPartitioning) while
-    running it as a plain concatenation, and a window over it then misses rows.
-    """
-    return reduce(DataFrame.unionByName, frames).repartition(*keys)
+def stack(frames: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, frames)
 
 
 def bounds(setting, spark, sf_dir):
@@ -145,25 +139,31 @@ def names(chosen):
     return [m.__name__ for m in chosen]
 
 
-def run_all(chosen, which, days, daily):
-    """Several models on one series table, scored together."""
-    runs = stack([model(daily, which, days) for model in chosen], "series_key", "ds")
-    return evaluate.score(runs, daily).drop("sd")
+def run_each(chosen, which, days, daily, *tests):
+    """Several models on one series table, each scored in its partitioning by series."""
+    in_series = evaluate.by_series(daily)
+    return [
+        evaluate.score_in_series(model(daily, which, days), in_series, *tests).drop("sd")
+        for model in chosen
+    ]
 
 
 def holdout_accuracy(chosen, setting, daily):
-    return evaluate.accuracy(run_all(chosen, setting.test, setting.test_days, daily))
+    runs = run_each(chosen, setting.test, setting.test_days, daily)
+    return stack([evaluate.accuracy(scored) for scored in runs])
 
 
 def cv_accuracy(chosen, setting, daily):
-    scored = run_all(chosen, setting.folds, setting.test_days, daily)
-    return evaluate.headline(evaluate.accuracy_by_horizon(scored, SMOOTHING))
+    runs = run_each(chosen, setting.folds, setting.test_days, daily)
+    return stack(
+        [evaluate.headline(evaluate.accuracy_by_horizon(scored, SMOOTHING)) for scored in runs]
+    )
 
 
 def holdout_all(chosen, setting, spark, sf_dir):
     daily = settle(setting.daily(spark, sf_dir), "daily")
-    scored = run_all(chosen, setting.test, setting.test_days, daily)
-    return rounded(evaluate.for_every_series(scored, daily, names(chosen)))
+    runs = run_each(chosen, setting.test, setting.test_days, daily)
+    return rounded(evaluate.for_every_series(stack(runs), daily, names(chosen)))
 
 
 def cv_all(chosen, setting, spark, sf_dir):
@@ -176,10 +176,11 @@ def comparison(chosen, setting, spark, sf_dir):
     """Every model under both protocols, against the weekday mean under the same."""
     daily = settle(setting.daily(spark, sf_dir), "daily")
     either = replace(setting.folds, with_latest=True)
-    scored = run_all(chosen, either, setting.test_days, daily)
-    roles = evaluate.protocols(daily, setting.test, setting.folds)
-    tagged = scored.join(roles, ["series_key", "cutoff"])
-    metrics = evaluate.compare(tagged, SMOOTHING)
+    tests = (setting.test, setting.folds)
+    runs = run_each(chosen, either, setting.test_days, daily, *tests)
+    # A model's errors are summed where they are; only these sums meet the other models'.
+    errors = stack([evaluate.horizon_errors(scored, "protocol") for scored in runs])
+    metrics = evaluate.compare_errors(errors, SMOOTHING)
     tests = [evaluate.HOLDOUT, evaluate.CROSS_VALIDATION]
     return rounded(evaluate.for_every_series(metrics, daily, names(chosen), tests))
 

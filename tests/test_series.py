@@ -348,3 +348,22 @@ def test_orders_need_no_python_worker(spark):
     plan = autoregression.orders(daily(spark, a=[1, 2, 3] * 20), origins.END)
     plan = plan._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_scored_rows_are_not_shuffled(spark):
+    """Forecasts of all folds are scored and summed in the partitioning by series."""
+    df = daily(spark, a=[1, 2, 3] * 30, b=[4, 5] * 40)
+    in_series = evaluate.by_series(df)
+    test, folds = origins.holdout(10), origins.rolling(20, 10, 10)
+    for model in ALL:
+        scored = evaluate.score_in_series(model(df, folds, 10), in_series, test, folds)
+        errors = evaluate.horizon_errors(scored, "protocol")
+        plan = errors._jdf.queryExecution().executedPlan().toString()
+        exchanges = [x for x in plan.splitlines() if "Exchange hashpartitioning(" in x]
+        assert exchanges and all("(series_key" in x for x in exchanges)
+        assert not any("ds#" in x.split("ENSURE")[0] or "cutoff#" in x for x in exchanges)
+        # The same rows as by joins on day and origin.
+        roles = evaluate.protocols(df, test, folds)
+        want = evaluate.score(model(df, folds, 10), df).join(roles, ["series_key", "cutoff"])
+        columns = ["series_key", "cutoff", "ds", "protocol", "y"]
+        assert sorted(scored.select(columns).collect()) == sorted(want.select(columns).collect())
