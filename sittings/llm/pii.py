@@ -13,7 +13,7 @@ entities the first in order keeps its surrogate, the others draw again with the
 none collides; after `WIDEN` draws each further one makes the surrogate longer, so small formats
 cannot run out.
 
-Everything is DataFrame functions. Texts without an entity pass untouched and unshuffled.
+Everything is DataFrame functions. Texts without a hint of an entity pass untouched and unshuffled.
 
 Results for odd rows: a NULL text stays NULL and an empty one empty, with no entities; repeated
 rows give equal rows; an empty table gives an empty table. All columns are kept; `n_chars` is
@@ -46,20 +46,36 @@ SYLLABLES = {
     "cyrillic": "ба бе бо ва ве да де до за зе ка ко ла ле ло ма ме мо на не но па ро са се со та те то",
 }
 
-# Types in the order in which they are tried.
+# What an entity is by itself, in the order in which types are tried.
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}",
-    "secret": r"\b(?:AKIA|ASIA)[A-Z0-9]{16}\b|\b(?:sk|pk|ghp|gho|xox[bp])[-_][A-Za-z0-9_-]{16,256}"
-    r"|\b(?:password|passwd|secret|token|api_?key) ?[=:] ?[\"']?[A-Za-z0-9+/_-]{8,256}"
-    r"|\b(?=[0-9a-f]{0,63}[a-f])(?=[0-9a-f]{0,63}[0-9])[0-9a-f]{32,64}\b",
+    "email": r"(?<![.%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}",
+    "secret": r"(?:AKIA|ASIA)[A-Z0-9]{16}\b|(?:sk|pk|ghp|gho|xox[bp])[-_][A-Za-z0-9_-]{16,256}"
+    r"|(?:password|passwd|secret|token|api_?key) ?[=:] ?[\"']?[A-Za-z0-9+/_-]{8,256}"
+    r"|(?=[0-9a-f]{0,63}[a-f])(?=[0-9a-f]{0,63}[0-9])[0-9a-f]{32,64}\b",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?![\d]|\.\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "card": r"(?<![\d.])\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,7}(?![\d])",
     "phone": r"(?<![\d.])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}(?!\d)"
     r"|(?<![\d.])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\d.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d-])",
-    "person": r"(?<![\p{L}])(?:" + "|".join(MALE_TITLES + FEMALE_TITLES) + r")\.? \p{Lu}\p{L}+(?: \p{Lu}\p{L}+)?",
+    "person": "(?:" + "|".join(MALE_TITLES + FEMALE_TITLES) + r")\.? \p{Lu}\p{L}+(?: \p{Lu}\p{L}+)?",
 }
-ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+INITIALS = "".join(sorted({t[0] for t in MALE_TITLES + FEMALE_TITLES}))
+
+
+def _one_of(*names: str) -> str:
+    return "(?:" + "|".join(f"(?:{PATTERNS[n]})" for n in names) + ")"
+
+
+# Words are tried at their beginning only, numbers only where a digit or its sign stands.
+ANY = (
+    rf"(?<![\p{{L}}0-9_])(?:(?=[A-Za-z0-9]){_one_of('email', 'secret')}"
+    rf"|(?=[{INITIALS}]){_one_of('person')})|(?=[0-9+(]){_one_of('ip', 'ssn', 'card', 'phone')}"
+)
+
+# A text without any of this holds no entity; far cheaper to look for.
+HINT = (
+    rf"[0-9@=]|[dtny] ?:|(?=[{INITIALS}])(?:{'|'.join(MALE_TITLES + FEMALE_TITLES)})\.? "
+)
 
 
 def _kind(raw: Column) -> Column:
@@ -300,10 +316,10 @@ def replace(docs: DataFrame, key: str = KEY) -> DataFrame:
     docs = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), body.alias("text"), F.col("text").alias("was")
     )
-    has = F.col("text").rlike(ANY)
-    hit = docs.filter(has).withColumn("key", F.xxhash64("text"))
-    entities = hit.select("key", F.regexp_extract_all("text", F.lit(ANY), 0).alias("raw"))
-    entities = settle(entities.dropDuplicates(["key"]), "entities")
+    hint = F.col("text").rlike(HINT)
+    hinted = docs.filter(hint).withColumn("key", F.xxhash64("text"))
+    entities = hinted.select("key", F.regexp_extract_all("text", F.lit(ANY), 0).alias("raw"))
+    entities = settle(entities.filter(F.size("raw") > 0).dropDuplicates(["key"]), "entities")
     mentions = entities.select("key", F.posexplode("raw").alias("at", "raw"))
     distinct = mentions.select("raw").distinct().withColumn("kind", _kind(F.col("raw")))
     parts = distinct.select("raw", F.posexplode(_parts(F.col("raw"), F.col("kind"))).alias("n", "part"))
@@ -320,10 +336,12 @@ def replace(docs: DataFrame, key: str = KEY) -> DataFrame:
 
     between = F.split("text", ANY, -1)
     joined = F.transform(between, lambda t, i: F.concat(t, F.coalesce(F.get("shown", i), F.lit(""))))
-    changed = hit.join(replaced, "key").select(
-        "row", F.array_join(joined, "").alias("now"), F.size("shown").cast("long").alias("n_entities")
-    )
-    same = docs.filter(~has).select("row", F.col("was").alias("now"), F.lit(0).cast("long").alias("n_entities"))
+    now = F.when(F.col("shown").isNotNull(), F.array_join(joined, "")).otherwise(F.col("was"))
+    count = F.when(F.col("shown").isNotNull(), F.size("shown")).otherwise(0)
+    count = count.cast("long").alias("n_entities")
+    changed = hinted.join(replaced, "key", "left").select("row", now.alias("now"), count)
+    none = F.lit(0).cast("long").alias("n_entities")
+    same = docs.filter(~hint).select("row", F.col("was").alias("now"), none)
 
     def column(name: str) -> Column:
         if name == "text":
