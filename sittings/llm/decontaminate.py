@@ -52,7 +52,8 @@ def frequencies(docs: DataFrame, terms: DataFrame) -> DataFrame:
 
 def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """The index: term, key, doc_id and place of every occurrence of the given terms."""
-    words = docs.select("key", "doc_id", F.posexplode(lowered_words(F.col("text"))).alias("place", "term"))
+    places = F.posexplode(lowered_words(F.col("text"))).alias("place", "term")
+    words = docs.select("key", "doc_id", places)
     return words.join(terms, "term").select("term", "key", "doc_id", "place")
 
 
@@ -64,7 +65,8 @@ def rarest_pairs(items: DataFrame, occurs: DataFrame, window: int) -> DataFrame:
     size = F.size("item_words")
     length = F.least(size, F.lit(window))
     starts = F.sequence(F.lit(0), size - length)
-    windows = items.select("item", length.alias("length"), "item_words", F.explode(starts).alias("start"))
+    start = F.explode(starts).alias("start")
+    windows = items.select("item", length.alias("length"), "item_words", start)
     words = windows.select(
         "item", "length", "start",
         F.posexplode(F.slice("item_words", F.col("start") + 1, F.col("length"))).alias("at", "term"),
@@ -104,8 +106,8 @@ def phrase_matches(docs: DataFrame, items: DataFrame, window: int) -> DataFrame:
     index = settle(postings(docs, compact(listed, "listed")), "index")
 
     first = index.join(F.broadcast(pairs) if pairs.count() <= 200_000 else pairs, "term")
-    first = first.select("key", "item", (F.col("place") - F.col("at")).alias("shift"), "term2", "at2")
-    second = index.select("key", F.col("term").alias("term2"), (F.col("place")).alias("place2"))
+    first = first.selectExpr("key", "item", "place - at AS shift", "term2", "at2")
+    second = index.selectExpr("key", "term AS term2", "place AS place2")
     aligned = (
         first.withColumn("place2", F.col("shift") + F.col("at2"))
         .join(second, ["key", "term2", "place2"], "left_semi")
@@ -181,7 +183,8 @@ def contamination(
     hit = hit.groupBy("key").agg(F.count("*").alias("hit"))
     ids = found.groupBy("key").agg(F.array_sort(F.collect_set("item_id")).alias("ids"))
     hit = hit.join(ids, "key")
-    counted = docs.select("key", "doc_id", F.size(lowered_words(F.col("text"))).cast("long").alias("n_words"))
+    n_words = F.size(lowered_words(F.col("text"))).cast("long").alias("n_words")
+    counted = docs.select("key", "doc_id", n_words)
     return (
         counted.join(hit, "key", "left")
         .select(

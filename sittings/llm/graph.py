@@ -21,12 +21,12 @@ def components(links: DataFrame) -> DataFrame:
     links = settle(links.filter("a <> b").select(*ends).distinct(), "links")
     before = None
     while True:
-        both = links.unionAll(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = links.unionAll(links.selectExpr("v AS u", "u AS v"))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = both.filter("v > u").join(least, "u").selectExpr("v AS u", "m AS v")
         large = large.filter("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        handed = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        handed = large.join(least, "u").filter("v <> m").selectExpr("v AS u", "m AS v")
         small = least.select("u", F.col("m").alias("v")).unionAll(handed).distinct()
         following = settle(small, "links")
         now = following.agg(
@@ -36,7 +36,6 @@ def components(links: DataFrame) -> DataFrame:
         discard(links)
         links = following
         if now == before:
-            return links.select(F.col("u").alias("doc_id"), F.col("v").alias("component_id")).unionAll(
-                links.select(F.col("v").alias("doc_id"), F.col("v").alias("component_id")).distinct()
-            )
+            members = links.selectExpr("u AS doc_id", "v AS component_id")
+            return members.unionAll(links.selectExpr("v AS doc_id", "v AS component_id").distinct())
         before = now

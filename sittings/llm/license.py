@@ -139,10 +139,11 @@ def scan(
     """key, license, words, start and common (template shingles in the window) of every match."""
     texts = texts or TEMPLATES
     table = settle(templates(docs.sparkSession, texts), "templates")
-    bands = table.select("license", "words", F.posexplode(_signature(F.col("parts"))).alias("band", "value"))
+    band = F.posexplode(_signature(F.col("parts"))).alias("band", "value")
+    bands = table.select("license", "words", band)
     signal = r"(?i)\b(?:" + "|".join(SIGNALS) + r")\b"
-    words = docs.filter(F.col("text").rlike(signal)).select("key", lowered_words(F.col("text")).alias("w"))
-    words = words.dropDuplicates(["key"])
+    words = docs.filter(F.col("text").rlike(signal)).dropDuplicates(["key"])
+    words = words.select("key", lowered_words(F.col("text")).alias("w"))
     signals = F.array(*[F.lit(s) for s in SIGNALS])
     numbered = F.transform(F.col("w"), lambda x, i: F.when(F.array_contains(signals, x), i))
     words = settle(words.select(
@@ -160,11 +161,13 @@ def scan(
         ]
     )
     cut = words.select("key", "shingles", F.explode(kinds).alias("kind"))
-    cut = cut.select("key", "shingles", "kind.words", "kind.window", F.explode("kind.starts").alias("start"))
+    start = F.explode("kind.starts").alias("start")
+    cut = cut.select("key", "shingles", "kind.words", "kind.window", start)
     part = F.slice("shingles", F.col("start") + 1, F.col("window") - (SHINGLE_WORDS - 1))
     cut = cut.select("key", "words", "start", part.alias("part")).filter(F.size("part") > 0)
-    signed = cut.select("key", "words", "start", "part", _signature(F.col("part")).alias("signature"))
-    signed = signed.select("key", "words", "start", "part", F.posexplode("signature").alias("band", "value"))
+    signed = cut.withColumn("signature", _signature(F.col("part")))
+    band = F.posexplode("signature").alias("band", "value")
+    signed = signed.select("key", "words", "start", "part", band)
     retrieved = signed.join(F.broadcast(bands), ["words", "band", "value"])
     retrieved = retrieved.groupBy("key", "license", "start").agg(F.first("part").alias("part"))
     exact = retrieved.join(F.broadcast(table), "license")

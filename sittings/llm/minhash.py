@@ -171,7 +171,8 @@ def _prefixes(docs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         shingles.join(holders, "shingle")
         .groupBy("rep", "n", "c")
         .agg(ordered.alias("ordered"))
-        .select("rep", "n", "c", F.posexplode(F.slice("ordered", 1, first.cast("int"))).alias("at", "of"))
+        .withColumn("first", F.slice("ordered", 1, first.cast("int")))
+        .select("rep", "n", "c", F.posexplode("first").alias("at", "of"))
         .filter("of.holders > 1")
         .select("rep", "n", "c", "at", "of.shingle")
     )
@@ -184,8 +185,8 @@ def _across(prefixes: DataFrame, percent: int) -> DataFrame:
     place `at` of a set (from 0) leaves n - at of them to it and those behind it, and the first
     common shingle must leave `least`; pairs without such a shingle are no links.
     """
-    left = prefixes.select("shingle", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"), F.col("at").alias("pa"))
-    right = prefixes.select("shingle", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"), F.col("at").alias("pb"))
+    left = prefixes.selectExpr("shingle", "rep AS a", "n AS na", "c AS ca", "at AS pa")
+    right = prefixes.selectExpr("shingle", "rep AS b", "n AS nb", "c AS cb", "at AS pb")
     least = F.ceil((F.col("na") + F.col("nb")) * percent / (100 + percent))
     return (
         left.join(right, "shingle")
@@ -214,7 +215,7 @@ def near_duplicates(
     )
     classes = settle(classes, "classes")
 
-    entries = classes.select("rep", F.col("n_shingles").alias("n"), F.explode("bands").alias("band"))
+    entries = classes.selectExpr("rep", "n_shingles AS n", "explode(bands) AS band")
     shared = entries.groupBy("band").agg(F.count("*").alias("members")).filter("members > 1")
     buckets = settle(entries.join(shared, "band"), "buckets")
     degree = buckets.groupBy("rep").agg(F.sum("members").alias("degree"))
@@ -248,9 +249,8 @@ def near_duplicates(
     apart = placed.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi"))
     open_ = placed.join(apart.filter("lo < hi").select("band"), "band").select("rep", "n", "c")
     prefixes = settle(_prefixes(settle(open_.distinct(), "open"), sets, percent), "prefixes")
-    rest = _across(prefixes, percent).join(
-        stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"
-    )
+    compared = stars.selectExpr("least(a, b) AS a", "greatest(a, b) AS b")
+    rest = _across(prefixes, percent).join(compared, ["a", "b"], "left_anti")
     more = settle(verified(rest, sets, percent), "links")
     if not more.isEmpty():
         found = components(links.unionAll(more))
