@@ -67,5 +67,6 @@ ORACLE_SQL: str | None = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = settle(stage(spark, docs, sf_dir).select(*[F.col(f"`{c}`") for c in docs.columns]), name)
+        kept = stage(spark, docs, sf_dir)
+        docs = settle(kept.select(*[F.col(f"`{c}`") for c in docs.columns]), name)
     return STAGES[-1][1](spark, docs, sf_dir)
