@@ -164,8 +164,8 @@ def test_order_of_ties(spark):
     schema = "user_id string, timestamp timestamp, tie int, x double, y string"
     got = sessionize(spark.createDataFrame(rows, schema), tie_break="tie").collect()
     want, prev, number = Counter(), None, 0
-    order = lambda r: (r[1], null_first(r[2]), null_first(r[3]), str(r[3]), null_first(r[4]) if r[4] is None else (True, r[4]))  # noqa: E731,E501
-    for r in sorted(rows, key=lambda r: tuple(map(str, order(r)))):
+    in_order = sorted(rows, key=lambda r: [str(null_first(x)) for x in (*r[1:], str(r[3]))])
+    for r in in_order:
         opens = int(prev is None or floored(r[1]) - floored(prev) > 1200)
         number += opens
         want[(*map(str, r), str(prev), opens, number)] += 1
