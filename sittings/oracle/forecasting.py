@@ -267,9 +267,9 @@ def _fitted(series: str, folds: str, horizon: int, names: list[str], history=Fal
 
 def _forecast(series: str, horizon: int, name: str, history: bool = False) -> str:
     return f"""{_fitted(series, AT_END, horizon, [name], history)}
-SELECT series_key, model, cutoff, ds, round(yhat, 6) + 0 AS yhat,
-       round(yhat - 1.2816 * sd, 6) + 0 AS yhat_lower,
-       round(yhat + 1.2816 * sd, 6) + 0 AS yhat_upper
+SELECT series_key, model, cutoff, ds, round(round(yhat, 10), 6) + 0 AS yhat,
+       round(round(yhat - 1.2816 * sd, 10), 6) + 0 AS yhat_lower,
+       round(round(yhat + 1.2816 * sd, 10), 6) + 0 AS yhat_upper
 FROM runs"""
 
 
@@ -281,7 +281,7 @@ def _tested(series: str, folds: str, days: int, names: list[str]) -> str:
 
 
 SCORED_ROWS = """
-SELECT series_key, model, cutoff, ds, round(yhat, 6) + 0 AS yhat, y FROM scored"""
+SELECT series_key, model, cutoff, ds, round(round(yhat, 10), 6) + 0 AS yhat, y FROM scored"""
 
 BY_HORIZON = """
 by_day AS (
@@ -332,8 +332,8 @@ metrics AS (
   SELECT *, 'holdout' AS protocol FROM held
   UNION ALL SELECT *, 'cross_validation' AS protocol FROM crossed
 )
-SELECT series_key, model, round(mae, 6) + 0 AS mae, round(rmse, 6) + 0 AS rmse, protocol,
-       round(CASE WHEN base > 0 THEN (base - mae) / base * 100 END, 6) + 0 AS improvement_pct
+SELECT series_key, model, round(round(mae, 10), 6) + 0 AS mae, round(round(rmse, 10), 6) + 0 AS rmse, protocol,
+       round(round(CASE WHEN base > 0 THEN (base - mae) / base * 100 END, 10), 6) + 0 AS improvement_pct
 FROM (WITH {series} SELECT series_key FROM bounds)
 CROSS JOIN (VALUES ('weekday_mean'), ('seasonal_trend'), ('seasonal_ar1')) m(model)
 CROSS JOIN (VALUES ('holdout'), ('cross_validation')) p(protocol)
@@ -359,23 +359,23 @@ def _feed(series: str, horizon: int, name: str, line: str, history: bool) -> str
                CAST(NULL AS DOUBLE) AS lower, CAST(NULL AS DOUBLE) AS upper
         FROM daily
         UNION ALL SELECT series_key, 'forecast_start', hi, NULL, NULL, NULL FROM bounds
-        UNION ALL SELECT series_key, 'forecast', ds, round({line}, 6),
-                         round(yhat - 1.2816 * sd, 6), round(yhat + 1.2816 * sd, 6)
+        UNION ALL SELECT series_key, 'forecast', ds, round(round({line}, 10), 6),
+                         round(round(yhat - 1.2816 * sd, 10), 6), round(round(yhat + 1.2816 * sd, 10), 6)
         FROM runs"""
 
 
 def _cv_feed(series: str, folds: str, days: int) -> str:
     return f"""{_tested(series, folds, days, ["seasonal_trend"])}
-        SELECT series_key, model, cutoff, ds, y AS actual, round(yhat, 6) + 0 AS yhat,
-               round(overall_mean, 6) + 0 AS overall_mean
+        SELECT series_key, model, cutoff, ds, y AS actual, round(round(yhat, 10), 6) + 0 AS yhat,
+               round(round(overall_mean, 10), 6) + 0 AS overall_mean
         FROM scored JOIN (SELECT series_key, avg(y) AS overall_mean FROM daily GROUP BY 1)
         USING (series_key)"""
 
 
 def _orders(series: str, folds: str) -> str:
     return f"""WITH {series}, {folds}, {TRAIN}, {AR_CHOICE}
-        SELECT series_key, cutoff, differenced, lag1, lag7, round(phi1, 6) + 0 AS phi1,
-               round(phi7, 6) + 0 AS phi7, round(aic, 6) + 0 AS aic
+        SELECT series_key, cutoff, differenced, lag1, lag7, round(round(phi1, 10), 6) + 0 AS phi1,
+               round(round(phi7, 10), 6) + 0 AS phi7, round(round(aic, 10), 6) + 0 AS aic
         FROM ar_best"""
 
 
@@ -402,7 +402,7 @@ def _held_all(series: str) -> str:
 def _crossed_all(series: str) -> str:
     metrics = f"""{_tested(series, SEGMENT_FOLDS, 30, list(MODELS))},
         {BY_HORIZON}, {SMOOTHED}, {_nested(HEADLINE, "headline")}
-        SELECT series_key, model, round(mae, 6) + 0 AS mae, round(rmse, 6) + 0 AS rmse
+        SELECT series_key, model, round(round(mae, 10), 6) + 0 AS mae, round(round(rmse, 10), 6) + 0 AS rmse
         FROM headline"""
     return _every(series, list(MODELS), metrics)
 
@@ -425,12 +425,12 @@ def _validation(series: str, days: int, folds: str) -> str:
 
 _BOUNDS = """
 SELECT series_key, min(ds) AS first_ds, max(ds) AS last_ds, count(*) AS days,
-       CAST(sum(y) AS BIGINT) AS total, round(avg(y), 6) + 0 AS mean_y
+       CAST(sum(y) AS BIGINT) AS total, round(round(avg(y), 10), 6) + 0 AS mean_y
 FROM daily GROUP BY 1"""
 
 _PROFILE = """
 SELECT series_key, CAST(isodow(ds) - 1 AS INTEGER) AS dow, count(*) AS days,
-       round(avg(y), 6) + 0 AS mean_y
+       round(round(avg(y), 10), 6) + 0 AS mean_y
 FROM daily GROUP BY 1, 2"""
 
 _NAIVE = ["weekday_mean"]
@@ -460,12 +460,12 @@ ORACLE = {
     "naive_cv": _tested(SEGMENT_SERIES, SEGMENT_FOLDS, 30, _NAIVE) + SCORED_ROWS,
     "naive_cv_users": _tested(USER_SERIES, USER_FOLDS, 7, _NAIVE) + SCORED_ROWS,
     "naive_cv_by_horizon": f"""{_tested(SEGMENT_SERIES, SEGMENT_FOLDS, 30, _NAIVE)}, {BY_HORIZON}
-        SELECT series_key, model, horizon, n, round(mae, 6) + 0 AS mae,
-               round(sqrt(mse), 6) + 0 AS rmse
+        SELECT series_key, model, horizon, n, round(round(mae, 10), 6) + 0 AS mae,
+               round(round(sqrt(mse), 10), 6) + 0 AS rmse
         FROM by_day""",
     "naive_cv_by_horizon_smoothed": f"""{_tested(SEGMENT_SERIES, SEGMENT_FOLDS, 30, _NAIVE)},
         {BY_HORIZON}, {SMOOTHED}
-        SELECT series_key, model, horizon, n, round(mae, 6) + 0 AS mae, round(rmse, 6) + 0 AS rmse
+        SELECT series_key, model, horizon, n, round(round(mae, 10), 6) + 0 AS mae, round(round(rmse, 10), 6) + 0 AS rmse
         FROM smoothed""",
     "seasonal_trend_forecast": _forecast(SEGMENT_SERIES, 90, "seasonal_trend"),
     "seasonal_trend_forecast_users": _forecast(USER_SERIES, 7, "seasonal_trend"),

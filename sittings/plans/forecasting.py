@@ -85,8 +85,11 @@ MIXED = replace(SEGMENTS, daily=mixed_series)
 
 
 def rounded(df: DataFrame) -> DataFrame:
-    """Doubles to six places, where sums taken in another order still agree."""
-    doubles = {c: F.round(c, 6) for c, t in df.dtypes if t == "double"}
+    """Doubles to six places, where sums taken in another order still agree.
+
+    Ten places first, so that a mean that ends in a half is not tipped over by its last bit.
+    """
+    doubles = {c: F.round(F.round(c, 10), 6) for c, t in df.dtypes if t == "double"}
     return df.withColumns(doubles)
 
 
