@@ -176,22 +176,23 @@ def remove_repeats(
 
     classes = joined.groupBy("seed", "around").agg(F.min("doc_id").alias("lo"))
     classes = settle(classes, "classes")
-    several = classes.groupBy("seed").agg(F.count("*").alias("classes"))
+    # Counts are written before they are joined, so that joins can be split where a group is hot.
+    several = classes.groupBy("seed").agg(F.count("*").alias("classes")).filter("classes > 1")
+    several = settle(several, "several")
     places = joined.join(classes, ["seed", "around"])
     copies = places.filter("doc_id > lo").groupBy("key").agg(F.collect_set("place").alias("around"))
 
-    first = places.filter("doc_id = lo").join(several.filter("classes > 1"), "seed")
+    first = places.filter("doc_id = lo").join(several, "seed")
     first = first.groupBy("key").agg(F.collect_set("place").alias("marks"))
     windows = settle(
         window_rows(docs.join(first, "key"), window, seed), "windows"
     )
     owners = windows.groupBy("hash").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
-    # Written first, so that the join below can be split where one window is hot.
     owners = settle(owners.filter("lo < hi").select("hash", "lo"), "owners")
     single = windows.join(owners, "hash").filter("doc_id > lo")
     single = single.groupBy("key").agg(F.collect_set("place").alias("windows"))
 
     marks = settle(copies.join(single, "key", "full"), "marks")
-    discard(shared, joined, classes, windows, owners)
+    discard(shared, joined, classes, several, windows, owners)
     marked = docs.join(marks, "key", "left").select("doc_id", "text", "around", "windows")
     return cut(marked, window, seed)

@@ -237,11 +237,12 @@ def remove_repeated_bytes(
     copies = sorted_.join(classes.filter("n > 1").select("digit", "around"), ["digit", "around"])
     copies = copies.groupBy("key").agg(F.collect_set("place").alias("around"))
 
+    # Counts are written before they are joined, so that joins can be split where a group is hot.
     several = classes.groupBy("digit").agg(F.count("*").alias("c")).filter("c > 1").select("digit")
+    several = settle(several, "several")
     first = classes.join(several, "digit").select("one.key", "one.place").groupBy("key")
     first = first.agg(F.collect_set("place").alias("marks"))
     blocks = settle(_block_rows(texts.join(first, "key"), depth, block), "blocks")
-    # Written first, so that the joins below can be split where one group is hot.
     together = blocks.groupBy("block", "digit").agg(F.count("*").alias("n")).filter("n > 1")
     together = settle(together, "together")
     coded = (F.col("place").cast("long") * 1024 + F.col("block")).alias("coded")
@@ -254,6 +255,6 @@ def remove_repeated_bytes(
     single = single.agg(F.collect_set("place").alias("windows"))
 
     marks = settle(copies.join(single, "key", "full"), "marks")
-    discard(groups, sorted_, classes, blocks, together, windows, equal)
+    discard(groups, sorted_, classes, several, blocks, together, windows, equal)
     marked = docs.join(marks, "key", "left").select("doc_id", "text", "around", "windows")
     return _cut(marked, depth)
