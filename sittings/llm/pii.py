@@ -48,16 +48,18 @@ SYLLABLES = {
 
 # What an entity is by itself, in the order in which types are tried.
 PATTERNS = {
-    "email": r"(?<![.%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}",
-    "secret": r"(?:AKIA|ASIA)[A-Z0-9]{16}\b|(?:sk|pk|ghp|gho|xox[bp])[-_][A-Za-z0-9_-]{16,256}"
+    "email": r"(?<![\p{L}\p{M}\p{N}])(?<![\p{L}\p{M}\p{N}][._%+-])[\p{L}\p{N}][\p{L}\p{M}\p{N}._%+-]*+"
+    r"@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}",
+    "secret": r"(?<![\p{IsLatin}0-9])(?:"
+    r"(?:AKIA|ASIA)[A-Z0-9]{16}(?![\p{IsLatin}0-9])|(?:sk|pk|ghp|gho|xox[bp])[-_][A-Za-z0-9_-]{16,256}"
     r"|(?:password|passwd|secret|token|api_?key) ?[=:] ?[\"']?[A-Za-z0-9+/_-]{8,256}"
-    r"|(?=[0-9a-f]{0,63}[a-f])(?=[0-9a-f]{0,63}[0-9])[0-9a-f]{32,64}\b",
+    r"|(?=[0-9a-f]{0,63}[a-f])(?=[0-9a-f]{0,63}[0-9])[0-9a-f]{32,64}(?![\p{IsLatin}0-9]))",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?![\d]|\.\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "card": r"(?<![\d.])\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,7}(?![\d])",
     "phone": r"(?<![\d.])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}(?!\d)"
     r"|(?<![\d.])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\d.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d-])",
-    "person": "(?:" + "|".join(MALE_TITLES + FEMALE_TITLES) + r")\.? \p{Lu}\p{L}+(?: \p{Lu}\p{L}+)?",
+    "person": r"(?<!\p{L})(?:" + "|".join(MALE_TITLES + FEMALE_TITLES) + r")\.? \p{Lu}\p{L}+(?: \p{Lu}\p{L}+)?",
 }
 INITIALS = "".join(sorted({t[0] for t in MALE_TITLES + FEMALE_TITLES}))
 
@@ -66,15 +68,16 @@ def _one_of(*names: str) -> str:
     return "(?:" + "|".join(f"(?:{PATTERNS[n]})" for n in names) + ")"
 
 
-# Words are tried at their beginning only, numbers only where a digit or its sign stands.
+# Numbers are tried only where a digit or its sign stands, the others where they can begin.
 ANY = (
-    rf"(?<![\p{{L}}0-9_])(?:(?=[A-Za-z0-9]){_one_of('email', 'secret')}"
-    rf"|(?=[{INITIALS}]){_one_of('person')})|(?=[0-9+(]){_one_of('ip', 'ssn', 'card', 'phone')}"
+    rf"(?=[\p{{L}}\p{{N}}])(?:{PATTERNS['email']})|(?=[A-Za-z0-9]){_one_of('secret')}"
+    rf"|(?=[{INITIALS}]){_one_of('person')}|(?=[0-9+(]){_one_of('ip', 'ssn', 'card', 'phone')}"
 )
 
 # A text without any of this holds no entity; far cheaper to look for.
 HINT = (
-    rf"[0-9@=]|[dtny] ?:|(?=[{INITIALS}])(?:{'|'.join(MALE_TITLES + FEMALE_TITLES)})\.? "
+    r"[0-9@=]|[dtny] ?:|(?:sk|pk|ghp|gho|xox[bp])[-_]|A[KS]IA"
+    rf"|(?=[{INITIALS}])(?:{'|'.join(MALE_TITLES + FEMALE_TITLES)})\.? "
 )
 
 
@@ -147,6 +150,17 @@ def _characters(canonical: Column, digest: Column, keep: Column) -> Column:
         (r"\p{IsCyrillic}", "абвгдежзиклмнопрстуфхцчшэюя"),
         (r"[\p{IsGreek}&&\p{Lu}]", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ"),
         (r"\p{IsGreek}", "αβγδεζηθικλμνξοπρστυφχψω"),
+        (r"[\p{IsLatin}&&\p{Lu}]", "ÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÑÒÓÔÕÖØÙÚÛÜÝ"),
+        (r"\p{IsLatin}", "àáâãäåæçèéêëìíîïñòóôõöøùúûüý"),
+        (r"\p{IsHan}", "天地人山水火木金土日月星雨雪春夏秋冬東西南北上下左右大小中田林森花草石竹米"),
+        (r"\p{IsHiragana}", "あいうえおかきくけこさしすせそたちつてとなにぬねのはひふへほ"),
+        (r"\p{IsKatakana}", "アイウエオカキクケコサシスセソタチツテトナニヌネノハヒフヘホ"),
+        (r"\p{IsHangul}", "가나다라마바사아자차카타파하고노도로모보소오조초코토포호"),
+        (r"\p{IsArabic}", "ابتثجحخدذرزسشصضطظعغفقكلمنهوي"),
+        (r"\p{IsHebrew}", "אבגדהוזחטיכלמנסעפצקרשת"),
+        (r"\p{N}", "0123456789"),
+        (r"\p{L}", "abcdefghijklmnopqrstuvwxyz"),
+        (r"\p{M}", "\u0300\u0301\u0302\u0303\u0308"),
     ]
 
     hexadecimal = canonical.rlike("^[0-9a-f]{16,}$")
@@ -301,7 +315,7 @@ def _shown(kind: Column, raw: Column, before: Column, surrogate: Column) -> Colu
     cased = F.array_join(
         F.transform(
             F.split(surrogate, ""),
-            lambda c, i: F.when(F.get(marks, i).rlike("[A-Z]"), F.upper(c)).otherwise(c),
+            lambda c, i: F.when(F.get(marks, i).rlike(r"\p{Lu}"), F.upper(c)).otherwise(c),
         ),
         "",
     )
