@@ -46,14 +46,17 @@ SYLLABLES = {
     "cyrillic": "ба бе бо ва ве да де до за зе ка ко ла ле ло ма ме мо на не но па ро са се со та те то",
 }
 
+# What stands before a secret and is kept.
+LABEL = r"(?i:password|passwd|secret|token|api_?key) ?[=:] ?[\"']?"
+
 # What an entity is by itself, in the order in which types are tried.
 PATTERNS = {
     "email": r"(?<![\p{L}\p{M}\p{N}])(?<![\p{L}\p{M}\p{N}][._%+-])[\p{L}\p{N}][\p{L}\p{M}\p{N}._%+-]*+"
     r"@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}",
     "secret": r"(?<![\p{IsLatin}0-9])(?:"
-    r"(?:AKIA|ASIA)[A-Z0-9]{16}(?![\p{IsLatin}0-9])|(?:sk|pk|ghp|gho|xox[bp])[-_][A-Za-z0-9_-]{16,256}"
-    r"|(?:password|passwd|secret|token|api_?key) ?[=:] ?[\"']?[A-Za-z0-9+/_-]{8,256}"
-    r"|(?=[0-9a-f]{0,63}[a-f])(?=[0-9a-f]{0,63}[0-9])[0-9a-f]{32,64}(?![\p{IsLatin}0-9]))",
+    r"(?:AKIA|ASIA)[A-Z0-9]{16}(?![\p{IsLatin}0-9])|(?i:sk|pk|ghp|gho|xox[bp])[-_][A-Za-z0-9_-]{16,256}"
+    rf"|{LABEL}[A-Za-z0-9+/_-]{{8,256}}"
+    r"|(?=[0-9A-Fa-f]{0,63}[A-Fa-f])(?=[0-9A-Fa-f]{0,63}[0-9])[0-9A-Fa-f]{32,64}(?![\p{IsLatin}0-9]))",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?![\d]|\.\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "card": r"(?<![\d.])\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,7}(?![\d])",
@@ -76,7 +79,7 @@ ANY = (
 
 # A text without any of this holds no entity; far cheaper to look for.
 HINT = (
-    r"[0-9@=]|[dtny] ?:|(?:sk|pk|ghp|gho|xox[bp])[-_]|A[KS]IA"
+    r"[0-9@=]|[dtnyDTNY] ?:|(?i:sk|pk|ghp|gho|xox[bp])[-_]|A[KS]IA"
     rf"|(?=[{INITIALS}])(?:{'|'.join(MALE_TITLES + FEMALE_TITLES)})\.? "
 )
 
@@ -111,11 +114,14 @@ def _parts(raw: Column, kind: Column) -> Column:
     )
     person = F.when(F.size(words) > 2, F.array(given, family)).otherwise(F.array(family))
     digits = F.regexp_replace(raw, r"\D", "")
-    label = r"^((?:password|passwd|secret|token|api_?key) ?[=:] ?[\"']?)?(.*)$"
+    label = rf"^({LABEL})?(.*)$"
+    secret = F.regexp_extract(raw, label, 2)
+    # A hex key is the same key in upper case.
+    secret = F.when(secret.rlike("^[0-9A-F]{16,}$"), F.lower(secret)).otherwise(secret)
     canonical = (
         F.when(kind.isin("card", "phone", "ssn"), digits)
         .when(kind == "email", F.lower(raw))
-        .when(kind == "secret", F.regexp_extract(raw, label, 2))
+        .when(kind == "secret", secret)
         .otherwise(raw)
     )
     before = F.when(kind == "secret", F.regexp_extract(raw, label, 1)).otherwise("")
@@ -163,7 +169,7 @@ def _characters(canonical: Column, digest: Column, keep: Column) -> Column:
         (r"\p{M}", "\u0300\u0301\u0302\u0303\u0308"),
     ]
 
-    hexadecimal = canonical.rlike("^[0-9a-f]{16,}$")
+    hexadecimal = canonical.rlike("^[0-9A-Fa-f]{16,}$")
 
     def one(c: Column, i: Column) -> Column:
         out = c
@@ -171,8 +177,8 @@ def _characters(canonical: Column, digest: Column, keep: Column) -> Column:
         own = F.md5(F.concat_ws("|", digest, i.cast("string")))
         for pattern, alphabet in reversed(alphabets):
             drawn = _pick(alphabet, _number(own, 0, len(alphabet)))
-            if pattern == "[a-z]":
-                drawn = F.when(hexadecimal, _pick("abcdef", _number(own, 0, 6))).otherwise(drawn)
+            if pattern in ("[a-z]", "[A-Z]"):
+                drawn = F.when(hexadecimal, _pick(alphabet[:6], _number(own, 0, 6))).otherwise(drawn)
             out = F.when(c.rlike(pattern), drawn).otherwise(out)
         return F.when(i < keep, c).otherwise(out)
 
@@ -319,6 +325,9 @@ def _shown(kind: Column, raw: Column, before: Column, surrogate: Column) -> Colu
         ),
         "",
     )
+    value = F.substr(raw, F.length(before) + 1)
+    upper = value.rlike("^[0-9A-F]{16,}$") & (kind == "secret")
+    surrogate = F.when(upper, F.upper(surrogate)).otherwise(surrogate)
     numbers = kind.isin("card", "ssn") | kind.startswith("phone")
     return F.concat(before, F.when(numbers, grouped).when(kind == "email", cased).otherwise(surrogate))
 
