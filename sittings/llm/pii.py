@@ -46,23 +46,28 @@ SYLLABLES = {
     "cyrillic": "ба бе бо ва ве да де до за зе ка ко ла ле ло ма ме мо на не но па ро са се со та те то",
 }
 
-# What stands before a secret and is kept.
+TITLE = rf"(?:{'|'.join(MALE_TITLES + FEMALE_TITLES)})\.? "
+# A name goes on after hyphens and apostrophes, but not with the 's of a genitive.
+NAME = (
+    r"\p{Lu}(?:[\p{L}\p{M}]++|(?=['’]))(?:[-'’](?![sS](?![\p{L}\p{M}]))[\p{L}\p{M}]++)*+"
+)
+# What stands before a secret and is kept; a longer name may end in the keyword (access_token).
 LABEL = r"(?i:password|passwd|secret|token|api_?key) ?[=:] ?[\"']?"
 
 # What an entity is by itself, in the order in which types are tried.
 PATTERNS = {
     "email": r"(?<![\p{L}\p{M}\p{N}])(?<![\p{L}\p{M}\p{N}][._%+-])[\p{L}\p{N}][\p{L}\p{M}\p{N}._%+-]*+"
-    r"@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}",
-    "secret": r"(?<![\p{IsLatin}0-9])(?:"
-    r"(?:AKIA|ASIA)[A-Z0-9]{16}(?![\p{IsLatin}0-9])|(?i:sk|pk|ghp|gho|xox[bp])[-_][A-Za-z0-9_-]{16,256}"
-    rf"|{LABEL}[A-Za-z0-9+/_-]{{8,256}}"
-    r"|(?=[0-9A-Fa-f]{0,63}[A-Fa-f])(?=[0-9A-Fa-f]{0,63}[0-9])[0-9A-Fa-f]{32,64}(?![\p{IsLatin}0-9]))",
+    r"@(?:[A-Za-z0-9-]{1,63}\.){1,126}[A-Za-z]{2,63}",
+    "secret": rf"{LABEL}[A-Za-z0-9+/_.=~-]{{7,}}[A-Za-z0-9+/_=~-]"
+    r"|(?<![\p{IsLatin}0-9])(?:(?:AKIA|ASIA)[A-Z0-9]{16}(?![\p{IsLatin}0-9])"
+    r"|(?i:sk|pk|ghp|gho|xox[bp])[-_][A-Za-z0-9_-]{16,}+"
+    r"|(?=[0-9]*+[A-Fa-f])(?=[A-Fa-f]*+[0-9])[0-9A-Fa-f]{32,}+(?![\p{IsLatin}0-9]))",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?![\d]|\.\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "card": r"(?<![\d.])\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,7}(?![\d])",
     "phone": r"(?<![\d.])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}(?!\d)"
     r"|(?<![\d.])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\d.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d-])",
-    "person": r"(?<!\p{L})(?:" + "|".join(MALE_TITLES + FEMALE_TITLES) + r")\.? \p{Lu}\p{L}+(?: \p{Lu}\p{L}+)?",
+    "person": rf"(?<!\p{{L}}){TITLE}{NAME}(?: (?!{TITLE}\p{{Lu}}){NAME})*+",
 }
 INITIALS = "".join(sorted({t[0] for t in MALE_TITLES + FEMALE_TITLES}))
 
@@ -80,7 +85,7 @@ ANY = (
 # A text without any of this holds no entity; far cheaper to look for.
 HINT = (
     r"[0-9@=]|[dtnyDTNY] ?:|(?i:sk|pk|ghp|gho|xox[bp])[-_]|A[KS]IA"
-    rf"|(?=[{INITIALS}])(?:{'|'.join(MALE_TITLES + FEMALE_TITLES)})\.? "
+    rf"|(?=[{INITIALS}]){TITLE}"
 )
 
 
@@ -101,18 +106,24 @@ def _parts(raw: Column, kind: Column) -> Column:
     words = F.split(raw, " ")
     female = raw.rlike("^(?:" + "|".join(FEMALE_TITLES) + r")\.? ")
     gender = F.when(female, "female").otherwise("male")
-    given = F.struct(
-        F.concat_ws(" ", F.lit("given"), gender, _script(words[1])).alias("kind"),
-        F.lower(words[1]).alias("canonical"),
-        F.concat(words[0], F.lit(" ")).alias("before"),
-    )
+    title = F.concat(words[0], F.lit(" "))
+
+    def given(word: Column, i: Column) -> Column:
+        return F.struct(
+            F.concat_ws(" ", F.lit("given"), gender, _script(word)).alias("kind"),
+            F.lower(word).alias("canonical"),
+            F.when(i == 0, title).otherwise(" ").alias("before"),
+        )
+
     family_word = F.element_at(words, -1)
     family = F.struct(
         F.concat_ws(" ", F.lit("family"), _script(family_word)).alias("kind"),
         F.lower(family_word).alias("canonical"),
-        F.when(F.size(words) > 2, " ").otherwise(F.concat(words[0], F.lit(" "))).alias("before"),
+        F.when(F.size(words) > 2, " ").otherwise(title).alias("before"),
     )
-    person = F.when(F.size(words) > 2, F.array(given, family)).otherwise(F.array(family))
+    # The last name is the family's; none stands before it after a title alone.
+    names = F.slice(words, F.lit(2), F.greatest(F.size(words) - 2, F.lit(0)))
+    person = F.concat(F.transform(names, given), F.array(family))
     digits = F.regexp_replace(raw, r"\D", "")
     label = rf"^({LABEL})?(.*)$"
     secret = F.regexp_extract(raw, label, 2)
