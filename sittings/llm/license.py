@@ -69,6 +69,8 @@ SIGNALS = [
     "redistributions", "warranties", "public", "conditions", "gnu",
 ]
 
+IN_WORD = r"[a-z0-9\x{80}-\x{10FFFF}]"
+
 
 def template_words(text: str) -> list[str]:
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.lower())
@@ -141,7 +143,8 @@ def scan(
     table = settle(templates(docs.sparkSession, texts), "templates")
     band = F.posexplode(_signature(F.col("parts"))).alias("band", "value")
     bands = table.select("license", "words", band)
-    signal = r"(?i)\b(?:" + "|".join(SIGNALS) + r")\b"
+    # Words end where the tokenizer ends them: '_' is no part of one.
+    signal = rf"(?i)(?<!{IN_WORD})(?:{'|'.join(SIGNALS)})(?!{IN_WORD})"
     words = docs.filter(F.col("text").rlike(signal)).dropDuplicates(["key"])
     words = words.select("key", lowered_words(F.col("text")).alias("w"))
     signals = F.array(*[F.lit(s) for s in SIGNALS])

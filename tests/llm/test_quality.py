@@ -80,6 +80,13 @@ def test_every_template_is_found(spark):
     assert not any(found[i] for i in (90, 91, 92, 93))
 
 
+def test_signal_words_beside_underscores(spark):
+    texts = ["_Released under the MIT License_", "_Licensed under CC BY 4.0_", "__Licensed under CC BY-SA 4.0__"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.doc_id: [x.license for x in r.found] for r in license.licenses(docs).collect()}
+    assert got == {0: ["MIT"], 1: ["CC-BY-4.0"], 2: ["CC-BY-SA-4.0"]}
+
+
 def test_license_containment(spark):
     """Notices with words changed or left out, by the definition on the same windows."""
     rng = random.Random(6)
