@@ -185,15 +185,19 @@ def licenses(
 ) -> DataFrame:
     """doc_id and the licenses found (sorted), with the best match of each (shingles in one window).
 
-    Templates of one length can be variants of a notice (its version, say): only those that
-    match best are given.
+    Templates of one length can be variants of a notice (its version, say): a match gives way
+    to a better one of its length in the same or an overlapping window, but not elsewhere.
     """
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     docs = docs.select(F.xxhash64("doc_id", "text").alias("key"), "doc_id", "text")
-    best = scan(docs, texts, percent).groupBy("key", "words", "license")
-    best = best.agg(F.max("common").alias("common"))
-    variants = Window.partitionBy("key", "words")
-    best = best.withColumn("top", F.max("common").over(variants)).filter("common = top")
+    widths = [F.when(F.col("words") == n, w) for n, w, _ in windows(texts or TEMPLATES)]
+    # In units of a window's width, so that one frame holds what overlaps, whatever the length.
+    unit = 1_000_000_000
+    place = F.expr(f"start * {unit}L DIV width")
+    near = Window.partitionBy("key", "words").orderBy("place").rangeBetween(1 - unit, unit - 1)
+    matches = scan(docs, texts, percent).withColumn("width", F.coalesce(*widths)).withColumn("place", place)
+    matches = matches.withColumn("top", F.max("common").over(near)).filter("common = top")
+    best = matches.groupBy("key", "license").agg(F.max("common").alias("common"))
     found = F.array_sort(F.collect_list(F.struct("license", "common")))
     found = settle(best.groupBy("key").agg(found.alias("found")), "licenses")
     none = F.array().cast("array<struct<license:string,common:int>>")

@@ -87,6 +87,16 @@ def test_signal_words_beside_underscores(spark):
     assert got == {0: ["MIT"], 1: ["CC-BY-4.0"], 2: ["CC-BY-SA-4.0"]}
 
 
+def test_matches_give_way_only_where_they_overlap(spark):
+    gpl2, gpl3 = license.TEMPLATES["GPL-2.0"], license.TEMPLATES["GPL-3.0"]
+    changed = "That" + gpl2.removeprefix("This")
+    texts = [f"{gpl3} {'word ' * 40} {changed}", f"{changed} {'word ' * 40} {gpl3}", gpl3, changed]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.doc_id: [tuple(x) for x in r.found] for r in license.licenses(docs).collect()}
+    both = [("GPL-2.0", 7), ("GPL-3.0", 8)]
+    assert got == {0: both, 1: both, 2: both[1:], 3: both[:1]}
+
+
 def test_license_containment(spark):
     """Notices with words changed or left out, by the definition on the same windows."""
     rng = random.Random(6)
