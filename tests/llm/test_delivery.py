@@ -109,6 +109,22 @@ def test_completion_finds_the_full_filling():
     assert packing.complete([9], {9: 1}, 4) == []
 
 
+def test_completion_wastes_least_among_many_lengths():
+    """The only full filling is among the last in depth-first order, behind all of longer pieces."""
+    sizes = [*range(459, 401, -3), 329]
+    counts = dict.fromkeys(sizes, 5)
+    assert packing.complete(sizes, counts, 2047) == [402] + [329] * 5
+    rng = random.Random(3)
+    for _ in range(30):
+        counts = Counter(rng.randint(1, 40) for _ in range(9))
+        space = rng.randint(0, 90)
+        sums = {0}
+        for s in counts.elements():
+            sums |= {x + s for x in sums if x + s <= space}
+        chosen = packing.complete(sorted(counts, reverse=True), counts, space)
+        assert sum(chosen) == max(sums) and not Counter(chosen) - counts
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_waste_is_small(seed):
     rng = random.Random(seed)
