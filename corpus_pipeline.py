@@ -24,22 +24,44 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return classifier.accepted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """key, id, text and row: a document is a doc_id (or none) with a text."""
+    doc_id, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    return docs.select(F.xxhash64(doc_id, text).alias("key"), doc_id.alias("id"), text.alias("text"), row)
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of least doc_id, of each group; rows without doc_id stay."""
-    known = docs.filter("doc_id IS NOT NULL")
-    repeated = known.groupBy("doc_id").count().filter("count > 1")
-    if not repeated.isEmpty():  # rows of one doc_id are one document
-        known = settle(known.dropDuplicates(["doc_id"]), "once")
-    found = minhash.near_duplicates(known)
-    gone = compact(found.filter("NOT kept").select("doc_id"), "near-duplicates")
-    return docs.filter("doc_id IS NULL").unionByName(known.join(gone, "doc_id", "left_anti"))
+    """One document, that of least doc_id, of each group.
+
+    Different texts of one doc_id are documents of their own, as are texts without doc_id, which come
+    before all others; texts of one doc_id are ordered by the hash of both. Of rows equal in
+    both the least is taken.
+    """
+    rows = _keyed(docs)
+    found = minhash.near_duplicates(rows.select(F.col("key").alias("doc_id"), "text"))
+    found = settle(found.select(F.col("doc_id").alias("key"), "component_id").distinct(), "components")
+    shared = found.groupBy("component_id").count().filter("count > 1").select("component_id")
+    members = found.join(compact(shared, "shared"), "component_id", "left_semi")
+    members = members.join(rows.select("key", "id").distinct(), "key")
+    least = members.groupBy("component_id").agg(F.min(F.struct("id", "key")).alias("least"))
+    members = members.join(least, "component_id").filter("key <> least.key")
+    gone = compact(members.select("key"), "near-duplicates")
+    repeated = rows.groupBy("key").count().filter("count > 1").select("key")
+    repeated = compact(repeated, "repeated")
+    left = rows.select("key", "row").join(gone, "key", "left_anti")
+    once = left.join(repeated, "key", "left_anti").select("row.*")
+    again = left.join(repeated, "key", "left_semi").groupBy("key").agg(F.min("row").alias("row"))
+    return once.unionByName(again.select("row.*"))
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that no benchmark item contaminates."""
-    found = decontaminate.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    gone = compact(found.filter("contaminated").select("doc_id").distinct(), "contaminated")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Documents that no benchmark item contaminates; a row goes by its own text, with doc_id or not."""
+    rows = _keyed(docs)
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    found = decontaminate.contamination(rows.select(F.col("key").alias("doc_id"), "text"), benchmark)
+    gone = found.filter("contaminated").select(F.col("doc_id").alias("key")).distinct()
+    return rows.join(compact(gone, "contaminated"), "key", "left_anti").select("row.*")
 
 
 def pii_surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -445,3 +445,20 @@ def test_pipeline_on_odd_rows(spark):
     assert set(ids) < {r[0] for r in rows}
     for stage in (pipeline.near_dedup, pipeline.pii_surrogates, pipeline.best_fit_packing):
         assert stage(spark, corpus.empty(spark), "").count() == 0
+
+
+def test_pipeline_takes_rows_for_what_they_hold(spark, tmp_path):
+    """Rows without doc_id, and several texts of one doc_id."""
+    import corpus_pipeline as pipeline
+
+    rng = random.Random(4)
+    a, b, c, bad = (" ".join(f"w{rng.randrange(10**6)}" for _ in range(60)) for _ in range(4))
+    schema = "doc_id bigint, text string, lang string"
+    rows = [(1, a, "x"), (1, b, "x"), (1, b, "y"), (2, b, "x"), (None, c, "x"), (None, c, "x"), (3, c, "x")]
+    kept = pipeline.near_dedup(spark, spark.createDataFrame(rows, schema), "")
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted([rows[0], rows[1], rows[4]], key=str)
+
+    spark.createDataFrame([("q", bad)], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(None, bad, "x"), (None, a, "x"), (5, bad, "x"), (5, b, "x"), (6, None, "x"), (7, bad, "x")]
+    kept = pipeline.benchmark_decontamination(spark, spark.createDataFrame(rows, schema), str(tmp_path))
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted([rows[1], rows[3], rows[4]], key=str)
