@@ -230,6 +230,13 @@ SELECT doc_id, coalesce(n_licenses, 0) AS n_licenses, coalesce(licenses, '') AS
 FROM documents LEFT JOIN listed USING (doc_id)"""
 
 
+EXACT = """
+SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
+       row_number() OVER (PARTITION BY coalesce(text, '') ORDER BY doc_id DESC NULLS LAST) = 1 AS kept,
+       sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))"""
+
+
 ORACLE: dict[str, str] = {
     "op1_minhash": MINHASH,
     "op3_line_frequency": LINES,
@@ -238,4 +245,5 @@ ORACLE: dict[str, str] = {
     "op6_license_bands": licensed(),
     "op8_lookup_sharding": sharded(),
     "op9_inverted_index": BENCHMARK,
+    "op12_counting_filters": EXACT,
 }

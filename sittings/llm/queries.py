@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from sittings.llm import (
     classifier,
     decontaminate,
+    exact,
     license,
     line_quality,
     minhash,
@@ -92,6 +93,10 @@ def op10_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replaced.select("doc_id", "n_entities", "text")
 
 
+def op12_counting_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.exact_duplicates(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash": op1_minhash,
     "op2_bin_completion": op2_bin_completion,
@@ -103,4 +108,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_lookup_sharding": op8_lookup_sharding,
     "op9_inverted_index": op9_inverted_index,
     "op10_surrogates": op10_surrogates,
+    "op12_counting_filters": op12_counting_filters,
 }

@@ -23,3 +23,15 @@ def compact(df: DataFrame, name: str, rows: int = BROADCAST_ROWS) -> DataFrame:
     join to Spark."""
     table = settle(df, name)
     return F.broadcast(table) if table.count() <= rows else table
+
+
+COPIES_PER_CHUNK = 100_000
+
+
+def copies(rows: DataFrame, key: list[str]) -> DataFrame:
+    """Each row `copies` times, numbered by `copy` from 0; many copies are spread over tasks."""
+    last, start = F.col("copies") - 1, F.col("chunk") * COPIES_PER_CHUNK
+    chunks = F.sequence(F.lit(0).cast("long"), F.floor(last / COPIES_PER_CHUNK))
+    spread = rows.withColumn("chunk", F.explode(chunks)).repartition(*key, "chunk")
+    copy = F.sequence(start, F.least(last, start + (COPIES_PER_CHUNK - 1)))
+    return spread.withColumn("copy", F.explode(copy)).drop("chunk", "copies")
