@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sittings.llm import (
+    alignment,
     classifier,
     decontaminate,
     exact,
@@ -97,6 +98,10 @@ def op12_counting_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op13_end_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash": op1_minhash,
     "op2_bin_completion": op2_bin_completion,
@@ -109,4 +114,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_inverted_index": op9_inverted_index,
     "op10_surrogates": op10_surrogates,
     "op12_counting_filters": op12_counting_filters,
+    "op13_end_alignment": op13_end_alignment,
 }
