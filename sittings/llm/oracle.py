@@ -237,6 +237,58 @@ SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
 FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))"""
 
 
+TRIE = """
+WITH ids AS (SELECT DISTINCT conv_id FROM conversations WHERE conv_id IS NOT NULL),
+wanted AS (
+  SELECT conv_id, conv_id - conv_id % 5 AS base,
+         xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT),
+           list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+           lambda crc, b: list_reduce(list_prepend(xor(crc, b), CAST(range(8) AS BIGINT[])),
+             lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END))) % 9 AS h
+  FROM ids
+),
+placed AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''),
+           sha256(coalesce(text, ''))) AS place
+  FROM conversations WHERE conv_id IS NOT NULL
+),
+joined AS (
+  SELECT wanted.conv_id, 0 AS own, place, role, text FROM wanted JOIN placed ON placed.conv_id = base AND place <= h
+  UNION ALL
+  SELECT wanted.conv_id, 1, place, role, text FROM wanted JOIN placed USING (conv_id) WHERE place > h
+),
+paths AS (
+  SELECT conv_id, row_number() OVER w AS depth, strlen(text) AS bytes,
+         list({'r': role, 't': text}) OVER (w ROWS UNBOUNDED PRECEDING) AS path
+  FROM joined WINDOW w AS (PARTITION BY conv_id ORDER BY own, place)
+  UNION ALL SELECT conv_id, 0, 0, [] FROM ids
+),
+nodes AS (
+  SELECT path, depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(bytes) AS bytes
+  FROM paths GROUP BY path, depth
+),
+lengths AS (SELECT conv_id, max(depth) AS depth FROM paths GROUP BY conv_id),
+ended AS (
+  SELECT path, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) AS listed
+  FROM paths JOIN lengths USING (conv_id, depth) GROUP BY path
+),
+children AS (SELECT path[:len(path) - 1] AS path, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY 1),
+within AS (SELECT DISTINCT top.path AS path, low.path AS below
+           FROM paths AS top JOIN paths AS low USING (conv_id) WHERE low.depth >= top.depth),
+sums AS (
+  SELECT within.path, count(*) FILTER (children.n IS NULL) AS n_leaves,
+         CAST(sum((nodes.n_convs - 1) * nodes.bytes) AS BIGINT) AS saved_tokens
+  FROM within JOIN nodes ON nodes.path = below LEFT JOIN children ON children.path = below
+  GROUP BY within.path
+)
+SELECT nodes.conv_id, nodes.depth, above.conv_id AS parent_conv_id, nodes.n_convs,
+       coalesce(children.n, 0) AS n_children, n_leaves, saved_tokens,
+       sha256(coalesce(listed, '')) AS ends_sha256
+FROM nodes JOIN sums USING (path) LEFT JOIN children USING (path) LEFT JOIN ended USING (path)
+LEFT JOIN nodes AS above ON nodes.depth > 0 AND above.path = nodes.path[:len(nodes.path) - 1]"""
+
+
 ORACLE: dict[str, str] = {
     "op1_minhash": MINHASH,
     "op3_line_frequency": LINES,
@@ -245,5 +297,6 @@ ORACLE: dict[str, str] = {
     "op6_license_bands": licensed(),
     "op8_lookup_sharding": sharded(),
     "op9_inverted_index": BENCHMARK,
+    "op11_block_trie": TRIE,
     "op12_counting_filters": EXACT,
 }

@@ -20,6 +20,7 @@ from sittings.llm import (
     sharding,
     substring,
     suffix,
+    trie,
 )
 
 
@@ -94,6 +95,10 @@ def op10_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replaced.select("doc_id", "n_entities", "text")
 
 
+def op11_block_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.trie(_table(spark, sf_dir, "conversations"))
+
+
 def op12_counting_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -113,6 +118,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_lookup_sharding": op8_lookup_sharding,
     "op9_inverted_index": op9_inverted_index,
     "op10_surrogates": op10_surrogates,
+    "op11_block_trie": op11_block_trie,
     "op12_counting_filters": op12_counting_filters,
     "op13_end_alignment": op13_end_alignment,
 }
