@@ -27,7 +27,7 @@ links of a text is held at a time. Columns beyond doc_id and text are not read.
 from __future__ import annotations
 
 import hashlib
-import os
+import json
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -43,6 +43,9 @@ from sittings.runtime import settle
 CACHED_UNITS = 400_000
 CHUNK_BYTES = 16 << 20
 LEARNED_AT_ONCE = 2048
+
+# Fixed value: how A splits a text before it merges.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SHIFT = 1 << 20  # a pair of ids is one number: A's id times this plus B's
 
 # What may stand beside a border: bytes of printable ASCII, and bytes that begin or close longer
@@ -80,25 +83,33 @@ def slice_links(
 
 
 class ByteTokens:
-    """A: byte-level BPE. Special tokens' strings are plain text to it."""
+    """A: byte-level BPE. Special tokens' strings are plain text to it.
+
+    The file's tokens are merged in the order of their ids, which is that of its merges, so they are given as
+    ranks to the faster of two public encoders.
+    """
 
     def __init__(self, path: str) -> None:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        import tiktoken
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        with open(path, encoding="utf-8") as file:
+            vocabulary = json.load(file)["model"]["vocab"]
         # Bytes that print stand for themselves, the others in order for the characters from 256 on.
         shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         hidden = [b for b in range(256) if b not in shown]
         letters = {chr(b): b for b in shown} | {chr(256 + n): b for n, b in enumerate(hidden)}
-        vocabulary = self.tokenizer.get_vocab()
         self.bytes = [b""] * (max(vocabulary.values()) + 1)
+        ranks = {}
         for token, i in vocabulary.items():
-            self.bytes[i] = bytes(letters[c] for c in token) if all(c in letters for c in token) else b""
+            if all(c in letters for c in token):
+                self.bytes[i] = bytes(letters[c] for c in token)
+                ranks[self.bytes[i]] = i
+        self.encoding = tiktoken.Encoding("a", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
+        self.sizes = np.array([len(t) for t in self.bytes])
+        self.shown = [str(i) for i in range(len(self.bytes))]
 
-    def encode(self, units: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch(units, add_special_tokens=False)]
+    def encode(self, text: str) -> list[int]:
+        return self.encoding.encode_ordinary(text)
 
 
 class PieceTokens:
@@ -109,17 +120,18 @@ class PieceTokens:
 
         self.processor = sentencepiece.SentencePieceProcessor(model_file=path)
         n = self.processor.get_piece_size()
-        pieces = [self.processor.id_to_piece(i) for i in range(n)]
-        self.space = pieces.index("▁")
         self.bytes = [
             bytes([int(p[3:5], 16)]) if self.processor.is_byte(i) else p.replace("▁", " ").encode()
-            for i, p in enumerate(pieces)
+            for i, p in ((i, self.processor.id_to_piece(i)) for i in range(n))
         ]
+        self.sizes = np.array([len(t) for t in self.bytes])
+        self.shown = [str(i) for i in range(n)]
 
-    def encode(self, units: list[str]) -> list[list[int]]:
-        """A unit begins with a space, which is the one put there, or with a line break."""
-        ids = self.processor.encode([u[1:] if u[0] == " " else u for u in units], num_threads=1)
-        return [own if u[0] == " " else own[1:] for own, u in zip(ids, units, strict=True)]
+    def encode(self, text: str) -> list[int]:
+        """The text begins with a space, which is the one put there, or with a line break."""
+        if text[0] == " ":
+            return self.processor.encode(text[1:], num_threads=1)
+        return self.processor.encode(text, num_threads=1)[1:]
 
 
 class Units:
@@ -163,38 +175,65 @@ class Units:
         self.numbers, self.links = np.concatenate(numbers), np.concatenate(links)
         self.first = np.concatenate(([0], np.cumsum(self.numbers[:, 3])))
 
+    def _both(self, text: str) -> tuple[list[int], list[int]]:
+        """Ids of both for a text, none where its bytes do not come back."""
+        a, b, own = self.a.encode(text), self.b.encode(text), text.encode()
+        if b"".join([self.a.bytes[t] for t in a]) == own == b"".join([self.b.bytes[t] for t in b]):
+            return a, b
+        return [], []
+
     def _aligned(self, units: list[str]) -> tuple[np.ndarray, list[bytes], np.ndarray]:
         """Numbers, printed groups and linked pairs of units, which are laid end to end."""
-        raw = [u.encode() for u in units]
-        a_of, b_of = self.a.encode(units), self.b.encode(units)
-        for i, own in enumerate(raw):  # a unit that does not come back has no tokens
-            a = b"".join([self.a.bytes[t] for t in a_of[i]])
-            if a != own or b"".join([self.b.bytes[t] for t in b_of[i]]) != own:
-                a_of[i], b_of[i] = [], []
-        a_ids, b_ids = [t for ids in a_of for t in ids], [t for ids in b_of for t in ids]
-        a_ends = np.cumsum([len(self.a.bytes[t]) for t in a_ids]).tolist()
-        b_ends = np.cumsum([len(self.b.bytes[t]) for t in b_ids]).tolist()
-        a_upto, b_upto = common_slices(a_ends, b_ends)
+        sizes = np.array([len(u.encode()) for u in units])
+        # Units that end in no white space may be read as one text.
+        plain = all(u[-1] > " " and not u[-1].isspace() for u in units)
+        a_ids, b_ids = self._both("".join(units)) if plain else ([], [])
+        broken = np.zeros(len(units), dtype=bool)
+        if not a_ids:
+            both = [self._both(u) for u in units]
+            broken = np.array([not a for a, _ in both])
+            sizes[broken] = 0
+            a_ids, b_ids = ([t for ids in side for t in ids] for side in zip(*both, strict=True))
+        a_ends, b_ends = self.a.sizes[a_ids].cumsum(), self.b.sizes[b_ids].cumsum()
+        a_upto, b_upto = common_slices(a_ends.tolist(), b_ends.tolist())
+        shown_a = [self.a.shown[t] for t in a_ids]
+        shown_b = [self.b.shown[t] for t in b_ids]
+        slices = list(zip([0, *a_upto[:-1]], a_upto, [0, *b_upto[:-1]], b_upto, strict=True)) if a_upto else []
+        printed = [
+            (shown_a[a0] if a1 - a0 == 1 else ",".join(shown_a[a0:a1]))
+            + "|"
+            + (shown_b[b0] if b1 - b0 == 1 else ",".join(shown_b[b0:b1]))
+            for a0, a1, b0, b1 in slices
+        ]
+        # Where one side of a slice is one token it is linked to all of the other.
+        bounds = np.array(slices, dtype=np.int64).reshape(-1, 4)
+        n_a, n_b = bounds[:, 1] - bounds[:, 0], bounds[:, 3] - bounds[:, 2]
+        single = (n_a == 1) | (n_b == 1)
+        counts = np.where(single, np.maximum(n_a, n_b), 0)
+        of = np.repeat(np.arange(len(slices)), counts)
+        step = np.arange(len(of)) - np.repeat(np.cumsum(counts) - counts, counts)
+        a_at = bounds[of, 0] + np.where(n_a[of] > 1, step, 0)
+        b_at = bounds[of, 2] + np.where(n_b[of] > 1, step, 0)
+        several = [
+            (i, x, y)
+            for i in np.flatnonzero(~single).tolist()
+            for x, y in slice_links(a_ends, b_ends, slices[i][:2], slices[i][2:])
+        ]
+        more = np.array(several, dtype=np.int64).reshape(-1, 3)
+        of, a_at, b_at = (np.concatenate(p) for p in zip((of, a_at, b_at), more.T, strict=True))
+        pairs = np.asarray(a_ids, dtype=np.int64)[a_at] * SHIFT + np.asarray(b_ids, dtype=np.int64)[b_at]
+        # Units end at common ends.
+        ends = np.cumsum(sizes)
         numbers = np.zeros((len(units), 5), dtype=np.int64)
-        groups, links = [], []
-        at = a0 = b0 = a_last = b_last = 0
-        for i in range(len(units)):
-            a_last, b_last = a_last + len(a_of[i]), b_last + len(b_of[i])
-            printed, before, start = [], len(links), at
-            while a0 < a_last:
-                a1, b1 = a_upto[at], b_upto[at]
-                if a1 - a0 == 1 and b1 - b0 == 1:
-                    printed.append(f"{a_ids[a0]}|{b_ids[b0]}")
-                    links.append(a_ids[a0] * SHIFT + b_ids[b0])
-                else:
-                    printed.append(f"{','.join(map(str, a_ids[a0:a1]))}|{','.join(map(str, b_ids[b0:b1]))}")
-                    for x, y in slice_links(a_ends, b_ends, (a0, a1), (b0, b1)):
-                        links.append(a_ids[x] * SHIFT + b_ids[y])
-                a0, b0, at = a1, b1, at + 1
-            groups.append(";".join(printed).encode())
-            broken = not a_of[i]
-            numbers[i] = len(a_of[i]), len(b_of[i]), at - start, len(links) - before, broken
-        return numbers, groups, np.array(links, dtype=np.int64)
+        upto = [np.searchsorted(e, ends, side="right") for e in (a_ends, b_ends)]
+        groups = np.searchsorted(bounds[:, 1], upto[0], side="right")
+        unit_of = np.searchsorted(groups, of, side="right")
+        numbers[:, 0], numbers[:, 1], numbers[:, 2] = (np.diff(u, prepend=0) for u in (*upto, groups))
+        numbers[:, 3] = np.bincount(unit_of, minlength=len(units))
+        numbers[:, 4] = broken
+        edges = [0, *groups.tolist()]
+        texts = [";".join(printed[g0:g1]).encode() for g0, g1 in zip(edges, edges[1:], strict=False)]
+        return numbers, texts, pairs[np.argsort(unit_of, kind="stable")]
 
     def slots_of(self, piece: spans.Slice, start: np.ndarray) -> np.ndarray:
         """Slots of the units that begin at `start`, one after the other, each up to the next."""
