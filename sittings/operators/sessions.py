@@ -38,17 +38,21 @@ def _cell(gap: int) -> Column:
     return cell_start(F.col("timestamp"), cell_width(gap))
 
 
-def numbered_cells(plays: DataFrame, gap: int = GAP_SECONDS) -> DataFrame:
-    """One row per (user, cell): plays, first and last instant, session number."""
-    cells = plays.groupBy("user_id", _cell(gap).alias("cell")).agg(
+def cells(plays: DataFrame, gap: int = GAP_SECONDS) -> DataFrame:
+    """One row per (user, cell): plays, first and last instant."""
+    return plays.groupBy("user_id", _cell(gap).alias("cell")).agg(
         F.count("*").alias("plays"),
         F.min("timestamp").alias("first_ts"),
         F.max("timestamp").alias("last_ts"),
     )
-    return _chained(cells, gap)
 
 
-def _chained(cells: DataFrame, gap: int) -> DataFrame:
+def numbered_cells(plays: DataFrame, gap: int = GAP_SECONDS) -> DataFrame:
+    """`cells` with session numbers."""
+    return chained(cells(plays, gap), gap)
+
+
+def chained(cells: DataFrame, gap: int) -> DataFrame:
     """Cells (with first_ts and last_ts) with the last instant before them and session numbers."""
     by_user = Window.partitionBy("user_id").orderBy("cell")
     since = seconds_between(F.col("first_ts"), F.col("prev_cell_ts"))
@@ -130,7 +134,7 @@ def _marked_instants(plays: DataFrame, gap: int) -> DataFrame:
     )
     in_cell = Window.partitionBy("user_id", "cell").orderBy("timestamp")
     lagged = instants.withColumn("lag_ts", F.lag("timestamp").over(in_cell))
-    chain = _chained(
+    chain = chained(
         lagged.groupBy("user_id", "cell").agg(
             F.sum("plays_at").alias("plays"),
             F.min("timestamp").alias("first_ts"),

@@ -128,6 +128,8 @@ ORACLE = {
     "session_table": _with_sessions(
         1200, "SELECT *, user_id || '_' || session_num AS session_id FROM sessions"
     ),
+    "sessions_incremental": _with_sessions(1200, "SELECT * FROM sessions"),
+    "sessions_rewritten": _with_sessions(1200, "SELECT * FROM sessions"),
     "sessions_of_gappy_log": _with_sessions(21600, "SELECT * FROM sessions", GAPPY_PLAYS),
     "top_sessions": _with_sessions(
         1200,

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sittings.operators import ranking, sessions
+from sittings.operators.incremental import SessionStore
 from sittings.runtime import scratch_path
 from sittings.sources import fixtures, plays, sinks
 
@@ -82,6 +83,35 @@ def session_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table.withColumn("session_id", sessions.session_id())
 
 
+def _three_logs(plays: DataFrame) -> list[DataFrame]:
+    """Thirds of the time the plays cover, one after the other, but all errors come with the last."""
+    late = F.col("artist_name") == "error"
+    span = plays.agg(F.min("timestamp").alias("low"), F.max("timestamp").alias("high")).first()
+    third = (span.high - span.low) / 3
+    bounds = [span.low + third, span.low + 2 * third]
+    place = sum((F.col("timestamp") >= F.lit(b)).cast("int") for b in bounds)
+    placed = plays.withColumn("log", F.when(late, 2).otherwise(place))
+    return [placed.filter(F.col("log") == n).drop("log") for n in range(3)]
+
+
+def _stored_sessions(spark: SparkSession, sf_dir: str) -> SessionStore:
+    store = SessionStore(scratch_path(spark, "session-store"))
+    for n, log in enumerate(_three_logs(fixtures.event_plays(spark, sf_dir))):
+        store.add(log, f"log {n}")
+    return store
+
+
+def sessions_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The session table from three logs that were added one by one, late plays with the last."""
+    return _stored_sessions(spark, sf_dir).sessions(spark)
+
+
+def sessions_rewritten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same table once the store's logs were brought together."""
+    store = _stored_sessions(spark, sf_dir)
+    return store.rewritten(spark, scratch_path(spark, "session-store")).sessions(spark)
+
+
 def sessions_of_gappy_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dropped plays leave their neighbours' gap spanning them."""
     return sessions.session_table(clean_plays(spark, sf_dir), LONG_GAP)
@@ -124,6 +154,8 @@ QUERIES = {
         sessionize_copies,
         sessionize_null_ties,
         session_table,
+        sessions_incremental,
+        sessions_rewritten,
         sessions_of_gappy_log,
         top_sessions,
         top_songs,
