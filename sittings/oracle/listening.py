@@ -130,6 +130,7 @@ ORACLE = {
     ),
     "sessions_incremental": _with_sessions(1200, "SELECT * FROM sessions"),
     "sessions_rewritten": _with_sessions(1200, "SELECT * FROM sessions"),
+    "sessions_stream": _with_sessions(1200, "SELECT * FROM sessions"),
     "sessions_of_gappy_log": _with_sessions(21600, "SELECT * FROM sessions", GAPPY_PLAYS),
     "top_sessions": _with_sessions(
         1200,

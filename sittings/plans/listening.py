@@ -9,6 +9,7 @@ from sittings.operators import ranking, sessions
 from sittings.operators.incremental import SessionStore
 from sittings.runtime import scratch_path
 from sittings.sources import fixtures, plays, sinks
+from sittings.streaming.sessions import SessionStream, numbered
 
 LONG_GAP = 6 * 3600
 
@@ -83,14 +84,14 @@ def session_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table.withColumn("session_id", sessions.session_id())
 
 
-def _three_logs(plays: DataFrame) -> list[DataFrame]:
-    """Thirds of the time the plays cover, one after the other, but all errors come with the last."""
-    late = F.col("artist_name") == "error"
+def _three_logs(plays: DataFrame, late: bool = True) -> list[DataFrame]:
+    """Thirds of the time the plays cover, one after the other; if `late`, all errors come last."""
+    behind = F.lit(late) & (F.col("artist_name") == "error")
     span = plays.agg(F.min("timestamp").alias("low"), F.max("timestamp").alias("high")).first()
     third = (span.high - span.low) / 3
     bounds = [span.low + third, span.low + 2 * third]
     place = sum((F.col("timestamp") >= F.lit(b)).cast("int") for b in bounds)
-    placed = plays.withColumn("log", F.when(late, 2).otherwise(place))
+    placed = plays.withColumn("log", F.when(behind, 2).otherwise(place))
     return [placed.filter(F.col("log") == n).drop("log") for n in range(3)]
 
 
@@ -112,6 +113,23 @@ def sessions_rewritten(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.rewritten(spark, scratch_path(spark, "session-store")).sessions(spark)
 
 
+def sessions_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The session table from a stream of three files of plays, each taken in by a run of its own."""
+    source = scratch_path(spark, "stream-source")
+    kept = ["user_id", "timestamp", "artist_name", "track_name"]
+    log = fixtures.event_plays(spark, sf_dir).select(kept)
+    users = log.schema["user_id"].dataType
+    log = log.withColumns({"user_id": F.col("user_id").cast("string"), "timestamp": F.col("timestamp").cast("timestamp")})
+    stream = SessionStream(source, scratch_path(spark, "stream-sessions"), log.schema, delay=60)
+    for part in _three_logs(log, late=False):
+        part.write.mode("append").parquet(source)
+        stream.run(spark)
+    stream.close(spark)
+    found = numbered(stream.sessions(spark))
+    instants = {c: F.col(c).cast("timestamp_ntz") for c in ("start_ts", "end_ts")}
+    return found.withColumn("user_id", F.col("user_id").cast(users)).withColumns(instants)
+
+
 def sessions_of_gappy_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dropped plays leave their neighbours' gap spanning them."""
     return sessions.session_table(clean_plays(spark, sf_dir), LONG_GAP)
@@ -156,6 +174,7 @@ QUERIES = {
         session_table,
         sessions_incremental,
         sessions_rewritten,
+        sessions_stream,
         sessions_of_gappy_log,
         top_sessions,
         top_songs,
