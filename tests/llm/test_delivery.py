@@ -292,6 +292,36 @@ def test_surrogates_stay_distinct(spark):
     assert not set(shown.values()) & set(entities)
 
 
+def test_every_address_of_a_format_is_taken(spark):
+    """No surrogate of the format is free, in any draw, so the draws go on beyond it and end."""
+    names = [f"{a}.{b}.{c}.{d}" for a in range(1, 10) for b in range(1, 10) for c in range(1, 10) for d in range(1, 10)]
+    docs = spark.createDataFrame([(i, f"at {n}.") for i, n in enumerate(names)], "doc_id bigint, text string")
+    got = [r.text[3:-1] for r in pii.replace(docs).collect()]
+    assert len(set(got)) == len(names) and not set(got) & set(names)
+
+
+def test_names_are_replaced_wherever_they_stand(spark):
+    texts = [
+        "Mr John Smith met Mrs Anna-Maria Lopez. Later Smith said: ask John Smith. Smithson and Maria not.",
+        "Smith and John of another text stay",
+        "Dr Alice Brown and Prof. Max Weber. Weber's left, ALICE stayed",
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.doc_id: r for r in pii.replace(docs).collect()}
+    w = re.findall(r"[\w-]+", got[0].text)
+    assert w[1] == w[11] and w[2] == w[8] == w[12] and w[13:] == ["Smithson", "and", "Maria", "not"]
+    assert not {"John", "Smith", "Lopez", "Anna-Maria"} & set(w) and got[0].n_entities == 5
+    assert (got[1].text, got[1].n_entities) == (texts[1], 0)
+    assert not {"Alice", "Brown", "Max", "Weber"} & set(re.findall(r"\w+", got[2].text)) and got[2].n_entities == 3
+
+
+def test_addresses_of_one_domain_stay_together(spark):
+    text = "bob@acme.com, eve@Acme.com, bob@foo.org"
+    got = pii.replace(spark.createDataFrame([(text,)], "text string")).first().text
+    (a, x), (b, y), (c, z) = (m.split("@") for m in got.split(", "))
+    assert a == c != b and x == y.lower() != z and y[0].isupper() and x.endswith(".com") and z.endswith(".org")
+
+
 def test_another_key_gives_other_surrogates(spark):
     docs = spark.createDataFrame([(1, MENTIONS[1])], "doc_id bigint, text string")
     assert pii.replace(docs, "a").first().text != pii.replace(docs, "b").first().text
