@@ -2,16 +2,28 @@
 
 Only documents longer than a sequence are cut. What matters for packing is how many pieces
 there are of each length, and there are at most `capacity` lengths, so the search works on
-that histogram (its size is bounded by the capacity, not by the corpus): it takes the longest
-piece left and completes its sequence with the filling that wastes least, by a branch and
-bound over undominated fillings (longest pieces first, so that a filling is met before those
-it dominates; the bound is exact: the sums that the remaining lengths can reach, so no branch is
-entered in vain and none is given up). A filling is then used as often as the counts allow. The
-fillings say which ranks of each length go where; pieces are ranked within their length by salted
-counts and look their place up in that table, so no group of pieces is gathered anywhere.
+that histogram (its size is bounded by the capacity, not by the corpus). It is bin completion by branch and
+bound:
+
+- incumbents are two best-fit packings: pieces from the longest to the shortest, each in the
+  fullest sequence with room, and sequence after sequence, each around the longest piece left with the
+  filling that wastes least. The better one is returned if it meets the lower bound, as it does
+  wherever short pieces abound;
+- else sequences are filled one after the other, each around the longest piece left, by every
+  undominated filling, those of least waste first. A filling is dominated if a piece left out could take the
+  place of shorter ones in it. A branch ends where the waste so far is more than a packing with one
+  sequence less than the incumbent's could have; the bit set of sums that can be reached tells which
+  fillings are within it, so none other is entered. A filling is used as often as the counts allow
+  first, and once on the way back, so that all packings are covered.
+
+The search ends at the lower bound, when all branches are done, or after `nodes` fillings: packing is hard, and then the
+best packing found is returned (`fillings` says which it was). The fillings say which ranks of each length go
+where; pieces are ranked within their length by salted counts, with more salts the more pieces there are, and
+look their place up in that table, so no group of pieces is gathered anywhere.
 
 Results for odd rows: a NULL or empty text is one piece holding only the closing id;
-repeated rows are packed once each; an empty table gives an empty table. Columns beyond
+repeated rows are packed once each; an empty table gives an empty table. A very long text is encoded
+whole by the task that reads it, like any other, and cut into pieces there. Columns beyond
 doc_id and text are not read.
 """
 
@@ -32,11 +44,40 @@ from sittings.runtime import settle
 
 CAPACITY = 2048
 CLOSING_ID = 0
-SALTS = 256
+SALTED_PIECES = 4096  # pieces of one length that share a salt, about
+NODES = 5000
 CACHED_WORDS = 800_000
 SLICE_BYTES = 4 << 20
 
 
+# The tokenizer parts letters from signs before it merges, but for apostrophes (contractions) and
+# the signs of special tokens, which it knows in lower case only.
+LETTER = np.zeros(256, dtype=bool)
+LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
+SIGN = np.zeros(256, dtype=bool)
+SIGN[[c for c in range(0x21, 0x7F) if not chr(c).isalnum() and chr(c) not in "'<|>"]] = True
+
+
+def units(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of the words of a slice, cut where ASCII letters and signs meet."""
+    start, end = spans.words(data)
+    letter, sign = LETTER[data], SIGN[data]
+    cut = np.flatnonzero((letter[:-1] & sign[1:]) | (sign[:-1] & letter[1:])) + 1
+    begins, ends = np.zeros(len(data) + 1, dtype=bool), np.zeros(len(data) + 1, dtype=bool)
+    begins[start] = begins[cut] = ends[end] = ends[cut] = True
+    return np.flatnonzero(begins), np.flatnonzero(ends)
+
+
+def lowered(data: np.ndarray) -> np.ndarray:
+    """A-Z in lower case, as the tokenizer has them, but not before a byte that might combine with them."""
+    if b"<|" in data.tobytes():
+        return data
+    out = spans.LOWER[data]
+    wide = np.flatnonzero(data >= 0x80)
+    out[wide - 1] = data[wide - 1]
+    return out
+
+
 class WordIds:
     """Ids of words, kept between batches of a worker.
 
@@ -87,8 +128,9 @@ class WordIds:
 
     def texts(self, piece: spans.Slice) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a slice, each text's followed by the closing id, and where texts begin."""
-        start, end = spans.words(piece.data)
-        hashes = spans.span_hash(spans.prefix(piece.data), start, end)
+        data = lowered(piece.data)
+        start, end = units(data)
+        hashes = spans.span_hash(spans.prefix(data), start, end)
         distinct, at, of = np.unique(hashes, return_index=True, return_inverse=True)
         keys = distinct.tolist()
         if len(self.slots) + len(distinct) > CACHED_WORDS:
@@ -96,7 +138,7 @@ class WordIds:
         known = self.slots
         new = [i for i, h in enumerate(keys) if h not in known]
         if new:
-            raw = memoryview(piece.data)
+            raw = memoryview(data)
             words = [bytes(raw[start[j] : end[j]]).decode() for j in at[new].tolist()]
             self._learn([keys[i] for i in new], words)
         slots = np.array([known[h] for h in keys], dtype=np.int64)[of]
@@ -164,12 +206,8 @@ def cut_pieces(
     return rows.mapInArrow(run, schema + (", ids array<int>" if with_ids else ""))
 
 
-def complete(sizes: list[int], counts: dict[int, int], space: int) -> list[int]:
-    """Sizes (longest first) that fill `space` with least waste, out of what `counts` has.
-
-    The sums that sizes from each place on can reach are the bits of a number. The largest is the
-    least waste, and of the branches that lead to it the one with most of the longest is taken.
-    """
+def reachable(sizes: list[int], counts: dict[int, int], space: int) -> list[int]:
+    """The sums up to `space` that sizes from each place on can reach, as the bits of a number."""
     within = (1 << (space + 1)) - 1
     reach = [1] * (len(sizes) + 1)
     for at in range(len(sizes) - 1, -1, -1):
@@ -180,6 +218,15 @@ def complete(sizes: list[int], counts: dict[int, int], space: int) -> list[int]:
             copies -= step
             step *= 2
         reach[at] = sums
+    return reach
+
+
+def complete(sizes: list[int], counts: dict[int, int], space: int) -> list[int]:
+    """Sizes (longest first) that fill `space` with least waste, out of what `counts` has.
+
+    Of the branches that lead to the least waste the one with most of the longest is taken.
+    """
+    reach = reachable(sizes, counts, space)
     left = reach[0].bit_length() - 1
     chosen: list[int] = []
     for at, s in enumerate(sizes):
@@ -191,27 +238,173 @@ def complete(sizes: list[int], counts: dict[int, int], space: int) -> list[int]:
     return chosen
 
 
-def fillings(histogram: dict[int, int], capacity: int) -> list[tuple[list[int], int]]:
-    """Fillings (lengths of one sequence) and how many sequences take each."""
-    counts = {s: n for s, n in histogram.items() if n}
-    out = []
+Filling = list[int]
+Packing = list[tuple[Filling, int]]  # fillings and how many sequences take each
+
+
+def used(packing: Packing) -> int:
+    return sum(times for _, times in packing)
+
+
+def lower_bound(counts: dict[int, int], capacity: int) -> int:
+    """Sequences that any packing needs: by volume, and by the pieces that go together with none."""
+    least = -(-sum(s * n for s, n in counts.items()) // capacity)
+    for a in [0, *(s for s in counts if 2 * s <= capacity)]:
+        alone = sum(n for s, n in counts.items() if s > capacity - a)
+        over_half = {s: n for s, n in counts.items() if capacity < 2 * s and s <= capacity - a}
+        rest = sum(s * n for s, n in counts.items() if a <= s and 2 * s <= capacity)
+        room = sum((capacity - s) * n for s, n in over_half.items())
+        least = max(least, alone + sum(over_half.values()) + max(0, -(-(rest - room) // capacity)))
+    return least
+
+
+def best_fit(counts: dict[int, int], capacity: int) -> Packing:
+    """Pieces from the longest on, each in the fullest sequence with room; equal sequences as one."""
+    open_: dict[int, Packing] = {}  # sequences by the room left
+    for s in sorted(counts, reverse=True):
+        left = counts[s]
+        for room in sorted(r for r in open_ if r >= s):
+            groups, each = open_.pop(room), room // s
+            while groups and left:
+                filling, times = groups.pop()
+                full = min(times, left // each)
+                some = left - each * full if full < times else 0
+                for n, copies in ((full, each), (1 if some else 0, some)):
+                    if n:
+                        open_.setdefault(room - copies * s, []).append(([*filling, *[s] * copies], n))
+                left -= each * full + some
+                if rest := times - full - (1 if some else 0):
+                    groups.append((filling, rest))
+            if groups:
+                open_.setdefault(room, []).extend(groups)
+            if not left:
+                break
+        each = capacity // s
+        for n, copies in ((left // each, each), (1 if left % each else 0, left % each)):
+            if n:
+                open_.setdefault(capacity - copies * s, []).append(([s] * copies, n))
+    return [group for groups in open_.values() for group in groups]
+
+
+def _take(counts: dict[int, int], filling: Filling, times: int) -> dict[int, int]:
+    left = dict(counts)
+    for s in filling:
+        left[s] -= times
+    return {s: n for s, n in left.items() if n}
+
+
+def _most(counts: dict[int, int], filling: Filling) -> int:
+    return min(counts[s] // filling.count(s) for s in set(filling))
+
+
+def completed(counts: dict[int, int], capacity: int) -> Packing:
+    """Around the longest piece left, the filling that wastes least, as often as the counts allow."""
+    out: Packing = []
     while counts:
-        sizes = sorted(counts, reverse=True)
-        longest = sizes[0]
-        counts[longest] -= 1
-        rest = [s for s in sizes if counts[s]]
-        chosen = [longest, *complete(rest, counts, capacity - longest)]
-        counts[longest] += 1
-        use = {s: chosen.count(s) for s in chosen}
-        times = min(counts[s] // n for s, n in use.items())
-        out.append((chosen, times))
-        for s, n in use.items():
-            counts[s] -= n * times
-            if not counts[s]:
-                del counts[s]
+        longest = max(counts)
+        rest = _take(counts, [longest], 1)
+        filling = [longest, *complete(sorted(rest, reverse=True), rest, capacity - longest)]
+        times = _most(counts, filling)
+        out.append((filling, times))
+        counts = _take(counts, filling, times)
     return out
 
 
+def dominated(filling: Filling, counts: dict[int, int], waste: int) -> bool:
+    """Whether a piece left out (`counts` are those left) fits in place of shorter ones of the filling."""
+    shorter, included = 1, sorted(filling)
+    for x in sorted(counts):
+        while included and included[0] < x:
+            shorter |= shorter << included.pop(0)
+        low = max(0, x - waste)
+        if shorter >> low & ((1 << (x - low + 1)) - 1):
+            return True
+    return False
+
+
+def undominated(counts: dict[int, int], capacity: int, allowed: int) -> Iterator[tuple[Filling, int]]:
+    """Fillings around the longest piece that waste at most `allowed`, and their waste, least first."""
+    longest = max(counts)
+    rest = _take(counts, [longest], 1)
+    sizes, space = sorted(rest, reverse=True), capacity - longest
+    reach = reachable(sizes, rest, space)
+    for waste in range(min(allowed, space) + 1):
+        if not reach[0] >> (space - waste) & 1:
+            continue
+        stack: list[tuple[int, int, Filling]] = [(0, space - waste, [])]
+        while stack:
+            at, left, chosen = stack.pop()
+            if not left:
+                filling = [longest, *chosen]
+                if not dominated(chosen, _take(rest, chosen, 1), waste):
+                    yield filling, waste
+                continue
+            s = sizes[at]
+            for n in range(min(rest[s], left // s) + 1):  # the most copies are looked at first
+                if reach[at + 1] >> (left - n * s) & 1:
+                    stack.append((at + 1, left - n * s, chosen + [s] * n))
+
+
+def search(counts: dict[int, int], capacity: int, incumbent: Packing, bound: int, nodes: int) -> tuple[Packing, bool]:
+    """The best packing found, and whether no better one exists."""
+    best, total = incumbent, sum(s * n for s, n in counts.items())
+
+    def spare() -> int:
+        """Waste of a packing with one sequence less than the best."""
+        return (used(best) - 1) * capacity - total
+
+    def options(left: dict[int, int], waste: int) -> Iterator[tuple[Filling, int, int]]:
+        allowed = spare() - waste
+        if allowed >= 0:
+            for filling, wasted in undominated(left, capacity, allowed):
+                most = _most(left, filling)
+                for times in (most, 1) if most > 1 else (1,):
+                    yield filling, times, wasted
+
+    path: Packing = []
+    stack = [(counts, 0, options(counts, 0))]
+    while stack and nodes:
+        left, waste, branches = stack[-1]
+        branch = next(branches, None)
+        if branch is None:
+            stack.pop()
+            if path:
+                path.pop()
+            continue
+        nodes -= 1
+        filling, times, wasted = branch
+        if waste + times * wasted > spare():
+            continue
+        rest = _take(left, filling, times)
+        path.append((filling, times))
+        if rest:
+            stack.append((rest, waste + times * wasted, options(rest, waste + times * wasted)))
+            continue
+        if used(path) < used(best):
+            best = list(path)
+            if used(best) == bound:
+                return best, True
+        path.pop()
+    return best, not stack
+
+
+def packings(histogram: dict[int, int], capacity: int, nodes: int = NODES) -> tuple[Packing, bool]:
+    """Fillings of all pieces, and whether their number of sequences is known to be the least."""
+    counts = {s: n for s, n in histogram.items() if n}
+    if not counts:
+        return [], True
+    bound = lower_bound(counts, capacity)
+    best = min(best_fit(counts, capacity), completed(counts, capacity), key=used)
+    if used(best) == bound:
+        return best, True
+    return search(counts, capacity, best, bound, nodes)
+
+
+def fillings(histogram: dict[int, int], capacity: int, nodes: int = NODES) -> Packing:
+    """Fillings (lengths of one sequence) and how many sequences take each."""
+    return packings(histogram, capacity, nodes)[0]
+
+
 def places(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int, int]]:
     """(length, first rank, end rank, first sequence, uses in a sequence, offset) of each filling."""
     ranks = dict.fromkeys(histogram, 0)
@@ -230,16 +423,17 @@ def places(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, int
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """The pieces with sequence_id and offset. Reads `pieces` several times: settle it first."""
     spark = pieces.sparkSession
-    salt = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALTS)).alias("salt")
-    salted = pieces.withColumn("salt", salt)
-    # At most `capacity` x SALTS rows, whatever the corpus.
+    # At most `capacity` rows.
+    lengths = pieces.groupBy("length").agg(F.count("*").alias("n")).collect()
+    table = places({r["length"]: r["n"] for r in lengths}, capacity)
+    salts = [(r["length"], -(-r["n"] // SALTED_PIECES)) for r in lengths]
+    salts = F.broadcast(spark.createDataFrame(salts, "length long, salts long"))
+    salt = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("salts"))
+    salted = pieces.join(salts, "length").withColumn("salt", salt)
     counted = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
     by_length = Window.partitionBy("length").orderBy("salt")
     before = F.sum("n").over(by_length) - F.col("n")
     ahead = counted.select("length", "salt", before.alias("ahead"))
-    # At most `capacity` rows.
-    lengths = counted.groupBy("length").agg(F.sum("n").alias("n")).collect()
-    table = places({r["length"]: r["n"] for r in lengths}, capacity)
     schema = "of long, lo long, hi long, first long, uses long, at long"
     table = F.broadcast(spark.createDataFrame(table, schema))
     in_salt = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")

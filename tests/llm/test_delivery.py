@@ -34,6 +34,8 @@ def check_places(rows, capacity=2048):
 def test_pieces_are_those_of_the_tokenizer(spark):
     tokenizer = Tokenizer.from_file(TOKENIZER)
     rows = corpus.rows()
+    rows += [(901, "A<|ENDOFTEXT|>B don't. I'LL (go)... x'. A\u030a H\u0331 \u1e96 O\u0308! U.S.A. \u0130", *rows[0][2:])]
+    rows += [(902, "H\u0331a A\u030a. I'M \u03a3\u0391\u03a3, a'.b A1b2.c", *rows[0][2:]), (903, "Don'T 'S'll...'x'", *rows[0][2:])]
     rows += [(900, "a<|endoftext|>b <|startoftext|> it's 12 é Å x y", *rows[0][2:])]
     want = Counter()
     for doc_id, text, *_ in rows:
@@ -97,11 +99,43 @@ def fewest(items, capacity):
 @pytest.mark.parametrize("seed", range(6))
 def test_fillings_of_few_items(seed):
     rng = random.Random(seed)
-    items = sorted((rng.randint(1, 20) for _ in range(9)), reverse=True)
-    chosen = packing.fillings(dict(Counter(items)), 20)
-    assert Counter(s for c, n in chosen for s in c * n) == Counter(items)
-    assert all(sum(c) <= 20 for c, _ in chosen)
-    assert sum(n for _, n in chosen) <= fewest(items, 20) + 1
+    for _ in range(40):
+        capacity = rng.choice([20, 50, 100])
+        low = rng.choice([1, capacity // 6, capacity // 5])
+        items = sorted((rng.randint(low, capacity * 3 // 5) for _ in range(10)), reverse=True)
+        chosen, proven = packing.packings(dict(Counter(items)), capacity)
+        assert Counter(s for c, n in chosen for s in c * n) == Counter(items)
+        assert all(sum(c) <= capacity for c, _ in chosen)
+        assert proven and sum(n for _, n in chosen) == fewest(items, capacity)
+
+
+def test_search_finds_what_best_fit_does_not():
+    items = [58, 56, 52, 51, 48, 32, 29, 23, 21, 18]
+    counts = dict(Counter(items))
+    assert packing.used(packing.best_fit(counts, 100)) == packing.used(packing.completed(counts, 100)) == 5
+    assert (packing.used(packing.fillings(counts, 100)), packing.lower_bound(counts, 100)) == (4, 4)
+    # Without a search the incumbent stays, and it is not known to be the least.
+    best, proven = packing.packings(counts, 100, nodes=0)
+    assert (packing.used(best), proven) == (5, False)
+
+
+def test_dominated_fillings_are_not_entered():
+    counts = dict(Counter([60, 30, 25, 20, 15, 10]))
+    every = list(packing.undominated(counts, 100, 40))
+    # 30 + 10 is full; 25 + 15 too, but 30 could not take their place with 0 to waste.
+    assert [(sorted(f, reverse=True), w) for f, w in every if not w] == [([60, 30, 10], 0), ([60, 25, 15], 0)]
+    assert all(sum(f) + w == 100 for f, w in every)
+    assert not any(sorted(f) == [15, 20, 60] for f, _ in every)  # 25 fits in place of 20
+
+
+def test_best_fit_of_large_counts():
+    counts = {2048: 10**12, 1500: 7, 700: 10**6, 300: 11, 40: 3, 1: 5}
+    packed = packing.best_fit(counts, 2048)
+    held = Counter()
+    for filling, times in packed:
+        assert sum(filling) <= 2048
+        held.update({s: n * times for s, n in Counter(filling).items()})
+    assert held == counts and len(packed) < 30
 
 
 def test_completion_finds_the_full_filling():
