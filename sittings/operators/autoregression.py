@@ -1,11 +1,12 @@
-"""Seasonal autoregression with its order chosen by AIC, in closed form.
+"""Seasonal autoregression with its order chosen by AICc, in closed form.
 
 A candidate looks either at what the weekday means leave over or at the differences from
 the week before, and explains it by none, one or both of its values one and seven days ago.
 Coefficients follow from sums of products by normal equations of at most two unknowns, so all
 candidates of all folds come from one pass of running sums, linear in days. They are
-compared on the same days (those with two weeks behind them), of which there must be more than
-the largest candidate can use up; a shorter series keeps its weekday means.
+compared on the same days (those with two weeks behind them) by AIC with its correction for few
+days, and a candidate takes part as soon as there are two days more than it has parameters. A fold
+in which none can keeps its weekday means.
 """
 
 from __future__ import annotations
@@ -20,8 +21,8 @@ from sittings.operators.origins import Origins, learn, with_calendar
 DISTINCT = "1e-9"
 NO_ERROR = "1e-300"
 
-# Weekday means, two coefficients and a variance.
-FREE = 10
+# An error below this share of what there is to explain counts as that share.
+EXACT = "1e-9"
 
 # Value today, one and seven days ago, and those of the differences from the week before.
 RAW = ("v", "u1", "u7")
@@ -95,7 +96,7 @@ def _candidates(kind: str, weekly: bool) -> list[str]:
     means = 0 if weekly else 7
     out = []
     for lag1, lag7, phi1, phi7, fits_when in fits:
-        error = f"{cc} - ({phi1}) * {c1} - ({phi7}) * {c7}"
+        error = f"greatest({EXACT} * {cc}, {cc} - ({phi1}) * {c1} - ({phi7}) * {c7})"
         out.append(
             f"""CASE WHEN {fits_when} THEN named_struct('differenced', {str(weekly).lower()},
                 'lag1', {str(lag1).lower()}, 'lag7', {str(lag7).lower()}, 'phi1', {phi1},
@@ -107,19 +108,19 @@ def _candidates(kind: str, weekly: bool) -> list[str]:
 def chosen(daily: DataFrame, origins: Origins) -> DataFrame:
     """The best candidate of every fold beside what a forecast from it needs.
 
-    Ties go to differences last and fewer lags first.
+    `aic` is corrected for few days: n ln(sse / n) + 2 k n / (n - k - 1). Ties go to differences last and fewer lags first.
     """
     order = ["differenced", "int(lag1) + int(lag7)", "lag7"]
     plain = "NOT differenced AND NOT lag1 AND NOT lag7"
     candidates = ", ".join([*_candidates("raw", False), *_candidates("week", True)])
     fits = _moments(daily, origins).selectExpr("*", f"explode(array({candidates})) AS fit")
     fits = fits.filter("fit IS NOT NULL").selectExpr("*", "fit.*").drop("fit")
-    fits = fits.filter(f"n > {FREE} OR ({plain})")
-    aic = f"n * ln(greatest(sse / n, {NO_ERROR})) + 2 * parameters"
-    fits = fits.selectExpr("*", f"CASE WHEN n > {FREE} THEN {aic} END AS aic")
+    fits = fits.filter(f"n > parameters + 1 OR ({plain})")
+    aic = f"n * ln(greatest(sse / n, {NO_ERROR})) + 2D * parameters * n / (n - parameters - 1)"
+    fits = fits.selectExpr("*", f"CASE WHEN n > parameters + 1 THEN {aic} END AS aic")
     kept = ["profile", "tails", "changes", "n", "differenced", "lag1", "lag7", "phi1", "phi7", "sse",
             "parameters", "aic"]
-    best = f"min_by(struct({', '.join(kept)}), struct(coalesce(round(aic, 6), 0D), {', '.join(order)}))"
+    best = f"min_by(struct({', '.join(kept)}), struct(aic IS NULL, round(aic, 6), {', '.join(order)}))"
     return fits.groupBy(*FOLD).agg(F.expr(f"{best} AS best")).selectExpr(*FOLD, "best.*")
 
 

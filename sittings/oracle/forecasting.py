@@ -170,7 +170,7 @@ MODELS = {
 }
 
 
-# Candidates of an autoregression, compared by AIC on days with two weeks behind them.
+# Candidates of an autoregression, compared by AICc on days with two weeks behind them.
 AR_CHOICE = """
 ar_days AS (
   SELECT l.*, a.m, y - a.m AS r, u1 - b.m AS r1, u7 - a.m AS r7
@@ -202,13 +202,14 @@ ar_fits AS (
          means + CAST(lag1 AS INTEGER) + CAST(lag7 AS INTEGER) AS parameters
   FROM ar_sums
   CROSS JOIN (VALUES (false, false), (true, false), (false, true), (true, true)) f(lag1, lag7)
-  WHERE n > 10 AND (NOT lag1 OR c11 > 0) AND (NOT lag7 OR c77 > 0)
+  WHERE n > means + CAST(lag1 AS INTEGER) + CAST(lag7 AS INTEGER) + 1 AND (NOT lag1 OR c11 > 0) AND (NOT lag7 OR c77 > 0)
     AND (NOT lag1 OR NOT lag7 OR c11 * c77 - c17 * c17 > 1e-9 * c11 * c77)
 ),
 ar_scored AS (
   SELECT series_key, cutoff, differenced, lag1, lag7, phi1, phi7, n, parameters,
-         cc - phi1 * c1 - phi7 * c7 AS sse,
-         n * ln(greatest((cc - phi1 * c1 - phi7 * c7) / n, 1e-300)) + 2 * parameters AS aic
+         greatest(1e-9 * cc, cc - phi1 * c1 - phi7 * c7) AS sse,
+         n * ln(greatest(greatest(1e-9 * cc, cc - phi1 * c1 - phi7 * c7) / n, 1e-300))
+           + 2.0 * parameters * n / (n - parameters - 1) AS aic
   FROM ar_fits
 ),
 ar_best AS (
@@ -221,7 +222,7 @@ ar_best AS (
                sum(r * r) FILTER (u14 IS NOT NULL) AS sse
         FROM folds f LEFT JOIN ar_days d ON f.series_key = d.series_key AND f.cutoff = d.cutoff
         GROUP BY 1, 2)
-  WHERE n <= 10
+  WHERE (series_key, cutoff) NOT IN (SELECT (series_key, cutoff) FROM ar_scored)
 )"""
 
 
@@ -258,8 +259,68 @@ ar_select AS (
 )"""
 
 
+LEVINSON_FIT = """
+lev_x AS (
+  SELECT series_key, cutoff, ds, y - m AS x, count(*) OVER (PARTITION BY series_key, cutoff) AS n
+  FROM train JOIN means USING (series_key, cutoff, dow)
+),
+lev_lags AS (
+  SELECT a.series_key, a.cutoff, any_value(a.n) AS n, k, coalesce(sum(a.x * b.x), 0) / any_value(a.n) AS c
+  FROM lev_x a CROSS JOIN range(15) r(k)
+  LEFT JOIN lev_x b ON b.series_key = a.series_key AND b.cutoff = a.cutoff AND b.ds = a.ds - CAST(k AS INTEGER)
+  GROUP BY 1, 2, 4
+),
+lev_steps AS (
+  SELECT series_key, cutoff, any_value(n) AS n, list(c ORDER BY k) AS g, 0 AS k,
+         CAST([] AS DOUBLE[]) AS phi, arg_min(c, k) AS error
+  FROM lev_lags GROUP BY 1, 2
+  UNION ALL
+  SELECT series_key, cutoff, n, g, k + 1,
+         list_append(list_transform(phi, lambda f, j: f - r * phi[k + 1 - j]), r), error * (1 - r * r)
+  FROM (SELECT *, (g[k + 2] - coalesce(list_sum(list_transform(phi, lambda f, j: f * g[k + 2 - j])), 0)) / error AS r
+        FROM lev_steps WHERE k < 14 AND error > 1e-9 * g[1])
+),
+lev_best AS (
+  SELECT series_key, cutoff, n, k AS p, phi, error,
+         CASE WHEN n > k + 8 THEN round(n * ln(greatest(error, 1e-9 * g[1], 1e-300))
+           + 2.0 * (k + 7) * n / (n - k - 8), 6) END AS aic
+  FROM lev_steps
+  QUALIFY row_number() OVER (PARTITION BY series_key, cutoff ORDER BY aic NULLS LAST, k) = 1
+),
+lev_fit AS (
+  SELECT *, CASE WHEN n > p + 7 THEN sqrt(greatest(0, error) * n / (n - p - 7)) END AS sigma FROM lev_best
+)"""
+
+
+def ar_levinson(horizon: int) -> str:
+    zeros = ", ".join(["0"] * 13)
+    return f"""{LEVINSON_FIT},
+lev_start AS (
+  SELECT series_key, cutoff, any_value(phi) AS phi, any_value(sigma) AS sigma,
+         list(coalesce(x, 0) ORDER BY back DESC) AS x
+  FROM lev_fit CROSS JOIN range(14) r(back)
+  LEFT JOIN (SELECT series_key, cutoff, CAST(cutoff - ds AS BIGINT) AS back, x FROM lev_x)
+    USING (series_key, cutoff, back)
+  GROUP BY 1, 2
+),
+lev_path AS (
+  SELECT series_key, cutoff, phi, sigma, 0 AS h, x, [{zeros}, 1]::DOUBLE[] AS w, 0::DOUBLE AS s FROM lev_start
+  UNION ALL
+  SELECT series_key, cutoff, phi, sigma, h + 1,
+         list_append(x[2:], coalesce(list_sum(list_transform(phi, lambda f, j: f * x[15 - j])), 0)),
+         list_append(w[2:], coalesce(list_sum(list_transform(phi, lambda f, j: f * w[15 - j])), 0)),
+         s + w[14] * w[14]
+  FROM lev_path WHERE h < {horizon}
+),
+ar_levinson AS (
+  SELECT a.series_key, 'ar_levinson' AS model, a.cutoff, a.ds, m + x[14] AS yhat, sigma * sqrt(s) AS sd
+  FROM ahead a JOIN lev_path USING (series_key, cutoff, h) LEFT JOIN means USING (series_key, cutoff, dow)
+)"""
+
+
 def _fitted(series: str, folds: str, horizon: int, names: list[str], history=False) -> str:
-    models = [ar_select(horizon) if n == "ar_select" else MODELS[n] for n in names]
+    made = {"ar_select": ar_select, "ar_levinson": ar_levinson}
+    models = [made[n](horizon) if n in made else MODELS[n] for n in names]
     parts = [series, folds, TRAIN, ahead(horizon, history), *models]
     runs = " UNION ALL ".join(f"SELECT * FROM {n}" for n in names)
     return f"WITH RECURSIVE {', '.join(parts)}, runs AS ({runs})"
@@ -434,6 +495,14 @@ SELECT series_key, CAST(isodow(ds) - 1 AS INTEGER) AS dow, count(*) AS days,
 FROM daily GROUP BY 1, 2"""
 
 _NAIVE = ["weekday_mean"]
+def _levinson_orders(series: str, folds: str) -> str:
+    return f"""WITH RECURSIVE {series}, {folds}, {TRAIN}, {LEVINSON_FIT}
+SELECT series_key, cutoff, CAST(p AS INTEGER) AS p, round(round(aic, 10), 6) + 0 AS aic,
+       round(round(sigma, 10), 6) + 0 AS sigma, round(round(phi[1], 10), 6) + 0 AS phi1,
+       round(round(phi[7], 10), 6) + 0 AS phi7
+FROM lev_fit"""
+
+
 _AR = ["ar_select"]
 
 ORACLE = {
@@ -478,6 +547,13 @@ ORACLE = {
     "ar_orders": _orders(SEGMENT_SERIES, AT_END),
     "ar_orders_users": _orders(USER_SERIES, AT_END),
     "ar_orders_cv": _orders(SEGMENT_SERIES, SEGMENT_FOLDS),
+    "ar_levinson_orders": _levinson_orders(SEGMENT_SERIES, AT_END),
+    "ar_levinson_orders_users": _levinson_orders(USER_SERIES, AT_END),
+    "ar_levinson_orders_cv": _levinson_orders(SEGMENT_SERIES, SEGMENT_FOLDS),
+    "ar_levinson_forecast": _forecast(SEGMENT_SERIES, 90, "ar_levinson"),
+    "ar_levinson_forecast_users": _forecast(USER_SERIES, 7, "ar_levinson"),
+    "ar_levinson_cv": _tested(SEGMENT_SERIES, SEGMENT_FOLDS, 30, ["ar_levinson"]) + SCORED_ROWS,
+    "ar_levinson_cv_users": _tested(USER_SERIES, USER_FOLDS, 7, ["ar_levinson"]) + SCORED_ROWS,
     "ar_select_forecast": _forecast(SEGMENT_SERIES, 90, "ar_select"),
     "ar_select_forecast_users": _forecast(USER_SERIES, 7, "ar_select"),
     "ar_select_cv": _tested(SEGMENT_SERIES, SEGMENT_FOLDS, 30, _AR) + SCORED_ROWS,

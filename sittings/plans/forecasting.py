@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sittings.functions.publish import not_negative
-from sittings.operators import autoregression, evaluate, models, origins, report, series
+from sittings.operators import autoregression, evaluate, levinson, models, origins, report, series
 from sittings.operators.sessions import session_table
 from sittings.plans import listening
 from sittings.sources import fixtures
@@ -192,6 +192,11 @@ def ar_orders(which, setting, spark, sf_dir):
     return rounded(autoregression.orders(setting.daily(spark, sf_dir), which))
 
 
+def levinson_orders(which, setting, spark, sf_dir):
+    """The order that was chosen for each series and fold."""
+    return rounded(levinson.orders(setting.daily(spark, sf_dir), which))
+
+
 def validation_results(setting, spark, sf_dir):
     """The published table: cross-validated trend model, held-out weekday mean."""
     daily = setting.daily(spark, sf_dir)
@@ -295,6 +300,13 @@ QUERIES = {
     "ar_select_holdout_users": partial(holdout, autoregression.ar_select, USERS),
     "top_user_ar_select_report": partial(forecast_report, autoregression.ar_select, TOP_USER),
     "top_user_ar_select_holdout": partial(holdout_report, autoregression.ar_select, TOP_USER),
+    "ar_levinson_orders": partial(levinson_orders, origins.END, SEGMENTS),
+    "ar_levinson_orders_users": partial(levinson_orders, origins.END, USERS),
+    "ar_levinson_orders_cv": partial(levinson_orders, SEGMENTS.folds, SEGMENTS),
+    "ar_levinson_forecast": partial(forecast, levinson.ar_levinson, SEGMENTS),
+    "ar_levinson_forecast_users": partial(forecast, levinson.ar_levinson, USERS),
+    "ar_levinson_cv": partial(cross_validation, levinson.ar_levinson, SEGMENTS),
+    "ar_levinson_cv_users": partial(cross_validation, levinson.ar_levinson, USERS),
     "holdout_mixed_lengths": partial(holdout_all, CLOSED_FORM, MIXED),
     "cv_mixed_lengths": partial(cv_all, CLOSED_FORM, MIXED),
     "validation_mixed_lengths": partial(validation_results, MIXED),

@@ -8,12 +8,12 @@ from datetime import date, datetime, timedelta
 import numpy as np
 import pytest
 
-from sittings.operators import autoregression, evaluate, models, origins, report, series
+from sittings.operators import autoregression, evaluate, levinson, models, origins, report, series
 from sittings.operators.sessions import session_table
 
 D0 = date(2023, 1, 2)  # a Monday
 CLOSED = [models.weekday_mean, models.seasonal_trend, models.seasonal_ar1]
-ALL = [*CLOSED, autoregression.ar_select]
+ALL = [*CLOSED, autoregression.ar_select, levinson.ar_levinson]
 
 
 def daily(spark, **values):
