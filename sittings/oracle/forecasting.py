@@ -318,8 +318,98 @@ ar_levinson AS (
 )"""
 
 
+# Every subset of four terms: normal equations on days with three weeks behind them, swept column by column.
+ARMA_FIT = f"""{LEVINSON_FIT},
+arma_long AS (
+  SELECT series_key, cutoff, phi FROM lev_steps
+  QUALIFY row_number() OVER (PARTITION BY series_key, cutoff ORDER BY k DESC) = 1
+),
+arma_e AS (
+  SELECT series_key, cutoff, ds, x, lag(x, 1) OVER w AS x1, lag(x, 7) OVER w AS x7,
+         CASE WHEN row_number() OVER w > 14 THEN x - coalesce(list_sum(list_transform(phi, lambda f, j:
+           f * (list(x) OVER (w ROWS BETWEEN 14 PRECEDING AND CURRENT ROW))[15 - j])), 0) END AS e
+  FROM lev_x JOIN arma_long USING (series_key, cutoff) WINDOW w AS (PARTITION BY series_key, cutoff ORDER BY ds)
+),
+arma_z AS (
+  SELECT *, lag(e, 1) OVER w AS e1, lag(e, 7) OVER w AS e7
+  FROM arma_e WINDOW w AS (PARTITION BY series_key, cutoff ORDER BY ds)
+),
+arma_sums AS (
+  SELECT series_key, cutoff, count(e7) AS n,
+         coalesce(sum(x * x) FILTER (e7 IS NOT NULL), 0) AS total,
+         list_transform([sum(x * x1) FILTER (e7 IS NOT NULL), sum(x * x7) FILTER (e7 IS NOT NULL),
+           sum(x * e1) FILTER (e7 IS NOT NULL), sum(x * e7)], lambda v: coalesce(v, 0)) AS b,
+         list_transform([sum(x1 * x1) FILTER (e7 IS NOT NULL), sum(x1 * x7) FILTER (e7 IS NOT NULL),
+           sum(x1 * e1) FILTER (e7 IS NOT NULL), sum(x1 * e7),
+           sum(x7 * x7) FILTER (e7 IS NOT NULL), sum(x7 * e1) FILTER (e7 IS NOT NULL), sum(x7 * e7),
+           sum(e1 * e1) FILTER (e7 IS NOT NULL), sum(e1 * e7), sum(e7 * e7)], lambda v: coalesce(v, 0)) AS s
+  FROM arma_z GROUP BY 1, 2
+),
+arma_sets AS (
+  SELECT *, [q % 2, q // 2 % 2, q // 4 % 2, q // 8 % 2] AS mask,
+         [[s[1], s[2], s[3], s[4]], [s[2], s[5], s[6], s[7]], [s[3], s[6], s[8], s[9]], [s[4], s[7], s[9], s[10]]] AS a
+  FROM arma_sums CROSS JOIN range(16) r(q)
+),
+arma_sweep AS (
+  SELECT series_key, cutoff, mask, 0 AS k,
+         list_transform(a, lambda row, i: list_append(list_transform(row, lambda v, j:
+           CASE WHEN mask[i] * mask[j] = 1 THEN v WHEN i = j THEN 1 ELSE 0 END), mask[i] * b[i])) AS m,
+         list_transform(a, lambda row, i: CASE WHEN mask[i] = 1 THEN row[i] ELSE 1 END) AS d
+  FROM arma_sets
+  UNION ALL
+  SELECT series_key, cutoff, mask, k + 1,
+         CASE WHEN m[k + 1][k + 1] > 1e-9 * d[k + 1] AND d[k + 1] > 0 THEN
+           list_transform(m, lambda row, i: list_transform(row, lambda v, j:
+             CASE WHEN i = k + 1 THEN v / m[k + 1][k + 1]
+                  ELSE v - row[k + 1] / m[k + 1][k + 1] * m[k + 1][j] END))
+         ELSE list_transform(m, lambda row, i: CASE WHEN i = k + 1 THEN [0, 0, 0, 0, 0]::DOUBLE[] ELSE row END) END, d
+  FROM arma_sweep WHERE k < 4
+),
+arma_fits AS (
+  SELECT f.*, n, total, list_sum(f.mask) AS terms,
+         greatest(1e-9 * total, total - c[1] * b[1] - c[2] * b[2] - c[3] * b[3] - c[4] * b[4]) AS sse
+  FROM (SELECT series_key, cutoff, mask, [m[1][5], m[2][5], m[3][5], m[4][5]] AS c FROM arma_sweep WHERE k = 4) f
+  JOIN arma_sums USING (series_key, cutoff)
+),
+arma_best AS (
+  SELECT *, CASE WHEN n > terms + 7 THEN sqrt(sse / (n - terms - 7)) END AS sigma,
+         CASE WHEN n > terms + 8 THEN round(n * ln(greatest(sse / n, 1e-300))
+           + 2.0 * (terms + 7) * n / (n - terms - 8), 6) END AS aic
+  FROM arma_fits WHERE abs(c[1]) + abs(c[2]) < 1 AND (n > terms + 8 OR terms = 0)
+  QUALIFY row_number() OVER (PARTITION BY series_key, cutoff ORDER BY aic NULLS LAST, terms, mask DESC) = 1
+)"""
+
+
+def arma(horizon: int) -> str:
+    zeros = ", ".join(["0"] * 6)
+    return f"""{ARMA_FIT},
+arma_start AS (
+  SELECT series_key, cutoff, any_value(c) AS c, any_value(sigma) AS sigma,
+         list(coalesce(x, 0) ORDER BY back DESC) AS x, list(coalesce(e, 0) ORDER BY back DESC) AS e
+  FROM arma_best CROSS JOIN range(7) r(back)
+  LEFT JOIN (SELECT series_key, cutoff, CAST(cutoff - ds AS BIGINT) AS back, x, e FROM arma_z)
+    USING (series_key, cutoff, back)
+  GROUP BY 1, 2
+),
+arma_path AS (
+  SELECT series_key, cutoff, c, sigma, 0 AS h, x, list_concat(e, [0]::DOUBLE[]) AS e,
+         [{zeros}, 1]::DOUBLE[] AS w, [{zeros}, 1, 0]::DOUBLE[] AS we, 0::DOUBLE AS s FROM arma_start
+  UNION ALL
+  SELECT series_key, cutoff, c, sigma, h + 1,
+         list_append(x[2:], c[1] * x[7] + c[2] * x[1] + c[3] * e[7] + c[4] * e[1]),
+         list_append(e[2:], 0),
+         list_append(w[2:], c[1] * w[7] + c[2] * w[1] + c[3] * we[7] + c[4] * we[1]),
+         list_append(we[2:], 0), s + w[7] * w[7]
+  FROM arma_path WHERE h < {horizon}
+),
+arma AS (
+  SELECT a.series_key, 'arma' AS model, a.cutoff, a.ds, m + x[7] AS yhat, sigma * sqrt(s) AS sd
+  FROM ahead a JOIN arma_path USING (series_key, cutoff, h) LEFT JOIN means USING (series_key, cutoff, dow)
+)"""
+
+
 def _fitted(series: str, folds: str, horizon: int, names: list[str], history=False) -> str:
-    made = {"ar_select": ar_select, "ar_levinson": ar_levinson}
+    made = {"ar_select": ar_select, "ar_levinson": ar_levinson, "arma": arma}
     models = [made[n](horizon) if n in made else MODELS[n] for n in names]
     parts = [series, folds, TRAIN, ahead(horizon, history), *models]
     runs = " UNION ALL ".join(f"SELECT * FROM {n}" for n in names)
@@ -503,6 +593,15 @@ SELECT series_key, cutoff, CAST(p AS INTEGER) AS p, round(round(aic, 10), 6) + 0
 FROM lev_fit"""
 
 
+def _arma_orders(series: str) -> str:
+    names = ("ar1", "ar7", "ma1", "ma7")
+    terms = ", ".join(f"round(round(c[{i + 1}], 10), 6) + 0 AS {name}" for i, name in enumerate(names))
+    return f"""WITH RECURSIVE {series}, {AT_END}, {TRAIN}, {ARMA_FIT}
+SELECT series_key, cutoff, {terms}, round(round(aic, 10), 6) + 0 AS aic,
+       round(round(sigma, 10), 6) + 0 AS sigma
+FROM arma_best"""
+
+
 _AR = ["ar_select"]
 
 ORACLE = {
@@ -547,6 +646,12 @@ ORACLE = {
     "ar_orders": _orders(SEGMENT_SERIES, AT_END),
     "ar_orders_users": _orders(USER_SERIES, AT_END),
     "ar_orders_cv": _orders(SEGMENT_SERIES, SEGMENT_FOLDS),
+    "arma_orders": _arma_orders(SEGMENT_SERIES),
+    "arma_orders_users": _arma_orders(USER_SERIES),
+    "arma_forecast": _forecast(SEGMENT_SERIES, 90, "arma"),
+    "arma_forecast_users": _forecast(USER_SERIES, 7, "arma"),
+    "arma_holdout": _tested(SEGMENT_SERIES, held_out(30), 30, ["arma"]) + SCORED_ROWS,
+    "arma_holdout_users": _tested(USER_SERIES, held_out(7), 7, ["arma"]) + SCORED_ROWS,
     "ar_levinson_orders": _levinson_orders(SEGMENT_SERIES, AT_END),
     "ar_levinson_orders_users": _levinson_orders(USER_SERIES, AT_END),
     "ar_levinson_orders_cv": _levinson_orders(SEGMENT_SERIES, SEGMENT_FOLDS),

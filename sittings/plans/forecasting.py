@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sittings.functions.publish import not_negative
-from sittings.operators import autoregression, evaluate, levinson, models, origins, report, series
+from sittings.operators import arma, autoregression, evaluate, levinson, models, origins, report, series
 from sittings.operators.sessions import session_table
 from sittings.plans import listening
 from sittings.sources import fixtures
@@ -197,6 +197,11 @@ def levinson_orders(which, setting, spark, sf_dir):
     return rounded(levinson.orders(setting.daily(spark, sf_dir), which))
 
 
+def arma_terms(which, setting, spark, sf_dir):
+    """The moving-average and autoregressive terms that were chosen for each series."""
+    return rounded(arma.orders(setting.daily(spark, sf_dir), which))
+
+
 def validation_results(setting, spark, sf_dir):
     """The published table: cross-validated trend model, held-out weekday mean."""
     daily = setting.daily(spark, sf_dir)
@@ -307,6 +312,12 @@ QUERIES = {
     "ar_levinson_forecast_users": partial(forecast, levinson.ar_levinson, USERS),
     "ar_levinson_cv": partial(cross_validation, levinson.ar_levinson, SEGMENTS),
     "ar_levinson_cv_users": partial(cross_validation, levinson.ar_levinson, USERS),
+    "arma_orders": partial(arma_terms, origins.END, SEGMENTS),
+    "arma_orders_users": partial(arma_terms, origins.END, USERS),
+    "arma_forecast": partial(forecast, arma.arma, SEGMENTS),
+    "arma_forecast_users": partial(forecast, arma.arma, USERS),
+    "arma_holdout": partial(holdout, arma.arma, SEGMENTS),
+    "arma_holdout_users": partial(holdout, arma.arma, USERS),
     "holdout_mixed_lengths": partial(holdout_all, CLOSED_FORM, MIXED),
     "cv_mixed_lengths": partial(cv_all, CLOSED_FORM, MIXED),
     "validation_mixed_lengths": partial(validation_results, MIXED),

@@ -7,7 +7,8 @@ from datetime import date, timedelta
 import numpy as np
 import pytest
 
-from sittings.operators import autoregression, levinson, origins
+from sittings.functions import linear
+from sittings.operators import arma, autoregression, levinson, origins
 
 D0 = date(2023, 1, 2)  # a Monday
 
@@ -110,3 +111,77 @@ def test_short_folds_compare_all_candidates(spark):
     got = autoregression.orders(daily(spark, a=walk[:20], b=walk[:15]), origins.END).collect()
     assert all(r.differenced and r.aic is not None for r in got if r.series_key == "a")
     assert all(r.aic is None for r in got if r.series_key == "b")
+
+
+def test_moving_average_is_recovered(spark):
+    rng = np.random.default_rng(8)
+    n, e = 4000, rng.normal(0, 1, (3, 4010))
+    weekly = e[1].copy()
+    weekly[7:] += 0.6 * e[1][:-7]
+    both = np.zeros(n)
+    for i in range(1, n):
+        both[i] = 0.6 * both[i - 1] + e[2, i] + 0.4 * e[2, i - 1]
+    made = {"one": e[0, 1:n] + 0.6 * e[0, : n - 1], "seven": weekly[7:n], "both": both[100:], "none": rng.normal(0, 1, 400)}
+    df = daily(spark, **made)
+    got = {r.series_key: r for r in arma.orders(df, origins.END).collect()}
+    assert got["one"].ma1 == pytest.approx(0.6, abs=0.08) and got["one"].sigma == pytest.approx(1, rel=0.05)
+    assert got["seven"].ma7 == pytest.approx(0.6, abs=0.08) and abs(got["seven"].ma1) < 0.1
+    assert (got["both"].ar1, got["both"].ma1) == (pytest.approx(0.6, abs=0.08), pytest.approx(0.4, abs=0.08))
+    assert got["none"].sigma == pytest.approx(1, rel=0.1)
+    ahead = {}
+    for r in arma.arma(df, origins.END, 3).orderBy("ds").collect():
+        ahead.setdefault(r.series_key, []).append(r)
+    # One day ahead the last shock counts, two days ahead only the spread it leaves does.
+    assert ahead["one"][0].yhat == pytest.approx(got["one"].ma1 * e[0, n - 1], abs=0.3)
+    assert ahead["one"][0].sd == pytest.approx(got["one"].sigma)
+    if got["one"].ar1 == got["one"].ar7 == 0:
+        assert ahead["one"][1].sd == pytest.approx(got["one"].sigma * np.sqrt(1 + got["one"].ma1 ** 2))
+
+
+def test_arma_is_least_squares_on_residuals_of_the_long_fit(spark):
+    ys = autoregressive(np.random.default_rng(9), 200, {1: 0.5, 2: 0.2}) + np.arange(200) % 7
+    x, fits = by_definition(ys)
+    phi = fits[14][2]
+    e = np.array([np.nan] * 14 + [x[i] - phi @ x[i - 14 : i][::-1] for i in range(14, len(x))])
+    rows = range(21, len(x))
+    z = np.array([[x[i - 1], x[i - 7], e[i - 1], e[i - 7]] for i in rows])
+    y, best = x[21:], None
+    for m in range(16):
+        on = [i for i in range(4) if m >> i & 1]
+        c = np.zeros(4)
+        if on:
+            c[on] = np.linalg.lstsq(z[:, on], y, rcond=None)[0]
+        k, n = len(on) + 7, len(y)
+        aic = n * np.log(((y - z @ c) ** 2).sum() / n) + 2 * k * n / (n - k - 1)
+        if abs(c[0]) + abs(c[1]) < 1 and (best is None or aic < best[0]):
+            best = aic, c
+    r = arma.orders(daily(spark, a=ys), origins.END).first()
+    assert r.aic == pytest.approx(best[0], abs=1e-5)
+    assert [r.ar1, r.ar7, r.ma1, r.ma7] == pytest.approx(list(best[1]), abs=1e-7)
+
+
+def test_arma_of_short_and_flat_series(spark):
+    df = daily(spark, one=[4.0], short=[1.0, 5.0, 2.0] * 6, flat=[2.0] * 60)
+    got = {(r.series_key, r.ds): r for r in arma.arma(df, origins.END, 2).collect()}
+    assert len(got) == 6
+    assert all(r.sd is None for k, r in got.items() if k[0] != "flat")
+    assert {(r.yhat, r.sd) for k, r in got.items() if k[0] == "flat"} == {(2.0, 0.0)}
+    with pytest.raises(ValueError):
+        arma.arma(df, origins.rolling(10, 5, 5), 2)
+
+
+@pytest.mark.parametrize("n", [1, 2, 5])
+def test_systems_are_solved(spark, n):
+    rng = np.random.default_rng(n)
+    a = rng.normal(size=(n + 3, n))
+    s, b = a.T @ a, rng.normal(size=n)
+    cells = {(i, j): repr(float(s[i, j])) for i in range(n) for j in range(i, n)}
+    d = f"array({', '.join(f'double({cells[i, i]})' for i in range(n))})"
+    text = linear.solution(linear.matrix(cells, [repr(float(v)) for v in b]), d, n)
+    assert spark.sql(f"SELECT {text} AS x").first().x == pytest.approx(list(np.linalg.solve(s, b)))
+
+
+def test_a_repeated_regressor_is_dropped(spark):
+    cells = {(0, 0): "2", (0, 1): "4", (1, 1): "8", (0, 2): "1", (1, 2): "2", (2, 2): "3"}
+    text = linear.solution(linear.matrix(cells, ["6", "12", "8"]), "array(2D, 8D, 3D)", 3)
+    assert spark.sql(f"SELECT {text} AS x").first().x == pytest.approx([2.0, 0.0, 2.0])
