@@ -602,6 +602,69 @@ SELECT series_key, cutoff, {terms}, round(round(aic, 10), 6) + 0 AS aic,
 FROM arma_best"""
 
 
+def _differences(series: str, folds: str) -> str:
+    return f"""WITH {series}, {folds}, {TRAIN},
+diff_lagged AS (
+  SELECT *, y - lag(y, 7) OVER w AS s, lag(y, 3) OVER w AS middle, lag(dow, 3) OVER w AS mid,
+         CASE WHEN count(*) OVER (w ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) = 7
+              THEN avg(y) OVER (w ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) END AS week
+  FROM train WINDOW w AS (PARTITION BY series_key, cutoff ORDER BY ds)
+),
+diff_left_over AS (
+  SELECT series_key, cutoff, middle - week AS w, avg(middle - week) OVER (PARTITION BY series_key, cutoff, mid) AS m
+  FROM diff_lagged WHERE week IS NOT NULL
+),
+diff_strengths AS (
+  SELECT f.series_key, f.cutoff,
+         CASE WHEN count(w) >= 14 AND sum(w * w) - sum(w) * sum(w) / count(w) > 1e-9 * sum(w * w)
+              THEN greatest(0, 1 - sum((w - m) * (w - m)) / (sum(w * w) - sum(w) * sum(w) / count(w))) ELSE 0 END AS strength
+  FROM folds f LEFT JOIN diff_left_over l ON l.series_key = f.series_key AND l.cutoff = f.cutoff GROUP BY 1, 2
+),
+diff_kinds AS (
+  SELECT series_key, cutoff, ds, 0 AS kind, CAST(y AS DOUBLE) AS w FROM diff_lagged
+  UNION ALL SELECT series_key, cutoff, ds, 1, y - before FROM diff_lagged
+  UNION ALL SELECT series_key, cutoff, ds, 2, s FROM diff_lagged
+  UNION ALL SELECT series_key, cutoff, ds, 3, s - lag(s) OVER (PARTITION BY series_key, cutoff ORDER BY ds) FROM diff_lagged
+),
+diff_levels AS (
+  SELECT series_key, cutoff, kind, ds, w - avg(w) OVER one AS x, count(*) OVER one AS n,
+         row_number() OVER (PARTITION BY series_key, cutoff, kind ORDER BY ds) AS i
+  FROM diff_kinds WHERE w IS NOT NULL WINDOW one AS (PARTITION BY series_key, cutoff, kind)
+),
+diff_partials AS (
+  SELECT *, sum(x) OVER (PARTITION BY series_key, cutoff, kind ORDER BY ds) AS c,
+         least(14, CAST(floor(4 * pow(n / 100.0, 0.25)) AS BIGINT)) AS reach
+  FROM diff_levels
+),
+diff_products AS (
+  SELECT a.series_key, a.cutoff, a.kind,
+         sum(CASE WHEN a.i = b.i THEN 1 ELSE 2 * (1 - (a.i - b.i) / (a.reach + 1.0)) END * a.x * b.x) / any_value(a.n) AS variance
+  FROM diff_partials a JOIN diff_partials b
+    ON a.series_key = b.series_key AND a.cutoff = b.cutoff AND a.kind = b.kind AND b.i BETWEEN a.i - a.reach AND a.i
+  GROUP BY 1, 2, 3
+),
+diff_tests AS (
+  SELECT series_key, cutoff, kind,
+         CASE WHEN sum(x * x) > 1e-9 * any_value(n) AND any_value(variance) > 0
+              THEN sum(c * c) / (any_value(n) * any_value(n) * any_value(variance)) ELSE 0 END AS statistic
+  FROM diff_partials JOIN diff_products USING (series_key, cutoff, kind) GROUP BY 1, 2, 3
+),
+diff_wide AS (
+  SELECT series_key, cutoff, max(statistic) FILTER (kind = 0) AS k0, max(statistic) FILTER (kind = 1) AS k1,
+         max(statistic) FILTER (kind = 2) AS k2, max(statistic) FILTER (kind = 3) AS k3
+  FROM diff_tests GROUP BY 1, 2
+),
+diff_chosen AS (
+  SELECT *, CASE WHEN seasonal = 1 THEN k2 ELSE k0 END AS statistic, CASE WHEN seasonal = 1 THEN k3 ELSE k1 END AS second
+  FROM (SELECT *, CASE WHEN strength > 0.64 AND k2 IS NOT NULL THEN 1 ELSE 0 END AS seasonal
+        FROM diff_wide JOIN diff_strengths USING (series_key, cutoff))
+)
+SELECT series_key, cutoff, round(round(strength, 10), 6) + 0 AS strength, CAST(seasonal AS INTEGER) AS seasonal,
+       round(round(statistic, 10), 6) + 0 AS statistic,
+       CASE WHEN coalesce(statistic, 0) <= 0.463 THEN 0 WHEN coalesce(second, 0) <= 0.463 THEN 1 ELSE 2 END AS differences
+FROM diff_chosen"""
+
+
 _AR = ["ar_select"]
 
 ORACLE = {
@@ -646,6 +709,10 @@ ORACLE = {
     "ar_orders": _orders(SEGMENT_SERIES, AT_END),
     "ar_orders_users": _orders(USER_SERIES, AT_END),
     "ar_orders_cv": _orders(SEGMENT_SERIES, SEGMENT_FOLDS),
+    "difference_orders": _differences(SEGMENT_SERIES, AT_END),
+    "difference_orders_users": _differences(USER_SERIES, AT_END),
+    "difference_orders_cv": _differences(SEGMENT_SERIES, SEGMENT_FOLDS),
+    "difference_orders_cv_users": _differences(USER_SERIES, USER_FOLDS),
     "arma_orders": _arma_orders(SEGMENT_SERIES),
     "arma_orders_users": _arma_orders(USER_SERIES),
     "arma_forecast": _forecast(SEGMENT_SERIES, 90, "arma"),

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sittings.functions.publish import not_negative
-from sittings.operators import arma, autoregression, evaluate, levinson, models, origins, report, series
+from sittings.operators import arma, autoregression, differencing, evaluate, levinson, models, origins, report, series
 from sittings.operators.sessions import session_table
 from sittings.plans import listening
 from sittings.sources import fixtures
@@ -202,6 +202,11 @@ def arma_terms(which, setting, spark, sf_dir):
     return rounded(arma.orders(setting.daily(spark, sf_dir), which))
 
 
+def difference_orders(which, setting, spark, sf_dir):
+    """How often each series is differenced, by season and by day, at each origin."""
+    return rounded(differencing.orders(setting.daily(spark, sf_dir), which))
+
+
 def validation_results(setting, spark, sf_dir):
     """The published table: cross-validated trend model, held-out weekday mean."""
     daily = setting.daily(spark, sf_dir)
@@ -318,6 +323,10 @@ QUERIES = {
     "arma_forecast_users": partial(forecast, arma.arma, USERS),
     "arma_holdout": partial(holdout, arma.arma, SEGMENTS),
     "arma_holdout_users": partial(holdout, arma.arma, USERS),
+    "difference_orders": partial(difference_orders, origins.END, SEGMENTS),
+    "difference_orders_users": partial(difference_orders, origins.END, USERS),
+    "difference_orders_cv": partial(difference_orders, SEGMENTS.folds, SEGMENTS),
+    "difference_orders_cv_users": partial(difference_orders, USERS.folds, USERS),
     "holdout_mixed_lengths": partial(holdout_all, CLOSED_FORM, MIXED),
     "cv_mixed_lengths": partial(cv_all, CLOSED_FORM, MIXED),
     "validation_mixed_lengths": partial(validation_results, MIXED),

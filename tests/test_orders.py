@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 from sittings.functions import linear
-from sittings.operators import arma, autoregression, levinson, origins
+from sittings.operators import arma, autoregression, differencing, levinson, origins
 
 D0 = date(2023, 1, 2)  # a Monday
 
@@ -185,3 +185,47 @@ def test_a_repeated_regressor_is_dropped(spark):
     cells = {(0, 0): "2", (0, 1): "4", (1, 1): "8", (0, 2): "1", (1, 2): "2", (2, 2): "3"}
     text = linear.solution(linear.matrix(cells, ["6", "12", "8"]), "array(2D, 8D, 3D)", 3)
     assert spark.sql(f"SELECT {text} AS x").first().x == pytest.approx([2.0, 0.0, 2.0])
+
+
+def level_statistic(w):
+    """The statistic of level stationarity by its definition."""
+    w = np.asarray(w, float)
+    n, x = len(w), w - np.mean(w)
+    reach = min(14, int(4 * (n / 100) ** 0.25))
+    variance = x @ x / n + sum(2 * (1 - k / (reach + 1)) * (x[k:] @ x[:-k]) / n for k in range(1, reach + 1))
+    return (np.cumsum(x) ** 2).sum() / (n * n * variance)
+
+
+def test_differences_are_told_apart(spark):
+    rng = np.random.default_rng(6)
+    n, week = 420, np.array([0, 9, 4, 12, 3, 8, 5])
+    noise = rng.normal(0, 1, (6, n))
+    made = {
+        "level": 50 + noise[0],
+        "trend": 0.2 * np.arange(n) + noise[1],
+        "walk": np.cumsum(noise[2]),
+        "weekly": week[np.arange(n) % 7] + noise[3],
+        "twice": np.cumsum(np.cumsum(noise[4])),
+        "both": week[np.arange(n) % 7] * 3 + np.cumsum(noise[5]),
+    }
+    got = {r.series_key: r for r in differencing.orders(daily(spark, **made), origins.END).collect()}
+    assert {k: (r.seasonal, r.differences) for k, r in got.items() if k != "both"} == {
+        "level": (0, 0), "trend": (0, 1), "walk": (0, 1), "weekly": (1, 0), "twice": (0, 2),
+    }
+    assert got["both"].seasonal == 1 and got["both"].strength > 0.9
+    for key in ("level", "trend", "walk", "twice"):
+        assert got[key].statistic == pytest.approx(level_statistic(made[key]), rel=1e-6)
+    assert got["weekly"].statistic == pytest.approx(level_statistic(made["weekly"][7:] - made["weekly"][:-7]), rel=1e-6)
+
+
+def test_differences_of_folds_and_short_series(spark):
+    rng = np.random.default_rng(7)
+    ys = np.cumsum(rng.normal(0, 1, 120)) + 20
+    for r in differencing.orders(daily(spark, a=ys), origins.rolling(30, 20, 10)).collect():
+        some = ys[: (r.cutoff - D0).days + 1]
+        alone = differencing.orders(daily(spark, a=some), origins.END).first()
+        assert (r.seasonal, r.differences) == (alone.seasonal, alone.differences)
+        assert (r.strength, r.statistic) == (pytest.approx(alone.strength), pytest.approx(alone.statistic))
+    odd = daily(spark, one=[3.0], two=[5.0, 5.0], flat=[2.0] * 40)
+    got = {r.series_key: (r.seasonal, r.differences) for r in differencing.orders(odd, origins.END).collect()}
+    assert got == {"one": (0, 0), "two": (0, 0), "flat": (0, 0)}
