@@ -665,6 +665,82 @@ SELECT series_key, cutoff, round(round(strength, 10), 6) + 0 AS strength, CAST(s
 FROM diff_chosen"""
 
 
+def _full_metrics(series: str, folds: str, days: int, name: str, share: float) -> str:
+    def mean(c: str) -> str:
+        total = f"sum(n_{c} * take / n)"
+        return f"CASE WHEN {total} > 0 THEN sum(coalesce({c}, 0) * take / n) / {total} END AS {c}"
+
+    sums = ("mse", "mae", "mape", "smape", "coverage")
+    shown = ("mse", "rmse", "mae", "mape", "mdape", "smape", "coverage")
+    return f"""{_tested(series, folds, days, [name])},
+errors AS (
+  SELECT series_key, model, cutoff, CAST(ds - cutoff AS INTEGER) AS horizon, (y - yhat) * (y - yhat) AS mse, abs(y - yhat) AS mae,
+         CASE WHEN y <> 0 THEN abs(y - yhat) / abs(y) END AS mape,
+         CASE WHEN abs(y) + abs(yhat) > 0 THEN 2 * abs(y - yhat) / (abs(y) + abs(yhat)) ELSE 0 END AS smape,
+         CAST(y BETWEEN low AND high AS INTEGER) AS coverage,
+         row_number() OVER (PARTITION BY series_key, model ORDER BY ds - cutoff, cutoff) AS place
+  FROM (SELECT * EXCLUDE (yhat), round(yhat, 9) AS yhat, round(yhat - 1.2816 * sd, 9) AS low, round(yhat + 1.2816 * sd, 9) AS high
+        FROM scored WHERE yhat IS NOT NULL)
+),
+by_horizon AS (
+  SELECT series_key, model, horizon, count(*) AS n, max(place) AS upto,
+         {', '.join(f'sum({c}) AS {c}, count({c}) AS n_{c}' for c in sums)}
+  FROM errors GROUP BY 1, 2, 3
+),
+counted AS (
+  SELECT *, greatest(floor(max(upto) OVER (PARTITION BY series_key, model) * {share} + 1e-9), 1) AS wanted FROM by_horizon
+),
+means_by_horizon AS (
+  SELECT series_key, model, horizon, n, {', '.join(mean(c).replace('n_', 'b_n_').replace('/ n', '/ b_n') for c in sums)}
+  FROM (SELECT a.series_key, a.model, a.horizon, a.n, b.n AS b_n, {', '.join(f'b.{c}, b.n_{c} AS b_n_{c}' for c in sums)},
+               greatest(0, least(b.n, a.wanted - (a.upto - b.upto))) AS take
+        FROM counted a JOIN counted b ON a.series_key = b.series_key AND a.model = b.model AND b.horizon <= a.horizon
+        WHERE a.upto >= a.wanted)
+  GROUP BY 1, 2, 3, 4
+),
+medians AS (
+  SELECT c.series_key, c.model, c.horizon, median(e.mape) AS mdape
+  FROM counted c JOIN errors e ON c.series_key = e.series_key AND c.model = e.model
+    AND e.place <= c.upto AND e.place > c.upto - greatest(c.n, c.wanted)
+  GROUP BY 1, 2, 3
+)
+SELECT series_key, model, horizon, n, {', '.join(f'round(round({c}, 10), 6) + 0 AS {c}' for c in shown)}
+FROM (SELECT *, sqrt(mse) AS rmse FROM means_by_horizon JOIN medians USING (series_key, model, horizon))"""
+
+
+ERRORS = """
+errors AS (
+  SELECT series_key, model, cutoff, CAST(ds - cutoff AS INTEGER) AS horizon, y - yhat AS error
+  FROM scored WHERE yhat IS NOT NULL
+)"""
+
+
+def _empirical(series: str, folds: str, horizon: int, name: str) -> str:
+    last = _fitted(series, AT_END, horizon, [name])
+    return f"""WITH points AS ({_tested(series, folds, horizon, [name])}, {ERRORS}
+  SELECT series_key, model, horizon, count(*) AS n_errors, quantile_cont(error, 0.1) AS low, quantile_cont(error, 0.9) AS high
+  FROM errors GROUP BY 1, 2, 3),
+latest AS ({last} SELECT *, CAST(ds - cutoff AS INTEGER) AS horizon FROM runs)
+SELECT series_key, model, cutoff, ds, round(round(yhat, 10), 6) + 0 AS yhat,
+       CASE WHEN n_errors >= 10 THEN round(round(yhat + low, 10), 6) + 0 END AS yhat_lower,
+       CASE WHEN n_errors >= 10 THEN round(round(yhat + high, 10), 6) + 0 END AS yhat_upper,
+       coalesce(n_errors, 0) AS n_errors
+FROM latest LEFT JOIN points USING (series_key, model, horizon)"""
+
+
+def _coverage(series: str, folds: str, horizon: int, name: str) -> str:
+    return f"""{_tested(series, folds, horizon, [name])}, {ERRORS},
+told AS (
+  SELECT a.series_key, a.model, a.error, count(*) AS n, quantile_cont(b.error, 0.1) AS low, quantile_cont(b.error, 0.9) AS high
+  FROM errors a JOIN errors b ON a.series_key = b.series_key AND a.model = b.model AND a.horizon = b.horizon
+    AND b.cutoff <= a.cutoff - {horizon}
+  GROUP BY a.series_key, a.model, a.horizon, a.cutoff, a.error
+)
+SELECT series_key, model, count(*) AS days,
+       round(round(avg(CASE WHEN error BETWEEN low AND high THEN 1.0 ELSE 0.0 END), 10), 6) + 0 AS coverage
+FROM told WHERE n >= 10 GROUP BY 1, 2"""
+
+
 _AR = ["ar_select"]
 
 ORACLE = {
@@ -709,6 +785,12 @@ ORACLE = {
     "ar_orders": _orders(SEGMENT_SERIES, AT_END),
     "ar_orders_users": _orders(USER_SERIES, AT_END),
     "ar_orders_cv": _orders(SEGMENT_SERIES, SEGMENT_FOLDS),
+    "cv_metrics_full": _full_metrics(SEGMENT_SERIES, SEGMENT_FOLDS, 30, "seasonal_trend", 0.1),
+    "cv_metrics_full_users": _full_metrics(USER_SERIES, USER_FOLDS, 7, "weekday_mean", 0.1),
+    "cv_metrics_full_unsmoothed": _full_metrics(SEGMENT_SERIES, SEGMENT_FOLDS, 30, "ar_levinson", 0.0),
+    "empirical_interval_forecast": _empirical(SEGMENT_SERIES, rolling(180, 30, 90), 90, "seasonal_trend"),
+    "empirical_interval_forecast_users": _empirical(USER_SERIES, USER_FOLDS, 7, "weekday_mean"),
+    "empirical_coverage": _coverage(SEGMENT_SERIES, rolling(180, 30, 90), 90, "seasonal_trend"),
     "difference_orders": _differences(SEGMENT_SERIES, AT_END),
     "difference_orders_users": _differences(USER_SERIES, AT_END),
     "difference_orders_cv": _differences(SEGMENT_SERIES, SEGMENT_FOLDS),

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sittings.functions.publish import not_negative
-from sittings.operators import arma, autoregression, differencing, evaluate, levinson, models, origins, report, series
+from sittings.operators import arma, autoregression, differencing, evaluate, horizons, levinson, models, origins, report, series
 from sittings.operators.sessions import session_table
 from sittings.plans import listening
 from sittings.sources import fixtures
@@ -207,6 +207,19 @@ def difference_orders(which, setting, spark, sf_dir):
     return rounded(differencing.orders(setting.daily(spark, sf_dir), which))
 
 
+def full_metrics(model, setting, smoothing, spark, sf_dir):
+    """All metrics of the cross-validation by days ahead."""
+    daily = setting.daily(spark, sf_dir)
+    scored = evaluate.score(model(daily, setting.folds, setting.test_days), daily)
+    return rounded(horizons.full_metrics(scored, smoothing))
+
+
+def empirical(which, model, setting, spark, sf_dir):
+    """Intervals, or their coverage, from the errors of folds as long as the forecast."""
+    folds = origins.rolling(setting.initial, setting.period, setting.horizon)
+    return rounded(which(model, setting.daily(spark, sf_dir), folds, setting.horizon))
+
+
 def validation_results(setting, spark, sf_dir):
     """The published table: cross-validated trend model, held-out weekday mean."""
     daily = setting.daily(spark, sf_dir)
@@ -327,6 +340,16 @@ QUERIES = {
     "difference_orders_users": partial(difference_orders, origins.END, USERS),
     "difference_orders_cv": partial(difference_orders, SEGMENTS.folds, SEGMENTS),
     "difference_orders_cv_users": partial(difference_orders, USERS.folds, USERS),
+    "cv_metrics_full": partial(full_metrics, models.seasonal_trend, SEGMENTS, SMOOTHING),
+    "cv_metrics_full_users": partial(full_metrics, models.weekday_mean, USERS, SMOOTHING),
+    "cv_metrics_full_unsmoothed": partial(full_metrics, levinson.ar_levinson, SEGMENTS, 0.0),
+    "empirical_interval_forecast": partial(
+        empirical, horizons.empirical_interval, models.seasonal_trend, SEGMENTS
+    ),
+    "empirical_interval_forecast_users": partial(
+        empirical, horizons.empirical_interval, models.weekday_mean, USERS
+    ),
+    "empirical_coverage": partial(empirical, horizons.empirical_coverage, models.seasonal_trend, SEGMENTS),
     "holdout_mixed_lengths": partial(holdout_all, CLOSED_FORM, MIXED),
     "cv_mixed_lengths": partial(cv_all, CLOSED_FORM, MIXED),
     "validation_mixed_lengths": partial(validation_results, MIXED),
