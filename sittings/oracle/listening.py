@@ -99,6 +99,27 @@ def _with_sessions(gap: int, select: str, plays: str = PLAYS) -> str:
     return f"WITH {plays}, {sessionized(gap)}, {SESSIONS} {select}"
 
 
+# A damaged log's lines: their fields, and what is wrong with each.
+LOG_LINES = """
+fields AS (
+  SELECT event_id, CASE WHEN value < 0.5 THEN '' ELSE CAST(user_id AS VARCHAR) END AS user_id, ts, event_type,
+         CASE WHEN event_type = 'error' THEN 'bad ' ELSE '' END || strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS shown,
+         CASE WHEN props = '{"k": 0}' THEN '' ELSE props END AS track,
+         event_type = 'view' AND value BETWEEN 0.5 AND 1.0 AS short
+  FROM events
+),
+lines AS (
+  SELECT *, CASE WHEN short THEN concat_ws(chr(9), user_id, shown, '')
+                 ELSE concat_ws(chr(9), user_id, shown, '', event_type, '', track) END AS line,
+         concat_ws('; ', CASE WHEN short THEN 'wrong number of fields' END,
+           CASE WHEN event_type = 'error' THEN 'unreadable timestamp' END, CASE WHEN user_id = '' THEN 'no user_id' END,
+           CASE WHEN short THEN 'no artist_name' END, CASE WHEN short OR track = '' THEN 'no track_name' END) AS reasons
+  FROM fields
+),
+plays AS (
+  SELECT event_id, user_id, ts AS "timestamp" FROM lines WHERE reasons = ''
+)"""
+
 USER_COUNTS = "SELECT user_id, count(*) AS session_count FROM sessions GROUP BY user_id"
 
 ORACLE = {
@@ -128,6 +149,11 @@ ORACLE = {
     "session_table": _with_sessions(
         1200, "SELECT *, user_id || '_' || session_num AS session_id FROM sessions"
     ),
+    "session_table_bucketed": _with_sessions(1200, "SELECT * FROM sessions"),
+    "tsv_rejects": f"WITH {LOG_LINES} SELECT line, reasons FROM lines WHERE reasons <> ''",
+    "tsv_rejects_kept": _with_sessions(1200, "SELECT * FROM sessions", LOG_LINES),
+    "tsv_reject_reasons": f"""WITH {LOG_LINES}
+        SELECT CASE WHEN reasons = '' THEN 'play' ELSE reasons END AS reasons, count(*) AS n_lines FROM lines GROUP BY 1""",
     "sessions_incremental": _with_sessions(1200, "SELECT * FROM sessions"),
     "sessions_rewritten": _with_sessions(1200, "SELECT * FROM sessions"),
     "sessions_stream": _with_sessions(1200, "SELECT * FROM sessions"),

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sittings.operators import models
+from sittings.operators.sessions import session_table
 from sittings.plans import forecasting, listening
 from sittings.runtime import scratch_path
-from sittings.sources import fixtures, sinks
+from sittings.sources import bucketed, fixtures, plays, sinks
 
 SEGMENTS = forecasting.SEGMENTS
 
@@ -29,6 +30,42 @@ def top_songs_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _one_file(listening.top_songs(spark, sf_dir), ["rank"])
 
 
+def _checked_log(spark: SparkSession, sf_dir: str) -> str:
+    """A damaged log, read with its rejects and written as two tables."""
+    log, path = scratch_path(spark, "log-lines"), scratch_path(spark, "checked-log")
+    fixtures.event_lines(spark, sf_dir).write.text(log)
+    plays.write_checked(plays.read_checked_tsv(spark, log), path)
+    return path
+
+
+def tsv_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of a damaged log that are no plays, with all that is wrong with them."""
+    return plays.read_checked(spark, _checked_log(spark, sf_dir))[1]
+
+
+def tsv_rejects_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sessions of the lines that are plays."""
+    kept, _ = plays.read_checked(spark, _checked_log(spark, sf_dir))
+    table = session_table(kept)
+    instants = {c: F.col(c).cast("timestamp_ntz") for c in ("start_ts", "end_ts")}
+    return table.withColumns(instants)
+
+
+def tsv_reject_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many lines are plays, and how many are not for each set of reasons."""
+    kept, rejects = plays.read_checked(spark, _checked_log(spark, sf_dir))
+    reasons = rejects.select("reasons").unionAll(kept.select(F.lit("play").alias("reasons")))
+    return reasons.groupBy("reasons").agg(F.count("*").alias("n_lines"))
+
+
+def session_table_bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The session table of a log that lies by user, without a shuffle."""
+    path = scratch_path(spark, "bucketed-plays")
+    name = path.rsplit("/", 1)[-1].replace("-", "_")
+    bucketed.write_bucketed(fixtures.event_plays(spark, sf_dir), name, path, buckets=8)
+    return session_table(bucketed.read_bucketed(spark, name))
+
+
 def forecast_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _by_model(
         forecasting.stack(
@@ -66,6 +103,7 @@ def text_edge_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f for f in (
-        top_songs_file, forecast_files, holdout_files, validation_file, text_edge_roundtrip
+        tsv_rejects, tsv_rejects_kept, tsv_reject_reasons, session_table_bucketed,
+        top_songs_file, forecast_files, holdout_files, validation_file, text_edge_roundtrip,
     )
 }

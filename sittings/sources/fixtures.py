@@ -72,6 +72,22 @@ def event_text(spark: SparkSession, sf_dir: str, damaged: bool = False) -> DataF
     )
 
 
+def event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as lines of a raw log, many of them damaged.
+
+    Errors have an unreadable time, small amounts no user, one property no track, and views of
+    amounts up to 1 end after the third field.
+    """
+    value = table(spark, sf_dir, "events").select("event_id", "value", "event_type", "props")
+    text = event_text(spark, sf_dir, damaged=True).join(value, "event_id")
+    user = F.when(text.value < 0.5, "").otherwise(F.col("user_id"))
+    track = F.when(F.col("props") == '{"k": 0}', "").otherwise(F.col("track_name"))
+    short = (F.col("event_type") == "view") & text.value.between(0.5, 1.0)
+    head = F.concat_ws("\t", user, "timestamp", F.lit(""))
+    whole = F.concat_ws("\t", head, "artist_name", F.lit(""), track)
+    return text.select(F.when(short, head).otherwise(whole).alias("value"))
+
+
 def segment_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders per market segment and day, without the missing days.
 

@@ -115,3 +115,66 @@ def test_scratch_is_below_the_named_folder(spark):
     root = spark.conf.get("spark.checkpoint.dir")
     first, second = scratch_path(spark, "a"), scratch_path(spark, "a")
     assert first.startswith(root) and first != second
+
+
+def test_rejected_lines_keep_their_reason(spark, tmp_path):
+    path = write_log(tmp_path, LINES + "\n   \n\t\t\t\t\t\n\t2009-05-04T23:10:00Z\tx\tCake\ty\tz")
+    checked = plays.read_checked_tsv(spark, path)
+    plays.write_checked(checked, str(tmp_path / "out"))
+    kept, rejects = plays.read_checked(spark, str(tmp_path / "out"))
+    columns = [f.name for f in plays.PLAYS_SCHEMA]
+    assert sorted(map(str, kept.select(columns).collect())) == sorted(
+        map(str, plays.read_plays_tsv(spark, path).select(columns).collect())
+    )
+    assert kept.count() + rejects.count() == spark.read.text(path).count() == 13
+    got = {r.line: r.reasons for r in rejects.collect()}
+    assert got == {
+        "u1\tbad\tid1\tCake\tid2\tJolene": "unreadable timestamp",
+        "u1\t2009-05-04T23:11:00Z\tid1\t\tid2\tNo artist": "no artist_name",
+        "u1\t2009-05-04T23:12:00Z\tid1": "wrong number of fields; no artist_name; no track_name",
+        "": "empty line",
+        "   ": "empty line",
+        "\t\t\t\t\t": "empty line",
+        "\t2009-05-04T23:10:00Z\tx\tCake\ty\tz": "no user_id",
+    }
+
+
+def test_checked_log_without_lines(spark, tmp_path):
+    plays.write_checked(plays.read_checked_tsv(spark, write_log(tmp_path, "")), str(tmp_path / "out"))
+    kept, rejects = plays.read_checked(spark, str(tmp_path / "out"))
+    assert kept.count() == rejects.count() == 0
+
+
+def test_checked_log_with_quotes(spark, tmp_path):
+    path = write_log(tmp_path, 'u1\t2009-05-04T23:14:00Z\t\tBowie\t\t"Heroes"\n"u2"\tnever\t\ta\t\tb')
+    got = plays.read_checked_tsv(spark, path, quote='"').orderBy("user_id").collect()
+    assert [(r.user_id, r.track_name, r.reasons) for r in got] == [
+        ("u1", "Heroes", None), ("u2", "b", "unreadable timestamp"),
+    ]
+
+
+def test_one_scan_serves_plays_and_rejects(spark, tmp_path):
+    path = write_log(tmp_path, LINES)
+    plan = plays.read_checked_tsv(spark, path)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan text") + plan.count("FileScan text") == 1 and "Exchange" not in plan
+
+
+def test_a_bucketed_log_needs_no_shuffle(spark, tmp_path):
+    from sittings.operators.ranking import user_session_counts
+    from sittings.operators.sessions import session_table
+    from sittings.sources import bucketed
+
+    rows = [(f"u{i % 13}", f"2024-01-0{1 + i % 7} 0{i % 10}:{i % 60:02}:00", "a", "t") for i in range(900)]
+    log = spark.createDataFrame(rows, "user_id string, t string, artist_name string, track_name string")
+    log = log.selectExpr("user_id", "CAST(t AS TIMESTAMP) AS timestamp", "artist_name", "track_name")
+    bucketed.write_bucketed(log, "bucketed_test", str(tmp_path / "table"), 4)
+    try:
+        laid = bucketed.read_bucketed(spark, "bucketed_test")
+        table = session_table(laid)
+        plan = table._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == 0 and "Bucketed: true" in plan
+        assert sorted(table.collect()) == sorted(session_table(log).collect())
+        assert session_table(log)._jdf.queryExecution().executedPlan().toString().count("Exchange") == 2
+        assert user_session_counts(laid)._jdf.queryExecution().executedPlan().toString().count("Exchange") == 0
+    finally:
+        spark.sql("DROP TABLE bucketed_test")
