@@ -408,9 +408,147 @@ arma AS (
 )"""
 
 
+# One line and 25 hinges: sums of their products by formula, those with the values day by day.
+CHANGEPOINTS = """
+cp_x AS (
+  SELECT series_key, cutoff, t, y - m AS x, count(*) OVER (PARTITION BY series_key, cutoff) AS n
+  FROM train JOIN means USING (series_key, cutoff, dow)
+),
+cp_fold AS (SELECT series_key, cutoff, any_value(n) AS n, sum(x * x) AS total FROM cp_x GROUP BY 1, 2),
+cp_place AS (
+  SELECT *, CASE WHEN j = 0 THEN 0 ELSE CAST(floor(0.8::DOUBLE * (n - 1) * j / 26) AS BIGINT) END AS c
+  FROM cp_fold CROSS JOIN range(26) r(j)
+),
+cp_sums AS (
+  SELECT p.series_key, p.cutoff, j, any_value(p.n) AS n, any_value(total) AS total, any_value(c) AS c,
+         coalesce(sum((t - c) * x) FILTER (t > c), 0) AS b, (any_value(p.n) - 1 - any_value(c)) AS l
+  FROM cp_place p JOIN cp_x x ON p.series_key = x.series_key AND p.cutoff = x.cutoff
+  GROUP BY 1, 2, 3
+),
+cp_rows AS (
+  SELECT a.series_key, a.cutoff, a.j, any_value(a.n) AS n, any_value(a.total) AS total, any_value(a.c) AS c,
+         any_value(a.l * (a.l + 1.0::DOUBLE) / 2 / a.n) AS centre,
+         list_append(list(least(a.l, z.l) * (least(a.l, z.l) + 1.0::DOUBLE) * (2 * least(a.l, z.l) + 1) / 6
+           + abs(a.c - z.c) * least(a.l, z.l) * (least(a.l, z.l) + 1.0::DOUBLE) / 2
+           - a.l * (a.l + 1.0::DOUBLE) / 2 * (z.l * (z.l + 1.0::DOUBLE) / 2) / a.n ORDER BY z.j), any_value(a.b)) AS row
+  FROM cp_sums a JOIN cp_sums z ON a.series_key = z.series_key AND a.cutoff = z.cutoff
+  GROUP BY 1, 2, 3
+),
+cp_start AS (
+  SELECT series_key, cutoff, any_value(n) AS n, any_value(total) AS total, list(row ORDER BY j) AS m,
+         list(c ORDER BY j) AS places, list(centre ORDER BY j) AS centres
+  FROM cp_rows GROUP BY 1, 2
+),
+cp_steps AS (
+  SELECT series_key, cutoff, n, total, places, centres, m, list_transform(m, lambda row, i: row[i]) AS d, total AS sse,
+         CAST([] AS BIGINT[]) AS chosen, 0 AS step, CASE WHEN m[1][1] > 0 THEN 1 ELSE 0 END AS k
+  FROM cp_start
+  UNION ALL
+  SELECT series_key, cutoff, n, total, places, centres, m, d, sse, chosen, step,
+         CASE WHEN sse > 0 AND list_max(gains) > 0
+                   AND n * ln(sse / greatest(1e-9 * total, sse - list_max(gains))) > 3 * ln(n) AND step < 6
+              THEN list_position(gains, list_max(gains)) ELSE 0 END
+  FROM (
+    SELECT *, list_transform(m, lambda row, i: CASE WHEN i > 1 AND NOT list_contains(chosen, i) AND row[i] > 1e-9 * d[i]
+                                                    THEN row[27] * row[27] / row[i] ELSE 0 END) AS gains
+    FROM (
+      SELECT series_key, cutoff, n, total, places, centres, d, step + 1 AS step,
+             greatest(1e-9 * total, sse - m[k][27] * m[k][27] / m[k][k]) AS sse, list_append(chosen, k) AS chosen,
+             list_transform(m, lambda row, i: list_transform(row, lambda v, q:
+               CASE WHEN i = k THEN v / m[k][k] ELSE v - row[k] / m[k][k] * m[k][q] END)) AS m
+      FROM cp_steps WHERE k > 0))
+),
+cp_fit AS (
+  SELECT *, n - least(7, n) - greatest(0, 2 * len(chosen) - 1) AS free,
+         list_transform(chosen, lambda q: {'c': places[q], 'slope': m[q][27], 'centre': centres[q]}) AS hinges
+  FROM cp_steps QUALIFY row_number() OVER (PARTITION BY series_key, cutoff ORDER BY step DESC) = 1
+),
+cp_level AS (SELECT series_key, cutoff, avg(m) AS level FROM means GROUP BY 1, 2),
+changepoint AS (
+  SELECT a.series_key, 'changepoint' AS model, a.cutoff, a.ds,
+         coalesce(m, level) + coalesce(list_sum(list_transform(hinges, lambda q:
+           q.slope * (greatest(0, a.ds - a.lo - q.c) - q.centre))), 0) AS yhat,
+         CASE WHEN free > 0 THEN sqrt(greatest(0, sse) / free) END AS sd
+  FROM ahead a JOIN (SELECT * EXCLUDE (m) FROM cp_fit) USING (series_key, cutoff) JOIN cp_level USING (series_key, cutoff)
+  LEFT JOIN means USING (series_key, cutoff, dow)
+)"""
+
+# Days with their weekday effects taken out, and a small ridge system swept column by column.
+HARMONIC = """
+ha_x AS (
+  SELECT series_key, cutoff, dow, y,
+         list_concat([t / 365.25], list_transform(range(6), lambda i:
+           CASE WHEN i % 2 = 0 THEN sin(2 * pi() * (i // 2 + 1) / 365.25 * (ds - DATE '2000-01-01'))
+                ELSE cos(2 * pi() * (i // 2 + 1) / 365.25 * (ds - DATE '2000-01-01')) END)) AS x
+  FROM train
+),
+ha_long AS (SELECT series_key, cutoff, dow, y, unnest(x) AS x, unnest(range(7)) AS j, x AS all_x FROM ha_x),
+ha_means AS (SELECT series_key, cutoff, dow, j, avg(x) AS mx FROM ha_long GROUP BY 1, 2, 3, 4),
+ha_mean AS (SELECT series_key, cutoff, dow, list(mx ORDER BY j) AS mxs FROM ha_means GROUP BY 1, 2, 3),
+ha_centred AS (
+  SELECT h.series_key, h.cutoff, y - m AS y, list_transform(x, lambda v, i: v - mxs[i]) AS x
+  FROM ha_x h JOIN ha_mean USING (series_key, cutoff, dow) JOIN means USING (series_key, cutoff, dow)
+),
+ha_pairs AS (
+  SELECT series_key, cutoff, i, j, sum(x[i] * x[j]) AS s
+  FROM ha_centred CROSS JOIN range(1, 8) a(i) CROSS JOIN range(1, 8) b(j) GROUP BY 1, 2, 3, 4
+),
+ha_rows AS (
+  SELECT series_key, cutoff, i, list(s ORDER BY j) AS plain,
+         list(s + CASE WHEN i = j AND i > 1 THEN 15 ELSE 0 END ORDER BY j) AS row
+  FROM ha_pairs GROUP BY 1, 2, 3
+),
+ha_rhs AS (
+  SELECT series_key, cutoff, i, sum(x[i] * y) AS b FROM ha_centred CROSS JOIN range(1, 8) a(i) GROUP BY 1, 2, 3
+),
+ha_sweep AS (
+  SELECT series_key, cutoff, 0 AS k, list(list_append(row, b) ORDER BY i) AS m, list(row[i] ORDER BY i) AS d
+  FROM ha_rows JOIN ha_rhs USING (series_key, cutoff, i) GROUP BY 1, 2
+  UNION ALL
+  SELECT series_key, cutoff, k + 1,
+         CASE WHEN m[k + 1][k + 1] > 1e-9 * d[k + 1] AND d[k + 1] > 0 THEN
+           list_transform(m, lambda row, i: list_transform(row, lambda v, j:
+             CASE WHEN i = k + 1 THEN v / m[k + 1][k + 1] ELSE v - row[k + 1] / m[k + 1][k + 1] * m[k + 1][j] END))
+         ELSE list_transform(m, lambda row, i: CASE WHEN i = k + 1 THEN list_transform(row, lambda v: 0::DOUBLE) ELSE row END) END, d
+  FROM ha_sweep WHERE k < 7
+),
+ha_fit AS (SELECT series_key, cutoff, list_transform(m, lambda row: row[8]) AS c FROM ha_sweep WHERE k = 7),
+ha_error AS (
+  SELECT series_key, cutoff, count(*) AS n, sum(y * y) AS total,
+         sum(pow(y - list_sum(list_transform(x, lambda v, i: v * c[i])), 2)) AS sse
+  FROM ha_centred JOIN ha_fit USING (series_key, cutoff) GROUP BY 1, 2
+),
+ha_free AS (
+  SELECT e.*, n - w - 7 AS free FROM ha_error e
+  JOIN (SELECT series_key, cutoff, count(*) AS w FROM means GROUP BY 1, 2) USING (series_key, cutoff)
+),
+ha_level AS (SELECT series_key, cutoff, avg(m) AS level FROM means GROUP BY 1, 2),
+ha_middle AS (
+  SELECT series_key, cutoff, list(mx ORDER BY j) AS middle
+  FROM (SELECT series_key, cutoff, j, avg(mx) AS mx FROM ha_means GROUP BY 1, 2, 3) GROUP BY 1, 2
+),
+ha_ahead AS (
+  SELECT *, list_concat([(ds - lo) / 365.25], list_transform(range(6), lambda i:
+           CASE WHEN i % 2 = 0 THEN sin(2 * pi() * (i // 2 + 1) / 365.25 * (ds - DATE '2000-01-01'))
+                ELSE cos(2 * pi() * (i // 2 + 1) / 365.25 * (ds - DATE '2000-01-01')) END)) AS x
+  FROM ahead
+),
+harmonic AS (
+  SELECT a.series_key, 'harmonic' AS model, a.cutoff, a.ds,
+         coalesce(m, level) + list_sum(list_transform(x, lambda v, i: c[i] * (v - coalesce(mxs[i], middle[i])))) AS yhat,
+         CASE WHEN free > 0 THEN sqrt(greatest(1e-9 * total, sse) / free) END AS sd
+  FROM ha_ahead a JOIN ha_fit USING (series_key, cutoff) JOIN ha_free USING (series_key, cutoff)
+  JOIN ha_level USING (series_key, cutoff) JOIN ha_middle USING (series_key, cutoff)
+  LEFT JOIN means USING (series_key, cutoff, dow) LEFT JOIN ha_mean USING (series_key, cutoff, dow)
+)"""
+
+TRENDS = {"changepoint": CHANGEPOINTS, "harmonic": HARMONIC}
+
+
 def _fitted(series: str, folds: str, horizon: int, names: list[str], history=False) -> str:
     made = {"ar_select": ar_select, "ar_levinson": ar_levinson, "arma": arma}
-    models = [made[n](horizon) if n in made else MODELS[n] for n in names]
+    plain = MODELS | TRENDS
+    models = [made[n](horizon) if n in made else plain[n] for n in names]
     parts = [series, folds, TRAIN, ahead(horizon, history), *models]
     runs = " UNION ALL ".join(f"SELECT * FROM {n}" for n in names)
     return f"WITH RECURSIVE {', '.join(parts)}, runs AS ({runs})"
@@ -741,6 +879,15 @@ SELECT series_key, model, count(*) AS days,
 FROM told WHERE n >= 10 GROUP BY 1, 2"""
 
 
+def _trends(series: str, folds: str) -> str:
+    return f"""WITH RECURSIVE {series}, {folds}, {TRAIN}, {ahead(1)}, {CHANGEPOINTS}
+SELECT series_key, cutoff, CAST(greatest(0, len(hinges) - 1) AS INTEGER) AS changes,
+       round(round(coalesce(hinges[1].slope, 0), 10), 6) + 0 AS first_slope,
+       round(round(coalesce(list_sum(list_transform(hinges, lambda h: h.slope)), 0), 10), 6) + 0 AS last_slope,
+       round(round(CASE WHEN free > 0 THEN sqrt(greatest(0, sse) / free) END, 10), 6) + 0 AS sigma
+FROM cp_fit"""
+
+
 _AR = ["ar_select"]
 
 ORACLE = {
@@ -785,6 +932,15 @@ ORACLE = {
     "ar_orders": _orders(SEGMENT_SERIES, AT_END),
     "ar_orders_users": _orders(USER_SERIES, AT_END),
     "ar_orders_cv": _orders(SEGMENT_SERIES, SEGMENT_FOLDS),
+    "changepoint_trends": _trends(SEGMENT_SERIES, SEGMENT_FOLDS),
+    "changepoint_trends_users": _trends(USER_SERIES, AT_END),
+    "changepoint_forecast": _forecast(SEGMENT_SERIES, 90, "changepoint"),
+    "changepoint_forecast_users": _forecast(USER_SERIES, 7, "changepoint"),
+    "changepoint_fitted": _forecast(SEGMENT_SERIES, 90, "changepoint", history=True),
+    "changepoint_cv": _tested(SEGMENT_SERIES, SEGMENT_FOLDS, 30, ["changepoint"]) + SCORED_ROWS,
+    "harmonic_forecast": _forecast(SEGMENT_SERIES, 90, "harmonic"),
+    "harmonic_forecast_users": _forecast(USER_SERIES, 7, "harmonic"),
+    "harmonic_cv": _tested(SEGMENT_SERIES, SEGMENT_FOLDS, 30, ["harmonic"]) + SCORED_ROWS,
     "cv_metrics_full": _full_metrics(SEGMENT_SERIES, SEGMENT_FOLDS, 30, "seasonal_trend", 0.1),
     "cv_metrics_full_users": _full_metrics(USER_SERIES, USER_FOLDS, 7, "weekday_mean", 0.1),
     "cv_metrics_full_unsmoothed": _full_metrics(SEGMENT_SERIES, SEGMENT_FOLDS, 30, "ar_levinson", 0.0),

@@ -10,7 +10,20 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sittings.functions.publish import not_negative
-from sittings.operators import arma, autoregression, differencing, evaluate, horizons, levinson, models, origins, report, series
+from sittings.operators import (
+    arma,
+    autoregression,
+    changepoints,
+    differencing,
+    evaluate,
+    harmonics,
+    horizons,
+    levinson,
+    models,
+    origins,
+    report,
+    series,
+)
 from sittings.operators.sessions import session_table
 from sittings.plans import listening
 from sittings.sources import fixtures
@@ -207,6 +220,11 @@ def difference_orders(which, setting, spark, sf_dir):
     return rounded(differencing.orders(setting.daily(spark, sf_dir), which))
 
 
+def turning_trends(which, setting, spark, sf_dir):
+    """How often each series' trend was found to turn, and its slopes, at each origin."""
+    return rounded(changepoints.trends(setting.daily(spark, sf_dir), which))
+
+
 def full_metrics(model, setting, smoothing, spark, sf_dir):
     """All metrics of the cross-validation by days ahead."""
     daily = setting.daily(spark, sf_dir)
@@ -350,6 +368,15 @@ QUERIES = {
         empirical, horizons.empirical_interval, models.weekday_mean, USERS
     ),
     "empirical_coverage": partial(empirical, horizons.empirical_coverage, models.seasonal_trend, SEGMENTS),
+    "changepoint_trends": partial(turning_trends, SEGMENTS.folds, SEGMENTS),
+    "changepoint_trends_users": partial(turning_trends, origins.END, USERS),
+    "changepoint_forecast": partial(forecast, changepoints.changepoint, SEGMENTS),
+    "changepoint_forecast_users": partial(forecast, changepoints.changepoint, USERS),
+    "changepoint_fitted": partial(forecast, changepoints.changepoint, SEGMENTS, history=True),
+    "changepoint_cv": partial(cross_validation, changepoints.changepoint, SEGMENTS),
+    "harmonic_forecast": partial(forecast, harmonics.harmonic, SEGMENTS),
+    "harmonic_forecast_users": partial(forecast, harmonics.harmonic, USERS),
+    "harmonic_cv": partial(cross_validation, harmonics.harmonic, SEGMENTS),
     "holdout_mixed_lengths": partial(holdout_all, CLOSED_FORM, MIXED),
     "cv_mixed_lengths": partial(cv_all, CLOSED_FORM, MIXED),
     "validation_mixed_lengths": partial(validation_results, MIXED),
