@@ -1,15 +1,15 @@
 """Quality rules with cross-document line frequency.
 
 Each document's lines are normalised (A-Z lower-cased, white space collapsed) and hashed. For
-every host the distinct documents holding a line are counted (copies of a text on a host are
-one document); lines in more than `max_docs` of them are boilerplate and are removed, and a
+every host the distinct documents holding a line are counted (a document is a doc_id with a text, so
+copies of a page count each); lines in more than `max_docs` of them are boilerplate and are removed, and a
 document that loses more than `max_removed_percent` of its words is rejected as depleted.
 Before that, each document must pass base rules of its own. `max_docs` is an absolute number, so a
 line's fate depends on how often its host repeats it, not on how large the corpus is.
 
 Results for odd rows: a NULL or empty text has no words and fails the base rules; a NULL host
 is a host of its own; repeated rows give equal rows and count once; an empty table
-gives an empty table. Columns beyond doc_id, text and the host column are not read.
+gives an empty table. A very long text is counted whole by the task that reads it, like any other. Columns beyond doc_id, text and the host column are not read.
 """
 
 from __future__ import annotations
@@ -139,10 +139,12 @@ def quality(
     )
     counts = settle(count_base(rows), "line-counts")
     once = counts.select("host", "digest", "lines", "sizes").dropDuplicates(["digest"])
-    lines = once.select(
-        "host", "digest", F.explode(F.arrays_zip("lines", "sizes")).alias("of")
-    ).select(F.xxhash64("host", "of.lines").alias("at"), "digest", "of.lines", "of.sizes")
-    common = lines.groupBy("at").agg(F.count("*").alias("docs")).filter(F.col("docs") > max_docs)
+    # Equal texts of a host are worked on once and weigh as many documents as they are.
+    weights = counts.select("digest", "doc_id").distinct().groupBy("digest").agg(F.count("*").alias("weight"))
+    lines = once.join(weights, "digest").select(
+        "host", "digest", "weight", F.explode(F.arrays_zip("lines", "sizes")).alias("of")
+    ).select(F.xxhash64("host", "of.lines").alias("at"), "digest", "weight", "of.lines", "of.sizes")
+    common = lines.groupBy("at").agg(F.sum("weight").alias("docs")).filter(F.col("docs") > max_docs)
     removed = (
         lines.join(common.select("at"), "at")
         .groupBy("digest")

@@ -64,7 +64,7 @@ lines AS (
 ),
 dups AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM lines GROUP BY 1),
 common AS (
-  SELECT source, plain FROM lines GROUP BY 1, 2 HAVING count(DISTINCT text) > 20
+  SELECT source, plain FROM lines GROUP BY 1, 2 HAVING count(DISTINCT doc_id) > 20
 ),
 gone AS (
   SELECT doc_id, CAST(sum(len(string_split(plain, ' '))) AS BIGINT) AS n_removed
@@ -215,10 +215,15 @@ placed AS (
 common AS (
   SELECT doc_id, name, words, k, count(DISTINCT gram) AS n FROM placed GROUP BY 1, 2, 3, 4
 ),
+matched AS (
+  SELECT doc_id, name, words, n, CAST(k * step AS BIGINT) * 1000000000 // win AS place
+  FROM common JOIN sizes USING (name) JOIN cuts USING (words) WHERE 100 * n >= 80 * size
+),
 best AS (
-  SELECT doc_id, name, words, max(n) AS n FROM common JOIN sizes USING (name)
-  WHERE 100 * n >= 80 * size GROUP BY 1, 2, 3
-  QUALIFY max(n) = max(max(n)) OVER (PARTITION BY doc_id, words)
+  SELECT doc_id, name, max(n) AS n
+  FROM (SELECT * FROM matched QUALIFY n = max(n) OVER (PARTITION BY doc_id, words ORDER BY place
+          RANGE BETWEEN 999999999 PRECEDING AND 999999999 FOLLOWING))
+  GROUP BY 1, 2
 ),
 listed AS (
   SELECT doc_id, count(*) AS n_licenses, string_agg(name, ',' ORDER BY name) AS licenses,

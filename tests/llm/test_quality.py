@@ -19,9 +19,9 @@ def plain_line(line):
 
 def line_rules(rows, limit, percent):
     holders = defaultdict(set)
-    for _, text, host in rows:
+    for doc_id, text, host in rows:
         for line in (text or "").split("\n"):
-            holders[host, plain_line(line)].add(text)
+            holders[host, plain_line(line)].add((doc_id, text))
     out = Counter()
     for doc_id, text, host in rows:
         text = text or ""
@@ -54,6 +54,33 @@ def test_line_frequency(spark, limit, percent):
     )
 
 
+def test_copies_of_a_page_count_each(spark):
+    page = "banner\n" + " ".join(f"w{i}" for i in range(60))
+    rows = [(i, page, "h") for i in range(30)] + [(0, page, "h")] * 40 + [(50 + i, page, "g") for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    got = {r.doc_id: (r.n_removed, r.kept) for r in line_quality.quality(docs).collect()}
+    assert got == {**dict.fromkeys(range(30), (61, False)), **dict.fromkeys(range(50, 70), (0, True))}
+
+
+def test_license_sql_lets_matches_give_way_only_where_they_overlap(spark):
+    """The rows that tell the rule apart, through the SQL of the query itself."""
+    import duckdb
+    import pyarrow as pa
+
+    from sittings.llm import oracle
+
+    gpl2, gpl3 = license.TEMPLATES["GPL-2.0"], license.TEMPLATES["GPL-3.0"]
+    changed = "That" + gpl2.removeprefix("This")
+    texts = [f"{gpl3} {'word ' * 200} {changed}", f"{changed} {gpl3}", gpl3, changed, "nothing", None]
+    documents = pa.table({"doc_id": list(range(len(texts))), "text": texts})  # noqa: F841
+    want = {r[0]: r[1:] for r in duckdb.sql(oracle.ORACLE["op6_license_bands"]).fetchall()}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    for r in license.licenses(docs).collect():
+        names = ",".join(x.license for x in r.found)
+        assert want[r.doc_id] == (len(r.found), names, ",".join(str(x.common) for x in r.found))
+    assert want[0][0] == 2
+
+
 def test_strip_lines(spark):
     rng = random.Random(2)
     body = [" ".join(f"w{rng.randrange(999)}" for _ in range(60)) for _ in range(6)]
