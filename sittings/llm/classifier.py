@@ -6,14 +6,14 @@ statistics. A logistic regression with a lasso penalty weighs the rules and leav
 is left compiles into one Spark column expression over the statistics, which scores any table
 without Python.
 
-The fit takes at most `fit_rows` labelled rows (those of least hash of doc_id), which bounds the
-training data; statistics and scores cover all documents. Labels, language, source and doc_id
+The fit takes all labelled rows, or about `fit_rows` if there are more (those of small hash of doc_id), which
+bounds the training data; statistics and scores cover all documents. Labels, language, source and doc_id
 are no inputs of a score.
 
 Results for odd rows: a NULL or empty text has all statistics 0 and is scored like any other;
 repeated rows get equal scores; NULL labels are not learnt from; with no labels, or of one
 kind only, the score is their share of 1 (0.5 without any); an empty table gives an empty table.
-Columns beyond doc_id and text are not read.
+A very long text is counted whole by the task that reads it. Columns beyond doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -23,8 +23,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -179,6 +177,16 @@ def _paths(node, above: dict[tuple[str, str], float]) -> Iterator[tuple[Conditio
     yield from _paths(node.rightChild(), high)
 
 
+def sample(rows: DataFrame, most: int) -> DataFrame:
+    """All rows if there are at most `most`, else about so many: those whose doc_id has a small hash.
+
+    Every task drops its own rows, so nothing but the sample meets in one place.
+    """
+    n = rows.count()
+    share = int((1 << 32) * min(1.0, most / max(1, n)))
+    return rows if n <= most else rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32)) < share)
+
+
 def fit(
     labelled: DataFrame,
     fit_rows: int = FIT_ROWS,
@@ -186,9 +194,14 @@ def fit(
     depth: int = DEPTH,
     lasso: float = LASSO,
 ) -> RuleModel:
-    """A model from STATISTICS and `label` (0 or 1); reads at most `fit_rows` rows."""
-    rows = labelled.filter("label IN (0, 1)").orderBy(F.xxhash64("doc_id"), "doc_id")
-    rows = settle(rows.limit(fit_rows).select(*STATISTICS, F.col("label").cast("double")), "fit")
+    """A model from STATISTICS and `label` (0 or 1); reads about `fit_rows` rows at most, in one order."""
+    # Workers that only count statistics need none of this.
+    from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+    from pyspark.ml.feature import VectorAssembler
+
+    rows = sample(labelled.filter("label IN (0, 1)"), fit_rows)
+    rows = rows.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id", *STATISTICS)
+    rows = settle(rows.select(*STATISTICS, F.col("label").cast("double")), "fit")
     kinds = rows.agg(F.count("*").alias("n"), F.avg("label").alias("share")).first()
     if kinds["n"] == 0 or kinds["share"] in (0.0, 1.0):
         share = 0.5 if kinds["n"] == 0 else min(max(kinds["share"], 0.001), 0.999)
@@ -219,10 +232,11 @@ def remainder(doc_id: Column) -> Column:
 
 
 def learn(numbers: DataFrame, labels: DataFrame, label: str = "quality", **options) -> RuleModel:
-    """Fit on the labelled documents that are not held out."""
+    """Fit on the labelled documents that are not held out, or a sample of them."""
     marked = labels.select(F.col("doc_id").cast("long"), F.col(label).alias("label"))
     marked = marked.filter((remainder(F.col("doc_id")) != 0) & F.col("label").isNotNull())
     marked = marked.groupBy("doc_id").agg(F.max("label").alias("label"))
+    marked = sample(marked.filter("label IN (0, 1)"), options.get("fit_rows", FIT_ROWS))
     return fit(numbers.join(marked, "doc_id"), **options)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 import re
 import zlib
@@ -191,6 +192,89 @@ def test_classifier_on_held_out(spark):
     assert kept.count() == sum(r.predicted for r in got)
 
 
+def plain_statistics(text):
+    """The statistics by their definitions, on words, lines and bytes."""
+    raw = (text or "").encode()
+    w = [x.encode() for x in corpus.blank_words(text)]
+    n, spaces = max(len(w), 1), b" \t\n\v\f\r"
+    filled = max(sum(b not in spaces for b in raw), 1)
+    letters = max(sum(65 <= b <= 90 or 97 <= b <= 122 or b >= 128 for b in raw), 1)
+    triples = Counter(zip(w, w[1:], w[2:], strict=False))
+    count = lambda marks: sum(b in marks for b in raw)
+    lines = [x for x in raw.split(b"\n") if x.strip(spaces)]
+    sizes = [len(x) for x in w]
+    mean = sum(sizes) / n
+    return {
+        "log_words": math.log1p(len(w)),
+        "word_bytes": mean,
+        "upper": sum(65 <= b <= 90 for b in raw) / letters,
+        "digits": sum(48 <= b <= 57 for b in raw) / filled,
+        "symbols": count(b"#*$%&<>~^@_=+{}[]\\/") / filled,
+        "exclaims": count(b"!") / filled,
+        "other_marks": count(b".,;:?'\"()-") / filled,
+        "distinct_words": len(set(w)) / n,
+        "repeat_words": sum(c for c in triples.values() if c > 1) / n,
+        "top_word": max(Counter(w).values(), default=0) / n,
+        "line_words": len(w) / max(len(lines), 1),
+        "dup_lines": 1 - len(set(lines)) / max(len(lines), 1) if lines else 1.0,
+        "open_lines": sum(x[-1] not in b".!?\"':;" for x in lines) / max(len(lines), 1),
+        "bars": count(b"|") / n,
+        "word_spread": math.sqrt(max(sum(x * x for x in sizes) / n - mean * mean, 0)),
+    }
+
+
+def test_statistics_are_those_of_the_text(spark):
+    rows = corpus.rows()
+    texts = {r[0]: r[1] for r in rows}
+    for r in classifier.statistics(corpus.docs(spark)).collect():
+        if r.doc_id is not None:
+            want = plain_statistics(texts[r.doc_id])
+            got = {name: r[name] for name in classifier.STATISTICS}
+            assert got == {name: pytest.approx(v, abs=1e-9) for name, v in want.items()}, r.doc_id
+
+
+def test_paths_are_rules_of_the_trees():
+    """Each node below the root is the conjunction of the tightest thresholds on its way."""
+
+    class Node:
+        def __init__(self, feature=0, threshold=0.0, left=None, right=None):
+            self.feature, self.at, self.left, self.right = feature, threshold, left, right
+
+        def subtreeDepth(self):
+            return 0 if self.left is None else 1 + max(self.left.subtreeDepth(), self.right.subtreeDepth())
+
+        def split(self):
+            return self
+
+        def featureIndex(self):
+            return self.feature
+
+        def threshold(self):
+            return self.at
+
+        def leftChild(self):
+            return self.left
+
+        def rightChild(self):
+            return self.right
+
+    tree = Node(0, 5.0, Node(0, 3.0, Node(), Node()), Node(2, 0.5, Node(), Node()))
+    a, b = classifier.STATISTICS[0], classifier.STATISTICS[2]
+    assert list(classifier._paths(tree, {})) == [
+        ((a, "<=", 5.0),), ((a, "<=", 3.0),), ((a, "<=", 5.0), (a, ">", 3.0)),
+        ((a, ">", 5.0),), ((a, ">", 5.0), (b, "<=", 0.5)), ((a, ">", 5.0), (b, ">", 0.5)),
+    ]
+
+
+def test_samples_are_bounded_and_the_same_each_time(spark):
+    rows = spark.range(20_000).selectExpr("id AS doc_id")
+    some = classifier.sample(rows, 2000)
+    ids = {r.doc_id for r in some.collect()}
+    assert 1800 < len(ids) < 2200 and ids == {r.doc_id for r in classifier.sample(rows.repartition(7), 2000).collect()}
+    assert "TakeOrdered" not in some._jdf.queryExecution().executedPlan().toString()
+    assert classifier.sample(rows, 20_000).count() == 20_000
+
+
 def test_model_is_a_sum_of_rules(spark):
     docs, labels, _ = labelled(spark)
     numbers = classifier.statistics(docs)
