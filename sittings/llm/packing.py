@@ -44,10 +44,10 @@ from sittings.runtime import settle
 
 CAPACITY = 2048
 CLOSING_ID = 0
-SALTED_PIECES = 4096  # pieces of one length that share a salt, about
+SALTED_PIECES = 512  # pieces of one length that share a salt, about
 NODES = 5000
-CACHED_WORDS = 800_000
-SLICE_BYTES = 4 << 20
+CACHED_WORDS = 400_000
+SLICE_BYTES = 2 << 20
 
 
 # The tokenizer parts letters from signs before it merges, but for apostrophes (contractions) and
