@@ -8,13 +8,16 @@ every window that agrees is a phrase match. Term frequencies are counted over th
 corpus, so common words are never listed unless a window has no others. Proximity
 matches (the rarest terms of an item close to each other, in any order) come from the same index.
 
+Texts are split into words twice: to count the terms, and to write the index, which also holds a row
+for each document with its number of words. Beyond that only the texts of alignments are read.
+
 Everything is DataFrame functions. Tables of benchmark terms are broadcast after a count, or
 joined by shuffle beyond it.
 
 Results for odd rows: NULL or empty texts and items have no words and match nothing; items
 without id count as the item ''; repeated items are one item each per id and text; repeated
 documents give equal rows; an empty benchmark hits nothing, an empty table gives an empty
-table. Columns beyond doc_id, item_id and text are not read.
+table. The words of a very long text are one row's array while it is split. Columns beyond doc_id, item_id and text are not read.
 """
 
 from __future__ import annotations
@@ -50,11 +53,21 @@ def frequencies(docs: DataFrame, terms: DataFrame) -> DataFrame:
     return words.join(terms, "term").groupBy("term").agg(F.count("*").alias("occurs"))
 
 
-def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """The index: term, key, doc_id and place of every occurrence of the given terms."""
-    places = F.posexplode(lowered_words(F.col("text"))).alias("place", "term")
-    words = docs.select("key", "doc_id", places)
-    return words.join(terms, "term").select("term", "key", "doc_id", "place")
+def indexed(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """key, doc_id, n_words, term and place of every occurrence of the given terms, and of every document
+    itself, at place -1 under a term of its own that is no word."""
+    words = docs.select("key", "doc_id", lowered_words(F.col("text")).alias("w"))
+    own = F.concat(F.lit("\0"), F.col("key").cast("string"))
+    places = F.posexplode(F.concat(F.array(own), F.col("w"))).alias("place", "term")
+    words = words.select("key", "doc_id", F.size("w").cast("long").alias("n_words"), places)
+    words = words.withColumn("place", F.col("place") - 1)
+    found = words.join(terms.select("term", F.lit(True).alias("listed")), "term", "left")
+    return found.filter("listed OR place = -1").drop("listed")
+
+
+def postings(index: DataFrame) -> DataFrame:
+    """term, key, doc_id and place of the occurrences of terms."""
+    return index.filter("place >= 0").select("term", "key", "doc_id", "place")
 
 
 def rarest_pairs(items: DataFrame, occurs: DataFrame, window: int) -> DataFrame:
@@ -96,15 +109,27 @@ def _agreeing(window: int) -> Column:
     )
 
 
-def phrase_matches(docs: DataFrame, items: DataFrame, window: int) -> DataFrame:
-    """key, item_id, start and length of every window of an item found in a document."""
-    words = items.select(F.explode("item_words").alias("term")).distinct()
-    terms = compact(words, "terms")
-    occurs = settle(frequencies(docs, terms), "frequencies")
-    pairs = settle(rarest_pairs(items, occurs, window), "pairs")
-    listed = pairs.select("term").union(pairs.select(F.col("term2").alias("term"))).distinct()
-    index = settle(postings(docs, compact(listed, "listed")), "index")
+def rarest_terms(items: DataFrame, occurs: DataFrame, terms: int) -> DataFrame:
+    """item, item_id, term and needed (their number) of each item's rarest terms, of those that occur."""
+    words = items.select("item", "item_id", F.explode(F.array_distinct("item_words")).alias("term"))
+    by_item = Window.partitionBy("item").orderBy("occurs", "term")
+    rare = words.join(occurs, "term").withColumn("n", F.row_number().over(by_item))
+    rare = rare.filter(F.col("n") <= terms)
+    needed = F.count("*").over(Window.partitionBy("item"))
+    return rare.select("item", "item_id", "term", needed.alias("needed"))
+
+
+def near_matches(index: DataFrame, rare: DataFrame, within: int) -> DataFrame:
+    """key, doc_id, item_id and place where all of an item's rarest terms stand within `within` words."""
+    near = Window.partitionBy("key", "item").orderBy("place").rangeBetween(-(within - 1), 0)
+    found = index.join(rare, "term").withColumn("seen", F.size(F.collect_set("term").over(near)))
+    return found.filter("seen = needed").select("key", "doc_id", "item_id", "place").distinct()
 
+
+def phrase_matches(
+    index: DataFrame, docs: DataFrame, items: DataFrame, pairs: DataFrame, window: int
+) -> DataFrame:
+    """key, item_id, start and length of every window of an item found in a document."""
     first = index.join(F.broadcast(pairs) if pairs.count() <= 200_000 else pairs, "term")
     first = first.selectExpr("key", "item", "place - at AS shift", "term2", "at2")
     second = index.selectExpr("key", "term AS term2", "place AS place2")
@@ -145,6 +170,11 @@ def phrase_matches(docs: DataFrame, items: DataFrame, window: int) -> DataFrame:
     ).drop("s")
 
 
+def _terms(docs: DataFrame, items: DataFrame) -> DataFrame:
+    words = items.select(F.explode("item_words").alias("term")).distinct()
+    return settle(frequencies(docs, compact(words, "terms")), "frequencies")
+
+
 def proximity_matches(
     docs: DataFrame, benchmark: DataFrame, terms: int = NEAR_TERMS, within: int = NEAR_WORDS
 ) -> DataFrame:
@@ -155,43 +185,49 @@ def proximity_matches(
     """
     docs = _keyed(docs)
     items = settle(item_words(benchmark), "items")
-    words = items.select("item", "item_id", F.explode(F.array_distinct("item_words")).alias("term"))
-    occurs = settle(frequencies(docs, compact(words.select("term").distinct(), "terms")), "occurs")
-    by_item = Window.partitionBy("item").orderBy("occurs", "term")
-    rare = words.join(occurs, "term").withColumn("n", F.row_number().over(by_item))
-    rare = settle(rare.filter(F.col("n") <= terms).select("item", "item_id", "term"), "rare")
-    needed = rare.groupBy("item").agg(F.count("*").alias("needed"))
-    index = postings(docs, compact(rare.select("term").distinct(), "listed"))
-    found = index.join(rare, "term").join(needed, "item")
-    near = Window.partitionBy("key", "item").orderBy("place").rangeBetween(-(within - 1), 0)
-    found = found.withColumn("seen", F.size(F.collect_set("term").over(near)))
-    return found.filter("seen = needed").select("doc_id", "item_id", "place").distinct()
+    rare = settle(rarest_terms(items, _terms(docs, items), terms), "rare")
+    index = postings(indexed(docs, compact(rare.select("term").distinct(), "listed")))
+    return near_matches(index, rare, within).drop("key").distinct()
 
 
 def contamination(
-    docs: DataFrame, benchmark: DataFrame, window: int = WINDOW_WORDS, share: int = 20
+    docs: DataFrame,
+    benchmark: DataFrame,
+    window: int = WINDOW_WORDS,
+    share: int = 20,
+    near_terms: int = NEAR_TERMS,
+    near_words: int = NEAR_WORDS,
 ) -> DataFrame:
-    """doc_id, n_words, n_hit, item_ids (of matched items, sorted) and contaminated.
+    """doc_id, n_words, n_hit, item_ids (of matched items, sorted), n_near_items and contaminated.
 
-    A document is contaminated if share * n_hit >= n_words and something is hit.
+    A document is contaminated if share * n_hit >= n_words and something is hit, which only exact
+    windows do. `n_near_items` counts the items whose rarest terms stand close to each other somewhere.
     """
     docs = _keyed(docs)
     items = settle(item_words(benchmark), "items")
-    found = settle(phrase_matches(docs, items, window), "matches")
+    occurs = _terms(docs, items)
+    pairs = settle(rarest_pairs(items, occurs, window), "pairs")
+    rare = settle(rarest_terms(items, occurs, near_terms), "rare")
+    listed = pairs.select("term").union(pairs.select("term2")).union(rare.select("term")).distinct()
+    index = settle(indexed(docs, compact(listed, "listed")), "index")
+    found = settle(phrase_matches(postings(index), docs, items, pairs, window), "matches")
     places = F.sequence("start", F.col("start") + F.col("length") - 1)
     hit = found.select("key", F.explode(places).alias("place")).distinct()
     hit = hit.groupBy("key").agg(F.count("*").alias("hit"))
     ids = found.groupBy("key").agg(F.array_sort(F.collect_set("item_id")).alias("ids"))
-    hit = hit.join(ids, "key")
-    n_words = F.size(lowered_words(F.col("text"))).cast("long").alias("n_words")
-    counted = docs.select("key", "doc_id", n_words)
+    near = near_matches(postings(index), rare, near_words).select("key", "item_id").distinct()
+    near = near.groupBy("key").agg(F.count("*").alias("near"))
+    marks = hit.join(ids, "key").join(near, "key", "full")
+    counted = index.filter("place = -1").select("key", "doc_id", "n_words")
+    none = F.lit(0).cast("long")
     return (
-        counted.join(hit, "key", "left")
+        counted.join(marks, "key", "left")
         .select(
             "doc_id",
             "n_words",
-            F.coalesce("hit", F.lit(0).cast("long")).alias("n_hit"),
+            F.coalesce("hit", none).alias("n_hit"),
             F.coalesce("ids", F.array().cast("array<string>")).alias("item_ids"),
+            F.coalesce("near", none).alias("n_near_items"),
         )
         .withColumn(
             "contaminated", (F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words"))

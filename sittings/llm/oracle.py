@@ -166,11 +166,28 @@ hit AS (
 ids AS (
   SELECT doc_id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS ids
   FROM found GROUP BY 1
+),
+words AS (SELECT doc_id, unnest(w) AS term, unnest(range(len(w))) AS place FROM split),
+item_terms AS (SELECT DISTINCT item, array_to_string(w, ' ') AS whole, unnest(w) AS term FROM items),
+occurs AS (SELECT term, count(*) AS n FROM words SEMI JOIN item_terms USING (term) GROUP BY 1),
+rare AS (
+  SELECT item, whole, term, count(*) OVER (PARTITION BY item, whole) AS needed
+  FROM (SELECT * FROM item_terms JOIN occurs USING (term)
+        QUALIFY row_number() OVER (PARTITION BY item, whole ORDER BY n, term) <= 3)
+),
+near AS (
+  SELECT doc_id, count(DISTINCT item) AS n_near_items
+  FROM (SELECT a.doc_id, a.item, a.whole, a.place
+        FROM (SELECT DISTINCT doc_id, item, whole, place FROM words JOIN rare USING (term)) a
+        JOIN (SELECT doc_id, item, whole, place, term, needed FROM words JOIN rare USING (term)) b
+          ON a.doc_id = b.doc_id AND a.item = b.item AND a.whole = b.whole AND b.place BETWEEN a.place - 29 AND a.place
+        GROUP BY ALL HAVING count(DISTINCT b.term) = any_value(b.needed))
+  GROUP BY 1
 )
-SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+SELECT doc_id, len(w) AS n_words, coalesce(n_near_items, 0) AS n_near_items, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
        sha256(coalesce(ids, '')) AS items_sha256,
        coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
-FROM split LEFT JOIN hit USING (doc_id) LEFT JOIN ids USING (doc_id)"""
+FROM split LEFT JOIN hit USING (doc_id) LEFT JOIN ids USING (doc_id) LEFT JOIN near USING (doc_id)"""
 
 
 def sharded() -> str:

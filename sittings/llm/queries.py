@@ -86,6 +86,7 @@ def op9_inverted_index(spark: SparkSession, sf_dir: str) -> DataFrame:
         "n_hit",
         F.size("item_ids").cast("long").alias("n_items"),
         F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"),
+        "n_near_items",
         "contaminated",
     )
 

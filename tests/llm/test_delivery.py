@@ -249,6 +249,30 @@ def test_proximity(spark):
     items = spark.createDataFrame([("q", "Alpha beta gamma")], "item_id string, text string")
     got = decontaminate.proximity_matches(docs, items, terms=3, within=10).collect()
     assert {(r.doc_id, r.item_id) for r in got} == {(1, "q"), (2, "q")}
+    both = decontaminate.contamination(docs, items, near_words=10).collect()
+    assert {r.doc_id: (r.n_words, r.n_hit, r.n_near_items) for r in both} == {
+        1: (5, 0, 1), 2: (3, 0, 1), 3: (53, 0, 0), 4: (0, 0, 0),
+    }
+
+
+def test_proximity_by_definition(spark):
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(40)]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(rng.randint(0, 60)))) for i in range(40)]
+    items = [(f"q{i}", " ".join(rng.choice([*words, "unseen"]) for _ in range(rng.randint(1, 6)))) for i in range(25)]
+    occurs = Counter(w for _, t in rows for w in t.split())
+    want = Counter()
+    for doc_id, text in rows:
+        w = text.split()
+        for _, item in items:
+            rare = sorted((occurs[t], t) for t in set(item.split()) if occurs[t])[:3]
+            rare = {t for _, t in rare}
+            want[doc_id] += bool(rare) and any(rare <= set(w[max(0, i - 7) : i + 1]) for i in range(len(w)) if w[i] in rare)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    benchmark = spark.createDataFrame(items, "item_id string, text string")
+    got = decontaminate.contamination(docs, benchmark, near_words=8).collect()
+    assert {r.doc_id: r.n_near_items for r in got} == {i: want[i] for i, _ in rows}
+    assert sum(want.values()) > 50
 
 
 MENTIONS = [
