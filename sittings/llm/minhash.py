@@ -19,9 +19,10 @@ With 65 permutations, 26 bands of 5 values miss a pair of similarity 0.85 with p
 3e-7 and one of 0.8 with 4e-5.
 
 Results for odd rows: a NULL, empty or blank text has no shingles, is linked with nothing and is
-its own component; repeated rows of one doc_id give equal rows; rows without doc_id give a row
-with NULL component and kept NULL; an empty table gives an empty table. Columns beyond
-doc_id and text are not read.
+its own component; a document is a doc_id with a text, so repeated rows give equal rows and different texts
+of one doc_id are linked only by what each of them holds; rows without doc_id give a row
+with kept NULL and link nothing; an empty table gives an empty table. The shingles of a very long text
+are one array while it is signed. Columns beyond doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -74,7 +75,10 @@ def signatures(sets: list[np.ndarray], permutations: int) -> np.ndarray:
 
 
 def sign(docs: DataFrame, k: int, permutations: int, rows: int) -> DataFrame:
-    """doc_id, n_shingles, set_key (a digest of the whole set) and bands of every document."""
+    """doc_id, node, n_shingles, key_a and key_b (a digest of the whole set) and bands of every document.
+
+    A node is a doc_id with a text.
+    """
     bands = 2 * permutations // rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,6 +104,7 @@ def sign(docs: DataFrame, k: int, permutations: int, rows: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         ids.slice(done, len(sets)),
+                        batch.column(2).slice(done, len(sets)),
                         pa.array(sizes),
                         pa.array(key[:, 0].copy()),
                         pa.array(key[:, 1].copy()),
@@ -107,14 +112,17 @@ def sign(docs: DataFrame, k: int, permutations: int, rows: int) -> DataFrame:
                             pa.array(offsets), spans.signed(flat[full].reshape(-1))
                         ),
                     ],
-                    names=["doc_id", "n_shingles", "key_a", "key_b", "bands"],
+                    names=["doc_id", "node", "n_shingles", "key_a", "key_b", "bands"],
                 )
                 done += len(sets)
 
-    schema = "doc_id long, n_shingles long, key_a long, key_b long, bands array<long>"
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
-        run, schema
-    )
+    schema = "doc_id long, node long, n_shingles long, key_a long, key_b long, bands array<long>"
+    return _nodes(docs).mapInArrow(run, schema)
+
+
+def _nodes(docs: DataFrame) -> DataFrame:
+    doc_id, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
+    return docs.select(doc_id.alias("doc_id"), text.alias("text"), F.xxhash64(doc_id, text).alias("node"))
 
 
 def full_sets(docs: DataFrame, k: int) -> DataFrame:
@@ -208,10 +216,11 @@ def near_duplicates(
     signed = settle(sign(docs, k, permutations, rows), "signatures")
     equal = ["n_shingles", "key_a", "key_b"]
     classes = (
-        signed.filter("n_shingles > 0")
+        signed.filter("n_shingles > 0 AND doc_id IS NOT NULL")
         .groupBy(*equal)
-        .agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands"))
-        .filter("rep IS NOT NULL")
+        .agg(
+            F.min("node").alias("rep"), F.min_by("bands", "node").alias("bands"), F.min("doc_id").alias("least")
+        )
     )
     classes = settle(classes, "classes")
 
@@ -236,7 +245,7 @@ def near_duplicates(
     stars = settle(stars, "stars")
 
     candidates = buckets.select(F.col("rep").alias("doc_id")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    texts = _nodes(docs).select(F.col("node").alias("doc_id"), "text")
     texts = texts.join(candidates, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     sets = settle(full_sets(texts, k), "sets")
     links = settle(verified(stars, sets, percent), "links")
@@ -256,11 +265,13 @@ def near_duplicates(
         found = components(links.unionAll(more))
     discard(buckets, stars, sets)
 
-    members = classes.select(*equal, "rep").join(
+    members = classes.select(*equal, "rep", "least").join(
         found.withColumnRenamed("doc_id", "rep"), "rep", "left"
     )
-    members = members.select(*equal, F.coalesce("component_id", "rep").alias("component_id"))
-    own = F.coalesce("component_id", "doc_id")
+    members = members.withColumn("c", F.coalesce("component_id", "rep"))
+    smallest = members.groupBy("c").agg(F.min("least").alias("smallest"))
+    members = members.join(smallest, "c").select(*equal, "smallest")
+    own = F.coalesce("smallest", "doc_id")
     return (
         signed.join(members, equal, "left")
         .select("doc_id", "n_shingles", own.alias("component_id"))

@@ -71,6 +71,19 @@ def test_cloud_of_near_copies(spark):
     assert 1 < len(set(want.values())) < len(want)
 
 
+def test_texts_of_one_doc_id_link_only_what_they_hold(spark):
+    rng = random.Random(11)
+    a, b = (" ".join(f"w{rng.randrange(10**6)}" for _ in range(40)) for _ in range(2))
+    rows = [(1, a), (1, b), (2, b), (3, a), (3, a), (None, a), (4, None)]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    found = sorted(((r.doc_id, r.component_id) for r in got), key=str)
+    # Documents 2 and 3 hold nothing in common; each is linked with the text of document 1 that it equals.
+    assert found == sorted([(1, 1), (1, 1), (2, 1), (3, 1), (3, 1), (None, 1), (4, 4)], key=str)
+    rows = [(5, a), (5, b), (2, b), (3, a)]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(2, 2), (3, 3), (5, 2), (5, 3)]
+
+
 def test_components_of_long_chains(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 102), (102, 101), (50, 50), (7, 3)]
     got = components(spark.createDataFrame(chain, "a bigint, b bigint")).collect()
