@@ -231,12 +231,17 @@ def remainder(doc_id: Column) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(5))
 
 
-def learn(numbers: DataFrame, labels: DataFrame, label: str = "quality", **options) -> RuleModel:
-    """Fit on the labelled documents that are not held out, or a sample of them."""
-    marked = labels.select(F.col("doc_id").cast("long"), F.col(label).alias("label"))
+def learnt_labels(labels: DataFrame, fit_rows: int = FIT_ROWS, label: str = "quality") -> DataFrame:
+    """doc_id and label of the labelled documents that are not held out, or of a sample of them."""
+    marked = labels.select(F.col("doc_id").cast("long"), F.col(label).cast("long").alias("label"))
     marked = marked.filter((remainder(F.col("doc_id")) != 0) & F.col("label").isNotNull())
     marked = marked.groupBy("doc_id").agg(F.max("label").alias("label"))
-    marked = sample(marked.filter("label IN (0, 1)"), options.get("fit_rows", FIT_ROWS))
+    return sample(marked.filter("label IN (0, 1)"), fit_rows)
+
+
+def learn(numbers: DataFrame, labels: DataFrame, label: str = "quality", **options) -> RuleModel:
+    """Fit on the labelled documents that are not held out, or a sample of them."""
+    marked = learnt_labels(labels, options.get("fit_rows", FIT_ROWS), label)
     return fit(numbers.join(marked, "doc_id"), **options)
 
 
@@ -254,8 +259,16 @@ def classify(
 def accepted(
     docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **options
 ) -> DataFrame:
-    """The rows of documents that score at least `threshold`, unshuffled."""
-    model = learn(settle(statistics(docs), "statistics"), labels, **options)
+    """The rows of documents that score at least `threshold`, unshuffled.
+
+    Statistics are taken of the documents that are learnt from, and then once of each to score it.
+    """
+    marked = settle(learnt_labels(labels, options.get("fit_rows", FIT_ROWS)), "learnt")
+    own = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    own = own.join(F.broadcast(marked) if marked.count() <= 2 * FIT_ROWS else marked, "doc_id")
+    numbers = _with_statistics(own.select(F.struct("doc_id", "label").alias("of"), "text"), "of struct<doc_id: long, label: long>")
+    numbers = settle(numbers.select("of.doc_id", "of.label", *STATISTICS), "statistics")
+    model = fit(numbers, **options)
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     rows = docs.select(row, F.col("text").cast("string").alias("text"))
     scored = _with_statistics(rows, f"row {rows.schema['row'].dataType.simpleString()}")
