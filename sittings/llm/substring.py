@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sittings.llm import spans
+from sittings.llm.tables import marked_only, with_marks
 from sittings.runtime import discard, settle
 
 WINDOW_WORDS = 13
@@ -183,16 +184,14 @@ def remove_repeats(
     copies = places.filter("doc_id > lo").groupBy("key").agg(F.collect_set("place").alias("around"))
 
     first = places.filter("doc_id = lo").join(several, "seed")
-    first = first.groupBy("key").agg(F.collect_set("place").alias("marks"))
-    windows = settle(
-        window_rows(docs.join(first, "key"), window, seed), "windows"
-    )
+    first = settle(first.groupBy("key").agg(F.collect_set("place").alias("marks")), "first")
+    windows = settle(window_rows(marked_only(docs, first), window, seed), "windows")
     owners = windows.groupBy("hash").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
     owners = settle(owners.filter("lo < hi").select("hash", "lo"), "owners")
     single = windows.join(owners, "hash").filter("doc_id > lo")
     single = single.groupBy("key").agg(F.collect_set("place").alias("windows"))
 
     marks = settle(copies.join(single, "key", "full"), "marks")
-    discard(shared, joined, classes, several, windows, owners)
-    marked = docs.join(marks, "key", "left").select("doc_id", "text", "around", "windows")
+    discard(shared, joined, classes, several, first, windows, owners)
+    marked = with_marks(docs, marks).select("doc_id", "text", "around", "windows")
     return cut(marked, window, seed)

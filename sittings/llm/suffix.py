@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 
 from sittings.llm import spans
 from sittings.llm.substring import keyed
+from sittings.llm.tables import marked_only, with_marks
 from sittings.runtime import discard, settle
 
 THRESHOLD_BYTES = 400
@@ -241,20 +242,20 @@ def remove_repeated_bytes(
     several = classes.groupBy("digit").agg(F.count("*").alias("c")).filter("c > 1").select("digit")
     several = settle(several, "several")
     first = classes.join(several, "digit").select("one.key", "one.place").groupBy("key")
-    first = first.agg(F.collect_set("place").alias("marks"))
-    blocks = settle(_block_rows(texts.join(first, "key"), depth, block), "blocks")
+    first = settle(first.agg(F.collect_set("place").alias("marks")), "first")
+    blocks = settle(_block_rows(marked_only(texts, first), depth, block), "blocks")
     together = blocks.groupBy("block", "digit").agg(F.count("*").alias("n")).filter("n > 1")
     together = settle(together, "together")
     coded = (F.col("place").cast("long") * 1024 + F.col("block")).alias("coded")
     second = blocks.join(together.drop("n"), ["block", "digit"]).select("key", coded)
-    second = second.groupBy("key").agg(F.collect_set("coded").alias("marks"))
-    windows = settle(_window_rows(texts.join(second, "key"), depth, block), "windows")
+    second = settle(second.groupBy("key").agg(F.collect_set("coded").alias("marks")), "second")
+    windows = settle(_window_rows(marked_only(texts, second), depth, block), "windows")
     equal = windows.groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1").select("hash")
     equal = settle(equal, "equal")
     single = windows.join(equal, "hash").groupBy("key")
     single = single.agg(F.collect_set("place").alias("windows"))
 
     marks = settle(copies.join(single, "key", "full"), "marks")
-    discard(groups, sorted_, classes, several, blocks, together, windows, equal)
-    marked = docs.join(marks, "key", "left").select("doc_id", "text", "around", "windows")
+    discard(groups, sorted_, classes, several, first, blocks, together, second, windows, equal)
+    marked = with_marks(docs, marks).select("doc_id", "text", "around", "windows")
     return _cut(marked, depth)

@@ -25,6 +25,35 @@ def compact(df: DataFrame, name: str, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(table) if table.count() <= rows else table
 
 
+# Keys of eight bytes that are broadcast to keep texts out of a shuffle: at most some tens of megabytes.
+BROADCAST_KEYS = 1_000_000
+
+
+def _keys(marks: DataFrame) -> DataFrame | None:
+    return F.broadcast(marks.select("key")) if marks.count() <= BROADCAST_KEYS else None
+
+
+def marked_only(texts: DataFrame, marks: DataFrame) -> DataFrame:
+    """The rows of `texts` with a row of `marks` (settled, one a key), and its columns.
+
+    As long as the marked keys are few, texts without any are not shuffled.
+    """
+    keys = _keys(marks)
+    if keys is not None:
+        texts = texts.join(keys, "key", "left_semi")
+    return texts.join(marks, "key")
+
+
+def with_marks(texts: DataFrame, marks: DataFrame) -> DataFrame:
+    """All rows of `texts`, with the columns of `marks` or NULL; shuffled like `marked_only`."""
+    keys = _keys(marks)
+    if keys is None:
+        return texts.join(marks, "key", "left")
+    none = {f.name: F.lit(None).cast(f.dataType) for f in marks.schema if f.name != "key"}
+    rest = texts.join(keys, "key", "left_anti").withColumns(none)
+    return texts.join(keys, "key", "left_semi").join(marks, "key").unionByName(rest)
+
+
 COPIES_PER_CHUNK = 100_000
 
 
