@@ -78,28 +78,33 @@ def weekday_mean(
     )
 
 
-def seasonal_trend(
-    daily: DataFrame,
-    origins: Origins,
-    horizon: int,
-    history: bool = False,
-    yearly: bool = True,
-) -> DataFrame:
-    """Linear trend times a weekday index times (with `yearly`) a month index.
+TREND_SUMS = {
+    "n": "sum(1D)",
+    "st": "sum(t)",
+    "stt": "sum(t * t)",
+    "sy": "sum(v)",
+    "sty": "sum(t * v)",
+    "syy": "sum(v * v)",
+}
+TREND_FOLD = {
+    "intercept": "max(intercept)",
+    "slope": "max(slope)",
+    "weeks": _by_position("dow", "week", 7),
+    "years": _by_position("month", "year", 12, first=1),
+    "residual": "sum(sy + gap * n - drift * st)",
+    "squares": """sum(
+        syy + gap * gap * n + drift * drift * stt
+        + 2 * gap * sy - 2 * drift * sty - 2 * gap * drift * st)""",
+}
+TREND_YHAT = """(intercept + slope * datediff(ds, first_ds))
+    * coalesce(get(weeks, weekday(ds)), 1) * coalesce(get(years, month(ds) - 1), 1)"""
 
-    The trend is the least-squares line. An index is the ratio of what was observed
-    on its days to what the factors before it explain there, so it follows from sums
-    per (month, weekday) alone. A month's index is drawn towards 1 by MONTH_DAYS days of
-    it, so that it gains weight with the days it rests on.
+
+def _indexed(cells: DataFrame, yearly: bool, *beside: str) -> DataFrame:
+    """Cells of month and weekday with the fold's line, the indices, and what they leave of a value.
+
+    `beside` are more columns taken over the whole fold.
     """
-    sums = {
-        "n": "sum(1D)",
-        "st": "sum(t)",
-        "stt": "sum(t * t)",
-        "sy": "sum(v)",
-        "sty": "sum(t * v)",
-        "syy": "sum(v * v)",
-    }
 
     def index(explained: str, over: str) -> str:
         part = f"OVER ({BY_FOLD}, {over})"
@@ -111,10 +116,11 @@ def seasonal_trend(
     slope = f"CASE WHEN {spread} > 0 THEN ({cross}) / ({spread}) ELSE 0D END"
     month_days = f"sum(n) OVER ({BY_FOLD}, month)"
     share = f"{month_days} / ({month_days} + {MONTH_DAYS})" if yearly else "0D"
-    cells = (
-        learn(with_calendar(daily), origins, ["month", "dow"], sums)
-        .selectExpr(
-            "*", *[f"sum({c}) OVER ({BY_FOLD}) AS all_{c}" for c in ("n", "st", "stt", "sy", "sty")]
+    return (
+        cells.selectExpr(
+            "*",
+            *[f"sum({c}) OVER ({BY_FOLD}) AS all_{c}" for c in ("n", "st", "stt", "sy", "sty")],
+            *beside,
         )
         .selectExpr("*", f"{slope} AS slope")
         .selectExpr("*", "base + (all_sy - slope * all_st) / all_n AS intercept")
@@ -125,29 +131,64 @@ def seasonal_trend(
         # What the model leaves of a day's value is v + gap - drift * t.
         .selectExpr("*", "base - week * year * intercept AS gap", "week * year * slope AS drift")
     )
-    params = _fold(
-        cells,
-        intercept="max(intercept)",
-        slope="max(slope)",
-        weeks=_by_position("dow", "week", 7),
-        years=_by_position("month", "year", 12, first=1),
-        n="sum(n)",
-        residual="sum(sy + gap * n - drift * st)",
-        squares="""sum(
-            syy + gap * gap * n + drift * drift * stt
-            + 2 * gap * sy - 2 * drift * sty - 2 * gap * drift * st)""",
-    )
+
+
+def seasonal_trend(
+    daily: DataFrame,
+    origins: Origins,
+    horizon: int,
+    history: bool = False,
+    yearly: bool = True,
+) -> DataFrame:
+    """Linear trend times a weekday index times (with `yearly`) a month index.
+
+    The trend is the least-squares line. An index is the ratio of what was observed
+    on its days to what the factors before it explain there, so it follows from sums
+    per (month, weekday) alone. A month's index is drawn towards 1 by MONTH_DAYS days of
+    it, so that it gains weight with the days it rests on.
+    """
+    cells = _indexed(learn(with_calendar(daily), origins, ["month", "dow"], TREND_SUMS), yearly)
+    params = _fold(cells, n="sum(n)", **TREND_FOLD)
     return _over_days(
         params,
         "seasonal_trend",
         horizon,
         history,
-        yhat="""(intercept + slope * datediff(ds, first_ds))
-            * coalesce(get(weeks, weekday(ds)), 1) * coalesce(get(years, month(ds) - 1), 1)""",
+        yhat=TREND_YHAT,
         sd=_sample_sd("n", "residual", "squares"),
     )
 
 
+# Sums over a day's value v and the one before it, u, skip the very first day.
+PAIRED = {
+    "pairs": "count(u)",
+    "pv": "sum(CASE WHEN u IS NOT NULL THEN v END)",
+    "pu": "sum(u)",
+    "pvu": "sum(v * u)",
+    "pvv": "sum(CASE WHEN u IS NOT NULL THEN v * v END)",
+    "puu": "sum(u * u)",
+}
+# Moments of the residual r and the one before it, s, over paired days.
+AR1_FOLD = {
+    "pairs": "sum(pairs)",
+    "r": "sum(pv - m * pairs)",
+    "s": "sum(pu - p * pairs)",
+    "rs": "sum(pvu - p * pv - m * pu + m * p * pairs)",
+    "ss": "sum(puu - 2 * p * pu + p * p * pairs)",
+    "rr": "sum(pvv - 2 * m * pv + m * m * pairs)",
+    "last_residual": "max(CASE WHEN seen = cutoff THEN tail - m END)",
+}
+AR1_YHAT = "base + get(profile, weekday(ds)) + pow(phi, h) * last_residual"
+_GROWTH = "CASE WHEN phi * phi < 1 THEN (1 - pow(phi * phi, h)) / (1 - phi * phi) ELSE h END"
+AR1_SD = f"""({_sample_sd("pairs", "r - phi * s", "rr - 2 * phi * rs + phi * phi * ss")}) * sqrt({_GROWTH})"""
+
+
+def _with_phi(moments: DataFrame) -> DataFrame:
+    var = "(ss - s * s / pairs)"
+    slope = f"least(1D, greatest(-1D, (rs - r * s / pairs) / {var}))"
+    return moments.selectExpr("*", f"CASE WHEN pairs > 1 AND {var} > 0 THEN {slope} ELSE 0D END AS phi")
+
+
 def seasonal_ar1(daily: DataFrame, origins: Origins, horizon: int) -> DataFrame:
     """Weekday mean plus a first-order autoregression of what it leaves over.
 
@@ -159,21 +200,12 @@ def seasonal_ar1(daily: DataFrame, origins: Origins, horizon: int) -> DataFrame:
     days = with_calendar(daily).selectExpr(
         "*", "lag(v) OVER (PARTITION BY series_key ORDER BY ds) AS u"
     )
-    # Sums over a day's value v and the one before it, u, skip the very first day.
-    paired = {
-        "pairs": "count(u)",
-        "pv": "sum(CASE WHEN u IS NOT NULL THEN v END)",
-        "pu": "sum(u)",
-        "pvu": "sum(v * u)",
-        "pvv": "sum(CASE WHEN u IS NOT NULL THEN v * v END)",
-        "puu": "sum(u * u)",
-    }
     sums = {
         "n": "count(*)",
         "sy": "sum(v)",
         "seen": "max(ds)",
         "tail": "max_by(v, ds)",
-        **paired,
+        **PAIRED,
     }
     # m: this weekday's mean; p: that of the weekday before, 0 where there are no pairs.
     profile = [f"max(CASE WHEN dow = {i} THEN sy / n END) OVER ({BY_FOLD})" for i in range(7)]
@@ -188,34 +220,68 @@ def seasonal_ar1(daily: DataFrame, origins: Origins, horizon: int) -> DataFrame:
         "profile",
         "sy / n AS m",
         "coalesce(get(profile, (dow + 6) % 7), 0) AS p",
-        *[f"coalesce({c}, 0) AS {c}" for c in paired],
+        *[f"coalesce({c}, 0) AS {c}" for c in PAIRED],
     )
     # Moments of the residual r and the one before it, s, over paired days.
-    moments = _fold(
-        cells,
-        profile="any_value(profile)",
-        n="sum(pairs)",
-        r="sum(pv - m * pairs)",
-        s="sum(pu - p * pairs)",
-        rs="sum(pvu - p * pv - m * pu + m * p * pairs)",
-        ss="sum(puu - 2 * p * pu + p * p * pairs)",
-        rr="sum(pvv - 2 * m * pv + m * m * pairs)",
-        last_residual="max(CASE WHEN seen = cutoff THEN tail - m END)",
-    )
-    var = "(ss - s * s / n)"
-    slope = f"least(1D, greatest(-1D, (rs - r * s / n) / {var}))"
-    params = moments.selectExpr(
-        "*", f"CASE WHEN n > 1 AND {var} > 0 THEN {slope} ELSE 0D END AS phi"
-    )
-    step_sd = _sample_sd("n", "r - phi * s", "rr - 2 * phi * rs + phi * phi * ss")
-    growth = "CASE WHEN phi * phi < 1 THEN (1 - pow(phi * phi, h)) / (1 - phi * phi) ELSE h END"
+    params = _with_phi(_fold(cells, profile="any_value(profile)", **AR1_FOLD))
     return _over_days(
         params,
         "seasonal_ar1",
         horizon,
         False,
-        yhat="base + get(profile, weekday(ds)) + pow(phi, h) * last_residual",
-        sd=f"({step_sd}) * sqrt({growth})",
+        yhat=AR1_YHAT,
+        sd=AR1_SD,
+    )
+
+
+def closed_forms(
+    daily: DataFrame,
+    origins: Origins,
+    horizon: int,
+    chosen: tuple[str, ...] = ("weekday_mean", "seasonal_trend", "seasonal_ar1"),
+) -> DataFrame:
+    """Forecasts of the three models above from one pass over the days.
+
+    All that they learn are sums by month and weekday, so one set of running totals serves them: weekdays
+    sum theirs over the months. A fold is one row with every model's parameters, and its days are made once.
+    """
+    days = with_calendar(daily).selectExpr(
+        "*", "lag(v) OVER (PARTITION BY series_key ORDER BY ds) AS u"
+    )
+    sums = {**TREND_SUMS, "seen": "max(ds)", "tail": "max_by(v, ds)", **PAIRED}
+    by_weekday = f"OVER ({BY_FOLD}, dow)"
+    cells = learn(days, origins, ["month", "dow"], sums)
+    cells = cells.withColumns({c: F.coalesce(c, F.lit(0)) for c in PAIRED})
+    cells = cells.selectExpr("*", f"sum(sy) {by_weekday} / sum(n) {by_weekday} AS m")
+    profile = [f"max(CASE WHEN dow = {i} THEN m END) OVER ({BY_FOLD})" for i in range(7)]
+    cells = _indexed(cells, True, f"array({', '.join(profile)}) AS profile")
+    cells = cells.selectExpr("*", "coalesce(get(profile, (dow + 6) % 7), 0) AS p")
+    params = _with_phi(
+        _fold(
+            cells,
+            profile="any_value(profile)",
+            n="sum(n)",
+            sse="sum(syy - m * sy)",
+            **TREND_FOLD,
+            **AR1_FOLD,
+        )
+    )
+    made = {
+        "weekday_mean": ("base + get(profile, weekday(ds))", _sample_sd("n", "0", "sse")),
+        "seasonal_trend": (TREND_YHAT, _sample_sd("n", "residual", "squares")),
+        "seasonal_ar1": (AR1_YHAT, AR1_SD),
+    }
+    models = ", ".join(
+        f"named_struct('model', '{name}', 'yhat', double({yhat}), 'sd', double({sd}))"
+        for name, (yhat, sd) in made.items()
+        if name in chosen
+    )
+    ahead = f"explode(sequence(date_add(cutoff, 1), date_add(cutoff, {horizon})))"
+    return (
+        params.withColumn("ds", F.expr(ahead))
+        .withColumn("h", F.expr("datediff(ds, cutoff)"))
+        .selectExpr("series_key", "cutoff", "ds", f"inline(array({models}))")
+        .select("series_key", "model", "cutoff", "ds", "yhat", "sd")
     )
 
 

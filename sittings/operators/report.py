@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sittings.functions.clock import day_text
 from sittings.functions.publish import not_negative, round_forecast, round_metric
+from sittings.operators.evaluate import CROSS_VALIDATION, HOLDOUT
 from sittings.operators.series import series_bounds
 
 
@@ -33,23 +34,23 @@ def published_holdout(scored: DataFrame) -> DataFrame:
     )
 
 
-def validation_table(model_metrics: DataFrame, baseline_metrics: DataFrame) -> DataFrame:
-    """Model, MAE, RMSE as published: the baseline's RMSE stays empty.
+def validation_table(metrics: DataFrame, model: str, baseline: str) -> DataFrame:
+    """Model, MAE, RMSE as published: a cross-validated model and a held-out baseline, whose RMSE stays empty.
 
-    `gain_over_holdout_pct` sets the cross-validated model against the held-out baseline, by the
-    rounded MAEs: the two come from different tests.
+    `metrics` are those of both protocols. `gain_over_holdout_pct` sets the one against the other by
+    the rounded MAEs: the two come from different tests.
     """
-    baseline = baseline_metrics.withColumn("rmse", F.lit(None).cast("double"))
-    base = baseline_metrics.select("series_key", round_metric(F.col("mae")).alias("base"))
+    crossed = (F.col("model") == model) & (F.col("protocol") == CROSS_VALIDATION)
+    held = (F.col("model") == baseline) & (F.col("protocol") == HOLDOUT)
     mae = round_metric(F.col("mae"))
-    gain = F.when(F.col("base") > 0, (F.col("base") - mae) / F.col("base") * 100)
-    tested = model_metrics.join(base, "series_key", "left").withColumn("gain", gain).drop("base")
-    return tested.unionByName(baseline.withColumn("gain", F.lit(None).cast("double"))).select(
+    base = F.max(F.when(held, mae)).over(Window.partitionBy("series_key"))
+    gain = F.when(crossed & (F.col("base") > 0), (F.col("base") - mae) / F.col("base") * 100)
+    return metrics.withColumn("base", base).filter(crossed | held).select(
         "series_key",
         F.col("model").alias("Model"),
         mae.alias("MAE"),
-        round_metric(F.col("rmse")).alias("RMSE"),
-        F.round("gain", 6).alias("gain_over_holdout_pct"),
+        F.when(crossed, round_metric(F.col("rmse"))).alias("RMSE"),
+        F.round(gain, 6).alias("gain_over_holdout_pct"),
     )
 
 

@@ -155,8 +155,14 @@ def names(chosen):
 
 
 def run_each(chosen, which, days, daily, *tests):
-    """Several models on one series table, each scored in its partitioning by series."""
+    """Several models on one series table, each scored in its partitioning by series.
+
+    Those in closed form share one pass.
+    """
     in_series = evaluate.by_series(daily)
+    if set(chosen) <= set(CLOSED_FORM):
+        run = models.closed_forms(daily, which, days, tuple(names(chosen)))
+        return [evaluate.score_in_series(run, in_series, *tests).drop("sd")]
     return [
         evaluate.score_in_series(model(daily, which, days), in_series, *tests).drop("sd")
         for model in chosen
@@ -187,19 +193,6 @@ def cv_all(chosen, setting, spark, sf_dir):
     return rounded(evaluate.for_every_series(metrics, daily, names(chosen)))
 
 
-def comparison(chosen, setting, spark, sf_dir):
-    """Every model under both protocols, against the weekday mean under the same."""
-    daily = setting.daily(spark, sf_dir)
-    either = replace(setting.folds, with_latest=True)
-    tests = (setting.test, setting.folds)
-    runs = run_each(chosen, either, setting.test_days, daily, *tests)
-    # A model's errors are summed where they are; only these sums meet the other models'.
-    errors = stack([evaluate.horizon_errors(scored, "protocol") for scored in runs])
-    metrics = evaluate.compare_errors(errors, SMOOTHING)
-    tests = [evaluate.HOLDOUT, evaluate.CROSS_VALIDATION]
-    return rounded(evaluate.for_every_series(metrics, daily, names(chosen), tests))
-
-
 def ar_orders(which, setting, spark, sf_dir):
     """Which candidate won for each series and fold."""
     return rounded(autoregression.orders(setting.daily(spark, sf_dir), which))
@@ -238,14 +231,28 @@ def empirical(which, model, setting, spark, sf_dir):
     return rounded(which(model, setting.daily(spark, sf_dir), folds, setting.horizon))
 
 
+def tested_metrics(chosen, setting, daily):
+    """Metrics of every model under both protocols, from one run of each."""
+    either = replace(setting.folds, with_latest=True)
+    tests = (setting.test, setting.folds)
+    runs = run_each(chosen, either, setting.test_days, daily, *tests)
+    # A model's errors are summed where they are; only these sums meet the other models'.
+    errors = stack([evaluate.horizon_errors(scored, "protocol") for scored in runs])
+    metrics = evaluate.compare_errors(errors, SMOOTHING)
+    return evaluate.for_every_series(
+        metrics, daily, names(chosen), [evaluate.HOLDOUT, evaluate.CROSS_VALIDATION]
+    )
+
+
+def comparison(chosen, setting, spark, sf_dir):
+    """Every model under both protocols, against the weekday mean under the same."""
+    return rounded(tested_metrics(chosen, setting, setting.daily(spark, sf_dir)))
+
+
 def validation_results(setting, spark, sf_dir):
     """The published table: cross-validated trend model, held-out weekday mean."""
-    daily = setting.daily(spark, sf_dir)
-    model, base = [models.seasonal_trend], [models.weekday_mean]
-    return report.validation_table(
-        evaluate.for_every_series(cv_accuracy(model, setting, daily), daily, names(model)),
-        evaluate.for_every_series(holdout_accuracy(base, setting, daily), daily, names(base)),
-    )
+    chosen = [models.seasonal_trend, models.weekday_mean]
+    return report.validation_table(tested_metrics(chosen, setting, setting.daily(spark, sf_dir)), *names(chosen))
 
 
 def forecast_report(model, setting, spark, sf_dir):

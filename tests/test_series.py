@@ -367,3 +367,31 @@ def test_scored_rows_are_not_shuffled(spark):
         want = evaluate.score(model(df, folds, 10), df).join(roles, ["series_key", "cutoff"])
         columns = ["series_key", "cutoff", "ds", "protocol", "y"]
         assert sorted(scored.select(columns).collect()) == sorted(want.select(columns).collect())
+
+
+def test_closed_forms_are_the_models_in_one_pass(spark):
+    rng = np.random.default_rng(21)
+    df = daily(spark, a=rng.poisson(20, 500), b=rng.poisson(3, 40), c=[5], d=[2] * 30)
+    for which in (origins.END, origins.rolling(14, 9, 5), origins.holdout(7)):
+        found = {tuple(r)[:4]: (r.yhat, r.sd) for r in models.closed_forms(df, which, 5).collect()}
+        want = {}
+        for model in CLOSED:
+            want |= {tuple(r)[:4]: (r.yhat, r.sd) for r in model(df, which, 5).collect()}
+        assert found.keys() == want.keys() and len(want) > 15
+        for k, (yhat, sd) in want.items():
+            near = [x if x is None else pytest.approx(x, rel=1e-9, abs=1e-6) for x in (yhat, sd)]
+            assert list(found[k]) == near, k
+
+
+def windows(df):
+    return [x for x in df._jdf.queryExecution().executedPlan().toString().splitlines() if "Window [" in x]
+
+
+def test_comparison_goes_over_the_days_once(spark):
+    from sittings.plans import forecasting
+
+    df = daily(spark, a=[1, 2, 3] * 30, b=[4, 5] * 40)
+    assert len(windows(models.closed_forms(df, origins.rolling(14, 7, 7), 7))) <= 8
+    # The rest are those of the daily series itself.
+    query = forecasting.comparison(forecasting.CLOSED_FORM, forecasting.USERS, spark, "/root/testdata/sf0.001")
+    assert len(windows(query)) <= 8 + 3 * len(windows(forecasting.user_series(spark, "/root/testdata/sf0.001")))
