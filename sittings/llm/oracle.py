@@ -126,6 +126,16 @@ runs AS (
               FROM starts))
   GROUP BY doc_id, run
 ),
+shorter AS (
+  SELECT doc_id, i, hash(substr(h, 2 * i + 1, 512)) AS gram
+  FROM (SELECT doc_id, h, unnest(range(0, n - 255)) AS i FROM bytes)
+),
+again AS (
+  SELECT doc_id, CAST(sum(least(256, coalesce(following - i, 256))) AS BIGINT) AS repeated
+  FROM (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS following
+        FROM (SELECT doc_id, i FROM shorter QUALIFY count(*) OVER (PARTITION BY gram) > 1))
+  GROUP BY 1
+),
 gaps AS (
   SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS since FROM runs
 ),
@@ -135,9 +145,9 @@ joined AS (
   FROM gaps JOIN bytes USING (doc_id) GROUP BY 1
 )
 SELECT doc_id, n AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed,
-       coalesce(spans, 0) AS n_spans,
+       coalesce(repeated, 0) AS n_repeated_256, coalesce(spans, 0) AS n_spans,
        sha256(unhex(coalesce(head, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
-FROM bytes LEFT JOIN joined USING (doc_id)"""
+FROM bytes LEFT JOIN joined USING (doc_id) LEFT JOIN again USING (doc_id)"""
 
 BENCHMARK = f"""
 WITH items AS (

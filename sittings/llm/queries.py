@@ -48,11 +48,13 @@ def op4_seed_extend(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_suffix_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cut = suffix.remove_repeated_bytes(_table(spark, sf_dir, "documents"))
+    docs = _table(spark, sf_dir, "documents")
+    cut = suffix.remove_repeated_bytes(docs, shorter=suffix.PASSAGE_BYTES)
     return cut.select(
         "doc_id",
         "n_bytes",
         "n_removed",
+        F.col("n_repeated").alias("n_repeated_256"),
         (F.size("repeats") / 2).cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
     )

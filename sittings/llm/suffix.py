@@ -41,6 +41,9 @@ from sittings.runtime import discard, settle
 THRESHOLD_BYTES = 400
 BLOCK = 50
 
+# Passages of some fifty words, which the threshold lets pass where words are short.
+PASSAGE_BYTES = 256
+
 
 class _Suffixes:
     """Suffixes of a slice by their leading digit."""
@@ -177,32 +180,34 @@ def _window_rows(marked: DataFrame, depth: int, block: int) -> DataFrame:
     return marked.mapInArrow(run, "key long, place int, hash long")
 
 
-def _cut(marked: DataFrame, depth: int) -> DataFrame:
+def _covered(piece: spans.Slice, around: pa.Array, windows: pa.Array, depth: int) -> np.ndarray:
+    """Which bytes of a slice lie in repeats: the surroundings of places `around`, and single `windows`."""
     reach = depth - depth // 2
-
+    first, last = [], []
+    for lists, before, after in ((around, reach, depth), (windows, 0, depth)):
+        at = spans.places(lists, piece.starts)
+        row = piece.row_of(at)
+        first.append(np.maximum(at - before, piece.starts[row]))
+        last.append(np.minimum(at + after, piece.starts[row + 1] - 1))
+    gone = spans.covered(len(piece.data), np.concatenate(first), np.concatenate(last))
+    gone[piece.starts[1:] - 1] = False  # the break behind each text parts the runs of neighbours
+    return gone
+
+
+def _cut(marked: DataFrame, depth: int, shorter: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in spans.slices(batch.column(1)):
                 rows = piece.last - piece.first
-                row_of = np.arange(rows)
-                spread = []
-                for column, before, after in ((2, reach, depth), (3, 0, depth)):
-                    lists = batch.column(column).slice(piece.first, rows)
-                    at = spans.places(lists, piece.starts)
-                    row = piece.row_of(at)
-                    spread.append(np.maximum(at - before, piece.starts[row]))
-                    spread.append(np.minimum(at + after, piece.starts[row + 1] - 1))
-                n = len(piece.data)
-                gone = spans.covered(
-                    n, np.concatenate(spread[0::2]), np.concatenate(spread[1::2])
-                )
+                marks = [batch.column(i).slice(piece.first, rows) for i in range(2, 6)]
                 ends = piece.starts[1:] - 1
-                gone[ends] = False  # the break behind each text parts the runs of neighbours
+                gone = _covered(piece, marks[0], marks[1], depth)
+                again = _covered(piece, marks[2], marks[3], shorter)
                 edges = np.flatnonzero(np.diff(np.concatenate(([0], gone, [0]))))
                 cuts = np.searchsorted(edges, piece.starts)
-                total = np.concatenate(([0], np.cumsum(gone)))
+                total, repeated = (np.concatenate(([0], np.cumsum(x))) for x in (gone, again))
                 kept, repeats = [], []
-                for i in row_of:
+                for i in range(rows):
                     a, b = piece.starts[i], ends[i]
                     kept.append(piece.data[a:b][~gone[a:b]].tobytes())
                     repeats.append(edges[cuts[i] : cuts[i + 1]] - a)
@@ -211,32 +216,31 @@ def _cut(marked: DataFrame, depth: int) -> DataFrame:
                         batch.column(0).slice(piece.first, rows),
                         pa.array(ends - piece.starts[:-1]),
                         pa.array(total[ends] - total[piece.starts[:-1]]),
+                        pa.array(repeated[ends] - repeated[piece.starts[:-1]]),
                         spans.listed(repeats, pa.int32()),
                         pa.array(kept, type=pa.binary()),
                     ],
-                    names=["doc_id", "n_bytes", "n_removed", "repeats", "kept"],
+                    names=["doc_id", "n_bytes", "n_removed", "n_repeated", "repeats", "kept"],
                 )
 
-    schema = "doc_id long, n_bytes long, n_removed long, repeats array<int>, kept binary"
+    schema = "doc_id long, n_bytes long, n_removed long, n_repeated long, repeats array<int>, kept binary"
     return marked.mapInArrow(run, schema)
 
 
-def remove_repeated_bytes(
-    docs: DataFrame, depth: int = THRESHOLD_BYTES, block: int = BLOCK
-) -> DataFrame:
-    """doc_id, n_bytes, n_removed, repeats (start, end, start, end, ... in bytes) and kept bytes."""
-    docs = keyed(docs)
-    texts = docs.select("key", "text")
-    suffixes = _suffix_rows(texts, depth)
+def repeats(texts: DataFrame, depth: int, block: int = BLOCK) -> DataFrame:
+    """Of `texts` (key, text): key, places whose surroundings are repeats (`around`) and single `windows`."""
+    suffixes = settle(_suffix_rows(texts, depth), "all-suffixes")
     groups = suffixes.groupBy("digit").agg(F.count("*").alias("n")).filter("n > 1").select("digit")
     groups = settle(groups, "digits")
     sorted_ = settle(suffixes.join(groups, "digit"), "suffixes")
+    discard(suffixes, groups)
 
     one = F.min(F.struct("key", "place"))
     classes = sorted_.groupBy("digit", "around").agg(F.count("*").alias("n"), one.alias("one"))
     classes = settle(classes, "classes")
     copies = sorted_.join(classes.filter("n > 1").select("digit", "around"), ["digit", "around"])
-    copies = copies.groupBy("key").agg(F.collect_set("place").alias("around"))
+    copies = settle(copies.groupBy("key").agg(F.collect_set("place").alias("around")), "copies")
+    discard(sorted_)
 
     # Counts are written before they are joined, so that joins can be split where a group is hot.
     several = classes.groupBy("digit").agg(F.count("*").alias("c")).filter("c > 1").select("digit")
@@ -250,12 +254,35 @@ def remove_repeated_bytes(
     second = blocks.join(together.drop("n"), ["block", "digit"]).select("key", coded)
     second = settle(second.groupBy("key").agg(F.collect_set("coded").alias("marks")), "second")
     windows = settle(_window_rows(marked_only(texts, second), depth, block), "windows")
+    discard(classes, several, first, blocks, together, second)
     equal = windows.groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1").select("hash")
     equal = settle(equal, "equal")
     single = windows.join(equal, "hash").groupBy("key")
     single = single.agg(F.collect_set("place").alias("windows"))
-
     marks = settle(copies.join(single, "key", "full"), "marks")
-    discard(groups, sorted_, classes, several, first, blocks, together, second, windows, equal)
-    marked = with_marks(docs, marks).select("doc_id", "text", "around", "windows")
-    return _cut(marked, depth)
+    discard(copies, windows, equal)
+    return marks
+
+
+def remove_repeated_bytes(
+    docs: DataFrame, depth: int = THRESHOLD_BYTES, block: int = BLOCK, shorter: int | None = None
+) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_repeated, repeats (start, end, start, end, ... in bytes) and kept bytes.
+
+    Strings of `depth` bytes are removed. With `shorter`, n_repeated counts the bytes covered by
+    strings of so many bytes that occur again, which stay; without, it is n_removed.
+    """
+    docs = keyed(docs)
+    texts = docs.select("key", "text")
+    marks = repeats(texts, depth, block)
+    again = F.col("around").alias("around2"), F.col("windows").alias("windows2")
+    if shorter is None:
+        both = marks.select("*", *again)
+        both = settle(both, "both")
+    else:
+        other = repeats(texts, shorter, block)
+        both = settle(marks.join(other.select("key", *again), "key", "full"), "both")
+        discard(other)
+    discard(marks)
+    marked = with_marks(docs, both).select("doc_id", "text", "around", "windows", "around2", "windows2")
+    return _cut(marked, depth, shorter or depth)

@@ -163,6 +163,15 @@ def test_suffix_sort(spark, depth):
     )
 
 
+def test_shorter_repeats_are_counted_beside(spark):
+    rows = [r[:2] for r in corpus.rows()]
+    got = remove_repeated_bytes(corpus.docs(spark), 64, block=8, shorter=40).collect()
+    found = Counter((r.doc_id, r.n_bytes, r.n_removed, len(r.repeats) // 2, bytes(r.kept)) for r in got)
+    assert found == bytes_left(rows, 64)
+    shorter = Counter((k[0], k[2]) for k, n in bytes_left(rows, 40).items() for _ in range(n))
+    assert Counter((r.doc_id, r.n_repeated) for r in got) == shorter
+
+
 @pytest.mark.parametrize("operator", [near_duplicates, remove_repeats, remove_repeated_bytes])
 def test_empty_table(spark, operator):
     assert operator(corpus.empty(spark)).count() == 0
