@@ -84,8 +84,8 @@ def place(
     return keyed.join(F.broadcast(table), "slot").select(*keyed.columns, "shard")
 
 
-def write_shards(placed: DataFrame, path: str, files: int = 1) -> None:
-    """One folder per shard, each written by `files` tasks."""
+def write_shards(placed: DataFrame, path: str, files: int = 1, shards: int = SHARDS) -> None:
+    """One folder per shard, each written by `files` tasks; `shards` is how many were placed."""
     spread = F.pmod(F.xxhash64(*[c for c in placed.columns if c != "shard"]), F.lit(files))
-    n = SHARDS * files
+    n = shards * files
     placed.repartition(n, "shard", spread).write.partitionBy("shard").parquet(path)
