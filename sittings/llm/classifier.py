@@ -74,6 +74,7 @@ def _with_statistics(rows: DataFrame, first: str) -> DataFrame:
                 kept = batch.column(0).slice(piece.first, piece.last - piece.first)
                 columns = [kept, *[pa.array(values[n].astype(float)) for n in STATISTICS]]
                 yield pa.RecordBatch.from_arrays(columns, names=[name, *STATISTICS])
+            spans.trim()
 
     return rows.mapInArrow(run, first + "".join(f", {n} double" for n in STATISTICS))
 

@@ -115,6 +115,7 @@ def sign(docs: DataFrame, k: int, permutations: int, rows: int) -> DataFrame:
                     names=["doc_id", "node", "n_shingles", "key_a", "key_b", "bands"],
                 )
                 done += len(sets)
+            spans.trim()
 
     schema = "doc_id long, node long, n_shingles long, key_a long, key_b long, bands array<long>"
     return _nodes(docs).mapInArrow(run, schema)
@@ -139,6 +140,7 @@ def full_sets(docs: DataFrame, k: int) -> DataFrame:
                     [batch.column(0).slice(done, len(sets)), lists], names=["doc_id", "shingles"]
                 )
                 done += len(sets)
+            spans.trim()
 
     return docs.mapInArrow(run, "doc_id long, shingles array<long>")
 

@@ -200,6 +200,7 @@ def cut_pieces(
                     columns.append(pa.ListArray.from_arrays(offsets, pa.array(ids.view(np.int32))))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names=names)
+            spans.trim()
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long"
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))

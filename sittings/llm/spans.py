@@ -8,7 +8,9 @@ the bytes alone, so they agree between tasks and runs.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
+from contextlib import suppress
 from dataclasses import dataclass
 
 import numpy as np
@@ -44,6 +46,13 @@ def powers(base: int, n: int) -> np.ndarray:
     return _powers[base][:n]
 
 
+def trim() -> None:
+    """Give freed memory back, which workers that live on would hold beside the next stage's."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # where the C library has no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 @dataclass
 class Slice:
     """Rows [first, last) of a batch: `data` holds their bytes, each text closed by a break."""
