@@ -173,7 +173,8 @@ def cut_pieces(
             _tokenizers[path] = WordIds(path)
         ids_of = _tokenizers[path]
         for batch in batches:
-            for piece in spans.slices(batch.column(1), SLICE_BYTES):
+            # Ids that go out are held beside the slice they are of.
+            for piece in spans.slices(batch.column(1), SLICE_BYTES // 4 if with_ids else SLICE_BYTES):
                 ids, bounds = ids_of.texts(piece)
                 sizes = np.diff(bounds)
                 pieces = -(-sizes // capacity)
