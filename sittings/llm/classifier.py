@@ -35,6 +35,7 @@ TREES = 24
 DEPTH = 3
 LASSO = 2e-4
 THRESHOLD = 0.3
+SLICE_BYTES = 1 << 18  # counting takes about a hundred bytes a byte of a slice
 
 STATISTICS = [
     "log_words", "word_bytes", "upper", "digits", "symbols", "exclaims", "other_marks",
@@ -63,22 +64,30 @@ def statistics(docs: DataFrame) -> DataFrame:
     return _with_statistics(rows, "doc_id long")
 
 
-def _with_statistics(rows: DataFrame, first: str) -> DataFrame:
-    """The first of two columns, described by `first`, and the statistics of the second."""
+def _with_statistics(rows: DataFrame, first: str, field: int | None = None) -> DataFrame:
+    """The first column, described by `first`, and the statistics of the texts.
+
+    Texts are the second column, or the given field of the first, which then goes out and back alone.
+    """
     name = first.split(" ")[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for piece in spans.slices(batch.column(1)):
-                values = _statistics(piece)
-                kept = batch.column(0).slice(piece.first, piece.last - piece.first)
-                columns = [kept, *[pa.array(values[n].astype(float)) for n in STATISTICS]]
-                yield pa.RecordBatch.from_arrays(columns, names=[name, *STATISTICS])
-            spans.trim()
+        return _counted(batches, name, field)
 
     return rows.mapInArrow(run, first + "".join(f", {n} double" for n in STATISTICS))
 
 
+def _counted(batches: Iterator[pa.RecordBatch], name: str, field: int | None) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = batch.column(1) if field is None else batch.column(0).field(field)
+        for piece in spans.slices(texts, SLICE_BYTES):
+            values = _statistics(piece)
+            kept = batch.column(0).slice(piece.first, piece.last - piece.first)
+            columns = [kept, *[pa.array(values[n].astype(float)) for n in STATISTICS]]
+            yield pa.RecordBatch.from_arrays(columns, names=[name, *STATISTICS])
+        spans.trim()
+
+
 def _statistics(piece: spans.Slice) -> dict[str, np.ndarray]:
     data, rows = piece.data, piece.last - piece.first
     sums = spans.prefix(data)
@@ -270,7 +279,10 @@ def accepted(
     numbers = _with_statistics(own.select(F.struct("doc_id", "label").alias("of"), "text"), "of struct<doc_id: long, label: long>")
     numbers = settle(numbers.select("of.doc_id", "of.label", *STATISTICS), "statistics")
     model = fit(numbers, **options)
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    rows = docs.select(row, F.col("text").cast("string").alias("text"))
-    scored = _with_statistics(rows, f"row {rows.schema['row'].dataType.simpleString()}")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text").cast("string"))
+    kind = rows.schema["row"].dataType
+    # A text that is a string already is read out of its row.
+    field = next((i for i, f in enumerate(kind) if f.name == "text" and f.dataType.typeName() == "string"), None)
+    rows = rows if field is None else rows.select("row")
+    scored = _with_statistics(rows, f"row {kind.simpleString()}", field)
     return scored.filter(model.score() >= threshold).select("row.*")

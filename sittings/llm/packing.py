@@ -35,7 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -422,6 +422,12 @@ def places(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, int
     return out
 
 
+def _local(spark: SparkSession, rows: list[tuple[int, ...]], names: list[str]) -> DataFrame:
+    """Whole numbers as a table, by Arrow: lists of Python would start workers of a second kind, which live on."""
+    values = np.array(rows, dtype=np.int64).reshape(-1, len(names))
+    return spark.createDataFrame(pa.table(dict(zip(names, values.T.copy(), strict=True))))
+
+
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """The pieces with sequence_id and offset. Reads `pieces` several times: settle it first."""
     spark = pieces.sparkSession
@@ -429,15 +435,14 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     lengths = pieces.groupBy("length").agg(F.count("*").alias("n")).collect()
     table = places({r["length"]: r["n"] for r in lengths}, capacity)
     salts = [(r["length"], -(-r["n"] // SALTED_PIECES)) for r in lengths]
-    salts = F.broadcast(spark.createDataFrame(salts, "length long, salts long"))
+    salts = F.broadcast(_local(spark, salts, ["length", "salts"]))
     salt = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("salts"))
     salted = pieces.join(salts, "length").withColumn("salt", salt)
     counted = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
     by_length = Window.partitionBy("length").orderBy("salt")
     before = F.sum("n").over(by_length) - F.col("n")
     ahead = counted.select("length", "salt", before.alias("ahead"))
-    schema = "of long, lo long, hi long, first long, uses long, at long"
-    table = F.broadcast(spark.createDataFrame(table, schema))
+    table = F.broadcast(_local(spark, table, ["of", "lo", "hi", "first", "uses", "at"]))
     in_salt = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")
     ranked = (
         salted.withColumn("number", F.row_number().over(in_salt) - 1)

@@ -159,6 +159,14 @@ def test_completion_wastes_least_among_many_lengths():
         assert sum(chosen) == max(sums) and not Counter(chosen) - counts
 
 
+def test_places_reach_the_executors_without_python(spark):
+    docs = spark.createDataFrame([(1, "a b"), (2, "c"), (3, None)], "doc_id bigint, text string")
+    packed = packing.pack_documents(docs)
+    assert "ExistingRDD" not in packed._jdf.queryExecution().executedPlan().toString()
+    assert packed.count() == 3
+    assert packing.pack_documents(docs.limit(0)).count() == 0
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_waste_is_small(seed):
     rng = random.Random(seed)

@@ -5,10 +5,12 @@ from __future__ import annotations
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
 import corpus
+import pyarrow as pa
 import pytest
 
 from sittings.llm import classifier, license, line_quality
@@ -192,6 +194,31 @@ def test_classifier_on_held_out(spark):
     assert kept.count() == sum(r.predicted for r in got)
 
 
+def test_texts_go_out_once_and_are_counted_in_little_memory(spark):
+    docs, labels, _ = labelled(spark)
+    sent = classifier.accepted(docs, labels)._jdf.queryExecution().optimizedPlan().toString()
+    below = sent[sent.index("MapInArrow") :].split("\n")[1]
+    assert "Project" in below and len(re.findall(r"\btext#\d+", below)) == 1, below
+    # A text that is no string goes out as one, and comes back as it was.
+    as_bytes = docs.select(*[docs[c].cast("binary") if c == "text" else docs[c] for c in docs.columns])
+    kept = classifier.accepted(as_bytes, labels)
+    assert kept.schema["text"].dataType.typeName() == "binary"
+    key = lambda rows: sorted((str(r.doc_id), bytes(r.text or b"").decode()) for r in rows)
+    strings = classifier.accepted(docs, labels).selectExpr("doc_id", "CAST(text AS binary) AS text")
+    assert key(kept.collect()) == key(strings.collect())
+
+    texts = ["some words of a text, and more of them. " * 100] * 2000
+    rows = pa.StructArray.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["doc_id", "text"])
+    batch = pa.RecordBatch.from_arrays([rows], names=["row"])
+    for _ in classifier._counted(iter([batch.slice(0, 10)]), "row", 1):
+        pass
+    tracemalloc.start()
+    n = sum(out.num_rows for out in classifier._counted(iter([batch]), "row", 1))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == len(texts) and peak < 40 << 20, peak
+
+
 def plain_statistics(text):
     """The statistics by their definitions, on words, lines and bytes."""
     raw = (text or "").encode()
