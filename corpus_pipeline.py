@@ -43,7 +43,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = settle(found.select(F.col("doc_id").alias("key"), "component_id").distinct(), "components")
     shared = found.groupBy("component_id").count().filter("count > 1").select("component_id")
     members = found.join(compact(shared, "shared"), "component_id", "left_semi")
-    members = members.join(rows.select("key", "id").distinct(), "key")
+    members = settle(members.join(rows.select("key", "id").distinct(), "key"), "members")
     least = members.groupBy("component_id").agg(F.min(F.struct("id", "key")).alias("least"))
     members = members.join(least, "component_id").filter("key <> least.key")
     gone = compact(members.select("key"), "near-duplicates")

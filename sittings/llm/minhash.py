@@ -264,7 +264,7 @@ def near_duplicates(
     rest = _across(prefixes, percent).join(compared, ["a", "b"], "left_anti")
     more = settle(verified(rest, sets, percent), "links")
     if not more.isEmpty():
-        found = components(links.unionAll(more))
+        found = components(found.selectExpr("doc_id AS a", "component_id AS b").unionAll(more))
     discard(buckets, stars, sets)
 
     members = classes.select(*equal, "rep", "least").join(

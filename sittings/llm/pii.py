@@ -315,7 +315,8 @@ def assign(parts: DataFrame, key: str = KEY) -> DataFrame:
     waiting, done, draw = real, None, 0
     while True:
         drawn = with_surrogate(waiting, draw, key).withColumn("type", _type(F.col("kind")))
-        drawn = drawn.withColumn("shown", F.lower("surrogate"))
+        # Read twice: the long expressions behind a draw are planned and worked out once.
+        drawn = settle(drawn.withColumn("shown", F.lower("surrogate")), "drawn")
         first = drawn.groupBy("type", "shown").agg(F.min(F.struct("kind", "canonical")).alias("first"))
         free = drawn.join(first, ["type", "shown"]).filter(
             F.struct("kind", "canonical") == F.col("first")
@@ -327,6 +328,7 @@ def assign(parts: DataFrame, key: str = KEY) -> DataFrame:
         free = settle(free.select("type", "shown", "kind", "canonical", "surrogate"), "surrogates")
         done = free if done is None else done.unionAll(free)
         left = settle(waiting.join(free, ["kind", "canonical"], "left_anti"), "waiting")
+        discard(drawn)
         if draw:
             discard(waiting)
         waiting, draw = left, draw + 1

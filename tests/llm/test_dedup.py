@@ -8,6 +8,7 @@ from collections import Counter
 import corpus
 import pytest
 
+from sittings.llm import graph
 from sittings.llm.graph import components
 from sittings.llm.minhash import near_duplicates
 from sittings.llm.substring import remove_repeats
@@ -93,6 +94,19 @@ def test_components_of_long_chains(spark):
     }
 
 
+def test_components_end_without_a_round_that_changes_nothing(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(graph, "settle", lambda df, name, f=graph.settle: written.append(name) or f(df, name))
+    stars = [(1, n) for n in range(2, 30)] + [(n, 40) for n in range(41, 50)] + [(1, 2), (3, 3)]
+    got = components(spark.createDataFrame(stars, "a bigint, b bigint")).collect()
+    assert {r.doc_id: r.component_id for r in got} == {**dict.fromkeys(range(1, 30), 1), **dict.fromkeys(range(40, 50), 40)}
+    assert len(got) == 39 and len(written) == 1
+    written.clear()
+    got = components(spark.createDataFrame([(3, 1), (3, 2), (9, 8)], "a bigint, b bigint")).collect()
+    assert {r.doc_id: r.component_id for r in got} == {1: 1, 2: 1, 3: 1, 8: 8, 9: 8}
+    assert len(written) == 2
+
+
 def words_left(rows):
     owner = {}
     for doc_id, text in rows:

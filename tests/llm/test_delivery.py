@@ -358,6 +358,20 @@ def test_surrogates_stay_distinct(spark):
     assert not set(shown.values()) & set(entities)
 
 
+def test_a_draw_is_worked_out_once(spark, monkeypatch):
+    plans = []
+
+    def settle(df, name, f=pii.settle):
+        plans.append((name, df._jdf.queryExecution().optimizedPlan().toString().count("sha2")))
+        return f(df, name)
+
+    monkeypatch.setattr(pii, "settle", settle)
+    rows = [("ip", f"10.0.0.{i}") for i in range(9)] + [("family latin", "smith")]
+    got = pii.assign(spark.createDataFrame(rows, "kind string, canonical string")).collect()
+    assert len({r.surrogate for r in got}) == len(got) == 10
+    assert {name for name, n in plans if n} == {"drawn"}
+
+
 def test_every_address_of_a_format_is_taken(spark):
     """No surrogate of the format is free, in any draw, so the draws go on beyond it and end."""
     names = [f"{a}.{b}.{c}.{d}" for a in range(1, 10) for b in range(1, 10) for c in range(1, 10) for d in range(1, 10)]
